@@ -21,8 +21,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import balanced_shards
+
+    return balanced_shards(table(spark, sf_dir, "documents"), 40)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_sharding": op4_sharding,
+    "op5_url_filter": op5_url_filter,
 }
 
 ORACLES: dict[str, str] = {}
