@@ -41,11 +41,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])).drop("draws")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import classify, fold_of, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs)
+    held = F.coalesce(fold_of("doc_id") == 0, F.lit(False)).alias("held_out")
+    judged = classify(model, docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text"))
+    return judged.drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_sharding": op4_sharding,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}
