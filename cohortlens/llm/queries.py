@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -57,6 +57,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_scan import document_token_counts
+
+    folder = Scratch(spark, "token-scan").folder()
+    # The vocabulary's own end-of-text id.
+    return document_token_counts(table(spark, sf_dir, "documents"), folder, tokenizer_path(), 49_407)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_sharding": op4_sharding,
@@ -64,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_language_id": op9_language_id,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
