@@ -47,6 +47,12 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bm25 import top_k
+
+    return top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import classify, fold_of, train
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_bm25": op8_bm25,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
