@@ -28,6 +28,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import licence_matches
+
+    found = licence_matches(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "sentences", F.array_join("identifiers", ",").alias("identifiers"),
+        F.array_join(F.transform("matches", lambda m: F.concat(m["at"].cast("string"), F.lit(":"), m["rule"])), ",").alias("rules"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import balanced_shards
 
@@ -80,6 +90,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_packing": op2_packing,
+    "op3_licenses": op3_licenses,
     "op4_sharding": op4_sharding,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
@@ -89,4 +100,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+def licenses_sql() -> str:
+    from . import licenses as L
+
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    known = {L.normalised_text(k): v for k, v in L.SENTENCES.items()}
+    keys, values = (", ".join(map(text, x)) for x in (known, known.values()))
+    bare = f"regexp_replace(lower(x), {text(L.DROPPED)}, '', 'g')"
+    bare = f"regexp_replace(regexp_replace({bare}, {text(L.BLANKS)}, ' ', 'g'), {text(L.EDGES)}, '', 'g')"
+    hits = " UNION ALL ".join(
+        f"SELECT r, doc_id, {order} AS o, {text(rule)} AS rule, {len(ids)} AS n, unnest(list_filter(range(len(ids)), lambda i: ids[i + 1:i + {len(ids)}] = [{', '.join(map(text, ids))}])) AS place FROM named"
+        for order, (rule, _, ids) in enumerate(L.RULES)
+    )
+    return f"""
+WITH cut AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(coalesce(text, ''), {text(L.CUT)}, chr(10), 'g'), chr(10)) AS cut FROM documents
+), plain AS (
+  SELECT r, doc_id, CAST(len(list_filter(cut, lambda x: regexp_matches(x, '[^ \\t\\r]'))) AS BIGINT) AS sentences,
+         list_filter(list_transform(list_transform(cut, lambda x: {bare}), lambda x: list_position([{keys}], x)), lambda p: p > 0) AS places
+  FROM cut
+), named AS (
+  SELECT r, doc_id, sentences, list_transform(places, lambda p: ([{values}])[p]) AS ids FROM plain
+), hits AS ({hits}), kept AS (
+  SELECT r, string_agg(CAST(place AS VARCHAR) || ':' || rule, ',' ORDER BY place, o) AS rules FROM hits m
+  WHERE NOT EXISTS (
+    SELECT 1 FROM hits w WHERE w.r = m.r AND w.place < m.place + m.n AND m.place < w.place + w.n
+      AND (w.n > m.n OR w.n = m.n AND w.o < m.o OR w.n = m.n AND w.o = m.o AND w.place < m.place))
+  GROUP BY r
+)
+SELECT doc_id, sentences, coalesce(array_to_string(ids, ','), '') AS identifiers, coalesce(rules, '') AS rules
+FROM named LEFT JOIN kept USING (r)"""
+
+
+ORACLES: dict[str, str] = {"op3_licenses": licenses_sql()}
