@@ -1,6 +1,6 @@
 """Composite analyses and the registered queries."""
 
-from . import metrics
+from . import metrics, studies
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "metrics"]
+__all__ = ["ORACLES", "QUERIES", "metrics", "studies"]
