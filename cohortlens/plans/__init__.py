@@ -1,6 +1,6 @@
 """Composite analyses and the registered queries."""
 
-from . import metrics, studies
+from . import metrics, records, studies
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "metrics", "studies"]
+__all__ = ["ORACLES", "QUERIES", "metrics", "records", "studies"]
