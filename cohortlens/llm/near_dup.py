@@ -7,8 +7,8 @@ shares none of the 28 bands with a probability of 8e-8, at 0.8 of 1.5e-5.
 
 Documents with equal sets form a class with the smallest id as its representative, so exact copies cost
 nothing further. In a bucket every class is compared with a pivot, not with every other. Confirmed
-links give components; buckets that still hold several components get other pivots for a few rounds, and what
-is then still apart is compared in full (classes of different components only, of fitting sizes), so no link is lost.
+links give components. Members of one pivot that are still in different components are compared if their
+sizes and what they have beyond the pivot allow it (see across), so no link of a bucket is lost.
 Comparison is exact: intersections of whole sets of 64-bit shingle hashes.
 
 Nulls and ties: null, empty or blank text has an empty set (n_shingles 0) and links with nothing; a null
@@ -23,7 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
@@ -32,7 +33,8 @@ WIDTH = 5
 PERCENT = 80
 PERMUTATIONS = 70
 ROWS = 5
-PIVOT_ROUNDS = 3
+#: Pivots with up to so many members have all those in different components compared.
+SMALL_STAR = 8
 #: Ids (8 bytes each) up to which the candidates are broadcast to the scan of texts; beyond, both sides are shuffled.
 BROADCAST_IDS = 500_000
 #: Shingles that are hashed at once.
@@ -148,75 +150,111 @@ def full_sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(task, "k binary, shingles array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """pairs (a, ka, na, b, kb, nb), each once: the (a, b) whose sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("doc_id"), F.col("ka").alias("k")).union(pairs.select("b", "kb")).distinct()
-    ends = scratch.keep(ends)
+def measure(pairs: DataFrame, texts: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """pairs (a, ka, na, b, kb, nb), each once, with common (shared shingles), and the sets (k, shingles) they have."""
+    ends = scratch.keep(pairs.select(F.col("a").alias("doc_id"), F.col("ka").alias("k")).union(pairs.select("b", "kb")).distinct())
     ids = ends.select("doc_id").distinct()
     if ends.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     sets = scratch.keep(full_sets(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text"), width).where("k is not null"))
     left = sets.select(F.col("k").alias("ka"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("k").alias("kb"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    found = (
-        pairs.join(left, "ka").join(right, "kb").withColumn("common", common)
-        .where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
+    found = pairs.join(left, "ka").join(right, "kb").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    found = scratch.keep(found.drop("sa", "sb"))
+    scratch.drop(ends)
+    return found, sets
+
+
+def similar(percent: int) -> Column:
+    return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """pairs of structs x, y (rep, k, n): each unordered pair once, as columns."""
+    a, b = F.least("x", "y"), F.greatest("x", "y")
+    return pairs.select(a.alias("a"), b.alias("b")).select(
+        F.col("a.rep").alias("a"), F.col("a.k").alias("ka"), F.col("a.n").alias("na"),
+        F.col("b.rep").alias("b"), F.col("b.k").alias("kb"), F.col("b.n").alias("nb"),
+    ).distinct()
+
+
+def fitting(percent: int) -> Column:
+    """A pair of far too different sizes can't be similar enough."""
+    return F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+
+
+def across(stars: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of a star's members in different components that might be similar.
+
+    stars (p, x, i, label, m): x = (rep, k, n), i shingles shared with the pivot, m members. In a small star all such
+    pairs are compared. In a large one, let U be a member's shingles that the pivot lacks. Two members without common U share
+    at most the smaller i. So similar members either share as much of U as their sizes ask beyond i, and
+    then, in any fixed order of shingles, one of the first |U| - that + 1 of both; or both have an i that is enough by itself.
+    """
+    t = percent / 100
+    need = lambda size: F.ceil((size * percent) / F.lit(100 + percent))  # noqa: E731  of two sets of that many together
+    few = stars.where(F.col("m") <= SMALL_STAR)
+    other = lambda df: df.select("p", *[F.col(c).alias(n) for c, n in (("x", "y"), ("label", "other"), ("i", "iy")) if c in df.columns])
+    direct = few.select("p", "x", "label").join(other(few.select("p", "x", "label")), "p").where("label < other").select("x", "y")
+    many = stars.where(F.col("m") > SMALL_STAR)
+    least = many.groupBy("p").agg(F.min("x.n").alias("low"))
+    many = many.join(least, "p").withColumn(
+        "lacks", F.greatest(F.lit(1).cast("long"), need(F.col("x.n") + F.greatest("low", F.ceil(F.col("x.n") * t))) - F.col("i"))
     )
-    links = scratch.keep(found.select("a", "b").distinct())
-    scratch.drop(sets, ends)
-    return links
+    enough = many.where("lacks = 1").where(need(F.col("x.n") + F.greatest("low", F.ceil(F.col("x.n") * t))) <= F.col("i"))
+    # Nearly all of these are in one component, the pivot's; only the others look for partners.
+    main = enough.groupBy("p", "label").agg(F.count("*").alias("c")).groupBy("p").agg(F.max(F.struct("c", "label")).alias("top"))
+    seekers = enough.join(main, "p").where(F.col("label") != F.col("top.label"))
+    by_size = (
+        seekers.select("p", "x", "label", "i").join(other(enough.select("p", "x", "label", "i")), "p")
+        .where("label <> other").where(need(F.col("x.n") + F.col("y.n")) <= F.least("i", "iy")).select("x", "y")
+    )
+    own = many.select("p", F.col("p.k").alias("kp"), "x", F.col("x.k").alias("kx"), "label", "lacks")
+    own = own.join(sets.select(F.col("k").alias("kx"), F.col("shingles").alias("sx")), "kx").join(sets.select(F.col("k").alias("kp"), F.col("shingles").alias("sp")), "kp")
+    own = own.withColumn("u", F.array_except("sx", "sp")).where(F.size("u") >= F.col("lacks"))
+    own = scratch.keep(own.select(F.col("p.rep").alias("star"), "x", "label", (F.size("u") - F.col("lacks") + 1).alias("first"), F.explode("u").alias("u")))
+    often = own.groupBy("star", "u").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(W.partitionBy("star", "x.rep").orderBy("often", "u"))
+    # A shingle that one member has alone joins nothing, but counts among the first.
+    prefix = own.join(often, ["star", "u"]).withColumn("r", rank).where("r <= first and often > 1")
+    prefix = scratch.keep(prefix.select("star", "u", "x", "label"))
+    shared = prefix.join(prefix.select("star", "u", F.col("x").alias("y"), F.col("label").alias("other")), ["star", "u"]).where("label < other").select("x", "y")
+    return ordered(direct.union(by_size).union(shared).where(fitting(percent)))
 
 
 def links(reps: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame | None:
     """Components (node, component) of the linked representatives; reps (rep, k, n, bands)."""
     spark = reps.sparkSession
-    members = reps.select("rep", "k", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    members = reps.select(F.struct("rep", "k", "n").alias("x"), F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     members = scratch.keep(members.join(shared, "bucket"))
-    open_members = members
-    tried: DataFrame | None = None
-    found: DataFrame | None = None
-    labels: DataFrame | None = None
-    for step in range(PIVOT_ROUNDS + 1):
-        if step < PIVOT_ROUNDS:
-            # First the smallest id, the same in many buckets; later one by a hash of its own in each.
-            order = F.col("rep") if step == 0 else F.xxhash64("rep", "bucket", F.lit(step))
-            pick = open_members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rep", "k", "n", "label") if step else F.struct("rep", "k", "n")).alias("p"))
-            pairs = open_members.join(pick, "bucket").where("rep <> p.rep")
-            if step:
-                pairs = pairs.where("label <> p.label")
-            pairs = pairs.select(F.struct("rep", "k", "n").alias("x"), F.struct("p.rep", "p.k", "p.n").alias("y"))
-        else:
-            other = open_members.select("bucket", F.struct("rep", "k", "n").alias("y"), F.col("label").alias("other"))
-            pairs = open_members.join(other, "bucket").where("label < other").select(F.struct("rep", "k", "n").alias("x"), "y")
-        # A pair of far too different sizes can't be similar enough.
-        pairs = pairs.where(F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-        a, b = F.least("x", "y"), F.greatest("x", "y")
-        pairs = pairs.select(a.alias("a"), b.alias("b")).select(
-            F.col("a.rep").alias("a"), F.col("a.k").alias("ka"), F.col("a.n").alias("na"),
-            F.col("b.rep").alias("b"), F.col("b.k").alias("kb"), F.col("b.n").alias("nb"),
-        ).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["ka", "kb"], "left_anti")
-        pairs = scratch.keep(pairs)
-        if not pairs.isEmpty():
-            new = confirm(pairs, texts, width, percent, scratch)
-            found = new if found is None else found.union(new)
-            labels = components(spark, found)
-        if step == PIVOT_ROUNDS:
-            break
-        seen = pairs.select("ka", "kb")
-        tried = seen if tried is None else tried.union(seen)
-        if labels is None:
-            labelled = members.withColumn("label", F.col("rep"))
-        else:
-            labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        apart = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        open_members = scratch.keep(labelled.join(apart, "bucket", "left_semi"))
-        if open_members.isEmpty():
-            break
-    return labels
+    # The pivot of a bucket is the member that meets most others: of many variants, one near their source.
+    meets = members.groupBy("x").agg(F.sum("m").alias("meets"))
+    members = members.join(meets, "x")
+    pick = members.groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("x.rep")).alias("low"), "x")).alias("top"))
+    stars = scratch.keep(members.join(pick.select("bucket", F.col("top.x").alias("p")), "bucket").where("x.rep <> p.rep").select("p", "x").distinct())
+    if stars.isEmpty():
+        return None
+    near, sets = measure(ordered(stars.select("x", F.col("p").alias("y"))), texts, width, scratch)
+    found = near.where(similar(percent)).select("a", "b")
+    labels = components(spark, found)
+    name = labels.withColumnRenamed("node", "rep")
+    spokes = stars.select("p", "x", F.least("p.k", "x.k").alias("k1"), F.greatest("p.k", "x.k").alias("k2"), F.col("x.rep").alias("rep")).join(
+        near.select(F.least("ka", "kb").alias("k1"), F.greatest("ka", "kb").alias("k2"), F.col("common").alias("i")), ["k1", "k2"]
+    ).join(name, "rep", "left").select("p", "x", "i", F.coalesce("component", "rep").alias("label"))
+    spokes = scratch.keep(spokes)
+    apart = spokes.groupBy("p").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high").select("p", "m")
+    open_stars = scratch.keep(spokes.join(apart, "p"))
+    if open_stars.isEmpty():
+        return labels
+    tried = near.select(F.least("ka", "kb").alias("k1"), F.greatest("ka", "kb").alias("k2"))
+    pairs = across(open_stars, sets, percent, scratch)
+    pairs = pairs.withColumns({"k1": F.least("ka", "kb"), "k2": F.greatest("ka", "kb")}).join(tried, ["k1", "k2"], "left_anti").drop("k1", "k2")
+    pairs = scratch.keep(pairs)
+    if pairs.isEmpty():
+        return labels
+    more, _ = measure(pairs, texts, width, scratch)
+    return components(spark, found.union(more.where(similar(percent)).select("a", "b")))
 
 
 def near_duplicates(
@@ -239,7 +277,9 @@ def near_duplicates(
             classes.select("k", "rep", "members").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
             .where("members > 1 or component is not null").select("k", F.coalesce("component", "rep").alias("component"))
         )
-    out = sigs.select("doc_id", "n_shingles", "k").join(named, "k", "left")
+    rows = sigs.select("doc_id", "n_shingles", "k")
+    # Empty sets have no key to join by; as null keys they would all meet in one task.
+    out = rows.where("k is not null").join(named, "k", "left").unionByName(rows.where("k is null"), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
