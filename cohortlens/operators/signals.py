@@ -196,7 +196,8 @@ def features(signal: np.ndarray, rate: float) -> list[float | None]:
     if not inside:
         return [out[f] for f in FEATURES]
     beat = np.median([clean[:, p - before : p + after] for p in inside], axis=0)
-    base = np.median(beat[:, : max(2, int(0.06 * rate))], axis=1)
+    # The level just before the complex; further back the last beat's end may reach in.
+    base = np.median(beat[:, before - int(0.09 * rate) : before - int(0.05 * rate)], axis=1)
     beat = beat - base[:, None]
     own = beat[rhythm]
     slope = np.abs(np.gradient(own))
@@ -205,7 +206,7 @@ def features(signal: np.ndarray, rate: float) -> list[float | None]:
     left, right = crossing(slope, before - 1, -1, level, reach), crossing(slope, before + 1, 1, level, reach)
     out["r_amplitude"], out["s_amplitude"] = float(own.max()), float(own[before : before + reach].min())
     if left is not None and right is not None:
-        out["qrs_ms"] = (right - left) / rate * 1000
+        out["qrs_ms"] = float(right - left) / rate * 1000
     window = slice(before - int(0.05 * rate), before + int(0.05 * rate) + 1)
     if len(x) >= 6:
         net = beat[:, window].max(axis=1) + beat[:, window].min(axis=1)
