@@ -9,6 +9,7 @@ left into sequences. A stage's docs may be empty; nulls and ties are as the oper
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens.llm import langid, mixing, near_dup, packing
 from cohortlens.llm.common import Scratch
@@ -16,8 +17,10 @@ from cohortlens.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = langid.classify(langid.train(docs), docs)
-    return judged.where("not rejected").select(*docs.columns)
+    # The row travels whole, so its columns may have any names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    judged = langid.classify(langid.train(docs), rows)
+    return judged.where("not rejected").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
