@@ -194,10 +194,9 @@ def search(queries: DataFrame, classes: DataFrame, graph: DataFrame, k: int, scr
     """queries (q, vector), start (q): (q, node, score), the best k + 1 classes each query has found."""
     links = graph.select("node", "other").union(graph.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     links = scratch.keep(links)
-    entries = classes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
+    entries = [F.lit(r["node"]) for r in classes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()]
     own = queries.join(classes.select(F.col("node").alias("q")), "q", "left_semi").select("q", F.col("q").alias("node"))
-    # ENTRIES rows, whatever the input.
-    fresh = own.union(queries.select("q").join(F.broadcast(entries), F.lit(True))).distinct()
+    fresh = own.union(queries.select("q", F.explode(F.array(*entries)).alias("node"))).distinct()
     pool: DataFrame | None = None
     seen: DataFrame | None = None
     for _ in range(HOPS):
