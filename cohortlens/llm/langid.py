@@ -1,10 +1,15 @@
-"""Language ID by interpolated Kneser-Ney character models in sorted hash arrays.
+"""Language ID by interpolated Kneser-Ney character models over all grams of the labelled rows.
 
 Letters are folded to lower case, runs of all else to one space. Training counts ORDER-grams by language in
 every task with numpy, and Spark sums them over the whole labelled table; lower orders follow from
-the distinct grams (continuation counts), as Kneser and Ney define. A model keeps at most MOST grams a language,
-those counted most often, and at most LANGUAGES languages; within that bound it is collected once and broadcast. Each
-order is one sorted array of 64-bit gram hashes with a row of log probabilities, one a language.
+the distinct grams (continuation counts), as Kneser and Ney define. Discounts, context sums, back-off weights and
+probabilities are aggregates and joins too: a model is tables by gram and by context, an array entry a language (at most
+LANGUAGES), and no gram is left out.
+
+Log probabilities are whole numbers of 1 / SCALE nats, so their sums are exact in any order. Tables of up to SMALL bytes,
+as counted, are collected once and broadcast as sorted arrays of 64-bit gram hashes. Of larger ones only the grams
+counted most often are; each text's other grams are joined with the tables, with the same sums. A gram that is in every
+text is among those broadcast.
 
 A text goes to the language with the lowest cross-entropy a character. It is rejected if that is above a
 limit for its length, calibrated on labelled rows held out of the counts: the 99.9th percentile of
@@ -19,20 +24,27 @@ classify() and never read.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Scratch
 
 ORDER = 4
-MOST = 100_000
 LANGUAGES = 256
+#: Bytes of tables that are broadcast.
+SMALL = 32 << 20
+#: Log probabilities are counted in parts of a nat.
+SCALE = 1 << 20
+#: A character that no language has.
+UNKNOWN = -round(np.log(4096) * SCALE)
 #: Characters that a task handles at once.
 CHUNK = 1 << 20
 #: Distinct grams that a task sums before it passes them on.
@@ -130,9 +142,13 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
+def fixed(probs: np.ndarray) -> np.ndarray:
+    return np.rint(np.log(probs) * SCALE).astype(np.int32)
+
+
 @dataclass
 class Level:
-    """One order: sorted gram hashes with log probabilities, and sorted context hashes with log back-off weights."""
+    """One order: sorted gram hashes with fixed() probabilities, and sorted context hashes with back-off weights."""
 
     keys: np.ndarray
     logs: np.ndarray
@@ -140,16 +156,28 @@ class Level:
     backs: np.ndarray
 
 
+@dataclass
+class Tables:
+    """One order: grams (gram, total, logs) and contexts (context, backs)."""
+
+    grams: DataFrame
+    contexts: DataFrame
+
+
 @dataclass
 class Model:
+    """All orders as levels, or as tables with a first part of the grams of the highest order."""
+
     languages: list[str]
     levels: list[Level] = field(default_factory=list)
     limits: dict[int, float] = field(default_factory=dict)
+    tables: list[Tables] = field(default_factory=list)
+    common: Level | None = None
 
     def cross_entropy(self, codes: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Mean negative log probability by text and language, and the count of characters."""
         at = np.flatnonzero(codes != START)
-        out = np.zeros((len(at), len(self.languages)), np.float32)
+        out = np.zeros((len(at), len(self.languages)), np.int32)
         todo = np.arange(len(at))
         for k in range(ORDER, 0, -1):
             level = self.levels[k - 1]
@@ -167,10 +195,17 @@ class Model:
             known = level.contexts[found] == h
             out[todo[known]] += level.backs[found[known]]
         if len(todo):
-            out[todo] += np.float32(-np.log(4096.0))  # a character that no language has
+            out[todo] += UNKNOWN
         counts = np.bincount(owner[at], minlength=texts)
         sums = np.stack([np.bincount(owner[at], out[:, i], texts) for i in range(len(self.languages))], axis=1)
-        return -sums / np.maximum(counts, 1)[:, None], counts
+        return per_character(sums, counts), counts
+
+    def decide(self, mean: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best language, its share of the likelihood, its cross-entropy and whether that is over the limit."""
+        best = mean.argmin(axis=1)
+        low = mean[np.arange(len(best)), best]
+        sure = 1 / np.exp(-(mean - low[:, None]) * np.minimum(count, SURE)[:, None]).sum(axis=1)
+        return best, np.minimum(sure, 1.0), low, low > self.limit(count)
 
     def limit(self, counts: np.ndarray) -> np.ndarray:
         known = sorted(self.limits)
@@ -181,8 +216,12 @@ class Model:
         return np.array([self.limits[max((k for k in known if k <= c), default=known[0])] for c in classes])
 
 
+def per_character(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return -sums / (SCALE * np.maximum(counts, 1)[:, None])
+
+
 def build(grams: pd.DataFrame) -> Model:
-    """grams: lang, gram, n."""
+    """The model of small tables, in memory; grams: lang, gram, n. build_tables() is the same for any size."""
     languages = sorted(grams["lang"].unique(), key=lambda x: x.encode())
     if len(languages) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
@@ -204,6 +243,7 @@ def build(grams: pd.DataFrame) -> Model:
             first = np.unique(group, return_index=True)[1]
             lang, codes, n = lang[first], codes[first, 1:], np.bincount(group).astype(np.float64)
     levels: list[Level] = []
+    below_keys, below_probs = np.zeros(0, np.uint64), np.zeros((0, len(languages)))
     for k in range(1, ORDER + 1):
         lang, codes, n = tables[k]
         h = hashes(list(codes.T))
@@ -220,8 +260,7 @@ def build(grams: pd.DataFrame) -> Model:
         if k == 1:
             lower = np.full_like(count, 1.0 / (len(keys) + 1))
         else:
-            below = levels[-1]
-            lower = np.exp(below.logs[np.searchsorted(below.keys, hashes(list(columns[:, 1:].T)))].astype(np.float64))
+            lower = below_probs[np.searchsorted(below_keys, hashes(list(columns[:, 1:].T)))]
         for i in range(len(languages)):
             c = count[:, i]
             ones, twos = (c == 1).sum(), (c == 2).sum()
@@ -232,16 +271,102 @@ def build(grams: pd.DataFrame) -> Model:
             backs[seen, i] = discount * kinds[seen] / whole[seen]
             own = np.maximum(c - discount, 0) / np.maximum(whole, 1e-300)[of]
             probs[:, i] = np.where(seen[of], own, 0) + backs[of, i] * lower[:, i]
-        levels.append(Level(keys, np.log(probs).astype(np.float32), contexts, np.log(backs).astype(np.float32)))
+        below_keys, below_probs = keys, probs
+        levels.append(Level(keys, fixed(probs), contexts, fixed(backs)))
     model.levels = levels
     return model
 
 
+def by_language(values: DataFrame, key: str, value: str, languages: int, missing: float) -> DataFrame:
+    """(key, l, value) -> (key, array of the value by language)."""
+    known = F.map_from_entries(F.collect_list(F.struct("l", value)))
+    every = F.transform(F.sequence(F.lit(0), F.lit(languages - 1)), lambda i: F.coalesce(F.element_at("known", i), F.lit(missing)))
+    return values.groupBy(key).agg(known.alias("known")).select(key, every.alias(value))
+
+
+def build_tables(grams: DataFrame, languages: list[str], scratch: Scratch) -> list[Tables]:
+    """The model of grams (lang, gram, n) as tables, orders from 1 on."""
+    number = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
+    counts = {ORDER: grams.select(number[F.col("lang")].alias("l"), "gram", "n")}
+    for k in range(ORDER - 1, 0, -1):
+        shorter = counts[k + 1].groupBy("l", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
+        counts[k] = scratch.keep(shorter)
+    size = len(languages)
+    log = lambda p: F.round(F.log(p) * SCALE).cast("int")
+    tables: list[Tables] = []
+    below: DataFrame | None = None
+    for k in range(1, ORDER + 1):
+        discount = [0.5] * size
+        for r in counts[k].groupBy("l").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect():
+            if r["ones"] and r["twos"]:
+                discount[r["l"]] = r["ones"] / (r["ones"] + 2 * r["twos"])
+        less = F.array(*map(F.lit, discount))
+        long = counts[k].select("l", "gram", "n", F.expr(f"left(gram, {k - 1})").alias("context"))
+        sums = long.groupBy("l", "context").agg(F.sum("n").alias("whole"), F.count("*").alias("kinds"))
+        sums = scratch.keep(sums.withColumn("back", less[F.col("l")] * F.col("kinds") / F.col("whole")))
+        contexts = scratch.keep(by_language(sums, "context", "back", size, 1.0))
+        own = long.join(sums.select("l", "context", "whole"), ["l", "context"]).select(
+            "l", "gram", "n", (F.greatest(F.col("n") - less[F.col("l")], F.lit(0.0)) / F.col("whole")).alias("own")
+        )
+        totals = own.groupBy("gram").agg(F.sum("n").alias("total"))
+        rows = by_language(own, "gram", "own", size, 0.0)
+        if k == ORDER:
+            rows = rows.join(totals, "gram")
+        rows = rows.withColumn("context", F.expr(f"left(gram, {k - 1})"))
+        if below is None:
+            # One context, so no join; every character is one of its rows.
+            back = contexts.first()["back"]
+            lower = 1.0 / (counts[1].select("gram").distinct().count() + 1)
+            rows = rows.withColumn("back", F.array(*map(F.lit, back))).withColumn("low", F.array_repeat(F.lit(lower), size))
+        else:
+            rows = rows.join(contexts, "context").withColumn("suffix", F.expr("substring(gram, 2)"))
+            rows = rows.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("low")), "suffix")
+        rest = F.zip_with("back", "low", lambda b, x: b * x)
+        rows = rows.select("gram", *(["total"] if k == ORDER else []), F.zip_with("own", rest, lambda a, b: a + b).alias("p"))
+        below = scratch.keep(rows)
+        tables.append(Tables(below.withColumn("logs", F.transform("p", log)).drop("p"), contexts.select("context", F.transform("back", log).alias("backs"))))
+    return tables
+
+
+def sorted_arrays(df: DataFrame, order: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text of order characters, array) as sorted hashes and rows."""
+    rows = df.toArrow()
+    text = rows.column(0).to_pylist()
+    values = rows.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(-1, size)
+    if order == 0:
+        return np.zeros(len(text), np.uint64), values
+    codes = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, order)
+    key = hashes(list(codes.T))
+    at = np.argsort(key)
+    return key[at], values[at]
+
+
+def fit_counts(grams: DataFrame, scratch: Scratch, small: int) -> Model:
+    """The model of grams (lang, gram, n): broadcast whole up to small bytes, else in part."""
+    languages = sorted((r["lang"] for r in grams.select("lang").distinct().collect()), key=lambda x: x.encode())
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    model = Model(languages)
+    if not languages:
+        return model
+    tables, size = build_tables(grams, languages, scratch), len(languages)
+    row = 8 + 4 * size
+    if row * sum(t.grams.count() + t.contexts.count() for t in tables) <= small:
+        for k, t in enumerate(tables, 1):
+            keys, logs = sorted_arrays(t.grams.select("gram", "logs"), k, size)
+            model.levels.append(Level(keys, logs, *sorted_arrays(t.contexts, k - 1, size)))
+        return model
+    model.tables = tables
+    common = tables[-1].grams.orderBy(F.desc("total"), "gram").limit(small // row).select("gram", "logs")
+    model.common = Level(*sorted_arrays(common, ORDER, size), np.zeros(0, np.uint64), np.zeros((0, size), np.int32))
+    return model
+
+
 def fold_of(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", small: int = SMALL) -> Model:
     """Counts on the labelled rows of folds 1 to 3, calibrates on fold 4; fold 0 is never read."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "langid")
@@ -252,24 +377,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         labelled.where("fold between 1 and 3").select("text", "lang").mapInArrow(count_grams, "lang string, gram string, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
-    # The smallest count kept, by language: eighths of a power of two, so a few hundred rows.
-    step = F.floor(F.log2("n") * 8)
-    ladder = grams.groupBy("lang", step.alias("step")).count().collect()
-    least: dict[str, int] = {}
-    for lang in {r["lang"] for r in ladder}:
-        total = 0
-        for r in sorted((r for r in ladder if r["lang"] == lang), key=lambda r: -r["step"]):
-            total += r["count"]
-            if total > MOST and lang in least:
-                break
-            least[lang] = r["step"]
-    if not least:
-        return Model([])
-    if len(least) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
-    bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-    model = build(grams.where(step >= bound[F.col("lang")]).orderBy("lang", "gram").toPandas())
-    scratch.drop(grams)
+    model = fit_counts(grams, scratch, small)
+    if not model.languages:
+        return model
+    if not model.tables:
+        scratch.drop(grams)
     judged = classify(model, labelled.where("fold = 4").select("text"), "text")
     found = (
         judged.where("chars > 0").groupBy(F.floor(F.log2("chars")).cast("int").alias("size"))
@@ -287,6 +399,8 @@ def classify(model: Model, docs: DataFrame, text_col: str = "text") -> DataFrame
     """
     names = [x.split()[0] for x in ADDED.split(", ")]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text_col or c not in names])
+    if model.tables:
+        return classify_joined(model, docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -294,24 +408,128 @@ def classify(model: Model, docs: DataFrame, text_col: str = "text") -> DataFrame
         m: Model = shared.value
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            lang: list[str] = ["und"] * len(texts)
-            score, entropy, chars, rejected = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
+            found = Verdicts(m, len(texts))
             for first, end, codes, owner in chunks(texts) if m.languages else ():
                 mean, count = m.cross_entropy(codes, owner, end - first)
-                best = mean.argmin(axis=1)
-                low = mean[np.arange(len(best)), best]
-                sure = 1 / np.exp(-(mean - low[:, None]) * np.minimum(count, SURE)[:, None]).sum(axis=1)
-                over = low > m.limit(count)
-                letters = np.bincount(owner[(codes != SPACE) & (codes != START)], minlength=end - first)
-                for i in range(end - first):
-                    text = texts[first + i]
-                    if letters[i] and any(map(str.isalpha, text)):
-                        lang[first + i], score[first + i], entropy[first + i] = m.languages[best[i]], min(1.0, sure[i]), low[i]
-                        chars[first + i], rejected[first + i] = count[i], over[i]
-            columns = [*batch.columns, pa.array(lang), pa.array(score), pa.array(entropy), pa.array(chars), pa.array(rejected)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
-
-    from pyspark.sql.types import StructType
-
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(ADDED).fields])
-    return docs.mapInArrow(task, schema)
+                found.put(np.arange(first, end), mean, count, with_letters(texts[first:end], codes, owner))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found.columns()], [*batch.schema.names, *names])
+
+    return docs.mapInArrow(task, StructType([*docs.schema.fields, *StructType.fromDDL(ADDED).fields]))
+
+
+def with_letters(texts: list[str | None], codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    letters = np.bincount(owner[(codes != SPACE) & (codes != START)], minlength=len(texts))
+    return np.array([bool(n) and any(map(str.isalpha, t)) for n, t in zip(letters, texts)], bool)
+
+
+class Verdicts:
+    """The ADDED columns of a batch."""
+
+    def __init__(self, model: Model, n: int):
+        self.model = model
+        self.lang: list[str] = ["und"] * n
+        self.score, self.entropy, self.chars, self.rejected = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.ones(n, bool)
+
+    def put(self, at: np.ndarray, mean: np.ndarray, count: np.ndarray, letters: np.ndarray) -> None:
+        best, sure, low, over = self.model.decide(mean, count)
+        for i in np.flatnonzero(letters):
+            self.lang[at[i]] = self.model.languages[best[i]]
+        at, keep = at[letters], letters
+        self.score[at], self.entropy[at], self.chars[at], self.rejected[at] = sure[keep], low[keep], count[keep], over[keep]
+
+    def columns(self) -> list[pa.Array]:
+        return [pa.array(x) for x in (self.lang, self.score, self.entropy, self.chars, self.rejected)]
+
+
+def text_grams(shared: Broadcast, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(row, text) -> a row of sums over the common grams with chars and letters, and one for every other gram with its count."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common: Level = shared.value
+        schema = pa.schema([("row", pa.int64()), ("gram", pa.string()), ("n", pa.int64()), ("letters", pa.bool_()), ("sums", pa.list_(pa.int64()))])
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for first, end, codes, owner in chunks(texts):
+                at = np.flatnonzero(codes != START)
+                columns = [codes[at - ORDER + 1 + j] for j in range(ORDER)]
+                of = owner[at]
+                h = hashes(columns)
+                hit, sums = np.zeros(len(h), bool), np.zeros((end - first, size), np.int64)
+                if len(common.keys):
+                    found = np.minimum(np.searchsorted(common.keys, h), len(common.keys) - 1)
+                    hit = common.keys[found] == h
+                    for i in range(size):
+                        sums[:, i] = np.bincount(of[hit], common.logs[found[hit], i], end - first).astype(np.int64)
+                rest = np.flatnonzero(~hit)
+                _, index, n = np.unique(hashes([c[rest] for c in columns] + [of[rest]]), return_index=True, return_counts=True)
+                rest = rest[index]
+                grams = np.ascontiguousarray(np.stack([c[rest] for c in columns], axis=1).astype("<u4"))
+                text = [g.tobytes().decode("utf-32-le", "surrogatepass") for g in grams]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[first + of[rest]], pa.int64()), pa.array(text, pa.string()), pa.array(n, pa.int64()),
+                     pa.nulls(len(rest), pa.bool_()), pa.nulls(len(rest), pa.list_(pa.int64()))], schema=schema)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(end - first + 1) * size, pa.int32()), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[first:end], pa.int64()), pa.nulls(end - first, pa.string()),
+                     pa.array(np.bincount(of, minlength=end - first), pa.int64()),
+                     pa.array(with_letters(texts[first:end], codes, owner)), flat], schema=schema)
+
+    return task
+
+
+def log_probabilities(model: Model, grams: DataFrame) -> DataFrame:
+    """grams (gram, distinct): (gram, logs), by the longest known part of each.
+
+    Shorter parts are looked up once a distinct part, so a key meets at most as many rows as there are characters.
+    """
+    size = len(model.languages)
+    asked = {ORDER: grams}
+    for k in range(ORDER - 1, 0, -1):
+        asked[k] = asked[k + 1].select(F.expr("substring(gram, 2)").alias("gram")).distinct()
+    out: DataFrame | None = None
+    for k, t in enumerate(model.tables, 1):
+        rows = asked[k].join(t.grams.select("gram", "logs"), "gram", "left")
+        if out is None:
+            backs = t.contexts.first()["backs"]
+            lower = F.array(*[F.lit(b + UNKNOWN) for b in backs])
+        else:
+            rows = rows.withColumn("context", F.expr(f"left(gram, {k - 1})")).withColumn("suffix", F.expr("substring(gram, 2)"))
+            rows = rows.join(t.contexts, "context", "left").join(out.select(F.col("gram").alias("suffix"), F.col("logs").alias("low")), "suffix")
+            none = F.array_repeat(F.lit(0), size)
+            lower = F.zip_with(F.coalesce("backs", none), "low", lambda b, x: b + x)
+        out = rows.select("gram", F.coalesce("logs", lower).alias("logs"))
+    return out
+
+
+def classify_joined(model: Model, docs: DataFrame, text_col: str) -> DataFrame:
+    """classify() with tables too large to broadcast."""
+    spark, size = docs.sparkSession, len(model.languages)
+    scratch = Scratch(spark, "langid-rows")
+    # Written, so that numbers stay when a task is run again.
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    shared = spark.sparkContext.broadcast(model.common)
+    fields = "row long, gram string, n long, letters boolean, sums array<bigint>"
+    found = scratch.keep(rows.select("row", F.col("doc")[text_col].alias("text")).mapInArrow(text_grams(shared, size), fields))
+    rest = found.where("gram is not null")
+    logs = scratch.keep(log_probabilities(model, rest.select("gram").distinct()))
+    parts = lambda x, n: [(F.col(x)[i] * n).alias(f"s{i}") for i in range(size)]
+    none = F.lit(None)
+    sums = rest.join(logs, "gram").select("row", *parts("logs", F.col("n")), none.cast("long").alias("count"), none.cast("boolean").alias("letters"))
+    sums = sums.union(found.where("gram is null").select("row", *parts("sums", F.lit(1)), "n", "letters"))
+    sums = sums.groupBy("row").agg(
+        F.array(*[F.sum(f"s{i}") for i in range(size)]).alias("sums"), F.max("count").alias("count"), F.max("letters").alias("letters")
+    )
+    plain = Model(model.languages, limits=model.limits)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            out = Verdicts(plain, n)
+            total = batch.column(1).flatten().to_numpy().reshape(n, size)
+            count = batch.column(2).to_numpy()
+            out.put(np.arange(n), per_character(total, count), count, batch.column(3).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out.columns()], ["row", *names])
+
+    names = [x.split()[0] for x in ADDED.split(", ")]
+    judged = sums.mapInArrow(task, "row long, " + ADDED)
+    return rows.join(judged, "row").select(*[F.col("doc")[c].alias(c) for c in docs.columns], *names)

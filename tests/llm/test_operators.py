@@ -264,6 +264,31 @@ def test_kneser_ney_sums_to_one():
         assert np.all(total > 0.9) and np.all(total < 1.0001)
 
 
+def test_language_models_leave_no_gram_out(spark):
+    """130,000 distinct grams of one language, most of them singletons: as in memory, and the same joined as broadcast."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 4000)]
+    texts = ["".join(rng.choice(letters, 700)) + " " + "的一是不" * 5 for _ in range(185)] + ["the and of " * 20, "a bat and the cab " * 9] * 20
+    langs = ["zh"] * 185 + ["en"] * 40
+    rows = Counter()
+    for text, lang in zip(texts, langs):
+        padded = chr(langid.START) * 3 + text
+        rows.update((lang, padded[i : i + 4]) for i in range(len(padded) - 3))
+    grams = pd.DataFrame([(lang, g, n) for (lang, g), n in rows.items()], columns=["lang", "gram", "n"])
+    assert (grams["lang"] == "zh").sum() > 125_000
+    want, frame = langid.build(grams), spark.createDataFrame(grams)
+    whole = langid.fit_counts(frame, Scratch(spark, "t"), 1 << 30)
+    for a, b in zip(want.levels, whole.levels):
+        assert np.array_equal(a.keys, b.keys) and np.array_equal(a.contexts, b.contexts)
+        assert abs(a.logs - b.logs).max() <= 1 and abs(a.backs - b.backs).max() <= 1
+    asked = docs(spark, [*texts[::9], *ODD, "the cab", "的一", texts[0][:3] + "zzz Ж", "the cab"])
+    ours = [sorted(map(str, langid.classify(m, asked).select("doc_id", "text", *[c for c in ("lang_pred", "score", "cross_entropy", "chars", "rejected")]).collect()))
+            for m in (whole, langid.fit_counts(frame, Scratch(spark, "t"), 1 << 16), langid.fit_counts(frame, Scratch(spark, "t"), 0))]
+    assert ours[0] == ours[1] == ours[2]
+
+
 # --- sharding, mixing, urls, licences, token files
 
 
