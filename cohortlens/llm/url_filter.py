@@ -5,10 +5,11 @@ longest fitting rule decides. For the rest, two variable-order Markov models ove
 host and path, up to ORDER - 1 characters of context with Witten-Bell smoothing, are counted from
 the urls that a rule allows and from those that a rule blocks. A url's score is the mean difference of log-likelihoods
 a character, with the longest context that the models know at each place. The threshold is the one that splits the
-labelled urls held out of the counts best (every fifth by CRC-32).
+labelled urls held out of the counts best (every fifth by CRC-32). A url counts as often as it has rows.
 
-The models' tables hold at most MOST grams, those counted most often, so they are small enough to
-broadcast; everything else is aggregates and joins on the gram.
+The models' tables hold all grams. Tables of up to MOST grams, as counted, are broadcast; larger ones are joined with
+the distinct grams of the urls, and of those values only the MOST most frequent are broadcast. Sums are of whole parts of
+1 / SCALE nats, so both ways give equal scores.
 
 Nulls and ties: a null url, or one without "://", has an empty host and path and is judged by the
 models' end symbol alone; repeated rows are judged alike; a score equal to the threshold is allowed;
@@ -27,7 +28,9 @@ from pyspark.sql import Window as W
 from .common import Scratch
 
 ORDER = 4
+#: Grams that are broadcast at most.
 MOST = 100_000
+SCALE = 1 << 30
 #: Every so many labelled urls are held out to set the threshold.
 HOLD = 5
 
@@ -67,16 +70,24 @@ def padded(text: Column, order: int) -> Column:
     return F.concat(F.lit("\u0002" * (order - 1)), text, F.lit("\u0003"))
 
 
+def beside(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def weight(labelled: DataFrame, which: Column) -> Column:
+    """The rows of a kind: a row stands for count rows, where there is that column."""
+    rows = F.col("count") if "count" in labelled.columns else F.lit(1)
+    return F.sum(F.when(which, rows).otherwise(0))
+
+
 def models(labelled: DataFrame, order: int, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """labelled (text, good): grams (gram, ratio) and contexts (context, back), ratios of log probabilities."""
-    full = labelled.select("good", F.explode(grams(padded(F.col("text"), order), order)).alias("full"))
-    counts = full.groupBy("full").agg(
-        F.count_if("good").alias("yes"), F.count_if(~F.col("good")).alias("no")
+    """labelled (text, good, perhaps count): grams (gram, ratio) and contexts (context, back), ratios of log probabilities."""
+    rows = labelled.select(*[c for c in ("good", "count") if c in labelled.columns], F.explode(grams(padded(F.col("text"), order), order)).alias("full"))
+    counts = rows.groupBy("full").agg(
+        weight(labelled, F.col("good")).alias("yes"), weight(labelled, ~F.col("good")).alias("no")
     )
     counts = counts.select(F.explode(F.array(*[F.expr(f"right(full, {k})") for k in range(1, order + 1)])).alias("gram"), "yes", "no")
     counts = counts.groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    # The suffix of a gram is counted at least as often, so it is kept when the gram is.
-    counts = counts.orderBy(F.desc(F.col("yes") + F.col("no")), F.length("gram"), "gram").limit(most)
     counts = scratch.keep(counts.withColumn("context", F.expr("left(gram, length(gram) - 1)")))
     contexts = scratch.keep(
         counts.groupBy("context").agg(
@@ -85,15 +96,16 @@ def models(labelled: DataFrame, order: int, most: int, scratch: Scratch) -> tupl
         )
     )
     kinds = max(counts.where("length(gram) = 1").count(), 1)
+    small = counts.count() <= most
     below = None
     levels = []
     for k in range(1, order + 1):
-        level = counts.where(F.length("gram") == k).join(F.broadcast(contexts), "context")
+        level = counts.where(F.length("gram") == k).join(beside(contexts, small), "context")
         if below is None:
             level = level.withColumns({"low_yes": F.lit(1.0 / kinds), "low_no": F.lit(1.0 / kinds)})
         else:
             level = level.withColumn("suffix", F.expr("substring(gram, 2)")).join(
-                F.broadcast(below.select(F.col("gram").alias("suffix"), F.col("p_yes").alias("low_yes"), F.col("p_no").alias("low_no"))), "suffix"
+                beside(below.select(F.col("gram").alias("suffix"), F.col("p_yes").alias("low_yes"), F.col("p_no").alias("low_no")), small), "suffix"
             )
         p = {
             f"p_{c}": F.when(
@@ -114,22 +126,54 @@ def models(labelled: DataFrame, order: int, most: int, scratch: Scratch) -> tupl
     )
 
 
-def scores(texts: DataFrame, model: DataFrame, contexts: DataFrame, order: int) -> DataFrame:
+def scores(texts: DataFrame, model: DataFrame, contexts: DataFrame, order: int, most: int = MOST) -> DataFrame:
     """texts (text, distinct): (text, score)."""
     rows = texts.select("text", F.explode(grams(padded(F.col("text"), order), order)).alias("full"))
-    value = F.lit(0.0)
+    if model.count() > most:
+        rows = with_values(rows, model, contexts, order, most)
+        value = F.col("value")
+    else:
+        value = F.lit(0.0)
+        for k in range(1, order + 1):
+            rows = rows.withColumn("g", F.expr(f"right(full, {k})")).withColumn("c", F.expr(f"left(g, {k - 1})"))
+            rows = rows.join(F.broadcast(model.select(F.col("gram").alias("g"), F.col("ratio").alias(f"r{k}"))), "g", "left")
+            rows = rows.join(F.broadcast(contexts.select(F.col("context").alias("c"), F.col("back").alias(f"b{k}"))), "c", "left").drop("g", "c")
+            value = F.coalesce(F.col(f"r{k}"), F.coalesce(F.col(f"b{k}"), F.lit(0.0)) + value)
+    return rows.groupBy("text").agg((F.sum(F.round(value * SCALE).cast("long")) / SCALE / F.count("*")).alias("score"))
+
+
+def with_values(rows: DataFrame, model: DataFrame, contexts: DataFrame, order: int, most: int) -> DataFrame:
+    """rows (text, full): with value. Every distinct gram, and every distinct end of one, is looked up once."""
+    scratch = Scratch(rows.sparkSession, "url-values")
+    asked = {order: scratch.keep(rows.groupBy(F.col("full").alias("gram")).agg(F.count("*").alias("n")))}
+    for k in range(order - 1, 0, -1):
+        asked[k] = asked[k + 1].select(F.expr("substring(gram, 2)").alias("gram")).distinct()
+    below = None
     for k in range(1, order + 1):
-        rows = rows.withColumn("g", F.expr(f"right(full, {k})")).withColumn("c", F.expr(f"left(g, {k - 1})"))
-        rows = rows.join(F.broadcast(model.select(F.col("gram").alias("g"), F.col("ratio").alias(f"r{k}"))), "g", "left")
-        rows = rows.join(F.broadcast(contexts.select(F.col("context").alias("c"), F.col("back").alias(f"b{k}"))), "c", "left").drop("g", "c")
-        value = F.coalesce(F.col(f"r{k}"), F.coalesce(F.col(f"b{k}"), F.lit(0.0)) + value)
-    return rows.groupBy("text").agg((F.sum(value) / F.count("*")).alias("score"))
+        level = asked[k].join(model.where(F.length("gram") == k), "gram", "left")
+        if below is None:
+            # One context only.
+            empty = contexts.where("context = ''").first()
+            low = F.lit(0.0 if empty is None else empty["back"])
+        else:
+            level = level.withColumn("context", F.expr(f"left(gram, {k - 1})")).withColumn("suffix", F.expr("substring(gram, 2)"))
+            level = level.join(contexts, "context", "left")
+            level = level.join(below.select(F.col("gram").alias("suffix"), F.col("value").alias("low")), "suffix")
+            low = F.coalesce("back", F.lit(0.0)) + F.col("low")
+        below = level.select("gram", *(["n"] if k == order else []), F.coalesce("ratio", low).alias("value"))
+    values = scratch.keep(below)
+    # A gram of nearly every url is among those broadcast, so no task gets all its rows.
+    common = scratch.keep(values.orderBy(F.desc("n"), "gram").limit(most).select(F.col("gram").alias("full"), "value"))
+    rare = values.join(F.broadcast(common.select(F.col("full").alias("gram"))), "gram", "left_anti").select(F.col("gram").alias("full"), "value")
+    near = rows.join(F.broadcast(common), "full")
+    far = rows.join(F.broadcast(common.select("full")), "full", "left_anti").join(rare, "full")
+    return near.unionByName(far)
 
 
 def best_threshold(held: DataFrame) -> float:
-    """held (good, score): the hundredth that parts good from bad best; of equals, the one nearest to 0."""
+    """held (good, score, perhaps count): the hundredth that parts good from bad best; of equals, the one nearest to 0."""
     bins = held.groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(
-        F.count_if("good").alias("yes"), F.count_if(~F.col("good")).alias("no")
+        weight(held, F.col("good")).alias("yes"), weight(held, ~F.col("good")).alias("no")
     )
     upward = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -165,10 +209,10 @@ def judge_urls(
     held = F.pmod(F.crc32(F.encode("text", "UTF-8")), F.lit(HOLD)) == 0
     model, contexts = models(labelled.where(~held), order, most, scratch)
     threshold = best_threshold(
-        scores(labelled.where(held).select("text").distinct(), model, contexts, order).join(labelled.where(held), "text")
+        scores(labelled.where(held).select("text").distinct(), model, contexts, order, most).join(labelled.where(held), "text")
     )
     unruled = rows.where("found is null").withColumn("text", F.concat("host", "path"))
-    judged = unruled.join(scores(unruled.select("text").distinct(), model, contexts, order), "text", "left").drop("text")
+    judged = unruled.join(scores(unruled.select("text").distinct(), model, contexts, order, most), "text", "left").drop("text")
     # Ruled rows need no score; joined by a null text they would all meet in one task.
     judged = judged.unionByName(rows.where("found is not null"), allowMissingColumns=True)
     return judged.select(

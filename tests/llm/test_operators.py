@@ -376,6 +376,21 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_urls_leave_no_gram_out(spark):
+    """Models over the bound of the broadcast keep every gram, and judge as broadcast ones do; a url weighs as often as it comes."""
+    rng = random.Random(9)
+    slug = lambda: "".join(rng.choice("abcdefghijkmnop%0123456789") for _ in range(12))
+    urls = [f"http://{h}/{d}/{slug()}" for h in ("a.com", "b.com") for d in ("fr", "de", "en") for _ in range(20)] + ["http://q.com/fr/same"] * 30
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    small, large = (sorted(map(str, url_filter.judge_urls(df, most=m).collect())) for m in (50, 10**6))
+    assert small == large and len(small) == len(urls)
+    rows = [("ab/x", True, 3), ("ab/y", False, 1)]
+    once = spark.createDataFrame(rows, "text string, good boolean, count long")
+    each = spark.createDataFrame([r[:2] for r in rows for _ in range(r[2])], "text string, good boolean")
+    one, two = ({r["gram"]: r["ratio"] for r in url_filter.models(x, 4, m, Scratch(spark, "t"))[0].collect()} for x, m in ((once, 3), (each, 10**6)))
+    assert one == two and len(one) > 12
+
+
 def test_url_model_scores_as_counted(spark):
     """The mean log ratio against Witten-Bell smoothing written out."""
     good, bad = ["ab.org/x", "ac.org/y"] * 3, ["zb.net/q", "zz.net/qq"] * 3
