@@ -12,8 +12,10 @@ counted most often are; each text's other grams are joined with the tables, with
 text is among those broadcast.
 
 A text goes to the language with the lowest cross-entropy a character. It is rejected if that is above a
-limit for its length, calibrated on labelled rows held out of the counts: the 99.9th percentile of
-its length class plus MARGIN, so that unusual but real text stays and only what no model knows goes.
+limit for its language and length, calibrated on labelled rows held out of the counts: the 99.9th percentile of
+the rows of that predicted language and length class plus MARGIN, so that unusual but real text stays and only what no
+model knows goes. A cell of under ROWS rows has the largest of the limits near it instead (see limits_of()), and a language
+that no held-out row is predicted to be has none: nothing tells there what is unusual.
 
 Nulls and ties: null text, and text without a letter, is "und" with score 0 and rejected; rows with null text,
 label or id are not learned from; equal cross-entropies go to the first language in order; repeated rows
@@ -53,6 +55,10 @@ HELD = 1 << 20
 SURE = 40
 #: Nats a character above the calibrated percentile.
 MARGIN = 0.5
+#: Rows that a calibrated cell has at least.
+ROWS = 50
+#: Length classes: powers of two of characters.
+SIZES = 64
 START = 1
 SPACE = 32
 
@@ -170,7 +176,8 @@ class Model:
 
     languages: list[str]
     levels: list[Level] = field(default_factory=list)
-    limits: dict[int, float] = field(default_factory=dict)
+    #: By language and length class; without it nothing is rejected.
+    limits: np.ndarray | None = None
     tables: list[Tables] = field(default_factory=list)
     common: Level | None = None
 
@@ -205,15 +212,43 @@ class Model:
         best = mean.argmin(axis=1)
         low = mean[np.arange(len(best)), best]
         sure = 1 / np.exp(-(mean - low[:, None]) * np.minimum(count, SURE)[:, None]).sum(axis=1)
-        return best, np.minimum(sure, 1.0), low, low > self.limit(count)
+        return best, np.minimum(sure, 1.0), low, low > self.limit(best, count)
 
-    def limit(self, counts: np.ndarray) -> np.ndarray:
-        known = sorted(self.limits)
-        if not known:
+    def limit(self, best: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        if self.limits is None:
             return np.full(len(counts), np.inf)
-        classes = np.floor(np.log2(np.maximum(counts, 1))).astype(int)
-        # Shorter texts vary more: a class without figures has those of the next shorter one.
-        return np.array([self.limits[max((k for k in known if k <= c), default=known[0])] for c in classes])
+        return self.limits[best, np.floor(np.log2(np.maximum(counts, 1))).astype(int)]
+
+
+def near(known: list[int], size: int) -> list[int]:
+    """The next of known on each side of size, or size itself."""
+    return [size] if size in known else [*sorted(k for k in known if k < size)[-1:], *sorted(k for k in known if k > size)[:1]]
+
+
+def limits_of(cells: pd.DataFrame, languages: list[str]) -> np.ndarray:
+    """cells: lang, size, n, q (99.9th percentile), mean and top of cross-entropies. (language, size) -> limit.
+
+    A thin cell is never stricter than the other languages at its length, the language's next calibrated lengths, or the rows
+    nearest to it of its language plus their spread above the mean. That spread grows as the root of the length shrinks, since
+    shorter texts vary more.
+    """
+    out = np.full((len(languages), SIZES), np.inf)
+    firm = {(r.lang, r.size): r.q + MARGIN for r in cells.itertuples() if r.n >= ROWS}
+    for i, lang in enumerate(languages):
+        own = {r.size: r for r in cells[cells["lang"] == lang].itertuples()}
+        if not own:
+            continue
+        for size in range(SIZES):
+            if (lang, size) in firm:
+                out[i, size] = firm[lang, size]
+                continue
+            wide = [firm[x, k] for x in languages for k in near([k for y, k in firm if y == x], size)]
+            for k in {*near(list(own), size), *(k for k in (size - 1, size + 1) if k in own)}:
+                r = own[k]
+                spread = (r.top - r.mean) * 2 ** (max(k - size, 0) / 2)
+                wide.append(r.top + spread + MARGIN * 2 ** (max(k - size, 0) / 2))
+            out[i, size] = max(wide)
+    return out
 
 
 def per_character(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -383,12 +418,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not model.tables:
         scratch.drop(grams)
     judged = classify(model, labelled.where("fold = 4").select("text"), "text")
-    found = (
-        judged.where("chars > 0").groupBy(F.floor(F.log2("chars")).cast("int").alias("size"))
-        .agg(F.percentile_approx("cross_entropy", 0.999, 10_000).alias("q"), F.count("*").alias("n"))
-        .where("n >= 50").collect()
+    cells = (
+        judged.where("chars > 0").groupBy(F.col("lang_pred").alias("lang"), F.floor(F.log2("chars")).cast("int").alias("size"))
+        .agg(
+            F.percentile_approx("cross_entropy", 0.999, 10_000).alias("q"), F.count("*").alias("n"),
+            F.avg("cross_entropy").alias("mean"), F.max("cross_entropy").alias("top"),
+        )
     )
-    model.limits = {r["size"]: r["q"] + MARGIN for r in found}
+    # At most a row a language and length class.
+    if len(found := cells.toPandas()):
+        model.limits = limits_of(found, model.languages)
     return model
 
 

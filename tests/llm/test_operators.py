@@ -264,6 +264,20 @@ def test_kneser_ney_sums_to_one():
         assert np.all(total > 0.9) and np.all(total < 1.0001)
 
 
+def test_rare_languages_and_short_texts_have_limits_of_their_own():
+    """Chinese at 5 nats beside many English rows at 2; words shorter than any calibrated class; junk stays out."""
+    import pandas as pd
+
+    rows = [("en", 5, 5000, 2.4, 2.0, 2.5), ("en", 6, 50_000, 2.2, 1.9, 2.3), ("zh", 6, 12, 5.4, 5.0, 5.4)]
+    limits = langid.limits_of(pd.DataFrame(rows, columns=["lang", "size", "n", "q", "mean", "top"]), ["en", "xx", "zh"])
+    model = langid.Model(["en", "xx", "zh"], limits=limits)
+    ask = lambda lang, chars: model.limit(np.array([lang]), np.array([chars]))[0]
+    assert ask(0, 70) == 2.2 + langid.MARGIN and ask(0, 40) == 2.4 + langid.MARGIN
+    assert ask(2, 70) > 5.4 and ask(2, 40) > ask(2, 70) and ask(2, 500) > 5.4
+    assert ask(0, 4) > ask(0, 8) > ask(0, 16) > ask(0, 40) and ask(0, 70) < ask(0, 500) < 4
+    assert ask(1, 70) == np.inf
+
+
 def test_language_models_leave_no_gram_out(spark):
     """130,000 distinct grams of one language, most of them singletons: as in memory, and the same joined as broadcast."""
     import pandas as pd
