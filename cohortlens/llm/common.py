@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -14,23 +16,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a local folder of its own only where none is set, as in tests."""
+    """The cluster's spark.checkpoint.dir; a local folder of its own only where none is set and the master is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='cohortlens-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Folders of this session's scratch tables that still exist.
+_ROOTS: list[str] = []
+
+
+def release(spark: SparkSession, but: Iterable[str] = ()) -> None:
+    """Deletes all scratch tables but those of the roots given. Results that read them lazily must have been written before."""
+    for root in [r for r in _ROOTS if r not in but]:
+        delete(spark, root)
+        _ROOTS.remove(root)
+
+
 class Scratch:
     """Tables written to the shared folder and read again: any executor can be lost after that.
 
-    Call drop() with a table that nothing reads any more.
+    Call drop() with a table that nothing reads any more; release() deletes what results no longer need.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
         self.paths: dict[int, str] = {}
         self.count = 0
 
@@ -93,3 +109,23 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
             scratch.drop(both)
             return labels.select("node", "component")
     raise RuntimeError("components did not settle; raise max_rounds")
+
+
+def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column], scratch: Scratch) -> DataFrame:
+    """df with running totals over all rows in order, each without its own row.
+
+    Rows are dealt by ranges of the order and written with their range, so ranges stay what they are; within a range a
+    window adds up, and between ranges only a row a range does. Rows that tie in the whole order share a range.
+    """
+    keys = {f"run_{i}": c for i, c in enumerate(order)}
+    values = {f"own_{name}": c for name, c in sums.items()}
+    dealt = df.withColumns(keys | values).repartitionByRange(*keys).withColumn("run_range", F.spark_partition_id())
+    dealt = scratch.keep(dealt)
+    # As many rows as ranges.
+    ranges = dealt.groupBy("run_range").agg(*[F.sum(f"own_{n}").alias(f"all_{n}") for n in sums])
+    earlier = W.orderBy("run_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("run_range", *[F.coalesce(F.sum(f"all_{n}").over(earlier), F.lit(0)).alias(f"all_{n}") for n in sums])
+    before = W.partitionBy("run_range").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(ranges), "run_range")
+    out = out.withColumns({n: F.col(f"all_{n}") + F.coalesce(F.sum(f"own_{n}").over(before), F.lit(0)) for n in sums})
+    return out.drop("run_range", *keys, *values, *[f"all_{n}" for n in sums])

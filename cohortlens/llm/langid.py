@@ -48,9 +48,9 @@ SCALE = 1 << 20
 #: A character that no language has.
 UNKNOWN = -round(np.log(4096) * SCALE)
 #: Characters that a task handles at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: Distinct grams that a task sums before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Characters that count at most towards the score.
 SURE = 40
 #: Nats a character above the calibrated percentile.
@@ -431,17 +431,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model
 
 
-def classify(model: Model, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score, cross_entropy (nats a character), chars and rejected.
+def classify(model: Model, docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with lang_pred, score, cross_entropy (nats a character), chars and rejected; without keep_text, the text itself is left out.
 
     Columns of docs with these names are replaced; to keep such, wrap the row in a struct beside the text.
     """
     names = [x.split()[0] for x in ADDED.split(", ")]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text_col or c not in names])
     if model.tables:
-        return classify_joined(model, docs, text_col)
+        judged = classify_joined(model, docs, text_col)
+        return judged if keep_text else judged.drop(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
+    passed = [i for i in range(len(docs.columns)) if keep_text or i != at]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -451,9 +453,10 @@ def classify(model: Model, docs: DataFrame, text_col: str = "text") -> DataFrame
             for first, end, codes, owner in chunks(texts) if m.languages else ():
                 mean, count = m.cross_entropy(codes, owner, end - first)
                 found.put(np.arange(first, end), mean, count, with_letters(texts[first:end], codes, owner))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found.columns()], [*batch.schema.names, *names])
+            kept = [batch.column(i) for i in passed]
+            yield pa.RecordBatch.from_arrays([*kept, *found.columns()], [*[batch.schema.names[i] for i in passed], *names])
 
-    return docs.mapInArrow(task, StructType([*docs.schema.fields, *StructType.fromDDL(ADDED).fields]))
+    return docs.mapInArrow(task, StructType([*[docs.schema.fields[i] for i in passed], *StructType.fromDDL(ADDED).fields]))
 
 
 def with_letters(texts: list[str | None], codes: np.ndarray, owner: np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ SMALL_STAR = 8
 #: Ids (8 bytes each) up to which the candidates are broadcast to the scan of texts; beyond, both sides are shuffled.
 BROADCAST_IDS = 500_000
 #: Shingles that are hashed at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -286,5 +286,7 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates keeps; of repeated rows with one id, all stay."""
-    gone = near_duplicates(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
+    gone = near_duplicates(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    # The row travels whole, so its columns may have any names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return rows.join(gone, "id", "left_anti").select("row.*")

@@ -54,7 +54,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import taken_words
 
     mixed = taken_words(table(spark, sf_dir, "documents"))
-    return mixed.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])).drop("draws")
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken")
+    # A draw is pass:shard:words.
+    drawn = F.transform("draws", lambda d: F.concat_ws(":", d["pass"].cast("string"), d["shard"].cast("string"), d["words"].cast("string")))
+    return mixed.select("doc_id", "size", "source_size", "target", taken, "block", F.size("draws").alias("times"), F.array_join(drawn, ",").alias("draws"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +78,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs)
     held = F.coalesce(fold_of("doc_id") == 0, F.lit(False)).alias("held_out")
-    judged = classify(model, docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text"))
-    return judged.drop("text")
+    return classify(model, docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text"), keep_text=False)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm import ann, bm25, langid, licenses, mixing, near_dup, packing, sharding, token_scan, url_filter
 from cohortlens.llm.common import Scratch, components
-from cohortlens.llm.queries import tokenizer_path
+from cohortlens.llm.queries import QUERIES, tokenizer_path
 from cohortlens.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -373,9 +373,44 @@ def test_mixing_odd_rows(spark):
 
 
 def test_split_tree_is_exact():
-    counts = mixing.split_tree([100, 7, 0, 33], 8, 1)
+    counts = mixing.split_tree([100, 7, 0, 33], 8, [1])
     assert counts.sum(axis=0).tolist() == [100, 7, 0, 33] and counts.min() >= 0
     assert counts.sum(axis=1).max() - counts.sum(axis=1).min() <= 3
+    inside = mixing.split_tree([60, 40], 8, [1, 0], counts[:, 0])
+    assert inside.sum(axis=0).tolist() == [60, 40] and (inside.sum(axis=1) == counts[:, 0]).all()
+
+
+def test_mixing_query_deals_blocks_as_the_tree_says(spark, monkeypatch):
+    """Of the registered query: each shard's blocks of each source are the tree's, blocks are not torn, and draws add up."""
+    monkeypatch.setattr(mixing, "GROUP", 2)
+    rows = QUERIES["op6_mixing"](spark, SF).collect()
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    where, placed = defaultdict(set), defaultdict(Counter)
+    for r in rows:
+        draws = [tuple(map(int, d.split(":"))) for d in r["draws"].split(",") if d]
+        assert len(draws) == r["times"] and sum(w for _, _, w in draws) == r["taken"]
+        for number, shard, _ in draws:
+            where[source[r["doc_id"]], r["block"], number].add(shard)
+    assert all(len(s) == 1 for s in where.values())
+    for (own, _, _), (shard,) in where.items():
+        placed[own][shard] += 1
+    order = sorted(placed)
+    counts = mixing.split_tree([sum(sum(placed[s].values()) for s in order[i : i + 2]) for i in range(0, len(order), 2)], mixing.SHARDS, [17])
+    for at, part in enumerate(range(0, len(order), 2)):
+        inside = mixing.split_tree([sum(placed[s].values()) for s in order[part : part + 2]], mixing.SHARDS, [17, at], counts[:, at])
+        for i, s in enumerate(order[part : part + 2]):
+            assert [placed[s][k] for k in range(mixing.SHARDS)] == inside[:, i].tolist()
+
+
+def test_mixing_many_sources(spark):
+    """Sources in order, caps and levels against the iteration written out."""
+    rng = random.Random(6)
+    sizes = {f"s{i:03}": rng.choice([0, 1, 5, 40, 300]) for i in range(60)} | {None: 7}
+    frame = spark.createDataFrame([("~" if s is None else f"={s}", n) for s, n in sizes.items()], "mix_source string, words long")
+    got = {r["mix_source"]: r for r in mixing.targets(frame, (3, 1, 2), 1.5, 2.0, Scratch(spark, "t")).collect()}
+    order = sorted(got, key=lambda s: (s == "~", s))
+    assert [got[s]["place"] for s in order] == list(range(61))
+    assert [got[s]["target"] for s in order] == pytest.approx(brute_targets([got[s]["words"] for s in order], [(3, 1, 2)[i % 3] for i in range(61)], 1.5, 2))
 
 
 def test_urls(spark):

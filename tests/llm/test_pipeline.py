@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from cohortlens.llm import mixing
 from cohortlens.llm.queries import ORACLES, QUERIES, tokenizer_path
@@ -33,11 +35,15 @@ def test_stages(spark, tmp_path):
 
 
 def test_stages_on_odd_rows(spark, tmp_path):
-    for n, frame in enumerate((docs(spark, [None, "", "the and of " * 20] * 3), docs(spark, ["a"]).limit(0))):
-        frame = frame.select("doc_id", "text", "lang", "source", "n_chars")
+    odd = docs(spark, [None, "", "the and of " * 20, "the and of " * 30_000] * 3, ids=[1, 2, 3, 4, 1, 2, 3, None, 5, 6, 3, 4])
+    clashing = [F.lit(i).alias(c) for i, c in enumerate(("gone_id", "mix_pass", "mix_shard", "mix_id", "block", "id", "row", "a.b", "lang_pred", "rejected"))]
+    for n, frame in enumerate((odd, odd.select("*", *clashing[:4], *clashing[5:]), docs(spark, ["a"]).limit(0))):
+        frame = frame.select("doc_id", "text", "lang", "source", "n_chars", *[F.col(f"`{c}`") for c in frame.columns if c in ("gone_id", "a.b", "mix_pass", "mix_shard", "mix_id", "id", "row", "lang_pred", "rejected")])
+        columns = frame.columns
         for at, (_, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, frame, SF).write.parquet(f"{tmp_path}/{n}-{at}")
             frame = spark.read.parquet(f"{tmp_path}/{n}-{at}")
+            assert at == 3 or frame.columns == columns
 
 
 def test_names():
