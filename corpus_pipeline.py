@@ -3,7 +3,8 @@
 Every stage reads what the one before wrote. The first three return the columns of documents: rows
 whose language is rejected go, one document of each group of near-duplicates stays, sources are mixed to 150% of
 all words at weights 3, 1, 2 (whole documents, repeated or left out as their quota says). The last packs what is
-left into sequences. A stage's docs may be empty; nulls and ties are as the operators define them.
+left into sequences. A stage's docs may be empty; nulls and ties are as the operators define them. Further columns of any
+names, dotted ones and the operators' own too, travel along unread.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import langid, mixing, near_dup, packing
-from cohortlens.llm.common import Scratch
+from cohortlens.llm.common import Scratch, release
 from cohortlens.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The row travels whole, so its columns may have any names.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    judged = langid.classify(langid.train(docs), rows)
+    judged = langid.classify(langid.train(docs), rows, keep_text=False)
     return judged.where("not rejected").select("row.*")
 
 
@@ -28,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, extras=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,4 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     for _, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        # The stage's own scratch tables are not read again.
+        release(spark, but=[scratch.root])
     return STAGES[-1][1](spark, docs, sf_dir)
