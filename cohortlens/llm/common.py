@@ -37,6 +37,13 @@ def release(spark: SparkSession, but: Iterable[str] = ()) -> None:
         _ROOTS.remove(root)
 
 
+def small_batches(spark: SparkSession, rows: str = "1000") -> None:
+    """Rows that Spark hands to a Python worker at once, unless the session says otherwise: whole texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """Tables written to the shared folder and read again: any executor can be lost after that.
 
@@ -45,6 +52,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         _ROOTS.append(self.root)
         self.paths: dict[int, str] = {}

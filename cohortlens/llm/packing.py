@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -171,6 +172,7 @@ def pack_documents(
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
         raise ValueError("tiers are ascending powers of two")
+    small_batches(docs.sparkSession)
     ddl = SCHEMA if with_ids else DIGEST
     names = [x.split()[0] for x in ddl.split(", ")]
     types = [pa.int64()] * 9 + [pa.list_(pa.int32())] * with_ids
