@@ -211,6 +211,50 @@ def test_bm25(spark, documents, shard):
         assert [s for s, _ in got[q]] == pytest.approx([s for s, _ in want])
 
 
+def test_bm25_query_on_whole_tables(spark, documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    got = defaultdict(list)
+    for r in QUERIES["op8_bm25"](spark, SF).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((round(r["score"], 9), r["doc_id"]))
+    assert set(got) == {i for i, _ in rows if i % 50 == 0 and brute_bm25(rows, i, 10)}
+    for q, found in got.items():
+        want = brute_bm25(rows, q, 10)
+        assert [i for _, i in found] == [i for _, i in want] and [s for s, _ in found] == pytest.approx([s for s, _ in want])
+
+
+def test_block_max_wand_passes_blocks_over():
+    """Against sums over all postings, ties included, and with fewer postings evaluated than there are."""
+    rng = np.random.default_rng(4)
+    vocabulary = rng.integers(1, 1 << 63, 900, np.uint64)
+    lists = []
+    for i in range(3000):
+        topic = rng.integers(0, 10)
+        own = np.unique(np.concatenate([rng.choice(vocabulary[:60], 12), rng.choice(vocabulary[60 + topic * 80 : 140 + topic * 80], 15)]), return_counts=True)
+        lists.append((own[0], own[1].astype(np.int32)) if i % 7 else lists[-1] if i else (own[0], own[1].astype(np.int32)))
+    total, mean = len(lists), float(np.mean([n.sum() for _, n in lists]))
+    df = Counter(x for t, _ in lists for x in t.tolist())
+    index = bm25.Index(list(range(total)), list(lists), np.sort(vocabulary[:60]), mean)
+    touched, impact = [0], index.impact
+    index.impact = lambda norm, tf: (touched.__setitem__(0, touched[0] + np.count_nonzero(tf)), impact(norm, tf))[1]
+    all_postings = 0
+    for q in range(0, 3000, 100):
+        terms = lists[q][0]
+        weight = bm25.idf(np.array([df[x] for x in terms.tolist()]), total)
+        sums = np.zeros(total)
+        for x, w in zip(terms, weight):
+            for d, (t, n) in enumerate(lists):
+                at = np.searchsorted(t, x)
+                if at < len(t) and t[at] == x:
+                    tf = n[at]
+                    sums[d] += w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n.sum() / mean))
+                    all_postings += 1
+        sums[q] = -1
+        want = np.lexsort((np.arange(total), -np.round(sums, 9)))[:10]
+        docs, scores = index.search(q, terms, weight, 10)
+        assert docs.tolist() == want.tolist() and scores == pytest.approx(sums[want])
+    assert touched[0] < 0.6 * all_postings
+
+
 def test_bm25_odd_rows(spark):
     found = bm25.top_k(docs(spark, [*ODD, "one"]), F.lit(True)).collect()
     assert {(r["query_id"], r["doc_id"]) for r in found} == {(3, 4), (3, 8), (4, 3), (4, 8), (8, 3), (8, 4)}
