@@ -69,7 +69,7 @@ def better_default(pos: Column, n: Column, t: Column) -> Column:
 
 def bbse_prevalence(flagged: Column, tpr: Column, fpr: Column) -> Column:
     """Prevalence from a hard rule's flag rate; null where the rule tells nothing."""
-    return clip(F.try_divide(flagged - fpr, tpr - fpr), 0.0, 1.0)
+    return F.when(tpr != fpr, clip(F.try_divide(flagged - fpr, tpr - fpr), 0.0, 1.0))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -124,3 +124,9 @@ def numeric_first(codes: Column) -> Column:
     number = lambda c: c.try_cast("bigint")
     key = lambda c: F.struct(number(c).isNull().alias("t"), number(c).alias("n"), c.alias("c"))
     return F.transform(F.array_sort(F.transform(F.array_distinct(codes), key)), lambda s: s["c"])
+
+
+def display_name(value: Column, names: dict[str, str]) -> Column:
+    """A name for show; values without one are shown as they are."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.element_at(table, value), value)

@@ -2,9 +2,11 @@
 
 Clusters are resampled, records of one share a weight, and models share the weights of a replicate, so contrasts are
 paired. Three kinds of weights: hash (Poisson counts from a hash of cluster and replicate; any engine can repeat
-them), block (multinomial counts, a seed for each block of replicates, blocks over tasks) and registered (one multinomial stream
-in replicate order). Additive statistics are summed by cluster before they meet weights, so a
-replicate costs clusters x bins rows; the multinomial kinds handle a cohort's clusters as arrays in a task.
+them, nothing is stored), multinomial (as many hashed draws a replicate as there are clusters), and registered (one multinomial
+stream in replicate order, drawn over a cohort's clusters in one task).
+
+Rows are summed by cluster, key and score or bin before they meet weights, and no row is multiplied by the replicates: a task
+holds a chunk of rows by replicates as a matrix, and hands on a vector a key and bucket.
 """
 
 from __future__ import annotations
@@ -14,12 +16,23 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+
+from .discrimination import from_buckets, score_bucket
 
+#: Replicates of a study.
+REPLICATES = 2000
 #: Poisson(1) counts whose tail beyond is under 1e-9.
 MOST = 12
+#: Rows that meet their weights at once, and values of sums that a task holds before it passes them on.
+CHUNK, HELD = 1024, 1 << 21
+#: An integer hash's multipliers, each under 2**31, and its modulus for identifiers, a prime.
+CLUSTER_FACTOR, REPLICATE_FACTOR, FIRST, SECOND = 1540483477, 2027808503, 569420461, 1935289751
+MODULUS = 4294967291
 
 
 def poisson_edges() -> list[int]:
@@ -31,33 +44,207 @@ def poisson_edges() -> list[int]:
     return edges
 
 
+def hash_draw(cluster: Column, replicate: Column) -> Column:
+    """A number below 2**32 for each pair. Clusters are integers; hash other identifiers to one first."""
+    two = F.lit(1 << 32)
+    x = F.pmod(F.pmod(cluster.cast("long"), F.lit(MODULUS)) * F.lit(CLUSTER_FACTOR) + replicate.cast("long") * F.lit(REPLICATE_FACTOR), two)
+    x = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(FIRST), two)
+    x = F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(SECOND), two)
+    return x.bitwiseXOR(F.shiftright(x, 15))
+
+
 def hash_weight(cluster: Column, replicate: Column) -> Column:
     """Poisson(1) count of a cluster in a replicate."""
-    digest = F.substring(F.md5(F.concat_ws("#", cluster.cast("string"), replicate.cast("string"))), 1, 8)
-    draw = F.conv(digest, 16, 10).cast("long")
-    weight = F.lit(MOST)
+    draw, weight = hash_draw(cluster, replicate), F.lit(MOST)
     for k in range(MOST - 1, -1, -1):
         weight = F.when(draw < poisson_edges()[k], k).otherwise(weight)
     return weight.cast("int")
 
 
-def hash_weight_sql(cluster: str, replicate: str) -> str:
-    draw = f"CAST('0x' || substr(md5({cluster} || '#' || {replicate}), 1, 8) AS BIGINT)"
+def hash_draw_sql(cluster: str, replicate: str) -> str:
+    x = f"((CAST({cluster} AS BIGINT) % {MODULUS} * {CLUSTER_FACTOR} + CAST({replicate} AS BIGINT) * {REPLICATE_FACTOR}) % 4294967296)"
+    x = f"(xor({x}, {x} >> 16) * {FIRST} % 4294967296)"
+    x = f"(SELECT xor(v, v >> 15) * {SECOND} % 4294967296 FROM (SELECT {x} AS v))"
+    return f"(SELECT xor(v, v >> 15) FROM (SELECT {x} AS v))"
+
+
+def hash_weight_sql(draw: str) -> str:
     return "CASE " + " ".join(f"WHEN {draw} < {e} THEN {k}" for k, e in enumerate(poisson_edges())) + f" ELSE {MOST} END"
 
 
-def replicate_sums(basis: DataFrame, keys: Sequence[str], columns: Sequence[str], replicates: int, cluster: str = "cluster_id") -> DataFrame:
-    """keys, replicate and the weighted sums of the columns, by hash weights. basis is already summed by cluster."""
-    weighted = basis.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", hash_weight(F.col(cluster), F.col("replicate")))
-    return weighted.where("w > 0").groupBy(*keys, "replicate").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns], F.count_if(F.col("w") > 0).alias("rows_drawn"))
+def hash_draws(clusters: np.ndarray, replicates: int) -> np.ndarray:
+    """hash_draw() of all pairs, [clusters, replicates]."""
+    low = np.uint64((1 << 32) - 1)
+    c, r = (clusters % MODULUS).astype(np.uint64), np.arange(replicates, dtype=np.uint64)
+    x = c[:, None] * np.uint64(CLUSTER_FACTOR) + r * np.uint64(REPLICATE_FACTOR) & low
+    for shift, factor in ((16, FIRST), (15, SECOND)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor) & low
+    return x ^ x >> np.uint64(15)
+
+
+def hash_weights(clusters: np.ndarray, replicates: int) -> np.ndarray:
+    """hash_weight() of all pairs."""
+    own, back = np.unique(clusters, return_inverse=True)
+    edges = np.array(poisson_edges(), np.uint64)
+    return np.searchsorted(edges, hash_draws(own, replicates), side="right").astype(np.float64)[back]
+
+
+def multinomial_weights(clusters: DataFrame, cohort: str, replicates: int, seed: int, cluster: str = "cluster_id") -> DataFrame:
+    """cohort, cluster, weights (an array entry a replicate): each of a cohort's n clusters casts one hashed draw of n a replicate."""
+    numbered = clusters.select(cohort, cluster).distinct()
+    place = F.row_number().over(W.partitionBy(cohort).orderBy(cluster)) - 1
+    numbered = numbered.withColumn("place", place).withColumn("n", F.count("*").over(W.partitionBy(cohort)))
+    casts = numbered.select(cohort, "n", "place", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    drawn = F.floor(hash_draw(F.col("place") + F.lit(seed), F.col("replicate")) * F.col("n") / F.lit(float(1 << 32))).cast("int")
+    counts = casts.groupBy(cohort, drawn.alias("place"), "replicate").agg(F.count("*").cast("int").alias("w"))
+    own = counts.groupBy(cohort, "place").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "w"))).alias("known"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.coalesce(F.element_at("known", r), F.lit(0)))
+    return numbered.join(own, [cohort, "place"]).select(cohort, cluster, every.alias("weights"))
+
 
+def registered_weights(clusters: DataFrame, cohort: str, replicates: int, seed: int, cluster: str = "cluster_id", batch: int = 100) -> DataFrame:
+    """cohort, cluster, weights from one multinomial stream: a cohort's clusters, in order, meet the stream in one task."""
+    own = clusters.select(cohort, cluster).distinct()
 
-def replicate_auroc(df: DataFrame, keys: Sequence[str], replicates: int, cluster: str = "cluster_id") -> DataFrame:
-    """keys, replicate, auroc by hash weights: one window over distinct scores carries every replicate's running sum."""
-    from .discrimination import auroc
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(cluster)
+        stream = np.concatenate(list(registered_stream(len(rows), replicates, seed, batch))).astype(np.int32)
+        return rows.assign(weights=list(stream.T))
 
-    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", hash_weight(F.col(cluster), F.col("replicate")))
-    return auroc(rows.where("w > 0"), [*keys, "replicate"], weight="w").select(*keys, "replicate", "auroc")
+    return own.groupBy(cohort).applyInPandas(draw, StructType([*own.schema.fields, StructField("weights", ArrayType(IntegerType()))]))
+
+
+def registered_stream(clusters: int, replicates: int, seed: int, batch: int = 100) -> Iterator[np.ndarray]:
+    """The registered draws, batch by batch; they do not depend on the batch size."""
+    rng = np.random.default_rng(seed)
+    for at in range(0, replicates, batch):
+        yield rng.multinomial(clusters, np.full(clusters, 1 / clusters), size=min(batch, replicates - at))
+
+
+def weight_matrix(batch: pa.RecordBatch, replicates: int) -> np.ndarray:
+    """[rows, replicates]: the weights column, or hash weights of the cluster column."""
+    if "weights" in batch.schema.names:
+        return batch.column("weights").flatten().to_numpy().reshape(batch.num_rows, replicates).astype(float)
+    return hash_weights(batch.column("cluster").to_numpy(), replicates)
+
+
+def with_weights(rows: DataFrame, keys: Sequence[str], cluster: str, weights: DataFrame | None) -> DataFrame:
+    if weights is None:
+        return rows.withColumn("cluster", F.col(cluster).cast("long"))
+    return rows.join(weights, [c for c in weights.columns if c != "weights"])
+
+
+def replicate_sums(basis: DataFrame, keys: Sequence[str], columns: Sequence[str], replicates: int = REPLICATES, cluster: str = "cluster_id", weights: DataFrame | None = None) -> DataFrame:
+    """keys, replicate and the weighted sums of the columns. basis is already summed by cluster; a task multiplies matrices."""
+    rows = with_weights(basis, keys, cluster, weights)
+    rows = rows.select(*keys, F.xxhash64(*keys).alias("group"), *[F.col(c).cast("double").alias(c) for c in columns], "weights" if weights is not None else "cluster")
+    schema = StructType([rows.schema[k] for k in keys] + [StructField(c, ArrayType(DoubleType())) for c in columns])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[pa.Array], np.ndarray]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                own = [pa.concat_arrays([names[i] for names, _ in held.values()]) for i in range(len(keys))]
+                sums = [pa.array([m[i] for _, m in held.values()], pa.list_(pa.float64())) for i in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([*own, *sums], schema.names)
+                held.clear()
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                w = weight_matrix(batch, replicates)
+                values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+                groups, first, member = np.unique(batch.column("group").to_numpy(), return_index=True, return_inverse=True)
+                for i, g in enumerate(groups.tolist()):
+                    mine = member == i
+                    sums = values[:, mine] @ w[mine]
+                    if g in held:
+                        held[g][1][:] += sums
+                    else:
+                        held[g] = [batch.column(k).slice(first[i], 1) for k in range(len(keys))], sums
+                if len(held) * replicates * len(columns) > HELD:
+                    yield from out()
+        yield from out()
+
+    parts = rows.mapInArrow(task, schema).select(*keys, F.posexplode(F.arrays_zip(*columns)).alias("replicate", "s"))
+    return parts.groupBy(*keys, "replicate").agg(*[F.sum(f"s.{c}").alias(c) for c in columns])
+
+
+class Scan:
+    """One key's bucket in score order: weighted pairs won by positives, for all replicates at once."""
+
+    def __init__(self, replicates: int):
+        self.pos, self.neg, self.wins = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
+        self.score: float | None = None
+        self.tied_pos, self.tied_neg = np.zeros(replicates), np.zeros(replicates)
+
+    def close(self) -> None:
+        """The last score's rows are all there."""
+        self.wins += self.tied_pos * (self.neg + self.tied_neg / 2)
+        self.pos += self.tied_pos
+        self.neg += self.tied_neg
+        self.tied_pos, self.tied_neg, self.score = self.tied_pos * 0, self.tied_neg * 0, None
+
+    def add(self, p: np.ndarray, pos: np.ndarray, neg: np.ndarray, w: np.ndarray) -> None:
+        """More rows, none below the ones before; the last score stays open, as its rows may go on."""
+        if self.score is not None and p[0] != self.score:
+            self.close()
+        last = int(np.searchsorted(p, p[-1]))
+        if last and self.score is not None:
+            same = int(np.searchsorted(p, self.score, side="right"))
+            self.tied_pos += pos[:same] @ w[:same]
+            self.tied_neg += neg[:same] @ w[:same]
+            self.close()
+            p, pos, neg, w, last = p[same:], pos[same:], neg[same:], w[same:], last - same
+        if last:
+            # A row wins against all below its score and half of those at it: the mean of the sums before and after its ties.
+            sums = np.concatenate([self.neg[None], self.neg + np.cumsum(w[:last] * neg[:last, None], axis=0)])
+            own = p[:last]
+            reach = sums[np.searchsorted(own, own)] + sums[np.searchsorted(own, own, side="right")]
+            self.wins += (w[:last] * pos[:last, None] * reach).sum(axis=0) / 2
+            self.pos += pos[:last] @ w[:last]
+            self.neg = sums[-1]
+        self.score = float(p[-1])
+        self.tied_pos += pos[last:] @ w[last:]
+        self.tied_neg += neg[last:] @ w[last:]
+
+
+def replicate_auroc(df: DataFrame, keys: Sequence[str], replicates: int = REPLICATES, cluster: str = "cluster_id", weights: DataFrame | None = None) -> DataFrame:
+    """keys, replicate, auroc by hash weights, or by weights (an array entry a replicate): one sort for all replicates."""
+    rows = df.groupBy(*{*keys, cluster, *(c for c in (weights.columns if weights is not None else []) if c != "weights")}, (F.col("p") + F.lit(0.0)).alias("p")).agg(
+        F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")
+    )
+    rows = with_weights(rows, keys, cluster, weights).withColumn("bucket", score_bucket(F.col("p")))
+    rows = rows.select(*keys, "bucket", F.xxhash64(*keys, "bucket").alias("group"), F.col("p").cast("double").alias("p"), "pos", "neg", "weights" if weights is not None else "cluster")
+    rows = rows.repartition(*keys, "bucket").sortWithinPartitions(*keys, "bucket", "p")
+    sums = ("pos", "neg", "wins")
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("bucket", IntegerType()), *[StructField(c, ArrayType(DoubleType())) for c in sums]])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, scan, names = None, Scan(replicates), []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if group is not None:
+                scan.close()
+                yield pa.RecordBatch.from_arrays([*names, *[pa.array([getattr(scan, c)], pa.list_(pa.float64())) for c in sums]], schema.names)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                w = weight_matrix(batch, replicates)
+                g = batch.column("group").to_numpy()
+                p, pos, neg = (batch.column(c).to_numpy() for c in ("p", "pos", "neg"))
+                edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+                for low, high in zip(edges, edges[1:]):
+                    if g[low] != group:
+                        yield from out()
+                        group, scan, names = g[low], Scan(replicates), [batch.column(i).slice(low, 1) for i in range(len(keys) + 1)]
+                    scan.add(p[low:high], pos[low:high], neg[low:high], w[low:high])
+        yield from out()
+
+    parts = rows.mapInArrow(task, schema).select(*keys, "bucket", F.posexplode(F.arrays_zip(*sums)).alias("replicate", "s"))
+    return from_buckets(parts.select(*keys, "bucket", "replicate", "s.*"), [*keys, "replicate"]).select(*keys, "replicate", "auroc")
 
 
 def interval(df: DataFrame, keys: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
@@ -90,55 +277,14 @@ def benjamini_hochberg(df: DataFrame, family: Sequence[str], p: str, ties: Seque
     return ranked.withColumn("q", F.least(F.min("adjusted").over(later), F.lit(1.0))).drop("rank", "adjusted")
 
 
-def weighted_auroc_rows(order: np.ndarray, starts: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """AUROC of each weight row [replicates, records], records in score order, ties from starts."""
-    ws = w[:, order]
-    pos = np.add.reduceat(ws * y[order], starts, axis=1)
-    neg = np.add.reduceat(ws * (1 - y[order]), starts, axis=1)
-    below = np.cumsum(neg, axis=1) - neg
-    p, n = pos.sum(axis=1), neg.sum(axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where((p > 0) & (n > 0), (pos * (below + 0.5 * neg)).sum(axis=1) / (p * n), np.nan)
-
-
-def multinomial_auroc(df: DataFrame, cohort: str, replicates: int, seed: int, block: int = 100, registered: bool = False) -> DataFrame:
-    """cohort, replicate, model, label, auroc from multinomial cluster weights. df: cohort, cluster_id, record_id, model, label, y, p.
-
-    With registered, one task draws all replicates of a cohort in order; else each block of replicates has its own seed and
-    task. A cohort's columns must fit a task; a cohort of millions of clusters takes the hash kind.
-    """
-    blocks = 1 if registered else -(-replicates // block)
-    spread = df.select(F.col(cohort).alias("cohort"), "cluster_id", "record_id", "model", "label", "y", "p").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        name, number = key
-        clusters = np.sort(rows["cluster_id"].unique())
-        first = 0 if registered else number * block
-        count = replicates if registered else min(block, replicates - first)
-        rng = np.random.default_rng(seed if registered else np.random.SeedSequence([seed, int(number)]))
-        weights = rng.multinomial(len(clusters), np.full(len(clusters), 1 / len(clusters)), size=count).astype(float)
-        out = []
-        for (model, label), g in rows.groupby(["model", "label"]):
-            w = weights[:, np.searchsorted(clusters, g["cluster_id"].to_numpy())]
-            p = g["p"].to_numpy()
-            order = np.argsort(p, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(p[order]) > 0])
-            out.append(pd.DataFrame({"cohort": name, "replicate": np.arange(first, first + count), "model": model, "label": label, "auroc": weighted_auroc_rows(order, starts, g["y"].to_numpy(float), w)}))
-        return pd.concat(out)
-
-    out = spread.groupBy("cohort", "block").applyInPandas(kernel, "cohort string, replicate long, model string, label string, auroc double")
-    return out.withColumn("auroc", F.nanvl("auroc", F.lit(None).cast("double")))
-
-
-def multinomial_weights(clusters: int, replicates: int, seed: int, batch: int = 100) -> Iterator[np.ndarray]:
-    """The registered stream, batch by batch; the draws do not depend on the batch size."""
-    rng = np.random.default_rng(seed)
-    for at in range(0, replicates, batch):
-        yield rng.multinomial(clusters, np.full(clusters, 1 / clusters), size=min(batch, replicates - at)).astype(float)
-
-
 def subsample(df: DataFrame, keys: Sequence[str], record: str, fraction: float, draw: Column) -> DataFrame:
     """Without replacement: the rounded fraction of each key's records that come first by a hash of record and draw."""
     order = W.partitionBy(*keys).orderBy(F.md5(F.concat_ws("#", F.col(record).cast("string"), draw.cast("string"))), record)
     rows = df.withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy(*keys)))
     return rows.where(F.col("r") <= F.rint(F.col("n") * fraction)).drop("r", "n")
+
+
+def within(own: DataFrame, other: DataFrame, keys: Sequence[str], value: str, published: str, tolerance: float) -> DataFrame:
+    """own with other's column and within: whether both differ by at most tolerance; a row of one only is not within."""
+    both = own.join(other, list(keys), "full")
+    return both.withColumn("within", F.coalesce(F.abs(F.col(value) - F.col(published)) <= tolerance, F.lit(False)))

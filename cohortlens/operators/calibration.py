@@ -61,7 +61,8 @@ def reliability(df: DataFrame, keys: Sequence[str], label: str = "label", bins:
     rows = scaffold.join(both, [*keys, label, "bin"], "left")
     return rows.select(
         *keys, label, "bin", (F.col("bin") / F.lit(float(bins))).alias("low"), ((F.col("bin") + 1) / F.lit(float(bins))).alias("high"),
-        F.coalesce("n", F.lit(0.0)).cast("long").alias("count"), F.try_divide("sum_p", "n").alias("mean_p"), F.try_divide("sum_y", "n").alias("rate"),
+        # To nine digits, so that a mean does not hang on the order in which scores were added.
+        F.coalesce("n", F.lit(0.0)).cast("long").alias("count"), F.try_divide(F.round("sum_p", 9), F.col("n")).alias("mean_p"), F.try_divide("sum_y", "n").alias("rate"),
     )
 
 

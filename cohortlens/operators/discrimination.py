@@ -1,7 +1,8 @@
 """Discrimination: tie-aware AUROC, average precision, F1 thresholds, midranks.
 
-Scores are grouped first, so ties cost nothing and windows run over distinct scores within a key; everything before
-the window is a map-side combined aggregate. Undefined values are null, never 0 or 0.5.
+Scores are grouped first, so ties cost nothing; everything before a window is a map-side combined aggregate. Running sums go by
+buckets of the score: a window inside each bucket of a key, and a prefix over a key's BUCKETS bucket totals, so a key with many
+scores is many tasks. Undefined values are null, never 0 or 0.5.
 """
 
 from __future__ import annotations
@@ -17,6 +18,30 @@ def _w(weight: str | None) -> Column:
     return F.lit(1.0) if weight is None else F.col(weight).cast("double")
 
 
+#: Score buckets of a key; even in the logit, where most models' scores spread.
+BUCKETS = 64
+
+
+def score_bucket(p: Column) -> Column:
+    """A bucket that never falls as the score rises; scores outside (0, 1) go to the ends."""
+    logit = F.log(F.try_divide(p, 1 - p))
+    inside = F.least(F.greatest(F.floor(logit * 4 + BUCKETS // 2), F.lit(0)), F.lit(BUCKETS - 1))
+    return F.when(p <= 0, 0).when(p >= 1, BUCKETS - 1).otherwise(inside).cast("int")
+
+
+def running(counts: DataFrame, keys: Sequence[str], columns: dict[str, str], p: str = "p", falling: bool = False) -> DataFrame:
+    """counts (distinct keys and p) with running sums of columns up to and with each score, from the top if falling."""
+    towards = (lambda c: F.desc(c)) if falling else (lambda c: F.asc(c))
+    counts = counts.withColumn("bucket", score_bucket(F.col(p)))
+    totals = counts.groupBy(*keys, "bucket").agg(*[F.sum(c).alias(f"all_{c}") for c in columns])
+    # At most BUCKETS rows a key
+    earlier = W.partitionBy(*keys).orderBy(towards("bucket")).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*keys, "bucket", *[F.coalesce(F.sum(f"all_{c}").over(earlier), F.lit(0)).alias(f"before_{c}") for c in columns])
+    inside = W.partitionBy(*keys, "bucket").orderBy(towards(p)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = counts.join(totals, [*keys, "bucket"])
+    return rows.withColumns({out: F.col(f"before_{c}") + F.sum(c).over(inside) for c, out in columns.items()}).drop("bucket", *[f"before_{c}" for c in columns])
+
+
 def score_counts(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
     """keys, p, pos, neg: weight of positives and negatives at each distinct score; -0.0 is 0.0."""
     return df.groupBy(*keys, (F.col(p) + F.lit(0.0)).alias(p)).agg(
@@ -26,18 +51,27 @@ def score_counts(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p",
 
 def auroc(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
     """keys, auroc, pos, neg; ties count half; null with one class only."""
-    counts = score_counts(df, keys, y, p, weight)
-    below = F.sum("neg").over(W.partitionBy(*keys).orderBy(p).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("neg")
-    return counts.withColumn("below", below).groupBy(*keys).agg(
-        F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") * F.lit(0.5))), F.sum("pos") * F.sum("neg")).alias("auroc"),
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+    counts = score_counts(df, keys, y, p, weight).withColumn("bucket", score_bucket(F.col(p)))
+    inside = W.partitionBy(*keys, "bucket").orderBy(p).rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = counts.withColumn("below", F.sum("neg").over(inside) - F.col("neg"))
+    parts = counts.groupBy(*keys, "bucket").agg(
+        F.sum(F.col("pos") * (F.col("below") + F.col("neg") * F.lit(0.5))).alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    )
+    return from_buckets(parts, keys)
+
+
+def from_buckets(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, auroc, pos, neg of bucket sums; wins are pairs inside a bucket, half for ties."""
+    earlier = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("wins", F.col("wins") + F.col("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
+    return parts.groupBy(*keys).agg(
+        F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auroc"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     ).withColumn("auroc", F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("auroc")))
 
 
 def average_precision(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
     """keys, ap: the step sum over distinct scores from the top; null without positives."""
-    down = W.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    counts = score_counts(df, keys, y, p, weight).withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    counts = running(score_counts(df, keys, y, p, weight), keys, {"pos": "tp", "neg": "fp"}, p, falling=True)
     return counts.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("pos") * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))), F.sum("pos")).alias("ap")
     )
@@ -54,11 +88,12 @@ def f1_thresholds(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p"
     counts = score_counts(df, keys, y, p)
     ends = df.select(*keys).distinct().select(*keys, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias(p), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"))
     counts = counts.union(ends).groupBy(*keys, p).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    down = W.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    tp, fp, all_pos = F.sum("pos").over(down), F.sum("neg").over(down), F.sum("pos").over(W.partitionBy(*keys))
-    rated = counts.select(*keys, F.col(p).alias("t"), F.coalesce(F.try_divide(2 * tp, tp + fp + all_pos), F.lit(0.0)).alias("f1"))
-    best = F.max("f1").over(W.partitionBy(*keys))
-    return rated.withColumn("best", best).where("f1 >= best - 1e-12").groupBy(*keys).agg(F.min("t").alias("threshold"), F.max("best").alias("f1"))
+    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("all_pos"))
+    scan = running(counts, keys, {"pos": "tp", "neg": "fp"}, p, falling=True).join(totals, list(keys))
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all_pos")), F.lit(0.0))
+    rated = scan.select(*keys, F.col(p).alias("t"), f1.alias("f1"))
+    best = rated.groupBy(*keys).agg(F.max("f1").alias("best"))
+    return rated.join(best, list(keys)).where("f1 >= best - 1e-12").groupBy(*keys).agg(F.min("t").alias("threshold"), F.max("best").alias("f1"))
 
 
 def confusion(df: DataFrame, keys: Sequence[str], threshold: Column, y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
@@ -84,17 +119,23 @@ def operating_ratios(counts: DataFrame) -> DataFrame:
 
 def sensitivity_floor(df: DataFrame, keys: Sequence[str], floor: float, y: str = "y", p: str = "p") -> DataFrame:
     """keys, threshold, met: the largest score whose sensitivity reaches the floor; else 0 and false."""
-    down = W.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, W.currentRow)
     counts = score_counts(df, keys, y, p)
-    share = F.try_divide(F.sum("pos").over(down), F.sum("pos").over(W.partitionBy(*keys)))
-    top = counts.withColumn("share", share).groupBy(*keys).agg(F.max(F.when(F.col("share") >= floor, F.col(p))).alias("t"))
+    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("all_pos"))
+    scan = running(counts, keys, {"pos": "tp"}, p, falling=True).join(totals, list(keys))
+    top = scan.withColumn("share", F.try_divide("tp", "all_pos")).groupBy(*keys).agg(F.max(F.when(F.col("share") >= floor, F.col(p))).alias("t"))
     return top.select(*keys, F.coalesce("t", F.lit(0.0)).alias("threshold"), F.col("t").isNotNull().alias("met"))
 
 
 def midranks(df: DataFrame, keys: Sequence[str], p: str = "p") -> DataFrame:
     """Adds midrank in [0, 1]; equal scores share one."""
     counts = df.groupBy(*keys, p).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy(*keys).orderBy(p).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
-    total = F.sum("n").over(W.partitionBy(*keys))
-    ranks = counts.select(*keys, p, ((before + (F.col("n") - 1) / F.lit(2.0)) / F.greatest(total - 1, F.lit(1))).alias("midrank"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    scan = running(counts, keys, {"n": "upto"}, p).join(totals, list(keys))
+    before = F.col("upto") - F.col("n")
+    ranks = scan.select(*keys, p, ((before + (F.col("n") - 1) / F.lit(2.0)) / F.greatest(F.col("total") - 1, F.lit(1))).alias("midrank"))
     return df.join(ranks, [*keys, p])
+
+
+def oriented(df: DataFrame, sign: Column, p: str = "p") -> DataFrame:
+    """Rows with a defined score, times its sign."""
+    return df.where(F.col(p).isNotNull() & ~F.isnan(p)).withColumn(p, F.col(p) * sign)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import has_code
@@ -88,3 +88,23 @@ def in_several(df: DataFrame, key: str, part: str) -> DataFrame:
 
 def duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def cohort_records(internal: str, fold: int) -> Column:
+    """The internal cohort's held-out fold and all of the others."""
+    return F.when(F.col("cohort") == internal, F.col("fold") == fold).otherwise(True)
+
+
+def flat_runs(nested: DataFrame) -> DataFrame:
+    """(model, digests by seed): run and digest, a row a run."""
+    return nested.select("model", F.explode("digests").alias("seed", "digest")).select(F.concat_ws("-seed-", "model", "seed").alias("run"), "digest")
+
+
+def failure_rates(df: DataFrame, keys: Sequence[str], failed: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("records"), F.count_if(failed).alias("failed"), F.avg(F.col(failed).cast("double")).alias("rate"))
+
+
+def rate_check(df: DataFrame, keys: Sequence[str], value: str, defining: Callable[[Column], Column]) -> DataFrame:
+    """keys, used, defining_share, median over values that are neither null nor NaN."""
+    v = F.when(~F.isnan(value), F.col(value))
+    return df.groupBy(*keys).agg(F.count(v).alias("used"), F.avg(F.when(v.isNotNull(), defining(v).cast("double"))).alias("defining_share"), F.median(v).alias("median"))

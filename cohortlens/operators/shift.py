@@ -40,11 +40,13 @@ def standardization_weights(df: DataFrame, target: DataFrame, strata: Sequence[s
     full = lambda d: d.dropna(subset=list(strata))
     own = full(df).groupBy(cohort, *strata).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(cohort)))
     aim = full(target).groupBy(*strata).agg(F.count("*").alias("n"))
-    aim = aim.withColumn("aim", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1)))).drop("n")
+    # One row.
+    whole = F.broadcast(aim.agg(F.sum("n").alias("all_n")))
+    aim = aim.join(whole, F.lit(True)).select(*strata, (F.col("n") / F.col("all_n")).alias("aim"))
     cells = own.join(aim, list(strata), "left").select(cohort, *strata, (F.col("aim") / F.col("share")).alias("raw"), F.col("n").alias("cell_n"))
     scale = F.sum(F.when(F.col("raw").isNotNull(), F.col("cell_n"))).over(W.partitionBy(cohort)) / F.sum(F.col("raw") * F.col("cell_n")).over(W.partitionBy(cohort))
     cells = cells.withColumn("weight", F.col("raw") * scale)
-    rows = df.join(F.broadcast(cells.select(cohort, *strata, "weight")), [cohort, *strata], "left")
+    rows = df.join(cells.select(cohort, *strata, "weight"), [cohort, *strata], "left")
     w = F.col("weight")
     return rows, rows.groupBy(cohort).agg(
         F.count(w).alias("used"), F.count_if(w.isNull()).alias("left_out"), F.min(w).alias("least"), F.max(w).alias("most"),
@@ -62,30 +64,21 @@ def correlations(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
     """keys, n, pearson, spearman with two-sided p-values."""
     ranked = df.withColumn("rx", spearman_ranks(df, keys, x)).withColumn("ry", spearman_ranks(df, keys, y))
     out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("rx", "ry").alias("spearman"))
-    p = F.udf(correlation_p, "double")
-    return out.withColumn("pearson_p", p("pearson", "n")).withColumn("spearman_p", p("spearman", "n"))
-
-
-def correlation_p(r: float | None, n: int) -> float | None:
-    """Two-sided p of a correlation by Student's t with n - 2 degrees; a row a result table, so plain Python."""
-    if r is None or n < 3 or math.isnan(r):
-        return None
-    if abs(r) >= 1:
-        return 0.0
-    t2 = r * r * (n - 2) / (1 - r * r)
-    return incomplete_beta((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised, by numerical integration with the end points' powers substituted away."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    # x = sin^2: the integrand sin^(2a-1) cos^(2b-1) is smooth for a, b >= 1/2.
-    top, steps = math.asin(math.sqrt(x)), 2000
-    f = lambda u: math.sin(u) ** (2 * a - 1) * math.cos(u) ** (2 * b - 1)
-    h = top / steps
-    area = h / 3 * (f(0.0) + f(top) + sum((4 if i % 2 else 2) * f(i * h) for i in range(1, steps)))
-    return min(1.0, 2 * area * math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)))
+    return out.withColumns({"pearson_p": correlation_p(F.col("pearson"), F.col("n")), "spearman_p": correlation_p(F.col("spearman"), F.col("n"))})
+
+
+def correlation_p(r: Column, n: Column, steps: int = 2000) -> Column:
+    """Two-sided p of a correlation by Student's t with n - 2 degrees: the share of sin(u)^(n - 3) over [0, pi / 2] below acos(|r|).
+
+    Both integrals by Simpson's rule over the same number of steps; null below three rows.
+    """
+
+    def area(top: Column) -> Column:
+        h = top / F.lit(float(steps))
+        term = lambda i: F.pow(F.sin(i * h), n - 3) * F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda a, i: a + term(i)) * h / 3
+
+    return F.when((n >= 3) & r.isNotNull() & ~F.isnan(r), F.least(F.lit(1.0), area(F.acos(F.least(F.abs(r), F.lit(1.0)))) / area(F.lit(math.pi / 2))))
 
 
 def spread(df: DataFrame, keys: Sequence[str], value: str, ensemble: str) -> DataFrame:

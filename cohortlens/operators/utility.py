@@ -33,12 +33,39 @@ def decision_curve(df: DataFrame, keys: Sequence[str], grid: list[float] = GRID)
     return rows.withColumn("gain", F.col("net_benefit") - F.greatest("treat_all", F.lit(0.0)))
 
 
-def superior_range(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, points where the gain is positive, their first and last threshold, whether they are one run, and the best."""
-    good = F.col("gain") > 0
+def superior_range(curve: DataFrame, keys: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """keys, points where the gain is above tolerance, their first and last threshold, whether they are one run, and the best."""
+    good = F.col("gain") > tolerance
     best = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("gain"), "t"))
     return curve.withColumn("r", best).groupBy(*keys).agg(
         F.count_if(good).alias("points"), F.min(F.when(good, F.col("t"))).alias("first_t"), F.max(F.when(good, F.col("t"))).alias("last_t"),
         F.coalesce(F.max(F.when(good, F.col("step"))) - F.min(F.when(good, F.col("step"))) + 1 == F.count_if(good), F.lit(False)).alias("contiguous"),
         F.max(F.when(F.col("r") == 1, F.col("t"))).alias("best_t"), F.max("gain").alias("best_gain"),
     )
+
+
+def threshold_basis(df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], cluster: str = "cluster_id") -> DataFrame:
+    """keys, t, cluster, tp, fp, pos, n: what net benefit at a few thresholds needs of each cluster. Rows meet len(thresholds) of them."""
+    rows = df.withColumn("t", F.explode(F.array(*map(F.lit, thresholds))))
+    flag = (F.col("p") >= F.col("t")).cast("int")
+    return rows.groupBy(*keys, "t", cluster).agg(
+        F.sum(flag * F.col("y")).alias("tp"), F.sum(flag * (1 - F.col("y"))).alias("fp"), F.sum("y").alias("pos"), F.count("*").alias("n")
+    )
+
+
+def from_basis(sums: DataFrame) -> DataFrame:
+    """Adds net_benefit and gain over the better default to sums tp, fp, pos, n at t."""
+    tp, fp, pos, n, t = (F.col(c) for c in ("tp", "fp", "pos", "n", "t"))
+    rows = sums.withColumn("net_benefit", scalar.net_benefit(tp, fp, n, t))
+    return rows.withColumn("gain", F.col("net_benefit") - scalar.better_default(pos, n, t))
+
+
+def attach(grid: DataFrame, extra: DataFrame, at: str, digits: int = 6) -> DataFrame:
+    """grid with extra's columns where their points meet, else null; every point of extra is in the grid exactly once."""
+    from .expect import nothing, unique
+
+    key = F.round(at, digits).alias("grid_key")
+    left, right = grid.withColumn("grid_key", key), extra.select(key, *[c for c in extra.columns if c != at])
+    unique(left, ["grid_key"]), unique(right, ["grid_key"])
+    nothing(right.join(left, "grid_key", "left_anti").select("grid_key"), "not in the grid")
+    return left.join(right, "grid_key", "left").drop("grid_key")

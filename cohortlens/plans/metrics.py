@@ -129,16 +129,17 @@ def a19(spark, sf_dir):
 
 @query("a20_reliability_table", f"""WITH {BINS}, b AS (SELECT cohort, model, label, bin, n, sum_y, sum_p FROM binned UNION ALL SELECT cohort, model, 'pooled', bin, SUM(n), SUM(sum_y), SUM(sum_p) FROM binned GROUP BY cohort, model, bin),
 s AS (SELECT cohort, model, label, CAST(range AS INT) AS bin FROM (SELECT DISTINCT cohort, model, label FROM b) CROSS JOIN range(15))
-SELECT cohort, model, label, bin, round(bin / CAST(15 AS DOUBLE), 6) AS low, round((bin + 1) / CAST(15 AS DOUBLE), 6) AS high, CAST(coalesce(n, 0) AS BIGINT) AS count, round(sum_p / n, 6) AS mean_p, round(sum_y / CAST(n AS DOUBLE), 6) AS rate
+SELECT cohort, model, label, bin, round(bin / CAST(15 AS DOUBLE), 6) AS low, round((bin + 1) / CAST(15 AS DOUBLE), 6) AS high, CAST(coalesce(n, 0) AS BIGINT) AS count, round(round(sum_p, 9) / n, 6) AS mean_p, round(sum_y / CAST(n AS DOUBLE), 6) AS rate
 FROM s LEFT JOIN b USING (cohort, model, label, bin)""")
 def a20(spark, sf_dir):
     return rounded(C.reliability(predictions(spark, sf_dir), ["cohort", "model"]))
 
 
-@query("a46_constant_floor", """WITH r AS (SELECT *, AVG(y) OVER (PARTITION BY cohort, model, label) AS q FROM {PRED}), b AS (SELECT cohort, model, label, LEAST(CAST(FLOOR(q * 15) AS INT), 14) AS bin, COUNT(*) AS n, SUM(y) AS sy, SUM(q) AS sp, SUM((q - y) * (q - y)) AS sq FROM r GROUP BY ALL)
-SELECT cohort, model, round(AVG(brier), 6) AS macro_brier FROM (SELECT cohort, model, label, SUM(sq) / SUM(n) AS brier FROM b GROUP BY ALL) GROUP BY ALL""")
+@query("a46_constant_floor", """WITH r AS (SELECT *, AVG(y) OVER (PARTITION BY cohort, model, label) AS q FROM {PRED}), b AS (SELECT cohort, model, label, LEAST(CAST(FLOOR(q * 15) AS INT), 14) AS bin, COUNT(*) AS n, SUM(y) AS sy, SUM(q) AS sp, SUM((q - y) * (q - y)) AS sq FROM r GROUP BY ALL),
+l AS (SELECT cohort, model, label, round(SUM(ABS(sy - sp)) / SUM(n), 9) AS ece, SUM(sq) / SUM(n) AS brier FROM b GROUP BY ALL)
+SELECT cohort, model, round(AVG(ece), 6) + 0 AS macro_ece, round(AVG(brier), 6) AS macro_brier, COUNT(ece) AS labels FROM l GROUP BY ALL""")
 def a46(spark, sf_dir):
-    return rounded(C.constant_floor(predictions(spark, sf_dir), ["cohort", "model"]).select("cohort", "model", "macro_brier"))
+    return rounded(C.constant_floor(predictions(spark, sf_dir), ["cohort", "model"]).select("cohort", "model", "macro_ece", "macro_brier", "labels"))
 
 
 @query("a47_ece_shares", f"WITH {BINS}, e AS (SELECT cohort, model, label, SUM(ABS(sum_y - sum_p)) / SUM(n) AS ece FROM binned GROUP BY ALL) SELECT cohort, model, label, round(ece / SUM(ece) OVER (PARTITION BY cohort, model), 6) AS share FROM e")

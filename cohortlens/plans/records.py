@@ -138,10 +138,12 @@ def w05(spark, sf_dir):
     return rounded(e.select("user_id", "event_id", (F.col("value") - F.lag("value").over(W.partitionBy("user_id").orderBy("ts", "event_id"))).alias("change")))
 
 
-@query("k07_best_checkpoint", """WITH r AS (SELECT o_custkey AS run, o_orderkey AS epoch, o_totalprice AS auroc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) SELECT run, epoch FROM r WHERE k = 1""")
+@query("k07_best_checkpoint", """WITH r AS (SELECT o_custkey AS run, o_orderkey AS epoch, 1 / CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS auroc, round(o_totalprice / 50000) AS nll FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY auroc DESC, nll, epoch) AS k FROM r) SELECT run, epoch, round(auroc, 6) AS auroc, nll FROM k WHERE k = 1""")
 def k07(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("epoch"), F.col("o_totalprice").alias("auroc"), F.lit(0.0).alias("nll"))
-    return fitting.best_checkpoint(o, ["run"]).select("run", "epoch")
+    """Five values of the metric and a coarse likelihood, so that both tie."""
+    auroc, nll = 1 / F.substring("o_orderpriority", 1, 1).cast("double"), F.round(F.col("o_totalprice") / 50000)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("epoch"), auroc.alias("auroc"), nll.alias("nll"))
+    return rounded(fitting.best_checkpoint(o, ["run"]), "auroc")
 
 
 @query("a30_standardizer", "SELECT round(AVG(c_acctbal), 6) AS c_acctbal_centre, round(stddev_pop(c_acctbal), 6) AS c_acctbal_scale FROM customer")
@@ -149,9 +151,16 @@ def a30(spark, sf_dir):
     return rounded(fitting.standardizer(spark.read.parquet(f"{sf_dir}/customer.parquet"), ["c_acctbal"]))
 
 
-@query("i08_prediction_report", "SELECT cohort, model, label, COUNT(*) AS rows, COUNT(*) FILTER (WHERE p IS NULL) AS missing, CAST(0 AS BIGINT) AS not_finite, COUNT(*) FILTER (WHERE p < 0 OR p > 1) AS out_of_range, CAST(0 AS BIGINT) AS bad_labels FROM {PRED} GROUP BY ALL")
+DIRTY = """SELECT cohort, model, label, CASE WHEN record_id % 79 = 0 THEN 2 ELSE y END AS y, CASE WHEN record_id % 97 = 0 THEN NULL WHEN record_id % 89 = 0 THEN CAST('NaN' AS DOUBLE) WHEN record_id % 83 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN record_id % 73 = 0 THEN p - 2 ELSE p END AS p FROM {PRED}"""
+
+
+@query("i08_prediction_report", f"SELECT cohort, model, label, COUNT(*) AS rows, COUNT(*) FILTER (WHERE p IS NULL) AS missing, COUNT(*) FILTER (WHERE isnan(p) OR isinf(p)) AS not_finite, COUNT(*) FILTER (WHERE p < 0 OR p > 1) AS out_of_range, COUNT(*) FILTER (WHERE y NOT IN (0, 1)) AS bad_labels FROM ({DIRTY}) GROUP BY ALL")
 def i08(spark, sf_dir):
-    return expect.prediction_report(predictions(spark, sf_dir), KEYS)
+    """Scores with planted nulls, NaN, infinities and values out of range, and labels that are none."""
+    n, p = F.col("record_id"), F.col("p")
+    bad = F.when(n % 97 == 0, F.lit(None)).when(n % 89 == 0, F.lit(float("nan"))).when(n % 83 == 0, F.lit(float("inf"))).when(n % 73 == 0, p - 2).otherwise(p)
+    rows = predictions(spark, sf_dir).withColumns({"y": F.when(n % 79 == 0, 2).otherwise(F.col("y")), "p": bad})
+    return expect.prediction_report(rows, KEYS)
 
 
 @query("u01_union_of_sections", "SELECT 'orders' AS section, cohort, CAST(COUNT(*) AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS share FROM {ORDERS} GROUP BY cohort UNION ALL SELECT 'urgent', cohort, NULL, round(AVG(y_urgent), 6) FROM {ORDERS} GROUP BY cohort")

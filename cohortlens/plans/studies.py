@@ -9,6 +9,7 @@ from ..functions import scalar
 from ..operators import bootstrap as B
 from ..operators import calibration as C
 from ..operators import discrimination as D
+from ..operators import expect as E
 from ..operators import labels as L
 from ..operators import shift as S
 from ..operators import utility as U
@@ -18,7 +19,8 @@ from .registry import query, rounded
 
 KEYS = ["cohort", "model", "label"]
 CODES = ("click", "view", "purchase", "signup", "logout")
-REPLICATES = 20
+#: Replicates of the registered queries, which their SQL can repeat in time; the operators take 2,000 unless told otherwise.
+REPLICATES = 200
 
 SETS = """sets AS (SELECT user_id, day, string_agg(DISTINCT code, '|' ORDER BY code) AS codes FROM {DAYS} GROUP BY user_id, day)"""
 
@@ -59,11 +61,12 @@ def p17(spark, sf_dir):
     return people(spark, sf_dir).select("person_id", F.concat_ws("|", F.when(F.col("age") < 18, "young"), F.when(F.col("segment") == "BUILDING", "segment"), F.when(F.col("site") == 0, "site")).alias("reasons"))
 
 
-@query("j01_validated_left_join", """SELECT n_name, COUNT(c_custkey) AS customers, COUNT(*) FILTER (WHERE c_custkey IS NULL) AS missing FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name""")
+@query("j01_validated_left_join", """SELECT n_name, customers, round(balance, 2) AS balance FROM nation LEFT JOIN (SELECT c_nationkey AS n_nationkey, COUNT(*) AS customers, SUM(c_acctbal) AS balance FROM customer GROUP BY c_nationkey) USING (n_nationkey)""")
 def j01(spark, sf_dir):
+    """One row a nation on both sides, each with its partner; else the query fails."""
     nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
-    joined = F.broadcast(nation).join(customer, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return joined.groupBy("n_name").agg(F.count("c_custkey").alias("customers"), F.count_if(F.col("c_custkey").isNull()).alias("missing"))
+    sums = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"), F.sum("c_acctbal").alias("balance"))
+    return E.one_to_one(nation, sums, ["n_nationkey"]).select("n_name", "customers", F.round("balance", 2).alias("balance"))
 
 
 @query("j04_anti_join", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -160,11 +163,9 @@ def q21(spark, sf_dir):
 
 
 @query("w09_superior_range", f"""WITH {CURVE} SELECT cohort, model, label, COUNT(*) FILTER (WHERE gain > 1e-9) AS points, MIN(t) FILTER (WHERE gain > 1e-9) AS first_t, MAX(t) FILTER (WHERE gain > 1e-9) AS last_t,
- coalesce(MAX(step) FILTER (WHERE gain > 1e-9) - MIN(step) FILTER (WHERE gain > 1e-9) + 1 = COUNT(*) FILTER (WHERE gain > 1e-9), false) AS contiguous FROM curve GROUP BY ALL""")
+ coalesce(MAX(step) FILTER (WHERE gain > 1e-9) - MIN(step) FILTER (WHERE gain > 1e-9) + 1 = COUNT(*) FILTER (WHERE gain > 1e-9), false) AS contiguous, round(MAX(gain), 6) + 0 AS best_gain FROM curve GROUP BY ALL""")
 def w09(spark, sf_dir):
-    curve = U.decision_curve(predictions(spark, sf_dir), KEYS)
-    curve = curve.withColumn("gain", F.when(F.col("gain") > 1e-9, F.col("gain")).otherwise(F.least("gain", F.lit(0.0))))
-    return U.superior_range(curve, KEYS).drop("best_t", "best_gain")
+    return rounded(U.superior_range(U.decision_curve(predictions(spark, sf_dir), KEYS), KEYS).drop("best_t"))
 
 
 @query("j12_crossed_auroc", f"""WITH {COUNTS}, m AS (SELECT model, label, p, SUM(CASE WHEN cohort = 'F' THEN pos ELSE 0 END) AS pos, SUM(CASE WHEN cohort = 'O' THEN neg ELSE 0 END) AS neg FROM counts GROUP BY ALL),
@@ -202,13 +203,13 @@ def r02(spark, sf_dir):
 
 
 @query("q17_prevalence_correlation", f"""WITH {AUROC}, w AS (SELECT a.model, a.label, b.cohort, b.auroc - a.auroc AS delta, ABS(log2((b.pos / CAST(b.pos + b.neg AS DOUBLE)) / (a.pos / CAST(a.pos + a.neg AS DOUBLE)))) AS moved FROM auc a JOIN auc b ON a.model = b.model AND a.label = b.label AND a.cohort = 'F' AND b.cohort <> 'F' WHERE a.auroc IS NOT NULL AND b.auroc IS NOT NULL)
-SELECT model, COUNT(*) AS n, round(corr(moved, delta), 4) AS pearson FROM w GROUP BY model""")
+SELECT model, COUNT(*) AS n, round(corr(moved, delta), 4) AS pearson, round(corr(rx, ry), 4) AS spearman FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY moved) + (COUNT(*) OVER (PARTITION BY model, moved) - 1) / CAST(2 AS DOUBLE) AS rx, rank() OVER (PARTITION BY model ORDER BY delta) + (COUNT(*) OVER (PARTITION BY model, delta) - 1) / CAST(2 AS DOUBLE) AS ry FROM w) GROUP BY model""")
 def q17(spark, sf_dir):
     a = D.auroc(predictions(spark, sf_dir), KEYS).where("auroc is not null").withColumn("prev", F.col("pos") / (F.col("pos") + F.col("neg")))
     own = a.where("cohort = 'F'").select("model", "label", F.col("auroc").alias("a0"), F.col("prev").alias("p0"))
     moved = a.where("cohort <> 'F'").join(own, ["model", "label"]).select("model", (F.col("auroc") - F.col("a0")).alias("delta"), scalar.log2_ratio(F.col("prev"), F.col("p0")).alias("moved"))
     out = S.correlations(moved, ["model"], "moved", "delta")
-    return out.select("model", "n", F.round("pearson", 4).alias("pearson"))
+    return out.select("model", "n", F.round("pearson", 4).alias("pearson"), F.round("spearman", 4).alias("spearman"))
 
 
 @query("q18_standardized_auroc", """WITH s AS (SELECT r.*, c_mktsegment AS seg FROM {PRED} r JOIN customer ON c_custkey = cluster_id), o AS (SELECT cohort, seg, COUNT(*) AS n FROM s GROUP BY ALL), sh AS (SELECT *, n / SUM(n) OVER (PARTITION BY cohort) AS share FROM o),
@@ -229,27 +230,42 @@ def q19(spark, sf_dir):
     return rounded(S.score_separation(predictions(spark, sf_dir), KEYS))
 
 
-@query("w04_benjamini_hochberg", f"""WITH {AUROC}, p AS (SELECT cohort, model, label, round(exp(-ABS(auroc - CAST(0.5 AS DOUBLE)) * 100), 9) AS p FROM auc WHERE auroc IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p, cohort, label) AS k, COUNT(*) OVER (PARTITION BY model) AS m FROM p)
-SELECT cohort, model, label, round(LEAST(MIN(p * m / k) OVER (PARTITION BY model ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS q FROM r""")
-def w04(spark, sf_dir):
-    rows = D.auroc(predictions(spark, sf_dir), KEYS).where("auroc is not null").withColumn("p", F.round(F.exp(-F.abs(F.col("auroc") - 0.5) * 100), 9))
-    return rounded(B.benjamini_hochberg(rows, ["model"], "p", ["cohort", "label"]).select(*KEYS, "q"))
+REPS = f"reps AS (SELECT CAST(range AS INT) AS replicate FROM range({REPLICATES}))"
+#: A weight for every cluster and replicate.
+WEIGHTS = f"""{REPS}, cl AS (SELECT DISTINCT cluster_id FROM {{ORDERS}}), d0 AS (SELECT cluster_id, replicate, (cluster_id % {B.MODULUS} * {B.CLUSTER_FACTOR} + CAST(replicate AS BIGINT) * {B.REPLICATE_FACTOR}) % 4294967296 AS v FROM cl CROSS JOIN reps),
+ d1 AS (SELECT cluster_id, replicate, xor(v, v >> 16) * {B.FIRST} % 4294967296 AS v FROM d0), d2 AS (SELECT cluster_id, replicate, xor(v, v >> 15) * {B.SECOND} % 4294967296 AS v FROM d1), d3 AS (SELECT cluster_id, replicate, xor(v, v >> 15) AS v FROM d2),
+ w AS (SELECT cluster_id, replicate, {B.hash_weight_sql("v")} AS w FROM d3)"""
 
 
-REPS = f"reps AS (SELECT CAST(range AS INT) AS replicate FROM range({REPLICATES}))"
-WEIGHT = B.hash_weight_sql("cluster_id", "replicate")
+def boot_sql(rows: str, keys: str, name: str = "boot") -> str:
+    """CTEs (keys, replicate, auroc) as name over rows, after WEIGHTS."""
+    return f"""{name}_c AS (SELECT {keys}, replicate, p, SUM(w * y) AS pos, SUM(w * (1 - y)) AS neg FROM ({rows}) JOIN w USING (cluster_id) WHERE w > 0 GROUP BY ALL),
+ {name}_s AS (SELECT *, SUM(neg) OVER (PARTITION BY {keys}, replicate ORDER BY p ROWS UNBOUNDED PRECEDING) - neg AS below FROM {name}_c),
+ {name} AS (SELECT {keys}, replicate, SUM(pos * (below + neg * CAST(0.5 AS DOUBLE))) / nullif(SUM(pos) * SUM(neg), 0) AS auroc FROM {name}_s GROUP BY ALL)"""
+
+
+def interval_sql(value: str) -> str:
+    return f"round(quantile_cont({value}, 0.025), 6) AS lower, round(quantile_cont({value}, 0.975), 6) AS upper, round(quantile_cont({value}, 0.5), 6) AS median, round(AVG({value}), 6) AS mean, COUNT({value}) AS defined"
 
 
-@query("b01_hash_weights", f"""WITH {REPS}, c AS (SELECT DISTINCT cluster_id FROM {{ORDERS}} WHERE cohort = 'F'), w AS (SELECT replicate, {WEIGHT} AS w FROM c CROSS JOIN reps)
-SELECT replicate, CAST(SUM(w) AS BIGINT) AS total, COUNT(*) FILTER (WHERE w > 0) AS drawn, MAX(w) AS most FROM w GROUP BY replicate""")
+@query("b01_hash_weights", f"""WITH {WEIGHTS} SELECT replicate, CAST(SUM(w) AS BIGINT) AS total, COUNT(*) FILTER (WHERE w > 0) AS drawn, MAX(w) AS most FROM w WHERE cluster_id IN (SELECT cluster_id FROM {{ORDERS}} WHERE cohort = 'F') GROUP BY replicate""")
 def b01(spark, sf_dir):
     clusters = orders(spark, sf_dir).where("cohort = 'F'").select("cluster_id").distinct()
     rows = clusters.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1)))).withColumn("w", B.hash_weight(F.col("cluster_id"), F.col("replicate")))
     return rows.groupBy("replicate").agg(F.sum("w").alias("total"), F.count_if(F.col("w") > 0).alias("drawn"), F.max("w").alias("most"))
 
 
-BOOT_AUC = f"""{REPS}, c AS (SELECT cohort, replicate, model, label, p, SUM(w * y) AS pos, SUM(w * (1 - y)) AS neg FROM (SELECT r.*, replicate, {WEIGHT} AS w FROM {{PRED}} r CROSS JOIN reps WHERE label <> 'never') WHERE w > 0 GROUP BY ALL),
- s AS (SELECT *, SUM(neg) OVER (PARTITION BY cohort, replicate, model, label ORDER BY p ROWS UNBOUNDED PRECEDING) - neg AS below FROM c), boot AS (SELECT cohort, replicate, model, label, SUM(pos * (below + neg * CAST(0.5 AS DOUBLE))) / nullif(SUM(pos) * SUM(neg), 0) AS auroc FROM s GROUP BY ALL)"""
+@query("a38_clusters_drawn", f"""WITH {WEIGHTS}, k AS (SELECT replicate, COUNT(*) FILTER (WHERE w > 0) / CAST(COUNT(*) AS DOUBLE) AS share FROM w GROUP BY replicate)
+SELECT round(AVG(share), 6) AS mean_share, round(MIN(share), 6) AS least_share, round(MAX(share), 6) AS most_share FROM k""")
+def a38(spark, sf_dir):
+    """Distinct clusters by replicate: near 1 - 1/e of all."""
+    clusters = orders(spark, sf_dir).select("cluster_id").distinct().withColumns({"one": F.lit(1.0)})
+    rows = clusters.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1)))).withColumn("w", B.hash_weight(F.col("cluster_id"), F.col("replicate")))
+    share = rows.groupBy("replicate").agg(F.avg((F.col("w") > 0).cast("double")).alias("share"))
+    return rounded(share.agg(F.avg("share").alias("mean_share"), F.min("share").alias("least_share"), F.max("share").alias("most_share")))
+
+
+BOOT_AUC = f"""{WEIGHTS}, {boot_sql("SELECT * FROM {PRED} WHERE label <> 'never'", "cohort, model, label")}"""
 
 
 def boot(spark, sf_dir):
@@ -277,17 +293,38 @@ def q07b(spark, sf_dir):
     return rounded(B.interval(delta, ["cohort", "model"], "change"))
 
 
-@query("a39_bootstrap_p", f"""WITH {BOOT_AUC}, d AS (SELECT b.cohort, model, label, b.auroc - a.auroc AS change FROM boot a JOIN boot b USING (replicate, model, label) WHERE a.cohort = 'F' AND b.cohort <> 'F'), k AS (SELECT cohort, model, label, COUNT(*) FILTER (WHERE change <= 0) AS lo, COUNT(*) FILTER (WHERE change >= 0) AS hi, COUNT(change) AS n FROM d GROUP BY ALL)
-SELECT cohort, model, label, round(LEAST(1, 2 * LEAST((lo + 1) / CAST(n + 1 AS DOUBLE), (hi + 1) / CAST(n + 1 AS DOUBLE))), 6) AS p_value FROM k""")
-def a39(spark, sf_dir):
+P_VALUES = """dl AS (SELECT b.cohort, model, label, b.auroc - a.auroc AS change FROM boot a JOIN boot b USING (replicate, model, label) WHERE a.cohort = 'F' AND b.cohort <> 'F'), kp AS (SELECT cohort, model, label, COUNT(*) FILTER (WHERE change <= 0) AS lo, COUNT(*) FILTER (WHERE change >= 0) AS hi, COUNT(change) AS n FROM dl GROUP BY ALL),
+ pv AS (SELECT cohort, model, label, LEAST(1, 2 * LEAST((lo + 1) / CAST(n + 1 AS DOUBLE), (hi + 1) / CAST(n + 1 AS DOUBLE))) AS p_value FROM kp)"""
+
+
+def shift_changes(spark, sf_dir):
+    """Every external cohort's AUROC less the internal one's, by label and replicate."""
     reps = boot(spark, sf_dir)
     inner = reps.where("cohort = 'F'").select("replicate", "model", "label", F.col("auroc").alias("inside"))
-    delta = reps.where("cohort <> 'F'").join(inner, ["replicate", "model", "label"]).withColumn("change", F.col("auroc") - F.col("inside"))
-    return rounded(B.p_value(delta, KEYS, "change"))
+    return reps.where("cohort <> 'F'").join(inner, ["replicate", "model", "label"]).withColumn("change", F.col("auroc") - F.col("inside"))
 
 
-@query("b12_ece_replicates", f"""WITH {REPS}, t AS (SELECT cluster_id, cohort, model, LEAST(CAST(FLOOR(p * 15) AS INT), 14) AS bin, COUNT(*) AS n, SUM(y) AS sy, SUM(p) AS sp, SUM((p - y) * (p - y)) AS sq FROM {{PRED}} GROUP BY ALL), w AS (SELECT cohort, model, replicate, bin, SUM(w * n) AS n, SUM(w * sy) AS sy, SUM(w * sp) AS sp, SUM(w * sq) AS sq FROM (SELECT t.*, replicate, {WEIGHT} AS w FROM t CROSS JOIN reps) GROUP BY ALL)
-SELECT cohort, model, replicate, round(SUM(ABS(sy - sp)) / SUM(n), 6) AS ece, round(SUM(sq) / SUM(n), 6) AS brier FROM w WHERE n > 0 GROUP BY ALL""")
+def shift_p(spark, sf_dir):
+    return B.p_value(shift_changes(spark, sf_dir), KEYS, "change")
+
+
+@query("a39_bootstrap_p", f"WITH {BOOT_AUC}, {P_VALUES} SELECT cohort, model, label, round(p_value, 6) AS p_value FROM pv")
+def a39(spark, sf_dir):
+    return rounded(shift_p(spark, sf_dir))
+
+
+@query("w04_benjamini_hochberg", f"""WITH {BOOT_AUC}, {P_VALUES}, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p_value, cohort, label) AS k, COUNT(*) OVER (PARTITION BY model) AS m FROM pv)
+SELECT cohort, model, label, round(p_value, 6) AS p_value, round(LEAST(MIN(p_value * m / k) OVER (PARTITION BY model ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS q FROM r""")
+def w04(spark, sf_dir):
+    """The bootstrap's p-values of all shifts of a model as one family."""
+    return rounded(B.benjamini_hochberg(shift_p(spark, sf_dir), ["model"], "p_value", ["cohort", "label"]).select(*KEYS, "p_value", "q"))
+
+
+ECE_BOOT = """t AS (SELECT cluster_id, cohort, model, LEAST(CAST(FLOOR(p * 15) AS INT), 14) AS bin, COUNT(*) AS n, SUM(y) AS sy, SUM(p) AS sp, SUM((p - y) * (p - y)) AS sq FROM {PRED} GROUP BY ALL), ws AS (SELECT cohort, model, replicate, bin, SUM(w * n) AS n, SUM(w * sy) AS sy, SUM(w * sp) AS sp, SUM(w * sq) AS sq FROM t JOIN w USING (cluster_id) GROUP BY ALL),
+ eboot AS (SELECT cohort, model, replicate, SUM(ABS(sy - sp)) / SUM(n) AS ece, SUM(sq) / SUM(n) AS brier FROM ws WHERE n > 0 GROUP BY ALL)"""
+
+
+@query("b12_ece_replicates", f"WITH {WEIGHTS}, {ECE_BOOT} SELECT cohort, model, replicate, round(ece, 6) AS ece, round(brier, 6) AS brier FROM eboot")
 def b12(spark, sf_dir):
     totals = C.bin_totals(predictions(spark, sf_dir), ["cluster_id", "cohort", "model"])
     sums = B.replicate_sums(totals, ["cohort", "model", "bin"], ["n", "sum_y", "sum_p", "sum_sq"], REPLICATES)
@@ -299,10 +336,18 @@ def b15(spark, sf_dir):
     return B.subsample(orders(spark, sf_dir), ["cohort"], "record_id", 0.2, F.lit(3)).select("cohort", "record_id")
 
 
-@query("b03_multinomial_replicates")
+@query("b03_multinomial_replicates", f"""WITH reps AS (SELECT CAST(range AS INT) AS replicate FROM range(40)), cl AS (SELECT cohort, cluster_id, row_number() OVER (PARTITION BY cohort ORDER BY cluster_id) - 1 AS place, COUNT(*) OVER (PARTITION BY cohort) AS n FROM (SELECT DISTINCT cohort, cluster_id FROM {{ORDERS}})),
+ d0 AS (SELECT cohort, n, replicate, ((place + 2026) % {B.MODULUS} * {B.CLUSTER_FACTOR} + CAST(replicate AS BIGINT) * {B.REPLICATE_FACTOR}) % 4294967296 AS v FROM cl CROSS JOIN reps),
+ d1 AS (SELECT cohort, n, replicate, xor(v, v >> 16) * {B.FIRST} % 4294967296 AS v FROM d0), d2 AS (SELECT cohort, n, replicate, xor(v, v >> 15) * {B.SECOND} % 4294967296 AS v FROM d1),
+ d3 AS (SELECT cohort, replicate, CAST(FLOOR(xor(v, v >> 15) * n / CAST(4294967296 AS DOUBLE)) AS BIGINT) AS place, COUNT(*) AS w FROM d2 GROUP BY ALL), w AS (SELECT cohort, cluster_id, replicate, w FROM d3 JOIN cl USING (cohort, place)),
+ c AS (SELECT cohort, replicate, model, label, p, SUM(w * y) AS pos, SUM(w * (1 - y)) AS neg FROM {{PRED}} JOIN w USING (cohort, cluster_id) GROUP BY ALL),
+ s AS (SELECT *, SUM(neg) OVER (PARTITION BY cohort, replicate, model, label ORDER BY p ROWS UNBOUNDED PRECEDING) - neg AS below FROM c)
+SELECT cohort, model, label, CAST(replicate AS INT) AS replicate, CASE WHEN SUM(pos) > 0 AND SUM(neg) > 0 THEN round(SUM(pos * (below + neg * CAST(0.5 AS DOUBLE))) / (SUM(pos) * SUM(neg)), 6) END AS auroc FROM s GROUP BY ALL""")
 def b03(spark, sf_dir):
-    """Multinomial weights in blocks; the tests hold it to the laws of weighting."""
-    return B.multinomial_auroc(predictions(spark, sf_dir), "cohort", 40, 2026, block=10)
+    """Multinomial weights: every cluster's n draws a replicate."""
+    rows = predictions(spark, sf_dir)
+    weights = B.multinomial_weights(orders(spark, sf_dir), "cohort", 40, 2026)
+    return rounded(B.replicate_auroc(rows, KEYS, 40, weights=weights))
 
 
 @query("w07_cluster_index", "SELECT cohort, cluster_id, dense_rank() OVER (PARTITION BY cohort ORDER BY cluster_id) - 1 AS cluster_index FROM (SELECT DISTINCT cohort, cluster_id FROM {ORDERS})")
@@ -311,10 +356,15 @@ def w07(spark, sf_dir):
     return rows.withColumn("cluster_index", (F.dense_rank().over(W.partitionBy("cohort").orderBy("cluster_id")) - 1).cast("long"))
 
 
-@query("a42_member_spread", f"""WITH {AUROC} SELECT model, label, round(AVG(auroc), 6) AS mean, round(stddev_samp(auroc), 6) AS sd, round(MAX(auroc) - MIN(auroc), 6) AS spread FROM auc GROUP BY ALL""")
+@query("a42_member_spread", f"""WITH {AUROC}, ens AS (SELECT cohort, label, p, SUM(y) AS pos, SUM(1 - y) AS neg FROM (SELECT cohort, record_id, label, MAX(y) AS y, AVG(p) AS p FROM {{PRED}} GROUP BY ALL) GROUP BY ALL), es AS (SELECT *, SUM(neg) OVER (PARTITION BY cohort, label ORDER BY p ROWS UNBOUNDED PRECEDING) - neg AS below FROM ens),
+ e AS (SELECT cohort, label, SUM(pos * (below + neg * CAST(0.5 AS DOUBLE))) / nullif(SUM(pos) * SUM(neg), 0) AS ensemble FROM es GROUP BY ALL)
+SELECT cohort, label, round(AVG(auroc), 6) AS mean, round(stddev_samp(auroc), 6) AS sd, round(MAX(auroc) - MIN(auroc), 6) AS spread, round(MAX(ensemble) - MIN(auroc), 6) AS gain_over_worst, round(MAX(ensemble) - MAX(auroc), 6) AS gain_over_best FROM auc JOIN e USING (cohort, label) GROUP BY ALL""")
 def a42(spark, sf_dir):
-    rows = D.auroc(predictions(spark, sf_dir), KEYS).withColumn("ensemble", F.lit(1.0))
-    return rounded(S.spread(rows, ["model", "label"], "auroc", "ensemble").select("model", "label", "mean", "sd", "spread"))
+    """Members are the models; the ensemble is their mean score."""
+    rows = predictions(spark, sf_dir)
+    mean = rows.groupBy("cohort", "record_id", "label").agg(F.max("y").alias("y"), F.avg("p").alias("p"))
+    ensemble = D.auroc(mean, ["cohort", "label"]).select("cohort", "label", F.col("auroc").alias("ensemble"))
+    return rounded(S.spread(D.auroc(rows, KEYS).join(ensemble, ["cohort", "label"]), ["cohort", "label"], "auroc", "ensemble"))
 
 
 @query("e09_ensemble_mean", "SELECT cohort, record_id, label, round(AVG(p), 6) AS p FROM {PRED} GROUP BY ALL")
@@ -329,5 +379,4 @@ def f12(spark, sf_dir):
     source = rows.where("cohort = 'F'").groupBy("model", "label").agg(F.avg(F.when(F.col("y") == 1, F.col("flag"))).alias("tpr"), F.avg(F.when(F.col("y") == 0, F.col("flag"))).alias("fpr"))
     target = rows.where("cohort <> 'F'").groupBy(*KEYS).agg(F.avg("flag").alias("q"), F.avg("y").alias("truth"))
     estimate = scalar.bbse_prevalence(F.col("q"), F.col("tpr"), F.col("fpr"))
-    estimate = F.when(F.col("tpr") != F.col("fpr"), estimate)
     return rounded(target.join(F.broadcast(source), ["model", "label"]).select(*KEYS, estimate.alias("estimate"), "truth"))

@@ -28,9 +28,9 @@ def pairs_auroc(y, p, w=None):
 
 
 def test_tied_weighted_auroc(spark):
-    y, p = [0, 1, 0, 1, 1], [0.1, 0.4, 0.4, 0.8, 0.9]
-    for w in ([1, 2, 3, 1, 2], [2, 1, 0, 4, 1]):
-        df = table(spark, k=["a"] * 5, y=y, p=p, w=w)
+    y, p = [1, 0, 0, 1, 0, 1, 1], [0.35, 0.35, 0.2, 0.6, 0.6, 0.6, 0.05]
+    for w in ([3, 1, 1, 2, 5, 1, 2], [0, 2, 6, 1, 1, 3, 1]):
+        df = table(spark, k=["a"] * 7, y=y, p=p, w=w)
         assert D.auroc(df, ["k"], weight="w").first()["auroc"] == pytest.approx(pairs_auroc(y, p, w))
 
 
@@ -51,19 +51,21 @@ def test_one_class_is_null_and_macro_skips_it(spark):
 
 
 def test_f1_tie_takes_the_smallest(spark):
-    df = table(spark, k=["a"] * 4, y=[0, 1, 1, 0], p=[0.1, 0.4, 0.8, 0.9])
-    assert D.f1_thresholds(df, ["k"]).first()["threshold"] == 0.4
+    # From 0.3 up two of two positives and two negatives, from 0.7 up one and none: F1 is 2 / 3 at both.
+    df = table(spark, k=["a"] * 14, y=[0] * 10 + [1, 0, 0, 1], p=[0.02] * 10 + [0.3, 0.4, 0.5, 0.7])
+    found = D.f1_thresholds(df, ["k"]).first()
+    assert (found["threshold"], found["f1"]) == (0.3, pytest.approx(2 / 3))
 
 
 def test_sensitivity_floor(spark):
-    df = table(spark, k=["a"] * 6, y=[1, 1, 1, 1, 1, 0], p=[0.9, 0.8, 0.7, 0.6, 0.2, 0.5])
-    assert D.sensitivity_floor(df, ["k"], 0.9).first()["threshold"] == 0.2
-    assert D.sensitivity_floor(df, ["k"], 0.8).first()["threshold"] == 0.6
+    df = table(spark, k=["a"] * 7, y=[1, 0, 1, 1, 0, 1, 0], p=[0.95, 0.85, 0.75, 0.65, 0.45, 0.15, 0.05])
+    assert D.sensitivity_floor(df, ["k"], 0.9).first()["threshold"] == 0.15
+    assert D.sensitivity_floor(df, ["k"], 0.7).first()["threshold"] == 0.65
 
 
 def test_operating_points(spark):
-    row = D.operating_ratios(table(spark, tp=[30.0], fp=[20.0], tn=[940.0], fn=[10.0])).first()
-    assert (row["sensitivity"], row["ppv"]) == (0.75, 0.6)
+    row = D.operating_ratios(table(spark, tp=[18.0], fp=[7.0], tn=[60.0], fn=[6.0])).first()
+    assert (row["sensitivity"], row["ppv"]) == (0.75, 0.72)
     assert D.operating_ratios(table(spark, tp=[0.0], fp=[0.0], tn=[5.0], fn=[0.0])).first()["sensitivity"] is None
 
 
@@ -89,16 +91,48 @@ def test_hash_weights_are_poisson(spark):
     assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.05
 
 
-def test_multinomial_blocks(spark):
+def test_hash_weights_are_the_same_in_tasks_and_in_sql(spark):
+    ids = [0, 1, 7, 4294967295, 4294967291, 10**12, -5]
+    rows = spark.createDataFrame([(i,) for i in ids], "c long").select("c", *[B.hash_weight(F.col("c"), F.lit(r)).alias(f"r{r}") for r in range(9)]).collect()
+    assert [[r[f"r{k}"] for k in range(9)] for r in rows] == B.hash_weights(np.array(ids), 9).astype(int).tolist()
+
+
+@pytest.mark.parametrize("kind", ["hash", "multinomial", "registered"])
+def test_replicates_are_weighted_statistics(spark, monkeypatch, kind):
+    """Every replicate equals the statistic of all pairs under its weights, however rows are cut into chunks."""
+    monkeypatch.setattr(B, "CHUNK", 7)
     rng = np.random.default_rng(5)
-    df = table(spark, cohort=["F"] * 200, cluster_id=np.arange(200) // 2, record_id=np.arange(200), model=["m"] * 200, label=["l"] * 200, y=rng.integers(0, 2, 200), p=rng.integers(0, 30, 200) / 29)
-    one = B.multinomial_auroc(df, "cohort", 30, 9, block=10).orderBy("replicate").toPandas()
-    two = B.multinomial_auroc(df.repartition(5), "cohort", 30, 9, block=10).orderBy("replicate").toPandas()
-    assert list(one["auroc"]) == list(two["auroc"]) and one["replicate"].is_unique and len(one) == 30
-    reg = B.multinomial_auroc(df, "cohort", 7, 9, registered=True).orderBy("replicate").toPandas()
+    df = table(spark, cohort=["F"] * 200, cluster_id=np.arange(200) // 2 + 3, label=["l", "m"] * 100, y=rng.integers(0, 2, 200), p=rng.integers(0, 12, 200) / 11)
+    weights = {"hash": lambda: None, "multinomial": lambda: B.multinomial_weights(df, "cohort", 8, 9), "registered": lambda: B.registered_weights(df, "cohort", 8, 9, batch=3)}[kind]()
+    if weights is None:
+        by_cluster = dict(enumerate(B.hash_weights(np.arange(3, 103), 8), 3))
+    else:
+        by_cluster = {r["cluster_id"]: np.array(r["weights"]) for r in weights.collect()}
+        assert (sum(by_cluster.values()) == 100).all()
+    if kind == "registered":
+        stream = np.random.default_rng(9).multinomial(100, np.full(100, 0.01), size=8)
+        assert all((by_cluster.get(c, 0) == stream[:, c - 3]).all() for c in range(3, 103))
+    got = {(r["label"], r["replicate"]): r["auroc"] for r in B.replicate_auroc(df.repartition(3), ["label"], 8, weights=weights).collect()}
+    basis = df.groupBy("cohort", "cluster_id", "label").agg(F.sum("p").alias("sp"), F.count("*").alias("n"))
+    sums = {(r["label"], r["replicate"]): (r["sp"], r["n"]) for r in B.replicate_sums(basis, ["label"], ["sp", "n"], 8, weights=weights).collect()}
     p = df.toPandas()
-    for r, w in enumerate(np.concatenate(list(B.multinomial_weights(100, 7, 9, batch=3)))):
-        assert reg["auroc"][r] == pytest.approx(pairs_auroc(p["y"], p["p"], w[p["cluster_id"]]))
+    zero = np.zeros(8)
+    for label in "lm":
+        own = p[p["label"] == label]
+        for r in range(8):
+            w = np.array([by_cluster.get(c, zero)[r] for c in own["cluster_id"]])
+            assert got[label, r] == pytest.approx(pairs_auroc(own["y"], own["p"], w))
+            assert sums[label, r] == pytest.approx(((w * own["p"]).sum(), w.sum()))
+
+
+def test_running_sums_cross_buckets(spark):
+    rng = np.random.default_rng(8)
+    p = np.concatenate([[0.0, 1.0, 0.5], 1 / (1 + np.exp(-rng.normal(0, 5, 300)))])
+    df = table(spark, k=["a"] * 303, p=p, n=rng.integers(1, 5, 303))
+    for falling in (False, True):
+        rows = D.running(df, ["k"], {"n": "upto"}, falling=falling).toPandas().sort_values("p", ascending=not falling)
+        assert rows["upto"].tolist() == rows["n"].cumsum().tolist()
+    assert D.running(df, ["k"], {"n": "u"}).count() == 303
 
 
 def test_interval_ignores_undefined(spark):
@@ -148,22 +182,24 @@ def test_standardization_to_the_same_mix_changes_nothing(spark):
     assert all(r["left_out"] == 0 for r in found.collect())
 
 
-def test_correlation_p():
-    assert shift.correlation_p(0.5, 20) == pytest.approx(0.024770, abs=1e-5)
-    assert shift.correlation_p(None, 20) is None and shift.correlation_p(1.0, 5) == 0.0
+def test_correlation_p(spark):
+    rows = spark.createDataFrame([(0.5, 20), (None, 20), (1.0, 5), (0.5, 3), (0.3, 2)], "r double, n int")
+    p = [r[0] for r in rows.select(shift.correlation_p(F.col("r"), F.col("n"))).collect()]
+    # Three rows: the angle's share.
+    assert p[0] == pytest.approx(0.024770, abs=1e-5) and p[1] is None and p[2] == pytest.approx(0, abs=1e-9) and p[3] == pytest.approx(2 / 3) and p[4] is None
 
 
 def test_whole_codes_only(spark):
-    df = spark.createDataFrame([("12|123",), ("123",), ("312",), ("12",), ("",), (None,)], "c string")
+    df = spark.createDataFrame([("12|98",), ("712",), ("120|1",), ("12",), ("",), (None,)], "c string")
     assert [r[0] for r in df.select(scalar.has_code(F.col("c"), ["12"])).collect()] == [True, False, False, True, False, False]
 
 
 def test_header_text(spark):
-    text = "A0001 2 500 5000\nA0001.mat 16 1000/mV 16 0 28 -1716 0 I\nA0001.mat 16 1000/mV 16 0 7 2029 0 II\n#Age: 74\n#Sex: Male\n#Dx: 59118001,426783006\n"
+    text = "REC77 2 250 1500\nREC77.bin 16 400/mV 12 3 15 -90 0 V1\nREC77.bin 16 400/mV 12 3 -4 311 0 V2\n#Age: 38\n#Sex: Female\n#Dx: 111,2222\n"
     h = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(parse.header_record(F.col("t")).alias("h")).collect()
     got = h[0]["h"]
-    assert (got["record"], got["leads"], got["samples"], got["lead_names"], got["diagnoses"]) == ("A0001", 2, 5000, ["I", "II"], ["59118001", "426783006"])
-    assert (got["age"], got["sex"]) == ("74", "Male")
+    assert (got["record"], got["leads"], got["samples"], got["lead_names"], got["diagnoses"]) == ("REC77", 2, 1500, ["V1", "V2"], ["111", "2222"])
+    assert (got["age"], got["sex"]) == ("38", "Female")
 
 
 def test_bands(spark):
