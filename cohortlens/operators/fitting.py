@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalar import affine, prior_shift_offset
+from ..functions.scalar import affine, bbse_prevalence, prior_shift_offset
+from .discrimination import f1_thresholds
 
 DIGITS = 6
 CLIP = 1e-7
@@ -117,7 +118,7 @@ def affine_fits(df: DataFrame, keys: Sequence[str], offset_only: bool = False) -
 
 def prevalences(df: DataFrame, source: DataFrame, keys: Sequence[str], label_keys: Sequence[str]) -> DataFrame:
     """keys, prevalence, steps; source: label_keys, source_prevalence."""
-    rows = counts(df, keys).join(F.broadcast(source), list(label_keys))
+    rows = counts(df, keys).join(source, list(label_keys))
     out = _by_key(rows, keys, "prevalence double, steps int", lambda r: em_prevalence(r["p"].to_numpy(), (r["pos"] + r["neg"]).to_numpy(), r["source_prevalence"].iloc[0]))
     return out.withColumn("prevalence", F.nanvl("prevalence", F.lit(None).cast("double")))
 
@@ -125,23 +126,40 @@ def prevalences(df: DataFrame, source: DataFrame, keys: Sequence[str], label_key
 def calibration_ladder(df: DataFrame, model_keys: Sequence[str], internal: str) -> DataFrame:
     """Long predictions of each rung: none, one temperature, offsets by known or estimated prevalence, fitted offsets and affine maps.
 
-    df: cohort, fold, model keys, label, y, p. Folds 9 of the internal cohort fit the rungs that may not see the target;
-    the last two rungs are fitted on the target itself, as ceilings. A rung is a table of slope and offset joined to the rows.
+    df: cohort, fold, model keys, label, y, p. Fold 9 of the internal cohort fits the rungs that may not see the target, folds up to 8
+    give the source prevalence; the oracle and fitted rungs are fitted on the target itself, as ceilings. A rung is a table of slope and
+    offset joined to the rows; where a prevalence can't be told it leaves the scores as they are.
     """
     label_keys = [*model_keys, "label"]
     keys = ["cohort", *label_keys]
     held = df.where((F.col("cohort") == internal) & (F.col("fold") == 9))
-    source = held.groupBy(*label_keys).agg(F.avg("y").alias("source_prevalence"))
+    train = df.where((F.col("cohort") == internal) & (F.col("fold") <= 8))
+    source = train.groupBy(*label_keys).agg(F.avg("y").alias("source_prevalence"))
     target = df.groupBy(*keys).agg(F.avg("y").alias("target_prevalence"))
     one = temperatures(held, model_keys).select(*model_keys, (1 / F.col("temperature")).alias("slope"), F.lit(0.0).alias("offset"))
     estimated = prevalences(df, source, keys, label_keys)
-    shift = lambda t, name: t.join(source, label_keys).select(*keys, F.lit(1.0).alias("slope"), prior_shift_offset(F.col("source_prevalence"), F.col(name)).alias("offset"))
+    hotter = lambda own: temperatures(df, own).select(*own, (1 / F.col("temperature")).alias("slope"), F.lit(0.0).alias("offset"))
+    cuts = f1_thresholds(held, label_keys).select(*label_keys, "threshold")
+    flag = (F.col("p") >= F.col("threshold")).cast("double")
+    rate = lambda v: F.avg(F.when(F.col("y") == v, flag))
+    rates = held.join(cuts, label_keys).groupBy(*label_keys).agg(rate(1).alias("tpr"), rate(0).alias("fpr"))
+    flagged = df.join(cuts, label_keys).groupBy(*keys).agg(F.avg(flag).alias("flagged")).join(rates, label_keys)
+    flagged = flagged.select(*keys, bbse_prevalence(F.col("flagged"), F.col("tpr"), F.col("fpr")).alias("told"))
+
+    def shift(t: DataFrame, name: str) -> DataFrame:
+        offset = F.coalesce(prior_shift_offset(F.col("source_prevalence"), F.col(name)), F.lit(0.0))
+        offset = F.when(F.col(name).isNotNull(), offset).otherwise(0.0)
+        return t.join(source, label_keys).select(*keys, F.lit(1.0).alias("slope"), offset.alias("offset"))
+
     base = target.select(*keys)
     rungs = {
         "none": base.select(*keys, F.lit(1.0).alias("slope"), F.lit(0.0).alias("offset")),
         "temperature": base.join(one, list(model_keys)).select(*keys, "slope", "offset"),
         "estimated_prior": shift(estimated, "prevalence"),
+        "flagged_prior": shift(flagged, "told"),
         "known_prior": shift(target, "target_prevalence"),
+        "oracle_temperature": base.join(hotter(["cohort", *model_keys]), ["cohort", *model_keys]).select(*keys, "slope", "offset"),
+        "oracle_label_temperature": base.join(hotter(keys), keys).select(*keys, "slope", "offset"),
         "fitted_offset": affine_fits(df, keys, offset_only=True).select(*keys, "slope", "offset"),
         "fitted_affine": affine_fits(df, keys).select(*keys, "slope", "offset"),
     }
@@ -149,7 +167,7 @@ def calibration_ladder(df: DataFrame, model_keys: Sequence[str], internal: str)
     for name, rung in rungs.items():
         rung = rung.withColumn("rung", F.lit(name))
         table = rung if table is None else table.unionByName(rung)
-    return df.join(F.broadcast(table), keys).withColumn("p", affine(F.col("p"), F.col("slope"), F.col("offset"))).drop("slope", "offset")
+    return df.join(table, keys).withColumn("p", affine(F.col("p"), F.col("slope"), F.col("offset"))).drop("slope", "offset")
 
 
 def platt_recovery(df: DataFrame, keys: Sequence[str], sizes: list[int], repeats: int, seed: int) -> DataFrame:

@@ -196,7 +196,7 @@ def q23(spark, sf_dir):
 
 @query("q25_recovery_curve")
 def q25(spark, sf_dir):
-    return fitting.platt_recovery(predictions(spark, sf_dir).where("cohort = 'O' and label <> 'never'"), ["model", "label"], [50, 200, 1000], 10, 7)
+    return fitting.platt_recovery(predictions(spark, sf_dir).where("cohort = 'O' and label <> 'never'"), ["model", "label"], [100, 250, 500, 1000], 50, 7)
 
 
 @query("e08_logistic_baseline")
