@@ -37,7 +37,6 @@ BLOCK = 512
 PASSED = 10
 BEAM = 256
 EXPAND = 64
-HOPS = 40
 ENTRIES = 4
 
 
@@ -199,7 +198,8 @@ def search(queries: DataFrame, classes: DataFrame, graph: DataFrame, k: int, scr
     fresh = own.union(queries.select("q", F.explode(F.array(*entries)).alias("node"))).distinct()
     pool: DataFrame | None = None
     seen: DataFrame | None = None
-    for _ in range(HOPS):
+    # Every hop expands nodes that were not expanded before, so this ends.
+    while True:
         apart = F.zip_with("a", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
         score = F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x))
         measured = (

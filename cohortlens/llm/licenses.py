@@ -95,11 +95,8 @@ def licence_matches(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RU
     names = {normalised_text(k): v for k, v in known.items()}
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     known_list = F.array(*[F.lit(x) for x in names])
-    # Only sentences of a fitting length can be known; the others are not looked up.
-    longest, shortest = 4 * max(map(len, names)), min(map(len, names))
     cut = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), CUT, "\n"), "\n")
-    fit = F.filter(F.col("cut"), lambda s: F.length(s).between(shortest, longest))
-    found = F.filter(F.transform(fit, normalised), lambda s: F.array_contains(known_list, s))
+    found = F.filter(F.transform("cut", normalised), lambda s: F.array_contains(known_list, s))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), cut.alias("cut"))
     rows = rows.select(
         "doc_id",

@@ -60,10 +60,12 @@ def longest_rule(rules, host: Column, path: Column) -> Column:
     return found
 
 
-def grams(padded: Column, order: int) -> Column:
-    """Every place's character with the characters before it: order arrays of one gram a place."""
-    places = F.sequence(F.lit(order), F.length(padded))
-    return F.transform(places, lambda i: F.substring(padded, i - order + 1, order))
+def with_grams(df: DataFrame, order: int) -> DataFrame:
+    """df's columns but its text, once a place of the text: full, that character with the ones before it, order in all. Linear in the text."""
+    chars = df.withColumn("chars", F.split(padded(F.col("text"), order), ""))
+    # The array stands in a column of its own, so it is made once a text; each place reads its few characters.
+    gram = F.transform(F.sequence(F.lit(order), F.size("chars")), lambda i: F.concat(*[F.get("chars", i - k) for k in range(order, 0, -1)]))
+    return chars.select(*[c for c in df.columns if c != "text"], F.explode(gram).alias("full"))
 
 
 def padded(text: Column, order: int) -> Column:
@@ -82,7 +84,7 @@ def weight(labelled: DataFrame, which: Column) -> Column:
 
 def models(labelled: DataFrame, order: int, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """labelled (text, good, perhaps count): grams (gram, ratio) and contexts (context, back), ratios of log probabilities."""
-    rows = labelled.select(*[c for c in ("good", "count") if c in labelled.columns], F.explode(grams(padded(F.col("text"), order), order)).alias("full"))
+    rows = with_grams(labelled, order)
     counts = rows.groupBy("full").agg(
         weight(labelled, F.col("good")).alias("yes"), weight(labelled, ~F.col("good")).alias("no")
     )
@@ -128,7 +130,9 @@ def models(labelled: DataFrame, order: int, most: int, scratch: Scratch) -> tupl
 
 def scores(texts: DataFrame, model: DataFrame, contexts: DataFrame, order: int, most: int = MOST) -> DataFrame:
     """texts (text, distinct): (text, score)."""
-    rows = texts.select("text", F.explode(grams(padded(F.col("text"), order), order)).alias("full"))
+    # Grams carry a digest, not the whole text.
+    keyed = texts.select("text", F.md5(F.encode("text", "UTF-8")).alias("key"))
+    rows = with_grams(keyed, order)
     if model.count() > most:
         rows = with_values(rows, model, contexts, order, most)
         value = F.col("value")
@@ -139,11 +143,12 @@ def scores(texts: DataFrame, model: DataFrame, contexts: DataFrame, order: int,
             rows = rows.join(F.broadcast(model.select(F.col("gram").alias("g"), F.col("ratio").alias(f"r{k}"))), "g", "left")
             rows = rows.join(F.broadcast(contexts.select(F.col("context").alias("c"), F.col("back").alias(f"b{k}"))), "c", "left").drop("g", "c")
             value = F.coalesce(F.col(f"r{k}"), F.coalesce(F.col(f"b{k}"), F.lit(0.0)) + value)
-    return rows.groupBy("text").agg((F.sum(F.round(value * SCALE).cast("long")) / SCALE / F.count("*")).alias("score"))
+    found = rows.groupBy("key").agg((F.sum(F.round(value * SCALE).cast("long")) / SCALE / F.count("*")).alias("score"))
+    return keyed.join(found, "key").select("text", "score")
 
 
 def with_values(rows: DataFrame, model: DataFrame, contexts: DataFrame, order: int, most: int) -> DataFrame:
-    """rows (text, full): with value. Every distinct gram, and every distinct end of one, is looked up once."""
+    """rows (key, full): with value. Every distinct gram, and every distinct end of one, is looked up once."""
     scratch = Scratch(rows.sparkSession, "url-values")
     asked = {order: scratch.keep(rows.groupBy(F.col("full").alias("gram")).agg(F.count("*").alias("n")))}
     for k in range(order - 1, 0, -1):

@@ -482,6 +482,17 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_grams_of_long_and_odd_urls(spark):
+    texts = ["", "ab", "a😀b", "x" * 200_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    got = defaultdict(Counter)
+    for r in url_filter.with_grams(frame, 3).groupBy("n", "full").count().collect():
+        got[r["n"]][r["full"]] = r["count"]
+    for n, t in enumerate(texts):
+        p = "\u0002\u0002" + t + "\u0003"
+        assert got[n] == Counter(p[i : i + 3] for i in range(len(p) - 2))
+
+
 def test_urls_leave_no_gram_out(spark):
     """Models over the bound of the broadcast keep every gram, and judge as broadcast ones do; a url weighs as often as it comes."""
     rng = random.Random(9)
@@ -543,11 +554,12 @@ def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."
     kept = " // The above copyright notice and this permission notice shall be included in all copies.\n"
     end = 'The software is provided "as is", without warranty of any kind.'
-    texts = [*ODD, f"Foo.\n# {mit}\n{kept} {end} Released under the MIT License.", f"{mit} {end}", f"{end} {mit}"]
+    texts = [*ODD, f"Foo.\n# {mit}\n{kept} {end} Released under the MIT License.", f"{mit} {end}", f"{end} {mit}", "#" + " " * 600 + "Released under the MIT License."]
     rows = {r["doc_id"]: r for r in licenses.licence_matches(docs(spark, texts)).collect()}
     assert all(not rows[i]["matches"] for i in range(8)) and rows[0]["sentences"] == 0
     assert [m["rule"] for m in rows[8]["matches"]] == ["mit-text", "mit-notice"]
     assert [m["rule"] for m in rows[9]["matches"]] == ["mit-grant-as-is"] and not rows[10]["matches"]
+    assert [m["rule"] for m in rows[11]["matches"]] == ["mit-notice"]
     assert licenses.licence_matches(docs(spark, texts).limit(0)).count() == 0
 
 
