@@ -107,22 +107,21 @@ def licenses_sql() -> str:
 
     text = lambda x: "'" + x.replace("'", "''") + "'"
     known = {L.normalised_text(k): v for k, v in L.SENTENCES.items()}
-    keys, values = (", ".join(map(text, x)) for x in (known, known.values()))
-    bare = f"regexp_replace(lower(x), {text(L.DROPPED)}, '', 'g')"
-    bare = f"regexp_replace(regexp_replace({bare}, {text(L.BLANKS)}, ' ', 'g'), {text(L.EDGES)}, '', 'g')"
+    names = "MAP {" + ", ".join(f"{text(k)}: {text(v)}" for k, v in known.items()) + "}"
+    plain = "lower(coalesce(text, ''))"
+    for kind, what, by in L.STEPS:
+        plain = f"replace({plain}, {text(what)}, {text(by)})" if kind == "text" else f"regexp_replace({plain}, {text(what)}, {text(by)}, 'g')"
     hits = " UNION ALL ".join(
         f"SELECT r, doc_id, {order} AS o, {text(rule)} AS rule, {len(ids)} AS n, unnest(list_filter(range(len(ids)), lambda i: ids[i + 1:i + {len(ids)}] = [{', '.join(map(text, ids))}])) AS place FROM named"
         for order, (rule, _, ids) in enumerate(L.RULES)
     )
     return f"""
 WITH cut AS (
-  SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(coalesce(text, ''), {text(L.CUT)}, chr(10), 'g'), chr(10)) AS cut FROM documents
-), plain AS (
-  SELECT r, doc_id, CAST(len(list_filter(cut, lambda x: regexp_matches(x, '[^ \\t\\r]'))) AS BIGINT) AS sentences,
-         list_filter(list_transform(list_transform(cut, lambda x: {bare}), lambda x: list_position([{keys}], x)), lambda p: p > 0) AS places
-  FROM cut
+  SELECT row_number() OVER () AS r, doc_id, chr(10) || trim({plain}, ' ') || chr(10) AS plain FROM documents
 ), named AS (
-  SELECT r, doc_id, sentences, list_transform(places, lambda p: ([{values}])[p]) AS ids FROM plain
+  SELECT r, doc_id, CAST(len(list_filter(string_split(plain, chr(10)), lambda x: x NOT IN ('', '.'))) AS BIGINT) AS sentences,
+         list_transform(regexp_extract_all(plain, {text(L.sentence_pattern(L.SENTENCES))}, 1), lambda x: ({names})[replace(x, chr(10) || chr(10), ' ')]) AS ids
+  FROM cut
 ), hits AS ({hits}), kept AS (
   SELECT r, string_agg(CAST(place AS VARCHAR) || ':' || rule, ',' ORDER BY place, o) AS rules FROM hits m
   WHERE NOT EXISTS (

@@ -565,6 +565,95 @@ def test_licences(spark):
     assert licenses.licence_matches(docs(spark, texts).limit(0)).count() == 0
 
 
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+@pytest.mark.parametrize("dressed", ["{}", "# {}", " * {}", "// {}\r", "    {}", "unwrapped"])
+def test_licences_as_they_stand_in_files(spark, tmp_path, dressed):
+    """Wrapped, commented and on one line, and equal to the SQL."""
+    import duckdb
+
+    from cohortlens.llm.queries import ORACLES
+
+    texts = [MIT, BSD, APACHE, GPL, MPL, MIT + "\nint main;\n\n" + BSD, "\n".join([GPL, APACHE, MPL] * 3)]
+    if dressed == "unwrapped":
+        texts = [re.sub(r"(?<!\n)\n(?!\n)", " ", t) for t in texts]
+    else:
+        texts = ["\n".join(dressed.format(x) for x in t.split("\n")) for t in texts]
+    # A word more, a full stop or an empty line inside a sentence is no match; nor are non-ASCII letters at its edges.
+    texts += [MIT.replace("free of charge", "free of all charge")[:600], "Released under\n\nthe MIT License.", "Released under. The MIT License.", "éReleased under the MIT License", "released under the\nmit\nlicense", "." * 100_000, " " * 100_000, *ODD]
+    df = docs(spark, texts)
+    rows = {r["doc_id"]: [m["rule"] for m in r["matches"]] for r in licenses.licence_matches(df).collect()}
+    want = ["mit-full", "bsd-3-text", "apache-2.0-header-full", "gpl-3-header", "mpl-2-header"]
+    assert [rows[i] for i in range(5)] == [[w] for w in want] and rows[5] == want[:2] and rows[6] == [want[3], want[2], want[4]] * 3
+    assert [rows[7 + i] for i in range(5)] == [[], [], [], [], ["mit-notice"]] and not any(rows[i] for i in range(12, len(texts)))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    ours = QUERIES["op3_licenses"](spark, str(tmp_path)).collect()
+    names = ("doc_id", "sentences", "identifiers", "rules")
+    assert sorted(tuple(r[n] for n in names) for r in ours) == sorted(con.sql(ORACLES["op3_licenses"]).select(*names).fetchall())
+
+
 def test_token_counts(spark, documents, tmp_path):
     enc = Encoder(tokenizer_path(), special_as_text=True)
     odd = docs(spark, [*ODD, "a"], ids=[0, 1, 2, 3, 3, None, 6, 7, 8]).select("doc_id", "text")
