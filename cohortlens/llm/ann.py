@@ -4,7 +4,8 @@ Equal vectors form a class, of which the graph holds one node, so copies cost no
 smallest ids, which is all that a list of k can need. The graph starts from blocks of nodes that are
 neighbours along random directions. Each round joins every node's neighbours and a sample of those that
 name it (the method's own sampling) with their vectors, compares neighbours of neighbours inside that
-small set, and keeps each node's best. Vectors travel as bytes there; that only guides the graph.
+small set, and keeps each node's best, until few links change. Vectors travel as bytes there, less the median of
+each component and each with a scale of its own, so norms may differ; that only guides the graph.
 
 A query starts at its own class and at a few entry nodes, and again and again joins its best unexpanded
 nodes with their neighbours in both directions, until the best BEAM nodes it has seen are all expanded. Distances of the search
@@ -18,6 +19,7 @@ others all found are returned; an empty table gives no rows; other columns are n
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,8 @@ from .common import Scratch
 
 NEIGHBOURS = 20
 NAMED_BY = 20
-ROUNDS = 5
+#: Rounds end once at most this share of links is new.
+SETTLED = 0.005
 DIRECTIONS = 3
 BLOCK = 512
 #: Of a node's comparisons inside one set, so many are passed on.
@@ -55,23 +58,35 @@ def classes_of(rows: DataFrame, k: int) -> DataFrame:
 
 
 def unpack(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 + dim)
+    return raw[:, 8:].view(np.int8) * np.ascontiguousarray(raw[:, :8]).view(np.float64)
 
 
-def small_vectors(classes: DataFrame, scale: float) -> DataFrame:
+def medians(classes: DataFrame) -> np.ndarray:
+    """About the median of each component: as many rows as components."""
+    rows = classes.select(F.posexplode("vector")).groupBy("pos").agg(F.percentile_approx("col", 0.5, 100).alias("m"))
+    return np.array([r["m"] for r in rows.orderBy("pos").collect()], np.float64)
+
+
+def small_vectors(classes: DataFrame, centre: np.ndarray) -> DataFrame:
+    """(node, small): the vector less centre as a scale of its own, 8 bytes, and a byte a component."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            small = np.clip(np.rint(flat / scale), -127, 127).astype(np.int8).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in small], pa.binary())], ["node", "small"])
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(centre)) - centre
+            scale = np.abs(x).max(axis=1, initial=0.0) / 127
+            scale[scale == 0] = 1.0
+            small = np.rint(x / scale[:, None]).astype(np.int8)
+            packed = [a.tobytes() + r.tobytes() for a, r in zip(scale, small)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["node", "small"])
 
     return classes.select("node", "vector").mapInArrow(task, "node long, small binary")
 
 
 def best(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest (node, other, d) of each node, each once."""
+    """The k nearest (node, other, d, fresh) of each node, each once; fresh where every row of the link is."""
     rank = F.row_number().over(W.partitionBy("node").orderBy("d", "other"))
-    return edges.groupBy("node", "other").agg(F.min("d").alias("d")).withColumn("r", rank).where(F.col("r") <= k).drop("r")
+    return edges.groupBy("node", "other").agg(F.min("d").alias("d"), F.bool_and("fresh").alias("fresh")).withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
 def first_graph(nodes: DataFrame, dim: int, seed: int) -> DataFrame:
@@ -90,7 +105,7 @@ def first_graph(nodes: DataFrame, dim: int, seed: int) -> DataFrame:
             k = min(NEIGHBOURS, len(ids) - 1)
             at = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.empty((len(ids), 0), int)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, k)), pa.array(ids[at.ravel()]), pa.array(np.take_along_axis(d, at, axis=1).ravel().astype(np.float32))],
+                [pa.array(np.repeat(ids, k)), pa.array(ids[at.ravel()]), pa.array(np.take_along_axis(d, at, axis=1).ravel())],
                 ["node", "other", "d"],
             )
 
@@ -107,16 +122,16 @@ def first_graph(nodes: DataFrame, dim: int, seed: int) -> DataFrame:
 
     out = None
     for _ in range(DIRECTIONS):
-        direction = rng.standard_normal(dim).astype(np.float32)
+        direction = rng.standard_normal(dim)
 
         def project(batches: Iterator[pa.RecordBatch], direction=direction) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(unpack(b.column(1), dim) @ direction)], ["node", "small", "along"])
 
-        lined = nodes.mapInArrow(project, "node long, small binary, along float")
-        edges = lined.repartitionByRange("along", "node").sortWithinPartitions("along", "node").select("node", "small").mapInArrow(task, "node long, other long, d float")
+        lined = nodes.mapInArrow(project, "node long, small binary, along double")
+        edges = lined.repartitionByRange("along", "node").sortWithinPartitions("along", "node").select("node", "small").mapInArrow(task, "node long, other long, d double")
         out = edges if out is None else out.union(edges)
-    return best(out, NEIGHBOURS)
+    return best(out.withColumn("fresh", F.lit(True)), NEIGHBOURS)
 
 
 def compare_sets(rows: DataFrame, dim: int) -> DataFrame:
@@ -129,11 +144,11 @@ def compare_sets(rows: DataFrame, dim: int) -> DataFrame:
             width = int(sizes.max())
             place = np.arange(len(hub)) - np.repeat(starts, sizes)
             row = np.repeat(np.arange(len(starts)), sizes)
-            padded = np.zeros((len(starts), width, dim), np.float32)
+            padded = np.zeros((len(starts), width, dim))
             padded[row, place] = x
             ids = np.full((len(starts), width), -1, np.int64)
             ids[row, place] = node
-            limit = np.zeros((len(starts), width), np.float32)
+            limit = np.zeros((len(starts), width))
             limit[row, place] = worst
             n = (padded * padded).sum(axis=2)
             d = n[:, :, None] + n[:, None, :] - 2 * (padded @ padded.transpose(0, 2, 1))
@@ -141,7 +156,7 @@ def compare_sets(rows: DataFrame, dim: int) -> DataFrame:
             d[np.broadcast_to((ids < 0)[:, None, :], d.shape)] = np.inf
             k = min(PASSED, width - 1)
             if k <= 0:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float32())], ["node", "other", "d"])
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["node", "other", "d"])
             at = np.argpartition(d, k - 1, axis=2)[:, :, :k]
             near = np.take_along_axis(d, at, axis=2)
             good = (near < limit[:, :, None]) & (ids >= 0)[:, :, None]
@@ -159,34 +174,37 @@ def compare_sets(rows: DataFrame, dim: int) -> DataFrame:
             rest = [x[cut:] for x in now]
             begin = 0
             while begin < cut:
-                # Whole sets, about 8,192 rows at a time.
-                end = cut if begin + 8192 >= cut else int(np.searchsorted(now[0], now[0][begin + 8192]))
+                # Whole sets, about 4,096 rows at a time.
+                end = cut if begin + 4096 >= cut else int(np.searchsorted(now[0], now[0][begin + 4096]))
                 end = end if end > begin else cut
                 yield sets(*[x[begin:end] for x in now])
                 begin = end
         if rest is not None and len(rest[0]):
             yield sets(*rest)
 
-    return rows.mapInArrow(task, "node long, other long, d float")
+    return rows.mapInArrow(task, "node long, other long, d double")
 
 
-def neighbour_graph(classes: DataFrame, dim: int, rounds: int, scratch: Scratch, seed: int = 5) -> DataFrame:
-    """(node, other, d): about the NEIGHBOURS nearest of every class."""
-    total = classes.select(F.avg(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("s")).first()["s"]
-    nodes = scratch.keep(small_vectors(classes, 4.5 * (total / dim) ** 0.5 / 127))
+def neighbour_graph(classes: DataFrame, dim: int, settled: float, scratch: Scratch, seed: int = 5) -> DataFrame:
+    """(node, other, d, fresh): about the NEIGHBOURS nearest of every class."""
+    nodes = scratch.keep(small_vectors(classes, medians(classes)))
     graph = scratch.keep(first_graph(nodes, dim, seed))
-    for step in range(rounds):
+    # Links only get shorter, so this ends.
+    for step in itertools.count():
         worst = graph.groupBy("node").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
-        state = nodes.join(worst, "node", "left").select("node", F.when(F.col("n") >= NEIGHBOURS, F.col("worst")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"), "small")
+        state = nodes.join(worst, "node", "left").select("node", F.when(F.col("n") >= NEIGHBOURS, F.col("worst")).otherwise(F.lit(float("inf"))).alias("worst"), "small")
         rank = F.row_number().over(W.partitionBy("hub").orderBy(F.xxhash64("hub", "node", F.lit(step)), "node"))
         named = graph.select(F.col("other").alias("hub"), "node").withColumn("r", rank).where(F.col("r") <= NAMED_BY).drop("r")
         sets = graph.select(F.col("node").alias("hub"), F.col("other").alias("node")).union(named)
         sets = sets.union(nodes.select(F.col("node").alias("hub"), "node")).distinct()
         rows = sets.join(state, "node").select("hub", "node", "worst", "small").repartition("hub").sortWithinPartitions("hub")
-        new = scratch.keep(best(graph.union(compare_sets(rows, dim)), NEIGHBOURS))
+        compared = compare_sets(rows, dim).withColumn("fresh", F.lit(True))
+        new = scratch.keep(best(graph.withColumn("fresh", F.lit(False)).union(compared), NEIGHBOURS))
         scratch.drop(graph)
         graph = new
-    return graph
+        links = graph.agg(F.count_if("fresh").alias("fresh"), F.count("*").alias("n")).first()
+        if links["fresh"] <= settled * links["n"]:
+            return graph
 
 
 def search(queries: DataFrame, classes: DataFrame, graph: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -227,7 +245,7 @@ def search(queries: DataFrame, classes: DataFrame, graph: DataFrame, k: int, scr
 
 
 def nearest(
-    table: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", rounds: int = ROUNDS
+    table: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", settled: float = SETTLED
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest other rows found, for every usable row where queries holds."""
     spark = table.sparkSession
@@ -238,7 +256,7 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vector") == length["n"])
     classes = scratch.keep(classes_of(rows.select("id", "vector").distinct(), k))
-    graph = neighbour_graph(classes, length["n"], rounds, scratch)
+    graph = neighbour_graph(classes, length["n"], settled, scratch)
     asked = scratch.keep(rows.where("asks").select("id", "vector").distinct().join(classes.select("node", "vector"), "vector").select("id", "node", "vector"))
     found = search(asked.select(F.col("node").alias("q"), "vector").distinct(), classes, graph, k, scratch)
     found = found.join(classes.select("node", "members"), "node").select("q", F.explode("members").alias("vec_id"), "score")

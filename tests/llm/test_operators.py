@@ -184,6 +184,32 @@ def test_nearest(spark):
     assert [(r["vec_id"], r["rank"]) for r in few] == [(1, 1)]
 
 
+def test_nearest_with_norms_of_any_size(spark):
+    """A third of the rows 300 times as long, one row 30,000 times, all around a far centre."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 24)) / 5
+    x[::3] *= 300
+    x[7] *= 30_000
+    x = (x + 40).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    scratch = Scratch(spark, "ann-test")
+    classes = scratch.keep(ann.classes_of(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10))
+    graph = defaultdict(set)
+    for r in ann.neighbour_graph(classes, 24, ann.SETTLED, scratch).collect():
+        graph[r["node"]].add(r["other"])
+    y = x.astype(float)
+    d = ((y[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    for third in range(3):
+        hits = [len(graph[i] & set(np.argsort(d[i])[:10].tolist())) for i in range(third, 1500, 3)]
+        # The graph alone, before any search.
+        assert np.mean(hits) >= 8.0, (third, np.mean(hits))
+    got = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert np.mean([len(got[q] & set(np.argsort(d[q])[:10].tolist())) for q in range(0, 1500, 100)]) >= 9.0
+
+
 def brute_bm25(rows, q, k):
     tf = {i: Counter(re.findall(r"\w+", (t or "").lower())) for i, t in rows}
     length = {i: sum(c.values()) for i, c in tf.items()}
