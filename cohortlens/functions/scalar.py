@@ -10,7 +10,7 @@ CLIP = 1e-7
 PREVALENCE_CLIP = 1e-6
 
 
-def clip(x: Column, low: float, high: float) -> Column:
+def clip(x: Column, low: Column | float, high: Column | float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 

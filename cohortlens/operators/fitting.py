@@ -170,32 +170,27 @@ def calibration_ladder(df: DataFrame, model_keys: Sequence[str], internal: str)
     return df.join(table, keys).withColumn("p", affine(F.col("p"), F.col("slope"), F.col("offset"))).drop("slope", "offset")
 
 
-def platt_recovery(df: DataFrame, keys: Sequence[str], sizes: list[int], repeats: int, seed: int) -> DataFrame:
+def platt_recovery(df: DataFrame, keys: Sequence[str], record: str, sizes: list[int], repeats: int, seed: int, bins: int = 15) -> DataFrame:
     """keys, k, held_out_ece, sd: error on the rest after an affine fit on k labelled records, over repeats draws.
 
-    A task gets one key and k; its rows are that key's (y, p).
+    A draw is the first k records by a hash of record and repeat, so larger k add to smaller ones. Only drawn rows are shuffled and
+    fitted, k a task; the error comes from the bins of a key's distinct scores less those of the drawn rows. Null where none is held out.
     """
-    rows = df.select(*keys, "y", "p").withColumn("k", F.explode(F.array(*[F.lit(s) for s in sizes])))
-    schema = StructType([df.schema[c] for c in keys] + StructType.fromDDL("k int, held_out_ece double, sd double").fields)
-
-    def kernel(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["p", "y"])
-        y, p, k = g["y"].to_numpy(float), g["p"].to_numpy(), int(key[-1])
-        found = []
-        for r in range(repeats):
-            rng = np.random.default_rng(np.random.SeedSequence([seed, k, r]))
-            at = rng.permutation(len(y))
-            a, b = at[:k], at[k:]
-            if not len(b):
-                continue
-            slope, offset, _ = fit_affine(p[a], y[a], 1 - y[a])
-            q = 1 / (1 + np.exp(-(slope * _logit(p[b]) + offset)))
-            bins = np.minimum((q * 15).astype(int), 14)
-            found.append(np.abs(np.bincount(bins, q - y[b], 15)).sum() / len(b))
-        mean = float(np.mean(found)) if found else None
-        return pd.DataFrame([(*key, mean, float(np.std(found, ddof=1)) if len(found) > 1 else None)], columns=schema.names)
-
-    return rows.groupBy(*keys, "k").applyInPandas(kernel, schema)
+    rows = df.select(*keys, record, "y", F.round("p", DIGITS).alias("p")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = W.partitionBy(*keys, "repeat").orderBy(F.xxhash64(F.lit(seed), "repeat", record), record, "p", "y")
+    first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(sizes))
+    drawn = first.withColumn("k", F.explode(F.array(*[F.lit(s) for s in sizes]))).where(F.col("place") <= F.col("k"))
+    draw = [*keys, "k", "repeat"]
+    fits = _by_key(drawn, draw, "slope double, offset double, fitted boolean", lambda r: fit_affine(r["p"].to_numpy(), r["y"].to_numpy(float), 1.0 - r["y"].to_numpy(float)))
+    every = counts(df, keys).select(*keys, "p", "pos", (F.col("pos") + F.col("neg")).alias("n")).join(fits, list(keys))
+    less = drawn.select(*draw, "p", (-F.col("y").cast("double")).alias("pos"), F.lit(-1.0).alias("n")).join(fits, draw)
+    columns = [*draw, "p", "pos", "n", "slope", "offset"]
+    both = every.select(*columns).unionByName(less.select(*columns)).withColumn("p", affine(F.col("p"), F.col("slope"), F.col("offset")))
+    place = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")
+    gaps = both.groupBy(*draw, place).agg(F.sum(F.col("n") * F.col("p") - F.col("pos")).alias("gap"), F.sum("n").alias("n"))
+    errors = gaps.groupBy(*draw).agg(F.sum(F.abs("gap")).alias("gap"), F.sum("n").alias("n"))
+    ece = F.when(F.col("n") > 0, F.col("gap") / F.col("n"))
+    return errors.groupBy(*keys, "k").agg(F.avg(ece).alias("held_out_ece"), F.stddev_samp(ece).alias("sd"))
 
 
 def standardizer(df: DataFrame, columns: Sequence[str]) -> DataFrame:

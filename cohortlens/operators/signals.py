@@ -1,7 +1,7 @@
-"""Signals: moments, audits, windows and standardization as array expressions; filters, beats and features in tasks.
+"""Signals: moments, audits, windows and standardization as array expressions; filters and peaks in tasks.
 
-A record's signal is array<array<float>>, a lead at a time. What arrays can say stays in the JVM; the beat features of one
-record are a small NumPy helper, called batch by batch.
+A record's signal is array<array<float>>, a lead at a time. What arrays can say stays in the JVM; the filter and the peak search
+of one record are small NumPy helpers, called batch by batch. Beat features are in beats.py.
 """
 
 from __future__ import annotations
@@ -156,95 +156,6 @@ def r_peaks(x: np.ndarray, rate: float) -> np.ndarray:
     return np.unique(np.array(out, int))
 
 
-FEATURES = (
-    "heart_rate", "rr_mean", "rr_sd", "rr_rmssd", "rr_min", "rr_max", "beats", "qrs_ms", "qrs_axis", "r_amplitude", "s_amplitude", "pr_ms", "p_amplitude",
-    "p_present", "qt_ms", "t_amplitude", "t_sign", "st_level", "voltage_limb", "voltage_chest", "flat_leads", "no_beats",
-)
-
-
-def crossing(x: np.ndarray, start: int, step: int, level: float, most: int) -> float | None:
-    """Where |x| falls under a level, walking from start; between samples by interpolation; null if it never does."""
-    for k in range(most):
-        i, j = start + k * step, start + (k + 1) * step
-        if not (0 <= j < len(x)):
-            return None
-        a, b = abs(x[i]), abs(x[j])
-        if b < level <= a:
-            return i + step * (a - level) / (a - b)
-    return None
-
-
-def features(signal: np.ndarray, rate: float) -> list[float | None]:
-    """FEATURES of one record [leads, samples]; what can't be measured is null, never filled in."""
-    out: dict[str, float | None] = dict.fromkeys(FEATURES)
-    x = np.nan_to_num(signal.astype(float))
-    flat = x.std(axis=1) < 1e-6
-    out["flat_leads"], out["no_beats"] = float(flat.sum()), 1.0
-    rhythm = 1 if len(x) > 1 and not flat[1] else int(x.var(axis=1).argmax())
-    clean = np.array([bandpass(v, 0.5, 40.0, rate) for v in x])
-    peaks = r_peaks(x[rhythm], rate)
-    out["beats"] = float(len(peaks))
-    out["voltage_limb"], out["voltage_chest"] = float(np.ptp(clean[:6], axis=1).mean()), float(np.ptp(clean[6:], axis=1).mean()) if len(x) > 6 else None
-    if len(peaks) < 3:
-        return [out[f] for f in FEATURES]
-    out["no_beats"] = 0.0
-    rr = np.diff(peaks) / rate
-    out |= {"heart_rate": 60 / float(np.median(rr)), "rr_mean": float(rr.mean()), "rr_sd": float(rr.std()), "rr_min": float(rr.min()), "rr_max": float(rr.max())}
-    out["rr_rmssd"] = float(np.sqrt(np.mean(np.diff(rr) ** 2))) if len(rr) > 1 else None
-    before, after = int(0.3 * rate), int(min(0.5, 0.7 * np.median(rr)) * rate)
-    inside = [p for p in peaks if p - before >= 0 and p + after < x.shape[1]]
-    if not inside:
-        return [out[f] for f in FEATURES]
-    beat = np.median([clean[:, p - before : p + after] for p in inside], axis=0)
-    # The level just before the complex; further back the last beat's end may reach in.
-    base = np.median(beat[:, before - int(0.09 * rate) : before - int(0.05 * rate)], axis=1)
-    beat = beat - base[:, None]
-    own = beat[rhythm]
-    slope = np.abs(np.gradient(own))
-    level = 0.15 * slope[before - int(0.05 * rate) : before + int(0.05 * rate) + 1].max()
-    reach = int(0.1 * rate)
-    left, right = crossing(slope, before - 1, -1, level, reach), crossing(slope, before + 1, 1, level, reach)
-    out["r_amplitude"], out["s_amplitude"] = float(own.max()), float(own[before : before + reach].min())
-    if left is not None and right is not None:
-        out["qrs_ms"] = float(right - left) / rate * 1000
-    window = slice(before - int(0.05 * rate), before + int(0.05 * rate) + 1)
-    if len(x) >= 6:
-        net = beat[:, window].max(axis=1) + beat[:, window].min(axis=1)
-        out["qrs_axis"] = float(np.degrees(np.arctan2(2 * net[5] / np.sqrt(3), net[0])))
-    p_part = own[: max(3, before - int(0.06 * rate))]
-    top = int(np.argmax(p_part))
-    present = p_part[top] > max(0.03, 0.04 * abs(own[before]))
-    out["p_present"] = float(present)
-    if present:
-        start = crossing(p_part, top, -1, 0.2 * p_part[top], top)
-        out["p_amplitude"] = float(p_part[top])
-        if start is not None and left is not None:
-            out["pr_ms"] = (left - start) / rate * 1000
-    first = before + int(0.12 * rate)
-    t_part = own[first:]
-    if len(t_part) > 4:
-        at = int(np.argmax(np.abs(t_part)))
-        out["t_amplitude"], out["t_sign"] = float(t_part[at]), float(np.sign(t_part[at]))
-        out["st_level"] = float(own[min(len(own) - 1, before + int(0.08 * rate))])
-        end = crossing(t_part, at, 1, 0.15 * abs(t_part[at]), len(t_part))
-        if end is not None and left is not None:
-            out["qt_ms"] = (first + end - left) / rate * 1000
-    return [out[f] for f in FEATURES]
-
-
-def feature_table(df: DataFrame, record: str, signal: str = "signal", rate: float = 100.0) -> DataFrame:
-    """record and FEATURES, a batch of records at a time."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [features(np.array(s.as_py(), float), rate) if s.is_valid else [None] * len(FEATURES) for s in b.column(1)]
-            columns = [pa.array(c, pa.float64()) for c in zip(*rows)] if rows else [pa.array([], pa.float64())] * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], [record, *FEATURES])
-
-    kind = dict(df.dtypes)[record]
-    return df.select(record, signal).mapInArrow(task, f"{record} {kind}, " + ", ".join(f"{f} double" for f in FEATURES))
-
-
 def score_records(df: DataFrame, record: str, labels: list[str], scorer, signal: str = "signal", length: int = 1000, width: int = 250, count: int = 10) -> DataFrame:
     """record, label, p: the mean over equidistant windows of a scorer's probabilities.
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, scalar
 from ..operators import discrimination as D
-from ..operators import expect
+from ..operators import beats, expect, fitting, signals
 from ..operators import calibration as C
-from ..operators import fitting, signals
 from ..sources.adapters import orders, people, predictions
 from .registry import query, rounded
 
@@ -129,7 +128,7 @@ def x20(spark, sf_dir):
     """Beat features of stand-in signals; the tests plant beats and find them again."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     wide = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 16))
-    return signals.feature_table(e.select("vec_id", F.array(*[wide] * 8).alias("signal")), "vec_id")
+    return beats.feature_table(e.select("vec_id", F.array(*[wide] * 12).alias("signal")), "vec_id")
 
 
 @query("w05_differences", "SELECT user_id, event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) + 0 AS change FROM events")
@@ -196,7 +195,7 @@ def q23(spark, sf_dir):
 
 @query("q25_recovery_curve")
 def q25(spark, sf_dir):
-    return fitting.platt_recovery(predictions(spark, sf_dir).where("cohort = 'O' and label <> 'never'"), ["model", "label"], [100, 250, 500, 1000], 50, 7)
+    return fitting.platt_recovery(predictions(spark, sf_dir).where("cohort = 'O' and label <> 'never'"), ["model", "label"], "record_id", [100, 250, 500, 1000], 50, 7)
 
 
 @query("e08_logistic_baseline")

@@ -1,5 +1,7 @@
 """Laws that hold whatever the data: weights, ties, identities, closed forms, planted signals."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +11,7 @@ from cohortlens.functions import parse, scalar
 from cohortlens.operators import bootstrap as B
 from cohortlens.operators import calibration as C
 from cohortlens.operators import discrimination as D
-from cohortlens.operators import expect, fitting, labels, shift, signals, utility
+from cohortlens.operators import beats, expect, fitting, labels, shift, signals, utility
 from cohortlens.sources import files
 from cohortlens.streaming.windowed import windowed_bins
 
@@ -231,21 +233,64 @@ def planted(rate, seconds=10, hz=100, qrs=0.012):
     return x
 
 
-def test_planted_rate_is_found():
-    for rate in (50, 75, 110):
-        signal = np.stack([planted(rate) * s for s in (0.8, 1.0, 0.2, -0.9, 0.3, 0.6, 0.3, 0.5, 0.7, 0.9, 0.8, 0.6)])
-        got = dict(zip(signals.FEATURES, signals.features(signal, 100.0)))
-        assert got["heart_rate"] == pytest.approx(rate, rel=0.03)
-        assert got["p_present"] == 1.0 and got["t_sign"] == 1.0
-    silent = dict(zip(signals.FEATURES, signals.features(np.zeros((12, 1000)), 100.0)))
-    assert silent["no_beats"] == 1.0 and silent["heart_rate"] is None
+def beat_rows(spark, *records):
+    rows = spark.createDataFrame([(i, None if r is None else [[float(v) for v in lead] for lead in r]) for i, r in enumerate(records)], "id int, signal array<array<double>>")
+    return [r.asDict() for r in beats.feature_table(rows, "id").orderBy("id").collect()]
+
+
+SCALES = (0.8, 1.0, 0.2, -0.9, 0.3, 0.6, 0.3, 0.5, 0.7, 0.9, 0.8, 0.6)
+
+
+def test_planted_rate_is_found(spark):
+    rates = (50, 75, 110)
+    broken = np.stack([planted(75)] * 12)
+    broken[3, 7] = np.nan
+    *found, silent, none, short, unclean = beat_rows(spark, *[np.stack([planted(r) * s for s in SCALES]) for r in rates], np.zeros((12, 1000)), None, np.stack([planted(75)] * 3), broken)
+    for rate, got in zip(rates, found):
+        assert got["heart_rate_bpm"] == pytest.approx(rate, rel=0.03)
+        assert got["r_peak_detection_failed"] == 0.0 and got["t_amplitude_ii_mv"] == pytest.approx(0.3, abs=0.05)
+        assert got["frontal_axis_degrees"] == pytest.approx(math.degrees(math.atan2(0.6, 0.8)), abs=2) and got["r_amplitude_i_mv"] == pytest.approx(0.96, abs=0.1)
+        # At 110 a minute the last beat's T wave, the larger one, reaches into the part searched: no P wave is measured.
+        assert (got["pr_interval_ms"] is None) == (got["pr_interval_missing"] == 1.0) == (rate == 110)
+        assert rate == 110 or 120 <= got["pr_interval_ms"] <= 200
+    for got in (silent, none, short, unclean):
+        flags = {"r_peak_detection_failed": 1.0, "pr_interval_missing": 1.0, "qt_interval_missing": 1.0}
+        assert {k: v for k, v in got.items() if v is not None and k != "id"} == flags
 
 
-def test_wider_beats_measure_wider():
-    width = [dict(zip(signals.FEATURES, signals.features(np.stack([planted(70, qrs=q)] * 12), 100.0)))["qrs_ms"] for q in (0.012, 0.03)]
+def test_wider_beats_measure_wider(spark):
+    width = [r["qrs_duration_ms"] for r in beat_rows(spark, *[np.stack([planted(70, qrs=q)] * 12) for q in (0.012, 0.03)])]
     assert width[1] > width[0]
 
 
+def test_array_quantiles_and_crossings(spark):
+    x = F.col("x")
+    rows = spark.createDataFrame([([3.0, 1.0, 2.0, 9.0],), ([],), ([5.0],)], "x array<double>")
+    assert [r[0] for r in rows.select(beats.array_quantile(x, 0.2)).collect()] == [pytest.approx(np.quantile([3, 1, 2, 9], 0.2)), None, 5.0]
+    walk = spark.createDataFrame([([4.0, 3.0, 1.0, 2.0],)], "x array<double>")
+    cross = lambda level, strict: walk.select(beats.crossing(x, F.lit(0), 1, F.lit(level), F.lit(3), strict)).first()[0]
+    assert cross(2.0, True) == pytest.approx(1.5) and cross(0.5, True) is None and cross(0.5, False) == 3.0
+
+
+def test_recovery_equals_its_rows_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    p = rng.uniform(0.05, 0.95, 300).round(3)
+    y = (rng.uniform(size=300) < p**2).astype(int)
+    df = spark.createDataFrame([("a", i, int(y[i]), float(p[i])) for i in range(300)], "key string, id int, y int, p double")
+    got = {r["k"]: r for r in fitting.platt_recovery(df, ["key"], "id", [40, 90, 300], 4, 7).collect()}
+    places = df.select("id", F.array(*[F.xxhash64(F.lit(7), F.lit(r), "id") for r in range(4)]).alias("h")).orderBy("id").collect()
+    for k in (40, 90):
+        errors = []
+        for r in range(4):
+            at = sorted(range(300), key=lambda i: (places[i]["h"][r], i))
+            a, b = at[:k], at[k:]
+            slope, offset, _ = fitting.fit_affine(p[a], y[a].astype(float), 1.0 - y[a])
+            q = 1 / (1 + np.exp(-(slope * np.log(p[b] / (1 - p[b])) + offset)))
+            errors.append(sum(abs((q - y[b])[np.minimum((q * 15).astype(int), 14) == n].sum()) for n in range(15)) / len(b))
+        assert got[k]["held_out_ece"] == pytest.approx(np.mean(errors)) and got[k]["sd"] == pytest.approx(np.std(errors, ddof=1))
+    assert got[300]["held_out_ece"] is None
+
+
 def test_decoding_and_scoring(spark):
     raw = np.arange(24, dtype="<i2").reshape(2, 12).tobytes()
     got = signals.decode_int16(spark.createDataFrame([(1, bytearray(raw))], "id int, content binary")).first()["digital"]
