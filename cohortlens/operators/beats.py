@@ -44,14 +44,14 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def array_quantile(x: Column, q: float) -> Column:
-    """Linear between neighbours; null of an empty array."""
+    """Linear between neighbours; null of an empty array. sort_array compares natively, array_sort by a lambda."""
 
     def pick(s: Column) -> Column:
         place = (F.size(s) - 1) * F.lit(q)
         low, high = F.get(s, F.floor(place).cast("int")), F.get(s, F.ceil(place).cast("int"))
         return low + (high - low) * (place - F.floor(place))
 
-    return F.when(F.size(x) > 0, let(F.array_sort(x), pick))
+    return let(F.sort_array(x), lambda s: F.when(F.size(s) > 0, pick(s)))
 
 
 def first_peak(x: Column) -> Column:
@@ -80,19 +80,24 @@ def crossing(x: Column, start: Column, step: int, level: Column, most: Column, s
 def filtered(df: DataFrame, record: str, signal: str, rate: float) -> DataFrame:
     """record, wave (leads without their slow drift; null if the record can't be used) and peaks."""
 
-    def one(raw: list | None) -> tuple[list | None, list[int]]:
-        if raw is None or len(raw) != len(LEADS) or any(v is None or not len(v) for v in raw) or len({len(v) for v in raw}) > 1:
-            return None, []
-        x = np.array(raw, float)
+    def one(raw: pa.ListArray | None) -> tuple[list[np.ndarray] | None, np.ndarray]:
+        none = None, np.empty(0, np.int32)
+        if raw is None or len(raw) != len(LEADS) or raw.null_count:
+            return none
+        lengths = set(raw.value_lengths().to_pylist())
+        if len(lengths) > 1 or lengths == {0}:
+            return none
+        x = raw.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(LEADS), -1)
         if not np.isfinite(x).all():
-            return None, []
+            return none
         power = np.array([bandpass(v, 5.0, 25.0, rate).var() for v in x])
         rhythm = 1 if power[1] >= FLAT else int(power.argmax())
-        return [bandpass(v, 0.5, rate, rate).tolist() for v in x], r_peaks(x[rhythm], rate).tolist() if power[rhythm] >= FLAT else []
+        peaks = r_peaks(x[rhythm], rate) if power[rhythm] >= FLAT else none[1]
+        return [bandpass(v, 0.5, rate, rate) for v in x], peaks.astype(np.int32)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [one(s.as_py()) for s in b.column(1)]
+            found = [one(s.values) for s in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([w for w, _ in found], pa.list_(pa.list_(pa.float64()))), pa.array([p for _, p in found], pa.list_(pa.int32()))], [record, "wave", "peaks"]
             )

@@ -268,8 +268,8 @@ def a38(spark, sf_dir):
 BOOT_AUC = f"""{WEIGHTS}, {boot_sql("SELECT * FROM {PRED} WHERE label <> 'never'", "cohort, model, label")}"""
 
 
-def boot(spark, sf_dir):
-    return B.replicate_auroc(predictions(spark, sf_dir).where("label <> 'never'"), KEYS, REPLICATES)
+def boot(spark, sf_dir, replicates=REPLICATES):
+    return B.replicate_auroc(predictions(spark, sf_dir).where("label <> 'never'"), KEYS, replicates)
 
 
 @query("q09_per_label_intervals", f"WITH {BOOT_AUC} SELECT cohort, model, label, round(quantile_cont(auroc, 0.025), 6) AS lower, round(quantile_cont(auroc, 0.975), 6) AS upper, round(quantile_cont(auroc, 0.5), 6) AS median, round(AVG(auroc), 6) AS mean, COUNT(auroc) AS defined FROM boot GROUP BY ALL")
@@ -297,15 +297,15 @@ P_VALUES = """dl AS (SELECT b.cohort, model, label, b.auroc - a.auroc AS change
  pv AS (SELECT cohort, model, label, LEAST(1, 2 * LEAST((lo + 1) / CAST(n + 1 AS DOUBLE), (hi + 1) / CAST(n + 1 AS DOUBLE))) AS p_value FROM kp)"""
 
 
-def shift_changes(spark, sf_dir):
+def shift_changes(spark, sf_dir, replicates=REPLICATES):
     """Every external cohort's AUROC less the internal one's, by label and replicate."""
-    reps = boot(spark, sf_dir)
+    reps = boot(spark, sf_dir, replicates)
     inner = reps.where("cohort = 'F'").select("replicate", "model", "label", F.col("auroc").alias("inside"))
     return reps.where("cohort <> 'F'").join(inner, ["replicate", "model", "label"]).withColumn("change", F.col("auroc") - F.col("inside"))
 
 
-def shift_p(spark, sf_dir):
-    return B.p_value(shift_changes(spark, sf_dir), KEYS, "change")
+def shift_p(spark, sf_dir, replicates=REPLICATES):
+    return B.p_value(shift_changes(spark, sf_dir, replicates), KEYS, "change")
 
 
 @query("a39_bootstrap_p", f"WITH {BOOT_AUC}, {P_VALUES} SELECT cohort, model, label, round(p_value, 6) AS p_value FROM pv")
@@ -320,6 +320,19 @@ def w04(spark, sf_dir):
     return rounded(B.benjamini_hochberg(shift_p(spark, sf_dir), ["model"], "p_value", ["cohort", "label"]).select(*KEYS, "p_value", "q"))
 
 
+@query("q09_registered_intervals")
+def q09_registered(spark, sf_dir):
+    """By a study's full 2,000 replicates, for which SQL takes minutes; a test holds their statistics against brute force."""
+    return rounded(B.interval(boot(spark, sf_dir, B.REPLICATES), KEYS, "auroc"))
+
+
+@query("q16_registered_p")
+def q16_registered(spark, sf_dir):
+    """p and q of every label's shift by a study's full 2,000 replicates; the least p is 2 / 2,001."""
+    found = shift_p(spark, sf_dir, B.REPLICATES)
+    return rounded(B.benjamini_hochberg(found, ["model"], "p_value", ["cohort", "label"]).select(*KEYS, "p_value", "q"))
+
+
 ECE_BOOT = """t AS (SELECT cluster_id, cohort, model, LEAST(CAST(FLOOR(p * 15) AS INT), 14) AS bin, COUNT(*) AS n, SUM(y) AS sy, SUM(p) AS sp, SUM((p - y) * (p - y)) AS sq FROM {PRED} GROUP BY ALL), ws AS (SELECT cohort, model, replicate, bin, SUM(w * n) AS n, SUM(w * sy) AS sy, SUM(w * sp) AS sp, SUM(w * sq) AS sq FROM t JOIN w USING (cluster_id) GROUP BY ALL),
  eboot AS (SELECT cohort, model, replicate, SUM(ABS(sy - sp)) / SUM(n) AS ece, SUM(sq) / SUM(n) AS brier FROM ws WHERE n > 0 GROUP BY ALL)"""
 
