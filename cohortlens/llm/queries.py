@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_sql
+from .collocations import collocations_sql
 from .common import Scratch, table
+from .prefix_trie import trie_sql
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -89,6 +92,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), folder, tokenizer_path(), 49_407)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    log = chat.log_of(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
+    return chat.digests(chat.read_back(chat.render(chat.fold(log))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_packing": op2_packing,
@@ -100,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bm25": op8_bm25,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
+    "op13_chat_format": op13_chat_format,
 }
 
 def licenses_sql() -> str:
@@ -133,4 +158,4 @@ SELECT doc_id, sentences, coalesce(array_to_string(ids, ','), '') AS identifiers
 FROM named LEFT JOIN kept USING (r)"""
 
 
-ORACLES: dict[str, str] = {"op3_licenses": licenses_sql()}
+ORACLES: dict[str, str] = {"op3_licenses": licenses_sql(), "op11_prefix_trie": trie_sql(), "op12_collocations": collocations_sql(), "op13_chat_format": format_sql()}
