@@ -32,6 +32,8 @@ from .common import Scratch
 SHARD, CHUNK = 1 << 21, 1 << 22
 #: Most bits of the map of frequent hashes (64 MB), and bits a frequent hash.
 BITS, BITS_EACH = 1 << 29, 16
+#: Longest substrings that the first pass counts.
+MAPPED = 2
 #: Bits of one part of the map.
 PART = 1 << 18
 #: A to Z become small letters, a tab a blank, and what ends a piece a full stop; no other byte changes.
@@ -95,7 +97,7 @@ class Automaton:
             self.hash[d] = mixed(self.hash[d - 1][self.prefix[d]] * np.uint64(0x2545F4914F6CDD1D) + self.hash[1][self.last[d]])
             here = np.full(len(places), -1, np.int64)
             here[ends] = number
-            if bits is not None and d < depth:
+            if bits is not None and d <= MAPPED:
                 gone = ~is_set(bits, self.hash[d])[number]
                 here[ends[gone]] = -1
             self.at[d] = here
@@ -107,7 +109,7 @@ class Automaton:
     def live(self, d: int, bits: np.ndarray | None) -> np.ndarray:
         """Substrings of level d that occur in the shard's own part and may be frequent."""
         keep = self.count[d] > 0
-        return np.flatnonzero(keep & is_set(bits, self.hash[d]) if bits is not None and d < max(self.count) else keep)
+        return np.flatnonzero(keep & is_set(bits, self.hash[d]) if bits is not None and d <= MAPPED else keep)
 
 
 def is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -174,9 +176,9 @@ def word_hashes(words: list[tuple[int, bytes]], langs: list[str]) -> np.ndarray:
 
 def count_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First pass: hash and count of words and pairs."""
-    for places, own_from, words, langs in shards(batches, 2):
-        m = Automaton(places, own_from, word_hashes(words, langs), 2)
-        for d in (1, 2):
+    for places, own_from, words, langs in shards(batches, MAPPED):
+        m = Automaton(places, own_from, word_hashes(words, langs), MAPPED)
+        for d in range(1, MAPPED + 1):
             keep = m.live(d, None)
             yield pa.RecordBatch.from_arrays([pa.array(m.hash[d][keep].view(np.int64)), pa.array(m.count[d][keep])], ["hash", "n"])
 

@@ -40,7 +40,7 @@ def test_equals_sql(spark, name):
 def fold_by_hand(events):
     """The contract of fold(), one event after another."""
     order = lambda e: tuple((x is not None, x) for x in e)
-    events = [e for i, e in enumerate(s := sorted(events, key=order)) if i == 0 or e != s[i - 1]]
+    events = sorted(set(events), key=order)
     text, role, opened, gone = {}, {}, [], set()
     for _, kind, m, r, t in events:
         if kind == "message" and m not in text:
