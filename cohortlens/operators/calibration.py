@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import binary_nll
+from .discrimination import quantiles
 
 BINS = 15
 
@@ -72,8 +73,7 @@ def mean_nll(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def equal_mass_bins(df: DataFrame, keys: Sequence[str], bins: int = BINS) -> DataFrame:
     """Adds bin: quantile bins whose equal edges are merged, so tied scores stay together."""
-    cuts = [F.lit(k / bins) for k in range(1, bins)]
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile("p", F.array(*cuts))).alias("edges"))
+    edges = quantiles(df, keys, "p", [k / bins for k in range(1, bins)]).select(*keys, F.array_distinct("q").alias("edges"))
     return df.join(edges, list(keys)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("p")))).drop("edges")
 
 
@@ -83,8 +83,8 @@ def equal_mass_calibration(df: DataFrame, keys: Sequence[str], bins: int = BINS)
 
 def constant_floor(df: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
     """Calibration of the predictor that says each label's prevalence."""
-    rate = F.avg("y").over(W.partitionBy(*keys, label))
-    return calibration_summary(df.withColumn("p", rate), keys, label)
+    rates = df.groupBy(*keys, label).agg(F.avg("y").alias("p"))
+    return calibration_summary(df.drop("p").join(rates, [*keys, label]), keys, label)
 
 
 def shares(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

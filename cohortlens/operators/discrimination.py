@@ -29,10 +29,21 @@ def score_bucket(p: Column) -> Column:
     return F.when(p <= 0, 0).when(p >= 1, BUCKETS - 1).otherwise(inside).cast("int")
 
 
+def spread_buckets(counts: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
+    """Adds bucket by sampled quantiles of a key's values, for values of any range: equal ones share a bucket, and it never falls as they rise."""
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(p, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("cuts"))
+    rows = counts.join(cuts, list(keys)) if keys else counts.join(F.broadcast(cuts), F.lit(True))
+    return rows.withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(p))).cast("int")).drop("cuts")
+
+
 def running(counts: DataFrame, keys: Sequence[str], columns: dict[str, str], p: str = "p", falling: bool = False) -> DataFrame:
-    """counts (distinct keys and p) with running sums of columns up to and with each score, from the top if falling."""
+    """counts (distinct keys and p) with running sums of columns up to and with each score, from the top if falling.
+
+    Where counts have a column bucket, as spread_buckets() adds it, that is taken; else scores are dealt by their logit.
+    """
     towards = (lambda c: F.desc(c)) if falling else (lambda c: F.asc(c))
-    counts = counts.withColumn("bucket", score_bucket(F.col(p)))
+    if "bucket" not in counts.columns:
+        counts = counts.withColumn("bucket", score_bucket(F.col(p)))
     totals = counts.groupBy(*keys, "bucket").agg(*[F.sum(c).alias(f"all_{c}") for c in columns])
     # At most BUCKETS rows a key
     earlier = W.partitionBy(*keys).orderBy(towards("bucket")).rowsBetween(W.unboundedPreceding, -1)
@@ -49,9 +60,28 @@ def score_counts(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p",
     )
 
 
-def auroc(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
-    """keys, auroc, pos, neg; ties count half; null with one class only."""
-    counts = score_counts(df, keys, y, p, weight).withColumn("bucket", score_bucket(F.col(p)))
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """keys, n and q (an entry a prob): exact quantiles with linear interpolation over values neither null nor NaN, from counts of distinct values.
+
+    No key's values meet in one task: counts are summed on the map side and run up by buckets. Keys without values have no row.
+    """
+    v = F.col(value).cast("double") + F.lit(0.0)
+    counts = df.select(*keys, v.alias("value_")).where("value_ is not null and not isnan(value_)").groupBy(*keys, "value_").agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("n_all"))
+    scan = running(spread_buckets(counts, keys, "value_"), keys, {"n": "upto"}, "value_")
+    scan = scan.join(totals, list(keys)) if keys else scan.join(F.broadcast(totals), F.lit(True))
+    at = [(F.col("n_all") - 1) * F.lit(float(q)) for q in probs]
+    reach = lambda i: F.min(F.when(F.col("upto") > i, F.col("value_")))
+    ends = [c for i, h in enumerate(at) for c in (reach(F.floor(h)).alias(f"low{i}"), reach(F.floor(h) + 1).alias(f"high{i}"))]
+    out = scan.groupBy(*keys, "n_all").agg(*ends)
+    between = [F.col(f"low{i}") + (F.coalesce(f"high{i}", f"low{i}") - F.col(f"low{i}")) * (h - F.floor(h)) for i, h in enumerate(at)]
+    return out.select(*keys, F.col("n_all").alias("n"), F.array(*between).alias("q"))
+
+
+def auroc(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", weight: str | None = None, any_range: bool = False) -> DataFrame:
+    """keys, auroc, pos, neg; ties count half; null with one class only. any_range: scores are no probabilities, so buckets follow their quantiles."""
+    counts = score_counts(df, keys, y, p, weight)
+    counts = spread_buckets(counts, keys, p) if any_range else counts.withColumn("bucket", score_bucket(F.col(p)))
     inside = W.partitionBy(*keys, "bucket").orderBy(p).rowsBetween(W.unboundedPreceding, W.currentRow)
     counts = counts.withColumn("below", F.sum("neg").over(inside) - F.col("neg"))
     parts = counts.groupBy(*keys, "bucket").agg(

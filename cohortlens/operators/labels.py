@@ -106,5 +106,8 @@ def failure_rates(df: DataFrame, keys: Sequence[str], failed: str) -> DataFrame:
 
 def rate_check(df: DataFrame, keys: Sequence[str], value: str, defining: Callable[[Column], Column]) -> DataFrame:
     """keys, used, defining_share, median over values that are neither null nor NaN."""
+    from .discrimination import quantiles
+
     v = F.when(~F.isnan(value), F.col(value))
-    return df.groupBy(*keys).agg(F.count(v).alias("used"), F.avg(F.when(v.isNotNull(), defining(v).cast("double"))).alias("defining_share"), F.median(v).alias("median"))
+    shares = df.groupBy(*keys).agg(F.count(v).alias("used"), F.avg(F.when(v.isNotNull(), defining(v).cast("double"))).alias("defining_share"))
+    return shares.join(quantiles(df, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("median")), list(keys), "left")

@@ -91,9 +91,9 @@ def spread(df: DataFrame, keys: Sequence[str], value: str, ensemble: str) -> Dat
 
 def score_separation(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, medians by class, the negatives' 99th percentile and the share of positives below it."""
-    cut = df.groupBy(*keys).agg(
-        F.median(F.when(F.col("y") == 1, F.col("p"))).alias("median_pos"), F.median(F.when(F.col("y") == 0, F.col("p"))).alias("median_neg"),
-        F.percentile(F.when(F.col("y") == 0, F.col("p")), 0.99).alias("neg_p99"),
-    )
+    from .discrimination import quantiles
+
+    own = lambda y, probs, *names: quantiles(df.where(F.col("y") == y), keys, "p", probs).select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    cut = df.select(*keys).distinct().join(own(1, [0.5], "median_pos"), list(keys), "left").join(own(0, [0.5, 0.99], "median_neg", "neg_p99"), list(keys), "left")
     below = df.join(cut, list(keys)).where("y = 1").groupBy(*keys).agg(F.avg((F.col("p") < F.col("neg_p99")).cast("double")).alias("pos_below"))
     return cut.join(below, list(keys), "left")

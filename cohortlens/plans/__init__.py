@@ -1,6 +1,6 @@
 """Composite analyses and the registered queries."""
 
-from . import composites, metrics, records, studies
+from . import baseline, composites, metrics, records, studies
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "composites", "metrics", "records", "studies"]
+__all__ = ["ORACLES", "QUERIES", "baseline", "composites", "metrics", "records", "studies"]
