@@ -11,6 +11,7 @@ holds a chunk of rows by replicates as a matrix, and hands on a vector a key and
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 
@@ -20,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from ..functions.scalar import affine
+from .calibration import bin_index, from_totals
 from .discrimination import from_buckets, score_bucket
 
 #: Replicates of a study.
@@ -114,6 +117,80 @@ def registered_weights(clusters: DataFrame, cohort: str, replicates: int, seed:
     return own.groupBy(cohort).applyInPandas(draw, StructType([*own.schema.fields, StructField("weights", ArrayType(IntegerType()))]))
 
 
+def stream_states(sizes: DataFrame, cohort: str, replicates: int, seed: int, every: int = 100) -> DataFrame:
+    """cohort, n, batch, state: where the registered stream of a cohort of n clusters stands before each batch of replicates.
+
+    The generator can't jump over multinomial draws, as they take varying amounts of randomness; so one task a cohort runs it once and
+    keeps a state a batch, no draws. From a state any task makes its batch's draws alone. sizes: cohort, n.
+    """
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rng, kept = np.random.default_rng(seed), []
+                for at in range(0, replicates, every):
+                    own = rng.bit_generator.state
+                    kept.append(json.dumps({**own, "state": {k: str(v) for k, v in own["state"].items()}}))
+                    for _ in range(min(every, replicates - at)):
+                        rng.multinomial(n, np.full(n, 1 / n))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(kept), batch.schema.types[0]), pa.array([n] * len(kept)), pa.array(range(len(kept)), pa.int32()), pa.array(kept)], [cohort, "n", "batch", "state"])
+
+    schema = StructType([sizes.schema[cohort], StructField("n", LongType()), StructField("batch", IntegerType()), StructField("state", StringType())])
+    return sizes.select(cohort, F.col("n").cast("long").alias("n")).repartition(cohort).mapInArrow(states, schema)
+
+
+def draws_from_states(states: DataFrame, cohort: str, replicates: int, every: int = 100, slice_: int = 100_000) -> DataFrame:
+    """cohort, batch, place, weights (an entry a replicate of the batch): every batch of every cohort in a task of its own, equal to the single stream."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for name, n, number, text in zip(*[rows.column(c).to_pylist() for c in (cohort, "n", "batch", "state")]):
+                state = json.loads(text)
+                rng = np.random.default_rng()
+                rng.bit_generator.state = {**state, "state": {k: int(v) for k, v in state["state"].items()}}
+                drawn = rng.multinomial(n, np.full(n, 1 / n), size=min(every, replicates - number * every)).astype(np.int32).T
+                for at in range(0, n, slice_):
+                    some = drawn[at : at + slice_]
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * drawn.shape[1], pa.int32()), pa.array(np.ascontiguousarray(some).ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), rows.schema.field(cohort).type), pa.array(np.full(len(some), number, np.int32)), pa.array(np.arange(at, at + len(some))), flat], [cohort, "batch", "place", "weights"])
+
+    schema = StructType([states.schema[cohort], StructField("batch", IntegerType()), StructField("place", LongType()), StructField("weights", ArrayType(IntegerType()))])
+    return states.repartition(cohort, "batch").mapInArrow(draw, schema)
+
+
+def spread_registered_weights(clusters: DataFrame, cohort: str, replicates: int, seed: int, cluster: str = "cluster_id", every: int = 100) -> DataFrame:
+    """cohort, cluster, batch, weights: registered_weights() made batch by batch in tasks of their own; cohorts are in lock step by batch."""
+    own = clusters.select(cohort, cluster).distinct()
+    sizes = own.groupBy(cohort).agg(F.count("*").alias("n"))
+    draws = draws_from_states(stream_states(sizes, cohort, replicates, seed, every), cohort, replicates, every)
+    return draws.join(cluster_places(own, cohort, cluster), [cohort, "place"]).select(cohort, cluster, "batch", "weights")
+
+
+def cluster_places(own: DataFrame, cohort: str, cluster: str) -> DataFrame:
+    """cohort, cluster, place (from 0 in order): ranges number their clusters, and the ranges' counts go before."""
+    dealt = own.repartitionByRange(cohort, cluster).withColumn("part", F.spark_partition_id())
+    inside = dealt.withColumn("own", F.row_number().over(W.partitionBy(cohort, "part").orderBy(cluster)) - 1)
+    counts = dealt.groupBy(cohort, "part").count()
+    earlier = W.partitionBy(cohort).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(cohort, "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    return inside.join(counts, [cohort, "part"]).select(cohort, cluster, (F.col("own") + F.col("before")).cast("long").alias("place"))
+
+
+def replicate_auroc_in_batches(df: DataFrame, keys: Sequence[str], weights: DataFrame, replicates: int, every: int = 100, cluster: str = "cluster_id") -> DataFrame:
+    """keys, replicate, auroc with weights that come in batches (cohort, cluster, batch, weights): a batch is one more key of the scan."""
+    short = replicates % every
+    whole = weights.where(F.size("weights") == every)
+    scans = [(whole, every)] + ([(weights.where(F.size("weights") == short), short)] if short else [])
+    out = None
+    for own, size in scans:
+        on = [c for c in own.columns if c not in ("batch", "weights")]
+        rows = df.join(own.select(*on, "batch"), on)
+        part = replicate_auroc(rows, [*keys, "batch"], size, cluster, own)
+        part = part.select(*keys, (F.col("batch") * every + F.col("replicate")).cast("int").alias("replicate"), "auroc")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def registered_stream(clusters: int, replicates: int, seed: int, batch: int = 100) -> Iterator[np.ndarray]:
     """The registered draws, batch by batch; they do not depend on the batch size."""
     rng = np.random.default_rng(seed)
@@ -212,21 +289,28 @@ class Scan:
 
 def replicate_auroc(df: DataFrame, keys: Sequence[str], replicates: int = REPLICATES, cluster: str = "cluster_id", weights: DataFrame | None = None) -> DataFrame:
     """keys, replicate, auroc by hash weights, or by weights (an array entry a replicate): one sort for all replicates."""
+    return replicate_scan(df, keys, (), replicates, cluster, weights).select(*keys, "replicate", "auroc")
+
+
+def replicate_scan(df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], replicates: int = REPLICATES, cluster: str = "cluster_id", weights: DataFrame | None = None) -> DataFrame:
+    """keys, replicate, auroc, pos, neg, and tp_i, fp_i at each threshold: rank and threshold sums of one sorted scan and one matrix of weights."""
     rows = df.groupBy(*{*keys, cluster, *(c for c in (weights.columns if weights is not None else []) if c != "weights")}, (F.col("p") + F.lit(0.0)).alias("p")).agg(
         F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")
     )
     rows = with_weights(rows, keys, cluster, weights).withColumn("bucket", score_bucket(F.col("p")))
     rows = rows.select(*keys, "bucket", F.xxhash64(*keys, "bucket").alias("group"), F.col("p").cast("double").alias("p"), "pos", "neg", "weights" if weights is not None else "cluster")
     rows = rows.repartition(*keys, "bucket").sortWithinPartitions(*keys, "bucket", "p")
-    sums = ("pos", "neg", "wins")
+    flags = [f"{kind}_{i}" for i in range(len(thresholds)) for kind in ("tp", "fp")]
+    sums = ("pos", "neg", "wins", *flags)
     schema = StructType([*[rows.schema[k] for k in keys], StructField("bucket", IntegerType()), *[StructField(c, ArrayType(DoubleType())) for c in sums]])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, scan, names = None, Scan(replicates), []
+        group, scan, names, over = None, Scan(replicates), [], np.zeros((len(flags), replicates))
 
         def out() -> Iterator[pa.RecordBatch]:
             if group is not None:
                 scan.close()
+                vars(scan).update(zip(flags, over))
                 yield pa.RecordBatch.from_arrays([*names, *[pa.array([getattr(scan, c)], pa.list_(pa.float64())) for c in sums]], schema.names)
 
         for whole in batches:
@@ -240,11 +324,36 @@ def replicate_auroc(df: DataFrame, keys: Sequence[str], replicates: int = REPLIC
                     if g[low] != group:
                         yield from out()
                         group, scan, names = g[low], Scan(replicates), [batch.column(i).slice(low, 1) for i in range(len(keys) + 1)]
+                        over = np.zeros((len(flags), replicates))
                     scan.add(p[low:high], pos[low:high], neg[low:high], w[low:high])
+                    for i, t in enumerate(thresholds):
+                        # Rows are in the order of their scores.
+                        first = low + int(np.searchsorted(p[low:high], t))
+                        over[2 * i] += pos[first:high] @ w[first:high]
+                        over[2 * i + 1] += neg[first:high] @ w[first:high]
         yield from out()
 
     parts = rows.mapInArrow(task, schema).select(*keys, "bucket", F.posexplode(F.arrays_zip(*sums)).alias("replicate", "s"))
-    return from_buckets(parts.select(*keys, "bucket", "replicate", "s.*"), [*keys, "replicate"]).select(*keys, "replicate", "auroc")
+    return from_buckets(parts.select(*keys, "bucket", "replicate", "s.*"), [*keys, "replicate"], flags)
+
+
+def rung_replicates(df: DataFrame, rungs: DataFrame, names: Sequence[str], keys: Sequence[str], replicates: int = REPLICATES, cluster: str = "cluster_id", weights: DataFrame | None = None) -> DataFrame:
+    """keys, rung, replicate, ece, brier, n: calibration error of every recalibration of the scores, never fitted again inside a replicate.
+
+    rungs: keys, rung, slope, offset on the logit (null: as they are). A row gives each rung's bin its share, so that the rungs are columns of
+    one basis by cluster and bin, and a weight meets them all in one product.
+    """
+    wide = rungs.groupBy(*keys).agg(*[F.max(F.when(F.col("rung") == r, F.struct("slope", "offset"))).alias(f"map_{i}") for i, r in enumerate(names)])
+    rows = df.join(wide, list(keys))
+    own = F.array(*[F.struct(F.lit(i).alias("i"), affine(F.col("p"), F.col(f"map_{i}.slope"), F.col(f"map_{i}.offset")).alias("q")) for i in range(len(names))])
+    rows = rows.select(*keys, cluster, "y", F.explode(own).alias("r")).select(*keys, cluster, "y", "r.*")
+    part = lambda i, v: F.sum(F.when(F.col("i") == i, v).otherwise(0.0))
+    columns = {f"{kind}_{i}": part(i, v) for i in range(len(names)) for kind, v in (("n", F.lit(1.0)), ("y", F.col("y").cast("double")), ("p", F.col("q")), ("sq", (F.col("q") - F.col("y")) ** 2))}
+    basis = rows.groupBy(*keys, cluster, bin_index(F.col("q")).alias("bin")).agg(*[v.alias(c) for c, v in columns.items()])
+    sums = replicate_sums(basis, [*keys, "bin"], list(columns), replicates, cluster, weights)
+    each = F.array(*[F.struct(F.lit(r).alias("rung"), F.col(f"n_{i}").alias("n"), F.col(f"y_{i}").alias("sum_y"), F.col(f"p_{i}").alias("sum_p"), F.col(f"sq_{i}").alias("sum_sq")) for i, r in enumerate(names)])
+    long = sums.select(*keys, "replicate", F.explode(each).alias("s")).select(*keys, "replicate", "s.*")
+    return from_totals(long, [*keys, "rung", "replicate"])
 
 
 def interval(df: DataFrame, keys: Sequence[str], value: str, level: float = 0.95) -> DataFrame:

@@ -90,12 +90,12 @@ def auroc(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", weight
     return from_buckets(parts, keys)
 
 
-def from_buckets(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, auroc, pos, neg of bucket sums; wins are pairs inside a bucket, half for ties."""
+def from_buckets(parts: DataFrame, keys: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """keys, auroc, pos, neg of bucket sums; wins are pairs inside a bucket, half for ties. Columns named in also are summed as they are."""
     earlier = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("wins", F.col("wins") + F.col("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
     return parts.groupBy(*keys).agg(
-        F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auroc"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+        F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auroc"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *[F.sum(c).alias(c) for c in also]
     ).withColumn("auroc", F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("auroc")))
 
 

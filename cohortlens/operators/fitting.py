@@ -123,8 +123,17 @@ def prevalences(df: DataFrame, source: DataFrame, keys: Sequence[str], label_key
     return out.withColumn("prevalence", F.nanvl("prevalence", F.lit(None).cast("double")))
 
 
+RUNGS = ("none", "temperature", "estimated_prior", "flagged_prior", "known_prior", "oracle_temperature", "oracle_label_temperature", "fitted_offset", "fitted_affine")
+
+
 def calibration_ladder(df: DataFrame, model_keys: Sequence[str], internal: str) -> DataFrame:
-    """Long predictions of each rung: none, one temperature, offsets by known or estimated prevalence, fitted offsets and affine maps.
+    """Long predictions of each rung of ladder_rungs(): a row becomes one row a rung."""
+    keys = ["cohort", *model_keys, "label"]
+    return df.join(ladder_rungs(df, model_keys, internal), keys).withColumn("p", affine(F.col("p"), F.col("slope"), F.col("offset"))).drop("slope", "offset")
+
+
+def ladder_rungs(df: DataFrame, model_keys: Sequence[str], internal: str) -> DataFrame:
+    """cohort, model keys, label, rung, slope, offset of RUNGS: none, one temperature, offsets by known or estimated prevalence, fitted offsets and affine maps.
 
     df: cohort, fold, model keys, label, y, p. Fold 9 of the internal cohort fits the rungs that may not see the target, folds up to 8
     give the source prevalence; the oracle and fitted rungs are fitted on the target itself, as ceilings. A rung is a table of slope and
@@ -167,7 +176,7 @@ def calibration_ladder(df: DataFrame, model_keys: Sequence[str], internal: str)
     for name, rung in rungs.items():
         rung = rung.withColumn("rung", F.lit(name))
         table = rung if table is None else table.unionByName(rung)
-    return df.join(table, keys).withColumn("p", affine(F.col("p"), F.col("slope"), F.col("offset"))).drop("slope", "offset")
+    return table
 
 
 def platt_recovery(df: DataFrame, keys: Sequence[str], record: str, sizes: list[int], repeats: int, seed: int, bins: int = 15) -> DataFrame:

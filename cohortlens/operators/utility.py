@@ -60,12 +60,13 @@ def from_basis(sums: DataFrame) -> DataFrame:
     return rows.withColumn("gain", F.col("net_benefit") - scalar.better_default(pos, n, t))
 
 
-def attach(grid: DataFrame, extra: DataFrame, at: str, digits: int = 6) -> DataFrame:
-    """grid with extra's columns where their points meet, else null; every point of extra is in the grid exactly once."""
+def attach(grid: DataFrame, extra: DataFrame, at: str, digits: int = 6, keys: Sequence[str] = ()) -> DataFrame:
+    """grid with extra's columns where their points meet, by keys, else null; every point of extra is in the grid exactly once."""
     from .expect import nothing, unique
 
     key = F.round(at, digits).alias("grid_key")
     left, right = grid.withColumn("grid_key", key), extra.select(key, *[c for c in extra.columns if c != at])
-    unique(left, ["grid_key"]), unique(right, ["grid_key"])
-    nothing(right.join(left, "grid_key", "left_anti").select("grid_key"), "not in the grid")
-    return left.join(right, "grid_key", "left").drop("grid_key")
+    on = [*keys, "grid_key"]
+    unique(left, on), unique(right, on)
+    nothing(right.join(left, on, "left_anti").select(*on), "not in the grid")
+    return left.join(right, on, "left").drop("grid_key")

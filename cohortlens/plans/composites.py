@@ -9,11 +9,12 @@ from ..functions import scalar
 from ..operators import bootstrap as B
 from ..operators import calibration as C
 from ..operators import discrimination as D
+from ..operators import fitting
 from ..operators import labels as L
 from ..operators import utility as U
 from ..sources.adapters import orders, people, predictions
 from .registry import query, rounded
-from .studies import ECE_BOOT, REPLICATES, WEIGHTS, BOOT_AUC, P_VALUES, boot, boot_sql, interval_sql, shift_changes
+from .studies import CURVE, ECE_BOOT, REPLICATES, WEIGHTS, BOOT_AUC, P_VALUES, boot, boot_sql, interval_sql, shift_changes
 
 KEYS = ["cohort", "model", "label"]
 UNIT = ["cohort", "model"]
@@ -188,6 +189,50 @@ def r03(spark, sf_dir):
     return rounded(wide.select(*keys, place.alias("place"), "size", "discount").orderBy("place", "factor", "level"))
 
 
+# --- recalibrated scores and fused passes
+
+RUNG_SQL = """src AS (SELECT model, label, AVG(y) AS source FROM {PRED} WHERE cohort = 'F' AND fold <= 8 GROUP BY ALL), tgt AS (SELECT cohort, model, label, AVG(y) AS target FROM {PRED} GROUP BY ALL),
+ clip AS (SELECT cohort, model, label, LEAST(GREATEST(source, 1e-6), 1 - 1e-6) AS s, LEAST(GREATEST(target, 1e-6), 1 - 1e-6) AS t FROM tgt JOIN src USING (model, label)),
+ rung AS (SELECT cohort, model, label, 'none' AS rung, CAST(NULL AS DOUBLE) AS slope, CAST(NULL AS DOUBLE) AS shift FROM clip UNION ALL SELECT cohort, model, label, 'halved', CAST(0.5 AS DOUBLE), CAST(0 AS DOUBLE) FROM clip
+  UNION ALL SELECT cohort, model, label, 'known_prior', CAST(1 AS DOUBLE), ln(t / (1 - t)) - ln(s / (1 - s)) FROM clip),
+ rr AS (SELECT cohort, model, label, rung, cluster_id, y, CASE WHEN slope IS NULL THEN p ELSE 1 / (1 + exp(-(slope * ln(LEAST(GREATEST(p, 1e-7), 1 - 1e-7) / (1 - LEAST(GREATEST(p, 1e-7), 1 - 1e-7))) + shift))) END AS p FROM {PRED} JOIN rung USING (cohort, model, label))"""
+
+
+def given_rungs(spark, sf_dir):
+    """Three rungs that need no fit: as they are, logits halved, and moved to the target's prevalence."""
+    rows, by = predictions(spark, sf_dir), ["model", "label"]
+    source = rows.where("cohort = 'F' and fold <= 8").groupBy(*by).agg(F.avg("y").alias("source"))
+    both = rows.groupBy(*KEYS).agg(F.avg("y").alias("target")).join(source, by)
+    each = F.array(
+        F.struct(F.lit("none").alias("rung"), F.lit(None).cast("double").alias("slope"), F.lit(None).cast("double").alias("offset")),
+        F.struct(F.lit("halved").alias("rung"), F.lit(0.5).alias("slope"), F.lit(0.0).alias("offset")),
+        F.struct(F.lit("known_prior").alias("rung"), F.lit(1.0).alias("slope"), scalar.prior_shift_offset(F.col("source"), F.col("target")).alias("offset")),
+    )
+    return both.select(*KEYS, F.explode(each).alias("r")).select(*KEYS, "r.*")
+
+
+def rung_intervals(rows, rungs, names, replicates):
+    """cohort, model, rung: bounds of the mean calibration error over labels."""
+    ece = B.rung_replicates(rows, rungs, names, KEYS, replicates)
+    by = [*UNIT, "rung"]
+    return B.interval(D.macro(ece, [*by, "replicate"], "ece"), by, "macro_ece")
+
+
+@query("b11_rung_intervals", f"""WITH {RUNG_SQL}, {WEIGHTS}, t AS (SELECT cohort, model, label, rung, cluster_id, LEAST(CAST(FLOOR(p * 15) AS INT), 14) AS bin, COUNT(*) AS n, SUM(y) AS sy, SUM(p) AS sp FROM rr GROUP BY ALL),
+ ws AS (SELECT cohort, model, label, rung, replicate, bin, SUM(w * n) AS n, SUM(w * sy) AS sy, SUM(w * sp) AS sp FROM t JOIN w USING (cluster_id) GROUP BY ALL), e AS (SELECT cohort, model, label, rung, replicate, SUM(ABS(sy - sp)) / nullif(SUM(n), 0) AS ece FROM ws GROUP BY ALL),
+ m AS (SELECT cohort, model, rung, replicate, AVG(ece) AS ece FROM e GROUP BY ALL) SELECT cohort, model, rung, {interval_sql('ece')} FROM m GROUP BY ALL""")
+def b11(spark, sf_dir):
+    """Every rung's error by replicate from one product of weights."""
+    return rounded(rung_intervals(predictions(spark, sf_dir), given_rungs(spark, sf_dir), ["none", "halved", "known_prior"], REPLICATES))
+
+
+@query("q23_rung_intervals")
+def q23_intervals(spark, sf_dir):
+    """The nine fitted rungs' intervals."""
+    rows = predictions(spark, sf_dir)
+    return rounded(rung_intervals(rows, fitting.ladder_rungs(rows, ["model"], "F"), fitting.RUNGS, REPLICATES))
+
+
 # --- utility and operating points
 
 AT = (0.1, 0.3, 0.5)
@@ -207,12 +252,35 @@ def q21b(spark, sf_dir):
     return rounded(bounds.join(gains, keys))
 
 
-@query("j16_grid_with_intervals", f"""WITH {AT_SQL}, i AS (SELECT t, 'interval' AS kind FROM g), gr AS (SELECT round(range / CAST(100 AS DOUBLE), 2) AS t FROM range(1, 51))
-SELECT gr.t, kind FROM gr LEFT JOIN i ON round(i.t * 100) = round(gr.t * 100)""")
+BENEFIT_BOOT = """b AS (SELECT cohort, model, label, cluster_id, t, COUNT(*) FILTER (WHERE p >= t AND y = 1) AS tp, COUNT(*) FILTER (WHERE p >= t AND y = 0) AS fp, COUNT(*) AS n FROM {PRED} CROSS JOIN g GROUP BY ALL),
+ s AS (SELECT cohort, model, label, t, replicate, SUM(w * tp) AS tp, SUM(w * fp) AS fp, CAST(SUM(w * n) AS DOUBLE) AS n FROM b JOIN w USING (cluster_id) GROUP BY ALL), u AS (SELECT cohort, model, label, t, replicate, tp / n - fp / n * (t / (1 - t)) AS net_benefit FROM s),
+ ub AS (SELECT cohort, model, label, t, quantile_cont(net_benefit, 0.025) AS lower, quantile_cont(net_benefit, 0.975) AS upper FROM u GROUP BY ALL)"""
+
+
+def benefit_replicates(spark, sf_dir):
+    """cohort, model, label, t, replicate, auroc, net_benefit: both from one scan of the resamples."""
+    scan = B.replicate_scan(predictions(spark, sf_dir), KEYS, AT, REPLICATES)
+    each = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"tp_{i}").alias("tp"), F.col(f"fp_{i}").alias("fp")) for i, t in enumerate(AT)])
+    rows = scan.select(*KEYS, "replicate", "auroc", (F.col("pos") + F.col("neg")).alias("n"), F.explode(each).alias("x")).select("*", "x.*").drop("x")
+    return rows.withColumn("net_benefit", scalar.net_benefit(F.col("tp"), F.col("fp"), F.col("n"), F.col("t")))
+
+
+@query("b14_utility_and_auroc", f"""WITH {WEIGHTS}, {AT_SQL}, {BENEFIT_BOOT}, {boot_sql("SELECT * FROM {PRED}", "cohort, model, label")}, ab AS (SELECT cohort, model, label, quantile_cont(auroc, 0.025) AS al, quantile_cont(auroc, 0.975) AS au FROM boot GROUP BY ALL)
+SELECT cohort, model, label, t, round(al, 6) AS auroc_lower, round(au, 6) AS auroc_upper, round(lower, 6) AS lower, round(upper, 6) AS upper FROM ub JOIN ab USING (cohort, model, label)""")
+def b14(spark, sf_dir):
+    """Ranking and net benefit of the same draws."""
+    rows, keys = benefit_replicates(spark, sf_dir), [*KEYS, "t"]
+    ranks = B.interval(rows, keys, "auroc").select(*keys, F.col("lower").alias("auroc_lower"), F.col("upper").alias("auroc_upper"))
+    return rounded(ranks.join(B.interval(rows, keys, "net_benefit").select(*keys, "lower", "upper"), keys))
+
+
+@query("j16_grid_with_intervals", f"""WITH {WEIGHTS}, {AT_SQL.replace("g AS", "at_g AS", 1)}, {BENEFIT_BOOT.replace("CROSS JOIN g ", "CROSS JOIN at_g ")}, {CURVE} SELECT c.cohort, c.model, c.label, c.t, round(c.net_benefit, 6) AS net_benefit, round(ub.lower, 6) AS lower, round(ub.upper, 6) AS upper
+ FROM curve c LEFT JOIN ub ON ub.cohort = c.cohort AND ub.model = c.model AND ub.label = c.label AND round(ub.t * 100) = round(c.t * 100)""")
 def j16(spark, sf_dir):
-    """Three grid points have an interval, the others null; a point that the grid lacks fails."""
-    grid = spark.createDataFrame([(t,) for t in U.GRID], "t double")
-    return U.attach(grid, spark.createDataFrame([(t, "interval") for t in AT], "t double, kind string"), "t")
+    """The decision curve, with intervals at three of its fifty thresholds and null elsewhere; an interval that the curve lacks fails."""
+    curve = U.decision_curve(predictions(spark, sf_dir), KEYS).select(*KEYS, "t", "net_benefit")
+    bounds = B.interval(benefit_replicates(spark, sf_dir), [*KEYS, "t"], "net_benefit").select(*KEYS, "t", "lower", "upper")
+    return rounded(U.attach(curve, bounds, "t", keys=KEYS))
 
 
 CUTS = """held AS (SELECT model, label, p, SUM(y) AS pos FROM {PRED} WHERE cohort = 'F' AND fold = 9 GROUP BY ALL), hs AS (SELECT *, SUM(pos) OVER (PARTITION BY model, label ORDER BY p DESC ROWS UNBOUNDED PRECEDING) / nullif(CAST(SUM(pos) OVER (PARTITION BY model, label) AS DOUBLE), 0) AS share FROM held),
@@ -292,12 +360,14 @@ def q10(spark, sf_dir):
     ))
 
 
-@query("b22_published_check", f"""WITH {BOOT_AUC}, i AS (SELECT cohort, model, label, round(quantile_cont(auroc, 0.025), 6) AS lower FROM boot GROUP BY ALL) SELECT cohort, model, label, round(lower, 2) AS published, ABS(lower - round(lower, 2)) <= CAST(0.0051 AS DOUBLE) AS within FROM i""")
+@query("b22_published_check", f"""WITH {BOOT_AUC}, m AS (SELECT cohort, label, model, replicate, auroc FROM boot), i AS (SELECT cohort, model, label, quantile_cont(auroc, 0.025) AS lower FROM m GROUP BY ALL), pub AS (SELECT cohort, model, label, quantile_cont(auroc, 0.025) AS published FROM m WHERE replicate < 100 GROUP BY ALL)
+SELECT cohort, model, label, round(lower, 6) AS lower, round(published, 6) AS published, ABS(round(lower, 6) - round(published, 6)) <= CAST(0.002 AS DOUBLE) AS within FROM i JOIN pub USING (cohort, model, label)""")
 def b22(spark, sf_dir):
-    """Bounds against bounds as published to two digits."""
-    own = rounded(B.interval(boot(spark, sf_dir), KEYS, "auroc").select(*KEYS, "lower"))
-    published = own.select(*KEYS, F.round("lower", 2).alias("published"))
-    return B.within(own, published, KEYS, "lower", "published", 0.0051).select(*KEYS, "published", "within")
+    """Bounds of all replicates against those published from the first half of them: some differ by more than the tolerance."""
+    reps = boot(spark, sf_dir)
+    own = rounded(B.interval(reps, KEYS, "auroc").select(*KEYS, "lower"))
+    published = rounded(B.interval(reps.where("replicate < 100"), KEYS, "auroc").select(*KEYS, F.col("lower").alias("published")))
+    return B.within(own, published, KEYS, "lower", "published", 0.002).select(*KEYS, "lower", "published", "within")
 
 
 # --- records, filters and shapes
@@ -332,12 +402,13 @@ def k02(spark, sf_dir):
     return orders(spark, sf_dir).select("cohort", "record_id", place.alias("position")).where("position % 10 = 3")
 
 
-@query("f26_flattened_runs", "SELECT concat(model, '-seed-', seed) AS run, md5(concat(model, seed)) AS digest FROM (SELECT 'conv' AS model, unnest([17, 29]) AS seed UNION ALL SELECT 'state', 17)")
+@query("f26_flattened_runs", """WITH r AS (SELECT event_type AS model, CAST(user_id % 3 AS INT) AS seed, COUNT(*) AS n FROM events GROUP BY ALL) SELECT concat(model, '-seed-', seed) AS run, sha256(concat(model, ':', seed, ':', n)) AS digest FROM r""")
 def f26(spark, sf_dir):
-    """Nested runs to one row a run with its name."""
-    nested = spark.createDataFrame([("conv", [17, 29]), ("state", [17])], "model string, seeds array<int>")
-    digests = nested.select("model", F.map_from_entries(F.transform("seeds", lambda s: F.struct(s, F.md5(F.concat("model", s.cast("string")).cast("binary"))))).alias("digests"))
-    return L.flat_runs(digests)
+    """A manifest nested by model and seed, to one row a run with its name."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("model"), (F.col("user_id") % 3).cast("int").alias("seed")).agg(F.count("*").alias("n"))
+    digest = F.sha2(F.concat_ws(":", "model", F.col("seed").cast("string"), F.col("n").cast("string")), 256)
+    nested = e.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("seed", digest.alias("digest")))).alias("digests"))
+    return L.flat_runs(nested)
 
 
 @query("a43_mean_by_class", """SELECT CASE WHEN label IN ('returned', 'urgent') THEN 'status' ELSE 'size' END AS finding_class, model, round(AVG(y), 6) AS rate, round(AVG(p), 6) AS mean_p FROM {PRED} GROUP BY ALL""")

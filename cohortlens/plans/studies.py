@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -163,9 +162,11 @@ def q21(spark, sf_dir):
 
 
 @query("w09_superior_range", f"""WITH {CURVE} SELECT cohort, model, label, COUNT(*) FILTER (WHERE gain > 1e-9) AS points, MIN(t) FILTER (WHERE gain > 1e-9) AS first_t, MAX(t) FILTER (WHERE gain > 1e-9) AS last_t,
- coalesce(MAX(step) FILTER (WHERE gain > 1e-9) - MIN(step) FILTER (WHERE gain > 1e-9) + 1 = COUNT(*) FILTER (WHERE gain > 1e-9), false) AS contiguous, round(MAX(gain), 6) + 0 AS best_gain FROM curve GROUP BY ALL""")
+ coalesce(MAX(step) FILTER (WHERE gain > 1e-9) - MIN(step) FILTER (WHERE gain > 1e-9) + 1 = COUNT(*) FILTER (WHERE gain > 1e-9), false) AS contiguous, round(MAX(gain), 6) + 0 AS best_gain, arg_min(t, struct_pack(g := -round(gain, 9), t := t)) AS best_t FROM curve GROUP BY ALL""")
 def w09(spark, sf_dir):
-    return rounded(U.superior_range(U.decision_curve(predictions(spark, sf_dir), KEYS), KEYS).drop("best_t"))
+    """The best threshold is the first of the largest gain, gains taken to nine digits."""
+    curve = U.decision_curve(predictions(spark, sf_dir), KEYS)
+    return rounded(U.superior_range(curve.withColumn("gain", F.round("gain", 9)), KEYS), "first_t", "last_t", "best_gain")
 
 
 @query("j12_crossed_auroc", f"""WITH {COUNTS}, m AS (SELECT model, label, p, SUM(CASE WHEN cohort = 'F' THEN pos ELSE 0 END) AS pos, SUM(CASE WHEN cohort = 'O' THEN neg ELSE 0 END) AS neg FROM counts GROUP BY ALL),
@@ -203,13 +204,25 @@ def r02(spark, sf_dir):
 
 
 @query("q17_prevalence_correlation", f"""WITH {AUROC}, w AS (SELECT a.model, a.label, b.cohort, b.auroc - a.auroc AS delta, ABS(log2((b.pos / CAST(b.pos + b.neg AS DOUBLE)) / (a.pos / CAST(a.pos + a.neg AS DOUBLE)))) AS moved FROM auc a JOIN auc b ON a.model = b.model AND a.label = b.label AND a.cohort = 'F' AND b.cohort <> 'F' WHERE a.auroc IS NOT NULL AND b.auroc IS NOT NULL)
-SELECT model, COUNT(*) AS n, round(corr(moved, delta), 4) AS pearson, round(corr(rx, ry), 4) AS spearman FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY moved) + (COUNT(*) OVER (PARTITION BY model, moved) - 1) / CAST(2 AS DOUBLE) AS rx, rank() OVER (PARTITION BY model ORDER BY delta) + (COUNT(*) OVER (PARTITION BY model, delta) - 1) / CAST(2 AS DOUBLE) AS ry FROM w) GROUP BY model""")
+SELECT model, n, round(pearson, 4) AS pearson, round(spearman, 4) AS spearman, round(CASE n WHEN 4 THEN 1 - ABS(pearson) WHEN 6 THEN 1 - 1.5 * ABS(pearson) + 0.5 * ABS(pearson) ** 3 END, 4) AS pearson_p, round(CASE n WHEN 4 THEN 1 - ABS(spearman) WHEN 6 THEN 1 - 1.5 * ABS(spearman) + 0.5 * ABS(spearman) ** 3 END, 4) AS spearman_p
+FROM (SELECT model, COUNT(*) AS n, corr(moved, delta) AS pearson, corr(rx, ry) AS spearman FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY moved) + (COUNT(*) OVER (PARTITION BY model, moved) - 1) / CAST(2 AS DOUBLE) AS rx, rank() OVER (PARTITION BY model ORDER BY delta) + (COUNT(*) OVER (PARTITION BY model, delta) - 1) / CAST(2 AS DOUBLE) AS ry FROM w) GROUP BY model)""")
 def q17(spark, sf_dir):
     a = D.auroc(predictions(spark, sf_dir), KEYS).where("auroc is not null").withColumn("prev", F.col("pos") / (F.col("pos") + F.col("neg")))
     own = a.where("cohort = 'F'").select("model", "label", F.col("auroc").alias("a0"), F.col("prev").alias("p0"))
     moved = a.where("cohort <> 'F'").join(own, ["model", "label"]).select("model", (F.col("auroc") - F.col("a0")).alias("delta"), scalar.log2_ratio(F.col("prev"), F.col("p0")).alias("moved"))
     out = S.correlations(moved, ["model"], "moved", "delta")
-    return out.select("model", "n", F.round("pearson", 4).alias("pearson"), F.round("spearman", 4).alias("spearman"))
+    return out.select("model", "n", *[F.round(c, 4).alias(c) for c in ("pearson", "spearman", "pearson_p", "spearman_p")])
+
+
+@query("q18_weight_diagnostics", """WITH s AS (SELECT r.*, c_mktsegment AS seg FROM {PRED} r JOIN customer ON c_custkey = cluster_id), o AS (SELECT cohort, seg, COUNT(*) AS n FROM s GROUP BY ALL), sh AS (SELECT *, n / SUM(n) OVER (PARTITION BY cohort) AS share FROM o),
+ ratio AS (SELECT a.cohort, a.seg, b.share / a.share AS raw, a.n FROM sh a JOIN sh b ON a.seg = b.seg AND b.cohort = 'F'), w AS (SELECT cohort, n, raw * SUM(n) OVER (PARTITION BY cohort) / SUM(raw * n) OVER (PARTITION BY cohort) AS w FROM ratio)
+SELECT cohort, CAST(SUM(n) AS BIGINT) AS used, CAST(0 AS BIGINT) AS left_out, round(MIN(w), 6) AS least, round(MAX(w), 6) AS most, round(SUM(w * n) * SUM(w * n) / SUM(w * w * n), 3) AS effective FROM w GROUP BY cohort""")
+def q18_diagnostics(spark, sf_dir):
+    """How far the weights of q18 reach, and the effective number of rows that they leave."""
+    segment = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("cluster_id"), F.col("c_mktsegment").alias("segment"))
+    rows = predictions(spark, sf_dir).join(segment, "cluster_id")
+    _, found = S.standardization_weights(rows, rows.where("cohort = 'F'"), ["segment"])
+    return rounded(found.withColumn("effective", F.round("effective", 3)), "least", "most")
 
 
 @query("q18_standardized_auroc", """WITH s AS (SELECT r.*, c_mktsegment AS seg FROM {PRED} r JOIN customer ON c_custkey = cluster_id), o AS (SELECT cohort, seg, COUNT(*) AS n FROM s GROUP BY ALL), sh AS (SELECT *, n / SUM(n) OVER (PARTITION BY cohort) AS share FROM o),
@@ -363,10 +376,21 @@ def b03(spark, sf_dir):
     return rounded(B.replicate_auroc(rows, KEYS, 40, weights=weights))
 
 
+@query("j11_registered_shift")
+def j11(spark, sf_dir):
+    """Shift of macro AUROC by the registered streams of all cohorts in lock step: each cohort's draws made batch by batch from saved states."""
+    weights = B.spread_registered_weights(orders(spark, sf_dir), "cohort", 2000, 2026)
+    reps = B.replicate_auroc_in_batches(predictions(spark, sf_dir).where("label <> 'never'"), KEYS, weights, 2000)
+    macro = D.macro(reps, ["cohort", "model", "replicate"], "auroc")
+    inner = macro.where("cohort = 'F'").select("replicate", "model", F.col("macro_auroc").alias("inside"))
+    change = macro.where("cohort <> 'F'").join(inner, ["replicate", "model"]).withColumn("change", F.col("macro_auroc") - F.col("inside"))
+    return rounded(B.interval(change, ["cohort", "model"], "change"))
+
+
 @query("w07_cluster_index", "SELECT cohort, cluster_id, dense_rank() OVER (PARTITION BY cohort ORDER BY cluster_id) - 1 AS cluster_index FROM (SELECT DISTINCT cohort, cluster_id FROM {ORDERS})")
 def w07(spark, sf_dir):
     rows = orders(spark, sf_dir).select("cohort", "cluster_id").distinct()
-    return rows.withColumn("cluster_index", (F.dense_rank().over(W.partitionBy("cohort").orderBy("cluster_id")) - 1).cast("long"))
+    return B.cluster_places(rows, "cohort", "cluster_id").withColumnRenamed("place", "cluster_index")
 
 
 @query("a42_member_spread", f"""WITH {AUROC}, ens AS (SELECT cohort, label, p, SUM(y) AS pos, SUM(1 - y) AS neg FROM (SELECT cohort, record_id, label, MAX(y) AS y, AVG(p) AS p FROM {{PRED}} GROUP BY ALL) GROUP BY ALL), es AS (SELECT *, SUM(neg) OVER (PARTITION BY cohort, label ORDER BY p ROWS UNBOUNDED PRECEDING) - neg AS below FROM ens),
