@@ -80,7 +80,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
 
 def auroc(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", weight: str | None = None, any_range: bool = False) -> DataFrame:
     """keys, auroc, pos, neg; ties count half; null with one class only. any_range: scores are no probabilities, so buckets follow their quantiles."""
-    counts = score_counts(df, keys, y, p, weight)
+    return auroc_of_counts(score_counts(df, keys, y, p, weight), keys, p, any_range)
+
+
+def auroc_of_counts(counts: DataFrame, keys: Sequence[str], p: str = "p", any_range: bool = False) -> DataFrame:
+    """auroc() of rows already summed by key and score (p, pos, neg)."""
     counts = spread_buckets(counts, keys, p) if any_range else counts.withColumn("bucket", score_bucket(F.col(p)))
     inside = W.partitionBy(*keys, "bucket").orderBy(p).rowsBetween(W.unboundedPreceding, W.currentRow)
     counts = counts.withColumn("below", F.sum("neg").over(inside) - F.col("neg"))
@@ -169,3 +173,14 @@ def midranks(df: DataFrame, keys: Sequence[str], p: str = "p") -> DataFrame:
 def oriented(df: DataFrame, sign: Column, p: str = "p") -> DataFrame:
     """Rows with a defined score, times its sign."""
     return df.where(F.col(p).isNotNull() & ~F.isnan(p)).withColumn(p, F.col(p) * sign)
+
+
+def at_points(curve: DataFrame, keys: Sequence[str], at: str, points: Sequence[float], digits: int = 6) -> DataFrame:
+    """The curve's rows at the given points; every key has each of them once, or this fails."""
+    from .expect import nothing
+
+    asked = F.array(*[F.round(F.lit(float(x)), digits) for x in points])
+    rows = curve.where(F.array_contains(asked, F.round(at, digits)))
+    seen = curve.select(*keys).distinct().join(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(F.round(at, digits)).alias("d")), list(keys), "left")
+    nothing(seen.where(f"coalesce(n, 0) <> {len(points)} or coalesce(d, 0) <> {len(points)}"), "points that the curve lacks")
+    return rows
