@@ -63,18 +63,24 @@ def array_mean(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
 
 
-def crossing(x: Column, start: Column, step: int, level: Column, most: Column, strict: bool) -> Column:
-    """Where x first lies under level on the walk from start, between samples by a straight line. If it never does within
-    most steps, the last place walked to, or null if strict."""
-    under = F.filter(F.sequence(F.lit(1), most), lambda k: F.get(x, start + k * step) < level)
+def level_crossings(x: Column, level: Column) -> Column:
+    """Every place where the straight lines between samples cross the level, in order: struct(at, up). A sample at the level counts as above."""
 
-    def between(k: Column) -> Column:
-        at = start + (k - 1) * step
-        a, b = F.get(x, at), F.get(x, at + step)
-        return at + F.when(a > b, step * (a - level) / (a - b)).otherwise(F.lit(float(step)))
+    def on(i: Column) -> Column:
+        a, b = F.get(x, i), F.get(x, i + 1)
+        return F.when((a < level) != (b < level), F.struct((i + (level - a) / (b - a)).alias("at"), (a < level).alias("up")))
 
-    never = F.lit(None).cast("double") if strict else clip(start + most * step, F.lit(0), F.size(x) - 1).cast("double")
-    return F.when(F.size(under) > 0, let(F.get(under, F.lit(0)), between)).otherwise(never)
+    segments = F.when(F.size(x) > 1, F.sequence(F.lit(0), F.size(x) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.array_compact(F.transform(segments, on))
+
+
+def feet(x: Column, level: Column, top: Column) -> Column:
+    """struct(left, right): the last crossing upwards before top and the first downwards after it; null where there is none."""
+    place = lambda c: c["at"]
+    return let(level_crossings(x, level), lambda every: F.struct(
+        F.array_max(F.transform(F.filter(every, lambda c: c["up"] & (c["at"] <= top)), place)).alias("left"),
+        F.array_min(F.transform(F.filter(every, lambda c: ~c["up"] & (c["at"] >= top)), place)).alias("right"),
+    ))
 
 
 def filtered(df: DataFrame, record: str, signal: str, rate: float) -> DataFrame:
@@ -122,40 +128,86 @@ def envelope(energy: Column, rate: float) -> Column:
     return F.transform(energy, lambda v, i: around(i))
 
 
-def onset_of_p(lead: Column, onset: Column, lookback: Column, rate: float) -> Column:
-    """Null unless a deflection large enough, not at an edge of the part searched, comes back to its level within it."""
-    stop = F.floor(onset).cast("int") - max(1, round(P_GUARD * rate))
-    start = F.greatest(F.lit(0), stop - lookback)
+def window(x: Column, low: Column, high: Column) -> Column:
+    """struct(at, v) of the samples from low up to high (not with it); null where they are fewer than four."""
+    cells = F.transform(F.sequence(low, high - 1), lambda i: F.struct(i.alias("at"), F.get(x, i).alias("v")))
+    return F.when(high - low >= 4, cells)
+
+
+def largest(cells: Column) -> Column:
+    """The cell of the largest deflection either way, the first of equals."""
+    ranked = F.array_max(F.transform(cells, lambda c: F.struct(F.abs(c["v"]).alias("size"), (-c["at"]).alias("early"), c["v"].alias("v"))))
+    return let(ranked, lambda r: F.struct((-r["early"]).alias("at"), r["v"].alias("v")))
+
+
+def p_onset(lead: Column, onset: Column, lookback: Column, rate: float) -> Column:
+    """Where the P wave leaves the resting level: the foot, at a share of its height, of the largest deflection of the window before the beat.
+
+    Null if the window is short, the deflection is small or at the window's edge, or its foot lies before the window.
+    """
+    high = F.floor(onset).cast("int") - max(1, round(P_GUARD * rate))
+    low = F.greatest(high - lookback, F.lit(0))
+
+    def told(cells: Column) -> Column:
+        sizes = F.transform(cells, lambda c: F.abs(c["v"]))
+        inside = lambda peak: (peak["at"] > low) & (peak["at"] < high - 1) & (F.abs(peak["v"]) >= P_LEAST)
+        return let(largest(cells), lambda peak: F.when(inside(peak), low + feet(sizes, F.abs(peak["v"]) * P_SHARE, (peak["at"] - low).cast("double"))["left"]))
+
+    return F.when(high > low, let(window(lead, low, high), lambda cells: F.when(cells.isNotNull(), told(cells))))
+
+
+def t_wave(lead: Column, offset: Column, high: Column, rate: float) -> Column:
+    """struct(amplitude, end): the largest deflection of the window after the beat, and where the steepest of the tangents back to the
+    resting level, one between each two samples after the deflection, meets it; without two such samples or a way back there is no end."""
+    low = F.ceil(offset).cast("int") + max(1, round(T_GUARD * rate))
+
+    def told(cells: Column) -> Column:
+        def tangents(peak: Column) -> Column:
+            def tangent(i: Column) -> Column:
+                step = F.get(lead, i + 1) - F.get(lead, i)
+                back = -F.signum(peak["v"]) * step
+                return F.when(back > 0, F.struct(back.alias("steep"), (-i).alias("early"), (i - F.get(lead, i) / step).alias("meets")))
+
+            return F.when(high - peak["at"] > 2, F.array_max(F.array_compact(F.transform(F.sequence(peak["at"], high - 2), tangent))))
 
-    def search(part: Column) -> Column:
-        top = first_peak(part)
-        fits = (top > 0) & (top < F.size(part) - 1) & (F.array_max(part) >= P_LEAST)
-        return F.when(fits, start + crossing(part, top, -1, F.array_max(part) * P_SHARE, F.greatest(top, F.lit(1)), strict=True))
+        end = lambda peak: let(tangents(peak)["meets"], lambda at: F.when(at > peak["at"], at))
+        return let(largest(cells), lambda peak: F.struct(peak["v"].alias("amplitude"), end(peak).alias("end")))
 
-    return F.when(stop - start >= 4, let(F.transform(F.slice(lead, start + 1, F.greatest(stop - start, F.lit(0))), F.abs), search))
+    return F.when(high > low, let(window(lead, low, high), lambda cells: F.when(cells.isNotNull(), told(cells))))
 
 
-def t_wave(lead: Column, offset: Column, stop: Column, rate: float) -> Column:
-    """struct(amplitude, end): the largest deflection, and where the steepest line after it meets the resting level."""
-    start = F.ceil(offset).cast("int") + max(1, round(T_GUARD * rate))
-    part = F.slice(lead, start + 1, F.greatest(stop - start, F.lit(0)))
-    top = first_peak(F.transform(part, F.abs))
+def with_rhythm(rows: DataFrame, ms: float) -> DataFrame:
+    """Adds rr (milliseconds between peaks), its mean and median, and span (samples of a typical beat)."""
+    gaps = F.zip_with(F.slice("peaks", 2, F.size("peaks")), F.slice("peaks", 1, F.greatest(F.size("peaks") - 1, F.lit(0))), lambda later, earlier: (later - earlier) * ms)
+    rows = rows.withColumn("rr", gaps)
+    rows = rows.withColumns({"rr_median": array_quantile(F.col("rr"), 0.5), "rr_mean": F.when(F.size("rr") > 0, array_mean(F.col("rr")))})
+    return rows.withColumn("span", F.coalesce(F.col("rr_median") / ms, F.lit(float(POST))))
 
-    def ends(tail: Column, peak: Column) -> Column:
-        falls = F.transform(F.slice(tail, 2, F.size(tail)), lambda v, i: v - F.get(tail, i))
 
-        def meet(steps: Column) -> Column:
-            k = first_peak(F.transform(steps, lambda v: -F.signum(F.get(tail, F.lit(0))) * v))
-            slope = F.get(steps, k)
-            end = start + peak + k - F.get(tail, k) / F.when(slope != 0, slope)
-            return F.when(end > start + peak, end)
+def with_bounds(rows: DataFrame, rate: float) -> DataFrame:
+    """Adds onset and offset of the median beat: the feet of its envelope, at a share of the way from the ground to the top, held within reach.
 
-        return F.when(F.size(tail) > 2, let(falls, meet))
+    The envelope is the smoothed length of the leads' joint step; its top is looked for near the peak, its ground is a low percentile.
+    """
+    c = F.col
+    steps = F.transform(F.sequence(F.lit(0), F.lit(PRE + POST - 1)), lambda t: F.sqrt(F.aggregate("beat", F.lit(0.0), lambda sum_, x: sum_ + F.pow(F.get(x, t) - F.get(x, F.greatest(t - 1, F.lit(0))), 2.0))))
+    rows = rows.withColumn("steps", steps).withColumn("envelope", F.when(c("beat").isNotNull(), envelope(c("steps"), rate)))
+    near, reach = max(1, round(STEEPEST * rate)), max(1, round(REACH * rate))
+    rows = rows.withColumns({"top": first_peak(F.slice("envelope", PRE - near + 1, 2 * near + 1)) + (PRE - near), "ground": array_quantile(c("envelope"), RISES_FROM)})
+    height = F.get("envelope", c("top")) - c("ground")
+    rows = rows.withColumn("feet", F.when(height > 0, feet(c("envelope"), c("ground") + height * BOUND_SHARE, c("top").cast("double"))))
+    held = lambda at, edge, pick: F.when(c("feet").isNotNull(), pick(F.coalesce(at, edge), edge))
+    first, last = F.greatest(c("top") - reach, F.lit(0)).cast("double"), F.least(c("top") + reach, F.lit(PRE + POST - 1)).cast("double")
+    rows = rows.withColumns({"left": held(c("feet.left"), first, F.greatest), "right": held(c("feet.right"), last, F.least)})
+    return rows.withColumns({"onset": F.when(c("left") < c("right"), c("left")), "offset": F.when(c("left") < c("right"), c("right"))})
 
-    def both(peak: Column) -> Column:
-        return F.struct(F.get(part, peak).alias("amplitude"), let(F.slice(part, peak + 1, F.size(part)), lambda tail: ends(tail, peak)).alias("end"))
 
-    return F.when(stop - start >= 4, let(top, both))
+def at_rest(rows: DataFrame, rate: float) -> DataFrame:
+    """The beat with each lead's resting level, its median just before the onset, at zero; null without bounds."""
+    ends = F.greatest(F.floor("onset").cast("int"), F.lit(1))
+    begins = F.greatest(ends - max(1, round(RESTING * rate)), F.lit(0))
+    rest = lambda x: array_quantile(F.slice(x, begins + 1, ends - begins), 0.5)
+    return rows.withColumn("beat", F.when(F.col("onset").isNotNull(), F.transform("beat", lambda x: let(rest(x), lambda level: F.transform(x, lambda v: v - level)))))
 
 
 def feature_table(df: DataFrame, record: str, signal: str = "signal", rate: float = 100.0) -> DataFrame:
@@ -163,32 +215,16 @@ def feature_table(df: DataFrame, record: str, signal: str = "signal", rate: floa
     c, ms = F.col, 1000.0 / rate
     lead = lambda name: F.get("beat", F.lit(LEADS.index(name)))
     rows = filtered(df, record, signal, rate)
-    rows = rows.withColumn("rr", F.transform(F.slice("peaks", 2, F.size("peaks")), lambda v, i: (v - F.get("peaks", i)) * ms))
-    rows = rows.withColumns({"rr_median": array_quantile(c("rr"), 0.5), "rr_mean": F.when(F.size("rr") > 0, array_mean(c("rr")))})
-    rows = rows.withColumn("span", F.coalesce(c("rr_median") / ms, F.lit(float(POST))))
+    rows = with_rhythm(rows, ms)
     rows = rows.withColumn("beat", F.when(F.size("peaks") > 0, median_beat(c("wave"), c("peaks"))))
-    change = lambda t: F.aggregate("beat", F.lit(0.0), lambda a, x: a + F.pow(F.get(x, t) - F.get(x, F.greatest(t - 1, F.lit(0))), 2.0))
-    rows = rows.withColumn("energy", F.transform(F.sequence(F.lit(0), F.lit(PRE + POST - 1)), lambda t: F.sqrt(change(t))))
-    rows = rows.withColumn("envelope", F.when(c("beat").isNotNull(), envelope(c("energy"), rate)))
-    half = max(1, round(STEEPEST * rate))
-    rows = rows.withColumn("top", first_peak(F.slice("envelope", PRE - half + 1, 2 * half + 1)) + (PRE - half))
-    rows = rows.withColumn("ground", array_quantile(c("envelope"), RISES_FROM)).withColumn("rise", F.get("envelope", c("top")) - c("ground"))
-    bound = lambda step: crossing(c("envelope"), c("top"), step, c("ground") + c("rise") * BOUND_SHARE, F.lit(max(1, round(REACH * rate))), strict=False)
-    rows = rows.withColumns({"onset": F.when(c("rise") > 0, bound(-1)), "offset": F.when(c("rise") > 0, bound(1))})
-    fine = c("onset") < c("offset")
-    rows = rows.withColumns({"onset": F.when(fine, c("onset")), "offset": F.when(fine, c("offset"))})
-    rows = rows.withColumn("before", F.greatest(F.lit(1), F.floor("onset").cast("int")))
-    rows = rows.withColumn("from", F.greatest(F.lit(0), c("before") - max(1, round(RESTING * rate))))
-    resting = lambda x: array_quantile(F.slice(x, c("from") + 1, c("before") - c("from")), 0.5)
-    levelled = F.transform("beat", lambda x: let(resting(x), lambda base: F.transform(x, lambda v: v - base)))
-    rows = rows.withColumn("beat", F.when(c("onset").isNotNull(), levelled))
+    rows = at_rest(with_bounds(rows, rate), rate)
     start = F.floor("onset").cast("int")
     part = lambda name: F.slice(lead(name), start + 1, F.ceil("offset").cast("int") + 1 - start)
     rows = rows.withColumns({f"part_{n}": part(n) for n in AMPLITUDES})
     area = lambda name: F.aggregate(f"part_{name}", F.lit(0.0), lambda a, v: a + v) / rate
     lookback = F.least(F.lit(round(P_SEARCH * rate)), F.greatest(F.lit(1), F.rint(c("span") * 0.5).cast("int")), F.lit(PRE))
     stop = F.least(F.lit(PRE + POST), F.ceil("offset").cast("int") + round(T_SEARCH * rate), PRE + F.greatest(F.lit(4), F.rint(c("span") * 0.7).cast("int")))
-    rows = rows.withColumns({"axis": axis_degrees(area("AVF"), area("I")), "p": onset_of_p(lead("II"), c("onset"), lookback, rate)} | {f"t_{n}": t_wave(lead(n), c("offset"), stop, rate) for n in T_AMPLITUDES})
+    rows = rows.withColumns({"axis": axis_degrees(area("AVF"), area("I")), "p": p_onset(lead("II"), c("onset"), lookback, rate)} | {f"t_{n}": t_wave(lead(n), c("offset"), stop, rate) for n in T_AMPLITUDES})
     within = lambda v, low, high: F.when(v.between(low, high), v)
     rows = rows.withColumns({"pr": within((c("onset") - c("p")) * ms, *PR_RANGE), "qt": within((c("t_II.end") - c("onset")) * ms, *QT_RANGE)})
     spread = F.sqrt(array_mean(F.transform("rr", lambda v: F.pow(v - c("rr_mean"), 2.0))))

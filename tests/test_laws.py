@@ -267,9 +267,57 @@ def test_array_quantiles_and_crossings(spark):
     x = F.col("x")
     rows = spark.createDataFrame([([3.0, 1.0, 2.0, 9.0],), ([],), ([5.0],)], "x array<double>")
     assert [r[0] for r in rows.select(beats.array_quantile(x, 0.2)).collect()] == [pytest.approx(np.quantile([3, 1, 2, 9], 0.2)), None, 5.0]
-    walk = spark.createDataFrame([([4.0, 3.0, 1.0, 2.0],)], "x array<double>")
-    cross = lambda level, strict: walk.select(beats.crossing(x, F.lit(0), 1, F.lit(level), F.lit(3), strict)).first()[0]
-    assert cross(2.0, True) == pytest.approx(1.5) and cross(0.5, True) is None and cross(0.5, False) == 3.0
+
+
+def told(spark, x, column):
+    return spark.createDataFrame([([float(v) for v in x],)], "x array<double>").select(column.alias("r")).first()["r"]
+
+
+def test_feet_are_the_nearest_crossings(spark):
+    x = [0.0, 3.0, 1.0, 4.0, 8.0, 4.0, 1.0, 2.0, 0.0]
+    every = told(spark, x, beats.level_crossings(F.col("x"), F.lit(2.0)))
+    assert [(pytest.approx(r["at"]), r["up"]) for r in every] == [(2 / 3, True), (1.5, False), (2 + 1 / 3, True), (5 + 2 / 3, False), (7.0, True), (7.0, False)][: len(every)]
+    got = told(spark, x, beats.feet(F.col("x"), F.lit(2.0), F.lit(4.0)))
+    assert (got["left"], got["right"]) == (pytest.approx(2 + 1 / 3), pytest.approx(5 + 2 / 3))
+    none = told(spark, [5.0, 6.0, 5.0], beats.feet(F.col("x"), F.lit(2.0), F.lit(1.0)))
+    assert none["left"] is None and none["right"] is None
+
+
+@pytest.mark.parametrize("wave,want", [
+    ([0, 0, 0.02, 0.1, 0.2, 0.1, 0, 0, 0, 0], 2.25), ([0, 0, 0.02, -0.1, -0.2, -0.1, 0, 0, 0, 0], 2.25), ([0, 0, 0, 0.01, 0.03, 0.01, 0, 0, 0, 0], None), ([0.3, 0.2, 0.1, 0, 0, 0, 0, 0, 0, 0], None),
+    ([0.15, 0.15, 0.15, 0.15, 0.2, 0.15, 0.15, 0.15, 0, 0], None),
+])
+def test_p_onset_is_the_foot_of_its_largest_deflection(spark, wave, want):
+    """Searched is what lies from 0 up to 3 samples before the onset at 11; a small, an edge and a footless wave have none."""
+    x = [*wave, 0, 0, 5, 0]
+    got = told(spark, x, beats.p_onset(F.col("x"), F.lit(11.0), F.lit(20), 100.0))
+    assert got == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_t_wave_ends_where_its_steepest_tangent_rests(spark):
+    t = lambda x, high: told(spark, x, beats.t_wave(F.col("x"), F.lit(0.0), F.lit(high), 100.0))
+    up = [9, 0, 0, 0, 0.1, 0.4, 0.5, 0.4, 0.1, 0.05, 0, 0]
+    got = t(up, 12)
+    assert got["amplitude"] == 0.5 and got["end"] == pytest.approx(7 + 0.4 / 0.3)
+    down = t([-v for v in up], 12)
+    assert down["amplitude"] == -0.5 and down["end"] == pytest.approx(got["end"])
+    rising = t([9, 0, 0, 0, 0.1, 0.2, 0.3, 0.4], 8)
+    assert rising["amplitude"] == 0.4 and rising["end"] is None
+    assert t(up, 7) is None and t(up, 2) is None
+
+
+def test_bounds_are_held_within_reach(spark):
+    """An envelope that never comes back to its level has its bounds at the reach; a flat one has none."""
+    beat = lambda x: spark.createDataFrame([([[float(v) for v in x]] * 12,)], "beat array<array<double>>")
+    spike = [0.0] * 40 + [1.0, -1.0] + [0.0] * 58
+    r = beats.with_bounds(beat(spike), 100.0).first()
+    assert 36 <= r["onset"] <= 40 <= r["offset"] <= 45
+    # Wide: the joint step is as large for 25 samples on each side.
+    wide = [0.0] * 15 + [(-1.0) ** i for i in range(50)] + [0.0] * 35
+    r = beats.with_bounds(beat(wide), 100.0).first()
+    assert r["right"] - r["top"] <= 14 and r["top"] - r["left"] <= 14
+    flat = beats.with_bounds(beat([1.0] * 100), 100.0).first()
+    assert flat["onset"] is None and flat["offset"] is None
 
 
 def test_recovery_equals_its_rows_one_by_one(spark):
