@@ -51,6 +51,11 @@ def stable_nll(y: Column, z: Column) -> Column:
     return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z
 
 
+def nll_gradient(y: Column, z: Column) -> Column:
+    """Of stable_nll() by its logit."""
+    return expit(z) - y
+
+
 def odds(t: Column) -> Column:
     return t / (F.lit(1.0) - t)
 

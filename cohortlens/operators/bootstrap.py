@@ -50,7 +50,10 @@ def poisson_edges() -> list[int]:
 def hash_draw(cluster: Column, replicate: Column) -> Column:
     """A number below 2**32 for each pair. Clusters are integers; hash other identifiers to one first."""
     two = F.lit(1 << 32)
-    x = F.pmod(F.pmod(cluster.cast("long"), F.lit(MODULUS)) * F.lit(CLUSTER_FACTOR) + replicate.cast("long") * F.lit(REPLICATE_FACTOR), two)
+    # The cluster is mixed on its own first, so that no two clusters share a sequence of draws shifted by some replicates.
+    x = F.pmod(F.pmod(cluster.cast("long"), F.lit(MODULUS)) * F.lit(CLUSTER_FACTOR), two)
+    x = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(SECOND), two)
+    x = F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) + replicate.cast("long") * F.lit(REPLICATE_FACTOR), two)
     x = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(FIRST), two)
     x = F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(SECOND), two)
     return x.bitwiseXOR(F.shiftright(x, 15))
@@ -64,22 +67,35 @@ def hash_weight(cluster: Column, replicate: Column) -> Column:
     return weight.cast("int")
 
 
+#: What follows the first product, step by step, on v; {r} is the replicate.
+HASH_STEPS_SQL = (
+    f"xor(v, v >> 16) * {SECOND} % 4294967296", f"(xor(v, v >> 15) + {{r}} * {REPLICATE_FACTOR}) % 4294967296", f"xor(v, v >> 16) * {FIRST} % 4294967296",
+    f"xor(v, v >> 15) * {SECOND} % 4294967296", "xor(v, v >> 15)",
+)
+
+
 def hash_draw_sql(cluster: str, replicate: str) -> str:
-    x = f"((CAST({cluster} AS BIGINT) % {MODULUS} * {CLUSTER_FACTOR} + CAST({replicate} AS BIGINT) * {REPLICATE_FACTOR}) % 4294967296)"
-    x = f"(xor({x}, {x} >> 16) * {FIRST} % 4294967296)"
-    x = f"(SELECT xor(v, v >> 15) * {SECOND} % 4294967296 FROM (SELECT {x} AS v))"
-    return f"(SELECT xor(v, v >> 15) FROM (SELECT {x} AS v))"
+    x = f"(CAST({cluster} AS BIGINT) % {MODULUS} * {CLUSTER_FACTOR} % 4294967296)"
+    for step in HASH_STEPS_SQL:
+        x = f"(SELECT {step.replace('{r}', f'CAST({replicate} AS BIGINT)')} FROM (SELECT {x} AS v))"
+    return x
 
 
 def hash_weight_sql(draw: str) -> str:
     return "CASE " + " ".join(f"WHEN {draw} < {e} THEN {k}" for k, e in enumerate(poisson_edges())) + f" ELSE {MOST} END"
 
 
-def hash_draws(clusters: np.ndarray, replicates: int) -> np.ndarray:
-    """hash_draw() of all pairs, [clusters, replicates]."""
+def cell_seed(cell: Column, repeat: Column, seed: int = 0) -> Column:
+    """A seed below 2**32 for each cell (a whole number of its own) of a study and repeat: the same wherever and in whatever order cells are drawn."""
+    return hash_draw(cell.cast("long") + F.lit(seed), repeat)
+
+
+def hash_draws(clusters: np.ndarray, replicates: int, first: int = 0) -> np.ndarray:
+    """hash_draw() of all pairs, [clusters, replicates], with replicates from first on."""
     low = np.uint64((1 << 32) - 1)
-    c, r = (clusters % MODULUS).astype(np.uint64), np.arange(replicates, dtype=np.uint64)
-    x = c[:, None] * np.uint64(CLUSTER_FACTOR) + r * np.uint64(REPLICATE_FACTOR) & low
+    c, r = (clusters % MODULUS).astype(np.uint64) * np.uint64(CLUSTER_FACTOR) & low, np.arange(first, first + replicates, dtype=np.uint64)
+    c = (c ^ c >> np.uint64(16)) * np.uint64(SECOND) & low
+    x = (c ^ c >> np.uint64(15))[:, None] + r * np.uint64(REPLICATE_FACTOR) & low
     for shift, factor in ((16, FIRST), (15, SECOND)):
         x = (x ^ x >> np.uint64(shift)) * np.uint64(factor) & low
     return x ^ x >> np.uint64(15)
@@ -92,17 +108,37 @@ def hash_weights(clusters: np.ndarray, replicates: int) -> np.ndarray:
     return np.searchsorted(edges, hash_draws(own, replicates), side="right").astype(np.float64)[back]
 
 
-def multinomial_weights(clusters: DataFrame, cohort: str, replicates: int, seed: int, cluster: str = "cluster_id") -> DataFrame:
-    """cohort, cluster, weights (an array entry a replicate): each of a cohort's n clusters casts one hashed draw of n a replicate."""
-    numbered = clusters.select(cohort, cluster).distinct()
-    place = F.row_number().over(W.partitionBy(cohort).orderBy(cluster)) - 1
-    numbered = numbered.withColumn("place", place).withColumn("n", F.count("*").over(W.partitionBy(cohort)))
-    casts = numbered.select(cohort, "n", "place", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = F.floor(hash_draw(F.col("place") + F.lit(seed), F.col("replicate")) * F.col("n") / F.lit(float(1 << 32))).cast("int")
-    counts = casts.groupBy(cohort, drawn.alias("place"), "replicate").agg(F.count("*").cast("int").alias("w"))
-    own = counts.groupBy(cohort, "place").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "w"))).alias("known"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.coalesce(F.element_at("known", r), F.lit(0)))
-    return numbered.join(own, [cohort, "place"]).select(cohort, cluster, every.alias("weights"))
+def multinomial_weights(clusters: DataFrame, cohort: str, replicates: int, seed: int, cluster: str = "cluster_id", every: int = 100) -> DataFrame:
+    """cohort, cluster, batch, weights (an entry a replicate of the batch): each of a cohort's n clusters casts one hashed draw of n a replicate.
+
+    Draws follow from n alone, so a task makes a batch of one cohort's replicates without any rows and hands on counts by place.
+    """
+    own = clusters.select(cohort, cluster).distinct()
+    sizes = own.groupBy(cohort).agg(F.count("*").alias("n"))
+    batches = sizes.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // every)))).repartition(cohort, "batch")
+
+    def draw(rows_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_:
+            for name, n, batch in zip(*[rows.column(c).to_pylist() for c in (cohort, "n", "batch")]):
+                size = min(every, replicates - batch * every)
+                drawn = np.zeros((size, n), np.int32)
+                for at in range(0, n, 1 << 16):
+                    places = hash_draws(np.arange(at, min(at + (1 << 16), n)) + seed, size, batch * every)
+                    for k in range(size):
+                        drawn[k] += np.bincount((places[:, k] * np.uint64(n) >> np.uint64(32)).astype(np.int64), minlength=n).astype(np.int32)
+                yield from by_place(name, rows.schema.field(cohort).type, batch, drawn.T, [cohort, "batch", "place", "weights"])
+
+    schema = StructType([own.schema[cohort], StructField("batch", IntegerType()), StructField("place", LongType()), StructField("weights", ArrayType(IntegerType()))])
+    draws = batches.select(cohort, "n", "batch").mapInArrow(draw, schema)
+    return draws.join(cluster_places(own, cohort, cluster), [cohort, "place"]).select(cohort, cluster, "batch", "weights")
+
+
+def by_place(name: object, kind: pa.DataType, batch: int, drawn: np.ndarray, names: list[str], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """A matrix of draws [places, replicates] as rows of a cohort and batch."""
+    for at in range(0, len(drawn), rows):
+        some = drawn[at : at + rows]
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * drawn.shape[1], pa.int32()), pa.array(np.ascontiguousarray(some).ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), kind), pa.array(np.full(len(some), batch, np.int32)), pa.array(np.arange(at, at + len(some))), flat], names)
 
 
 def registered_weights(clusters: DataFrame, cohort: str, replicates: int, seed: int, cluster: str = "cluster_id", batch: int = 100) -> DataFrame:
@@ -139,7 +175,7 @@ def stream_states(sizes: DataFrame, cohort: str, replicates: int, seed: int, eve
     return sizes.select(cohort, F.col("n").cast("long").alias("n")).repartition(cohort).mapInArrow(states, schema)
 
 
-def draws_from_states(states: DataFrame, cohort: str, replicates: int, every: int = 100, slice_: int = 100_000) -> DataFrame:
+def draws_from_states(states: DataFrame, cohort: str, replicates: int, every: int = 100) -> DataFrame:
     """cohort, batch, place, weights (an entry a replicate of the batch): every batch of every cohort in a task of its own, equal to the single stream."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +185,7 @@ def draws_from_states(states: DataFrame, cohort: str, replicates: int, every: in
                 rng = np.random.default_rng()
                 rng.bit_generator.state = {**state, "state": {k: int(v) for k, v in state["state"].items()}}
                 drawn = rng.multinomial(n, np.full(n, 1 / n), size=min(every, replicates - number * every)).astype(np.int32).T
-                for at in range(0, n, slice_):
-                    some = drawn[at : at + slice_]
-                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * drawn.shape[1], pa.int32()), pa.array(np.ascontiguousarray(some).ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), rows.schema.field(cohort).type), pa.array(np.full(len(some), number, np.int32)), pa.array(np.arange(at, at + len(some))), flat], [cohort, "batch", "place", "weights"])
+                yield from by_place(name, rows.schema.field(cohort).type, number, drawn, [cohort, "batch", "place", "weights"])
 
     schema = StructType([states.schema[cohort], StructField("batch", IntegerType()), StructField("place", LongType()), StructField("weights", ArrayType(IntegerType()))])
     return states.repartition(cohort, "batch").mapInArrow(draw, schema)
@@ -167,13 +200,18 @@ def spread_registered_weights(clusters: DataFrame, cohort: str, replicates: int,
 
 
 def cluster_places(own: DataFrame, cohort: str, cluster: str) -> DataFrame:
-    """cohort, cluster, place (from 0 in order): ranges number their clusters, and the ranges' counts go before."""
-    dealt = own.repartitionByRange(cohort, cluster).withColumn("part", F.spark_partition_id())
-    inside = dealt.withColumn("own", F.row_number().over(W.partitionBy(cohort, "part").orderBy(cluster)) - 1)
-    counts = dealt.groupBy(cohort, "part").count()
-    earlier = W.partitionBy(cohort).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(cohort, "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
-    return inside.join(counts, [cohort, "part"]).select(cohort, cluster, (F.col("own") + F.col("before")).cast("long").alias("place"))
+    """cohort, cluster, place (from 0 in order)."""
+    return places(own.select(cohort, cluster), [cohort], [cluster])
+
+
+def places(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """rows with place, from 0, in their key by the order: ranges number their rows, and the counts of a key's ranges go before."""
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id())
+    inside = dealt.withColumn("own", F.row_number().over(W.partitionBy(*keys, "part").orderBy(*order)) - 1)
+    counts = dealt.groupBy(*keys, "part").count()
+    earlier = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(*keys, "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    return inside.join(counts, [*keys, "part"]).withColumn("place", (F.col("own") + F.col("before")).cast("long")).drop("own", "before", "part")
 
 
 def replicate_auroc_in_batches(df: DataFrame, keys: Sequence[str], weights: DataFrame, replicates: int, every: int = 100, cluster: str = "cluster_id") -> DataFrame:
@@ -388,9 +426,9 @@ def benjamini_hochberg(df: DataFrame, family: Sequence[str], p: str, ties: Seque
 
 def subsample(df: DataFrame, keys: Sequence[str], record: str, fraction: float, draw: Column) -> DataFrame:
     """Without replacement: the rounded fraction of each key's records that come first by a hash of record and draw."""
-    order = W.partitionBy(*keys).orderBy(F.md5(F.concat_ws("#", F.col(record).cast("string"), draw.cast("string"))), record)
-    rows = df.withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy(*keys)))
-    return rows.where(F.col("r") <= F.rint(F.col("n") * fraction)).drop("r", "n")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n_all"))
+    placed = places(df.withColumn("drawn", F.md5(F.concat_ws("#", F.col(record).cast("string"), draw.cast("string")))), keys, ["drawn", record])
+    return placed.join(sizes, list(keys)).where(F.col("place") < F.rint(F.col("n_all") * fraction)).drop("place", "drawn", "n_all")
 
 
 def within(own: DataFrame, other: DataFrame, keys: Sequence[str], value: str, published: str, tolerance: float) -> DataFrame:

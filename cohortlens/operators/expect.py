@@ -45,6 +45,13 @@ def same_rows(seen: DataFrame, registered: DataFrame, on: Sequence[str], value:
     nothing(a.join(b, list(on), "full").where(~F.col("seen").eqNullSafe(F.col("registered"))), "counts differ")
 
 
+def value_counts(df: DataFrame, column: str, expected: DataFrame) -> DataFrame:
+    """value, seen, expected, fits of every value that either has; expected: value, expected."""
+    seen = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("seen"))
+    both = seen.join(expected.select("value", "expected"), "value", "full").na.fill(0, ["seen", "expected"])
+    return both.withColumn("fits", F.col("seen") == F.col("expected"))
+
+
 def prediction_report(df: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:
     """keys, rows, and how many are null, not finite, out of [0, 1], or not labelled 0 or 1."""
     v = F.col(p)

@@ -1,7 +1,7 @@
 """Fits: temperature, logit slope and offset, target prevalence, calibration ladder, regularised logistic models.
 
-Spark first sums rows to distinct (key, score) counts; the iteration then runs on those few numbers, a key in a task.
-Scores are first rounded to DIGITS digits, which bounds a key's distinct scores.
+Spark first sums rows to distinct (key, score) counts; the iteration then runs on those numbers, a key in a task. Where a key has more
+distinct scores than a task should hold, digits rounds them; by default scores are taken as they are.
 """
 
 from __future__ import annotations
@@ -18,13 +18,12 @@ from pyspark.sql.types import StructType
 from ..functions.scalar import affine, bbse_prevalence, prior_shift_offset
 from .discrimination import f1_thresholds
 
-DIGITS = 6
 CLIP = 1e-7
 
 
-def counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, p, pos, neg with p rounded; at most 10**DIGITS + 1 rows a key."""
-    return df.groupBy(*keys, F.round("p", DIGITS).alias("p")).agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
+def counts(df: DataFrame, keys: Sequence[str], digits: int | None = None) -> DataFrame:
+    """keys, p, pos, neg; with digits, p is rounded and a key has at most 10**digits + 1 rows."""
+    return df.groupBy(*keys, (F.col("p") if digits is None else F.round("p", digits)).alias("p")).agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -105,13 +104,13 @@ def _by_key(df: DataFrame, keys: Sequence[str], out: str, f) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(kernel, schema)
 
 
-def temperatures(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return _by_key(counts(df, keys), keys, "temperature double", lambda r: (fit_temperature(r["p"].to_numpy(), r["pos"].to_numpy(), r["neg"].to_numpy()),))
+def temperatures(df: DataFrame, keys: Sequence[str], digits: int | None = None) -> DataFrame:
+    return _by_key(counts(df, keys, digits), keys, "temperature double", lambda r: (fit_temperature(r["p"].to_numpy(), r["pos"].to_numpy(), r["neg"].to_numpy()),))
 
 
-def affine_fits(df: DataFrame, keys: Sequence[str], offset_only: bool = False) -> DataFrame:
+def affine_fits(df: DataFrame, keys: Sequence[str], offset_only: bool = False, digits: int | None = None) -> DataFrame:
     return _by_key(
-        counts(df, keys), keys, "slope double, offset double, fitted boolean",
+        counts(df, keys, digits), keys, "slope double, offset double, fitted boolean",
         lambda r: fit_affine(r["p"].to_numpy(), r["pos"].to_numpy(), r["neg"].to_numpy(), offset_only),
     )
 
@@ -185,7 +184,7 @@ def platt_recovery(df: DataFrame, keys: Sequence[str], record: str, sizes: list[
     A draw is the first k records by a hash of record and repeat, so larger k add to smaller ones. Only drawn rows are shuffled and
     fitted, k a task; the error comes from the bins of a key's distinct scores less those of the drawn rows. Null where none is held out.
     """
-    rows = df.select(*keys, record, "y", F.round("p", DIGITS).alias("p")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    rows = df.select(*keys, record, "y", "p").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     order = W.partitionBy(*keys, "repeat").orderBy(F.xxhash64(F.lit(seed), "repeat", record), record, "p", "y")
     first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(sizes))
     drawn = first.withColumn("k", F.explode(F.array(*[F.lit(s) for s in sizes]))).where(F.col("place") <= F.col("k"))

@@ -28,7 +28,7 @@ def co_occurrence(df: DataFrame, record: Sequence[str], label: str) -> DataFrame
     sets = df.groupBy(*record).agg(F.sort_array(F.collect_set(label)).alias("s"))
     pair = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     both = sets.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("both"))
-    totals = F.broadcast(df.select(*record, label).distinct().groupBy(label).agg(F.count("*").alias("total")))
+    totals = df.select(*record, label).distinct().groupBy(label).agg(F.count("*").alias("total"))
     out = both.join(totals.select(F.col(label).alias("a"), F.col("total").alias("a_total")), "a").join(
         totals.select(F.col(label).alias("b"), F.col("total").alias("b_total")), "b"
     )
@@ -111,3 +111,36 @@ def rate_check(df: DataFrame, keys: Sequence[str], value: str, defining: Callabl
     v = F.when(~F.isnan(value), F.col(value))
     shares = df.groupBy(*keys).agg(F.count(v).alias("used"), F.avg(F.when(v.isNotNull(), defining(v).cast("double"))).alias("defining_share"))
     return shares.join(quantiles(df, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("median")), list(keys), "left")
+
+
+def without_codes(df: DataFrame, codes: str, excluded: list[str]) -> DataFrame:
+    """Rows whose pipe text has none of the excluded codes as a whole code; a code that only contains one stays."""
+    return df.where(~has_code(F.col(codes), excluded))
+
+
+def expansion(df: DataFrame, values: dict[str, list[str]], y: str = "y") -> DataFrame:
+    """Every combination of the given values with its rows, positives and negatives, zero where there are none."""
+    counts = df.groupBy(*values).agg(F.count("*").alias("rows"), F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    cells = df.sparkSession.range(1).select()
+    for name, own in values.items():
+        cells = cells.select("*", F.explode(F.array(*map(F.lit, own))).alias(name))
+    return cells.join(counts, list(values), "left").na.fill(0, ["rows", "pos", "neg"])
+
+
+def ordered_distinct(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
+    """keys, values: each value once, in the order of its first row. Rows are summed to first places before they meet."""
+    first = df.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("at"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("at", value))), lambda s: s[value])
+    return first.groupBy(*keys).agg(listed.alias("values"))
+
+
+def label_map(df: DataFrame, keys: Sequence[str], label: str, value: Column) -> DataFrame:
+    """keys, by_label: a map from label to value, labels in order."""
+    own = df.groupBy(*keys, label).agg(value.alias("value"))
+    return own.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(label, "value")))).alias("by_label"))
+
+
+def rank_of(value: Column, order: list[str]) -> Column:
+    """Place in a given order, from 1; what it lacks comes after all of it."""
+    place = F.array_position(F.array(*map(F.lit, order)), value)
+    return F.when(place > 0, place).otherwise(len(order) + 1).cast("int")

@@ -55,6 +55,17 @@ def settled(report: DataFrame, what: str) -> None:
         raise Unmet(f"{what}: {[r.asDict() for r in found]}")
 
 
+def registration_guard(seals: DataFrame, files: DataFrame, blobs: DataFrame) -> DataFrame:
+    """path and broken: a registered file, its seal and the committed blob have one digest. seals, files, blobs: path, digest."""
+    rows = seals.select("path", F.col("digest").alias("sealed")).join(files.select("path", F.col("digest").alias("found")), "path", "left")
+    rows = rows.join(blobs.select("path", F.col("digest").alias("committed")), "path", "left")
+    rules = {
+        "file_there": F.col("found").isNotNull(), "blob_there": F.col("committed").isNotNull(), "file_as_sealed": F.col("found") == F.col("sealed"),
+        "blob_as_sealed": F.col("committed") == F.col("sealed"), "file_as_committed": F.col("found") == F.col("committed"),
+    }
+    return rows.select("path", broken(rules).alias("broken"))
+
+
 def evaluation_guard(seals: DataFrame, blobs: DataFrame, parents: DataFrame) -> DataFrame:
     """seal_id and the broken rules of each seal, before anything protected is scored.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -398,8 +397,7 @@ def p18(spark, sf_dir):
 @query("k02_position_after_sort", "SELECT cohort, record_id, row_number() OVER (PARTITION BY cohort ORDER BY record_id) - 1 AS position FROM {ORDERS} QUALIFY position % 10 = 3")
 def k02(spark, sf_dir):
     """Ids in order, positions from 0, and a slice by position."""
-    place = (F.row_number().over(W.partitionBy("cohort").orderBy("record_id")) - 1).cast("long")
-    return orders(spark, sf_dir).select("cohort", "record_id", place.alias("position")).where("position % 10 = 3")
+    return B.cluster_places(orders(spark, sf_dir).select("cohort", "record_id"), "cohort", "record_id").withColumnRenamed("place", "position").where("position % 10 = 3")
 
 
 @query("f26_flattened_runs", """WITH r AS (SELECT event_type AS model, CAST(user_id % 3 AS INT) AS seed, COUNT(*) AS n FROM events GROUP BY ALL) SELECT concat(model, '-seed-', seed) AS run, sha256(concat(model, ':', seed, ':', n)) AS digest FROM r""")

@@ -244,10 +244,17 @@ def q19(spark, sf_dir):
 
 
 REPS = f"reps AS (SELECT CAST(range AS INT) AS replicate FROM range({REPLICATES}))"
+
+
+def hash_steps(keys: str) -> str:
+    """CTEs d1 to d5 after d0 (keys, replicate, v): the hash step by step."""
+    return ", ".join(f"d{i} AS (SELECT {keys}, replicate, {step.replace('{r}', 'CAST(replicate AS BIGINT)')} AS v FROM d{i - 1})" for i, step in enumerate(B.HASH_STEPS_SQL, 1))
+
+
 #: A weight for every cluster and replicate.
-WEIGHTS = f"""{REPS}, cl AS (SELECT DISTINCT cluster_id FROM {{ORDERS}}), d0 AS (SELECT cluster_id, replicate, (cluster_id % {B.MODULUS} * {B.CLUSTER_FACTOR} + CAST(replicate AS BIGINT) * {B.REPLICATE_FACTOR}) % 4294967296 AS v FROM cl CROSS JOIN reps),
- d1 AS (SELECT cluster_id, replicate, xor(v, v >> 16) * {B.FIRST} % 4294967296 AS v FROM d0), d2 AS (SELECT cluster_id, replicate, xor(v, v >> 15) * {B.SECOND} % 4294967296 AS v FROM d1), d3 AS (SELECT cluster_id, replicate, xor(v, v >> 15) AS v FROM d2),
- w AS (SELECT cluster_id, replicate, {B.hash_weight_sql("v")} AS w FROM d3)"""
+WEIGHTS = f"""{REPS}, cl AS (SELECT DISTINCT cluster_id FROM {{ORDERS}}), d0 AS (SELECT cluster_id, replicate, cluster_id % {B.MODULUS} * {B.CLUSTER_FACTOR} % 4294967296 AS v FROM cl CROSS JOIN reps),
+ {hash_steps("cluster_id")},
+ w AS (SELECT cluster_id, replicate, {B.hash_weight_sql("v")} AS w FROM d5)"""
 
 
 def boot_sql(rows: str, keys: str, name: str = "boot") -> str:
@@ -363,17 +370,16 @@ def b15(spark, sf_dir):
 
 
 @query("b03_multinomial_replicates", f"""WITH reps AS (SELECT CAST(range AS INT) AS replicate FROM range(40)), cl AS (SELECT cohort, cluster_id, row_number() OVER (PARTITION BY cohort ORDER BY cluster_id) - 1 AS place, COUNT(*) OVER (PARTITION BY cohort) AS n FROM (SELECT DISTINCT cohort, cluster_id FROM {{ORDERS}})),
- d0 AS (SELECT cohort, n, replicate, ((place + 2026) % {B.MODULUS} * {B.CLUSTER_FACTOR} + CAST(replicate AS BIGINT) * {B.REPLICATE_FACTOR}) % 4294967296 AS v FROM cl CROSS JOIN reps),
- d1 AS (SELECT cohort, n, replicate, xor(v, v >> 16) * {B.FIRST} % 4294967296 AS v FROM d0), d2 AS (SELECT cohort, n, replicate, xor(v, v >> 15) * {B.SECOND} % 4294967296 AS v FROM d1),
- d3 AS (SELECT cohort, replicate, CAST(FLOOR(xor(v, v >> 15) * n / CAST(4294967296 AS DOUBLE)) AS BIGINT) AS place, COUNT(*) AS w FROM d2 GROUP BY ALL), w AS (SELECT cohort, cluster_id, replicate, w FROM d3 JOIN cl USING (cohort, place)),
+ d0 AS (SELECT cohort, n, replicate, (place + 2026) % {B.MODULUS} * {B.CLUSTER_FACTOR} % 4294967296 AS v FROM cl CROSS JOIN reps), {hash_steps("cohort, n")},
+ dp AS (SELECT cohort, replicate, v * n >> 32 AS place, COUNT(*) AS w FROM d5 GROUP BY ALL), w AS (SELECT cohort, cluster_id, replicate, w FROM dp JOIN cl USING (cohort, place)),
  c AS (SELECT cohort, replicate, model, label, p, SUM(w * y) AS pos, SUM(w * (1 - y)) AS neg FROM {{PRED}} JOIN w USING (cohort, cluster_id) GROUP BY ALL),
  s AS (SELECT *, SUM(neg) OVER (PARTITION BY cohort, replicate, model, label ORDER BY p ROWS UNBOUNDED PRECEDING) - neg AS below FROM c)
 SELECT cohort, model, label, CAST(replicate AS INT) AS replicate, CASE WHEN SUM(pos) > 0 AND SUM(neg) > 0 THEN round(SUM(pos * (below + neg * CAST(0.5 AS DOUBLE))) / (SUM(pos) * SUM(neg)), 6) END AS auroc FROM s GROUP BY ALL""")
 def b03(spark, sf_dir):
     """Multinomial weights: every cluster's n draws a replicate."""
     rows = predictions(spark, sf_dir)
-    weights = B.multinomial_weights(orders(spark, sf_dir), "cohort", 40, 2026)
-    return rounded(B.replicate_auroc(rows, KEYS, 40, weights=weights))
+    weights = B.multinomial_weights(orders(spark, sf_dir), "cohort", 40, 2026, every=40)
+    return rounded(B.replicate_auroc_in_batches(rows, KEYS, weights, 40, 40))
 
 
 @query("j11_registered_shift")
@@ -416,4 +422,4 @@ def f12(spark, sf_dir):
     source = rows.where("cohort = 'F'").groupBy("model", "label").agg(F.avg(F.when(F.col("y") == 1, F.col("flag"))).alias("tpr"), F.avg(F.when(F.col("y") == 0, F.col("flag"))).alias("fpr"))
     target = rows.where("cohort <> 'F'").groupBy(*KEYS).agg(F.avg("flag").alias("q"), F.avg("y").alias("truth"))
     estimate = scalar.bbse_prevalence(F.col("q"), F.col("tpr"), F.col("fpr"))
-    return rounded(target.join(F.broadcast(source), ["model", "label"]).select(*KEYS, estimate.alias("estimate"), "truth"))
+    return rounded(target.join(source, ["model", "label"]).select(*KEYS, estimate.alias("estimate"), "truth"))

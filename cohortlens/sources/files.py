@@ -44,7 +44,7 @@ def read_code_groups(spark: SparkSession, path: str) -> DataFrame:
 def code_names(groups: DataFrame, names: DataFrame) -> DataFrame:
     """key, name: the names of a group's codes in order, joined; a code without a name is an error."""
     codes = groups.select("key", F.posexplode("codes").alias("at", "code"))
-    joined = codes.join(F.broadcast(names), "code", "left")
+    joined = codes.join(names, "code", "left")
     expect.nothing(joined.where("name is null").select("code"), "codes without a name")
     return joined.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda s: s["name"]), " / ").alias("name"))
 

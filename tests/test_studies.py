@@ -2,6 +2,7 @@
 
 import json
 import os
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -12,9 +13,10 @@ from cohortlens.operators import bootstrap as B
 from cohortlens.operators import discrimination as D
 from cohortlens.operators import fitting
 from cohortlens.operators import inference as I
+from cohortlens.operators import labels
 from cohortlens.operators import provenance as P
 from cohortlens.operators.expect import Unmet
-from cohortlens.sources import arrays, incremental
+from cohortlens.sources import arrays, files, incremental
 
 
 def brute_auroc(p, y, w=None):
@@ -355,3 +357,64 @@ def test_normalization(spark, tmp_path, mean, sd):
     bad.write_text(json.dumps({"per_lead_mean_mv": mean, "per_lead_standard_deviation_mv": sd}))
     with pytest.raises(Unmet):
         arrays.read_normalization(spark, f"file://{bad}")
+
+
+def test_multinomial_draws_do_not_hang_on_batches(spark, scores):
+    rows, df = scores
+    clusters = df.select("cohort", "cluster_id").distinct()
+    made = {}
+    for every in (3, 100):
+        own = defaultdict(dict)
+        for r in B.multinomial_weights(clusters, "cohort", 7, 5, every=every).collect():
+            for i, w in enumerate(r["weights"]):
+                own[r["cohort"], r["batch"] * every + i][r["cluster_id"]] = w
+        made[every] = dict(own)
+    assert made[3] == made[100] and len(made[3]) == 14
+    for (cohort, _), w in made[3].items():
+        assert sum(w.values()) == len(w) == len({r[1] for r in rows if r[0] == cohort})
+
+
+def test_hash_draws_of_far_clusters_are_no_shifts_of_each_other():
+    """Clusters whose identifiers differ by what the replicates' factor undoes had one sequence, shifted."""
+    far = B.hash_draws(np.array([5, 5 + 1018331]), 4000)
+    assert len(np.intersect1d(far[0], far[1])) < 3
+    assert (B.hash_draws(np.array([5]), 10, 30) == far[:1, 30:40]).all()
+
+
+def test_places_of_whole_rows(spark):
+    rows = [("k", i % 5, i) for i in range(200)] + [("l", 0, 0)]
+    df = spark.createDataFrame(rows, "k string, a long, b long").repartition(6)
+    found = {(r["k"], r["a"], r["b"]): r["place"] for r in B.places(df, ["k"], ["a", "b"]).collect()}
+    assert found == {r: i for i, r in enumerate(sorted(r for r in rows if r[0] == "k"))} | {("l", 0, 0): 0}
+
+
+def test_labels_in_shapes(spark):
+    df = spark.createDataFrame([(1, "a|sign"), (2, "a|signup"), (3, None), (4, "")], "id long, codes string")
+    assert [r["id"] for r in labels.without_codes(df, "codes", ["sign"]).orderBy("id").collect()] == [2, 3, 4]
+    rows = spark.createDataFrame([("x", 1, 5, 0), ("y", 1, 1, 1), ("x", 1, 0, 0), ("z", 1, 9, 1)], "v string, k int, t int, y int")
+    assert labels.ordered_distinct(rows, ["k"], "v", ["t"]).first()["values"] == ["x", "y", "z"]
+    cells = {(r["v"], r["k"]): (r["rows"], r["pos"]) for r in labels.expansion(rows, {"v": ["x", "q"], "k": [1, 2]}).collect()}
+    assert cells == {("x", 1): (2, 0), ("x", 2): (0, 0), ("q", 1): (0, 0), ("q", 2): (0, 0)}
+
+
+def test_curve_points_must_be_there(spark):
+    curve = spark.createDataFrame([("a", 0.1 + 0.2, 1), ("a", 0.5, 2), ("b", 0.3, 3)], "k string, at double, v int")
+    assert D.at_points(curve, ["k"], "at", [0.3]).count() == 2
+    with pytest.raises(Unmet):
+        D.at_points(curve, ["k"], "at", [0.5]).count()
+
+
+def test_csv_floats_come_back_as_they_were(spark, tmp_path):
+    values = [0.1, 1 / 3, 1e-310, 1.7976931348623157e308, -0.0, 123456789.123456789]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    files.write_sorted_csv(df, f"file://{tmp_path}/x", ["i"], ["i", "v"])
+    back = {r["i"]: r["v"] for r in files.read_csv(spark, f"file://{tmp_path}/x", "i long, v double").collect()}
+    assert [repr(back[i]) for i in range(len(values))] == [repr(v) for v in values]
+
+
+def test_manifest_order_and_headline(spark, tmp_path):
+    entry = lambda key, head: {"label_key": key, "snomed_codes": [key], "diagnosis": key.upper(), "headline_eligible": head, "positive_counts": {"F": 3}}
+    (tmp_path / "m.json").write_text(json.dumps({"labels": [entry("b", True), entry("a", False), entry("c", True)]}))
+    rows = files.read_manifest(spark, f"file://{tmp_path}/m.json").orderBy("position").collect()
+    assert [r["label_key"] for r in rows] == ["b", "a", "c"] and [r["position"] for r in rows if r["headline_eligible"]] == [0, 2]
+    assert rows[0]["positive_counts"] == {"F": 3}
