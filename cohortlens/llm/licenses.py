@@ -57,7 +57,7 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice": "bsd-binary",
     "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
-    "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license": "gpl-grant",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advert",
     "either version 3 of the license, or (at your option) any later version": "gpl3-later",
     "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "gpl3-grant",
     "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version": "gpl2-grant",
@@ -74,7 +74,32 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4.0 international license": "cc-by-4-notice",
     "this work is licensed under a creative commons attribution-sharealike 4.0 international license": "cc-by-sa-4-notice",
     "this work is licensed under a creative commons attribution-noncommercial 4.0 international license": "cc-by-nc-4-notice",
+    "gnu general public license": "gpl-title",
+    "gnu library general public license": "lgpl2-title",
+    "gnu lesser general public license": "lgpl-title",
+    "gnu affero general public license": "agpl-title",
+    "gnu free documentation license": "gfdl-title",
+    "version 1, february 1989": "february-1989",
+    "version 2, june 1991": "june-1991",
+    "version 2.1, february 1999": "february-1999",
+    "version 3, 29 june 2007": "june-2007",
+    "version 3, 19 november 2007": "november-2007",
+    "version 1.2, november 2002": "november-2002",
+    "version 1.3, 3 november 2008": "november-2008",
+    "mozilla public license version 1.1": "mpl11-title",
+    "mozilla public license version 2.0": "mpl2-title",
+    "the \"artistic license\"": "artistic-title",
+    "the intent of this document is to state the conditions under which a package may be copied, such that the copyright holder maintains some semblance of artistic control over the development of the package, while giving the users of the package the right to use and distribute the package in a more-or-less customary fashion, plus the right to make reasonable modifications": "artistic-intent",
+    "creative commons legal code": "cc-title",
+    "cc0 1.0 universal": "cc0-title",
 }
+#: Beginning and middle of sentences that name a holder between them, and what they are. Up to GAP signs, wrapped or with a
+#: full stop as of a company's name, lie between the two, and the sentence's end is free.
+HOLDERS = (
+    ("neither the name", "be used to endorse or promote products derived", "bsd-names"),
+    ("the name", "not be used to endorse or promote products derived", "bsd-names"),
+)
+GAP = 240
 #: Fixed values, in order: rule, licence, identifiers.
 RULES = (
     ("apache-2.0-header", "Apache-2.0", ("apache2-head", "apache2-use", "apache2-copy")),
@@ -85,7 +110,12 @@ RULES = (
     ("mit-grant-as-is", "MIT", ("mit-grant", "as-is")),
     ("isc", "ISC", ("isc-grant", "isc-as-is")),
     ("0bsd", "0BSD", ("0bsd-grant", "isc-as-is")),
+    ("bsd-4-text", "BSD-4-Clause", ("bsd-permit", "bsd-source", "bsd-binary", "bsd-advert", "bsd-names")),
+    ("bsd-4-clauses", "BSD-4-Clause", ("bsd-source", "bsd-binary", "bsd-advert", "bsd-names")),
+    ("bsd-4-short", "BSD-4-Clause", ("bsd-permit", "bsd-source", "bsd-binary", "bsd-advert")),
     ("bsd-3-text", "BSD-3-Clause", ("bsd-permit", "bsd-source", "bsd-binary", "bsd-names")),
+    ("bsd-3-source", "BSD-Source-Code", ("bsd-permit", "bsd-source", "bsd-names")),
+    ("bsd-3-clauses", "BSD-3-Clause", ("bsd-source", "bsd-binary", "bsd-names")),
     ("bsd-2-text", "BSD-2-Clause", ("bsd-permit", "bsd-source", "bsd-binary")),
     ("bsd-2-clauses", "BSD-2-Clause", ("bsd-source", "bsd-binary")),
     ("gpl-3-or-later", "GPL-3.0-or-later", ("gpl-grant", "gpl3-later")),
@@ -103,6 +133,19 @@ RULES = (
     ("cc-by-nc-4-work", "CC-BY-NC-4.0", ("cc-by-nc-4-notice",)),
     ("cc-by-4-work", "CC-BY-4.0", ("cc-by-4-notice",)),
     ("cc-by-sa-4-work", "CC-BY-SA-4.0", ("cc-by-sa-4-notice",)),
+    ("gpl-1-whole", "GPL-1.0", ("gpl-title", "february-1989")),
+    ("gpl-2-whole", "GPL-2.0", ("gpl-title", "june-1991")),
+    ("gpl-3-whole", "GPL-3.0", ("gpl-title", "june-2007")),
+    ("lgpl-2-whole", "LGPL-2.0", ("lgpl2-title", "june-1991")),
+    ("lgpl-2.1-whole", "LGPL-2.1", ("lgpl-title", "february-1999")),
+    ("lgpl-3-whole", "LGPL-3.0", ("lgpl-title", "june-2007")),
+    ("agpl-3-whole", "AGPL-3.0", ("agpl-title", "november-2007")),
+    ("gfdl-1.2-whole", "GFDL-1.2", ("gfdl-title", "november-2002")),
+    ("gfdl-1.3-whole", "GFDL-1.3", ("gfdl-title", "november-2008")),
+    ("mpl-1.1-whole", "MPL-1.1", ("mpl11-title",)),
+    ("mpl-2-whole", "MPL-2.0", ("mpl2-title",)),
+    ("artistic-whole", "Artistic-1.0", ("artistic-title", "artistic-intent")),
+    ("cc0-whole", "CC0-1.0", ("cc-title", "cc0-title")),
     ("mit-notice", "MIT", ("mit-notice",)),
     ("apache-2-notice", "Apache-2.0", ("apache2-notice",)),
 )
@@ -129,9 +172,16 @@ def normalised_text(sentence: str) -> str:
 
 
 def sentence_pattern(known: dict[str, str]) -> str:
-    """All known sentences, wrapped or not, the longest first; a sentence lies between line ends."""
-    words = [s.split(" ") for s in sorted(map(normalised_text, known), key=lambda s: (-len(s), s))]
-    return "\\n(" + "|".join("(?: |\\n\\n)".join(map(re.escape, w)) for w in words) + ")\\n"
+    """All known sentences, wrapped or not, the longest first, then those that name a holder; a sentence lies between line ends."""
+    words = sorted(map(normalised_text, known), key=lambda s: (-len(s), s))
+    wrapped = lambda s: "(?: |\\n\\n)".join(map(re.escape, s.split(" ")))
+    named = [f"{wrapped(begin)}(?s:.{{0,{GAP}}}?){wrapped(middle)}[^\\n]*" for begin, middle, _ in HOLDERS]
+    return "\\n(" + "|".join([*map(wrapped, words), *named]) + ")\\n"
+
+
+def holder_of(sentence: Column) -> Column:
+    """What a sentence with a holder's name is; the first beginning that fits."""
+    return F.coalesce(*[F.when(F.startswith(F.regexp_replace(sentence, "\\n\\n", " "), F.lit(begin)), name) for begin, _, name in HOLDERS])
 
 
 def best_at(rules) -> Column:
@@ -177,7 +227,7 @@ def licence_matches(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RU
     rows = rows.select(
         "doc_id",
         F.size(F.filter(F.split("plain", "\n"), lambda s: (s != "") & (s != "."))).cast("long").alias("sentences"),
-        F.transform(found, lambda s: table[F.regexp_replace(s, "\\n\\n", " ")]).alias("identifiers"),
+        F.transform(found, lambda s: F.coalesce(table[F.regexp_replace(s, "\\n\\n", " ")], holder_of(s))).alias("identifiers"),
     )
     rows = rows.withColumn("every", best_at(rules))
     reach = max(len(ids) for _, _, ids in rules)

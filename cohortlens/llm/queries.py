@@ -136,6 +136,7 @@ def licenses_sql() -> str:
     plain = "lower(coalesce(text, ''))"
     for kind, what, by in L.STEPS:
         plain = f"replace({plain}, {text(what)}, {text(by)})" if kind == "text" else f"regexp_replace({plain}, {text(what)}, {text(by)}, 'g')"
+    holders = "CASE " + " ".join(f"WHEN starts_with(replace(x, chr(10) || chr(10), ' '), {text(begin)}) THEN {text(name)}" for begin, _, name in L.HOLDERS) + " END"
     hits = " UNION ALL ".join(
         f"SELECT r, doc_id, {order} AS o, {text(rule)} AS rule, {len(ids)} AS n, unnest(list_filter(range(len(ids)), lambda i: ids[i + 1:i + {len(ids)}] = [{', '.join(map(text, ids))}])) AS place FROM named"
         for order, (rule, _, ids) in enumerate(L.RULES)
@@ -145,7 +146,7 @@ WITH cut AS (
   SELECT row_number() OVER () AS r, doc_id, chr(10) || trim({plain}, ' ') || chr(10) AS plain FROM documents
 ), named AS (
   SELECT r, doc_id, CAST(len(list_filter(string_split(plain, chr(10)), lambda x: x NOT IN ('', '.'))) AS BIGINT) AS sentences,
-         list_transform(regexp_extract_all(plain, {text(L.sentence_pattern(L.SENTENCES))}, 1), lambda x: ({names})[replace(x, chr(10) || chr(10), ' ')]) AS ids
+         list_transform(regexp_extract_all(plain, {text(L.sentence_pattern(L.SENTENCES))}, 1), lambda x: coalesce(({names})[replace(x, chr(10) || chr(10), ' ')], {holders})) AS ids
   FROM cut
 ), hits AS ({hits}), kept AS (
   SELECT r, string_agg(CAST(place AS VARCHAR) || ':' || rule, ',' ORDER BY place, o) AS rules FROM hits m

@@ -680,6 +680,59 @@ def test_licences_as_they_stand_in_files(spark, tmp_path, dressed):
     assert sorted(tuple(r[n] for n in names) for r in ours) == sorted(con.sql(ORACLES["op3_licenses"]).select(*names).fetchall())
 
 
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+"""
+ADVERT = """3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+     This product includes software developed by the University.
+"""
+NAMED = [
+    "3. Neither the name of the University nor the names of its contributors\n   may be used to endorse or promote products derived from this software\n   without specific prior written permission.\n",
+    "   * Neither the name of Google Inc. nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n",
+    "    * Neither the names of the LLVM Team, University of Illinois at\n      Urbana-Champaign, nor the names of its contributors may be used to\n      endorse or promote products derived from this Software without specific\n      prior written permission.\n",
+    "3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission.\n",
+    "3. The name of Example, S.A. may not be used to endorse or promote products derived from this software without prior permission of the holder.\n",
+]
+
+
+@pytest.mark.parametrize("dressed", ["{}", " * {}"])
+def test_bsd_texts_with_named_holders(spark, tmp_path, dressed):
+    """No text with an endorsement clause is told as the more permissive licence, whoever is named; equal to the SQL."""
+    import duckdb
+
+    from cohortlens.llm.queries import ORACLES
+
+    far = "Neither the name\n" + "of nobody in particular, and so on. " * 20 + "\nbe used to endorse or promote products derived\n"
+    texts = [*[BSD_HEAD + n for n in NAMED], BSD_HEAD, BSD_HEAD + ADVERT + NAMED[0], BSD_HEAD + ADVERT, BSD_HEAD + far, NAMED[1], *NAMED[:1] * 2]
+    texts = ["\n".join(dressed.format(x) for x in t.split("\n")) for t in texts]
+    df = docs(spark, texts)
+    rows = {r["doc_id"]: [m["licence"] for m in r["matches"]] for r in licenses.licence_matches(df).collect()}
+    assert [rows[i] for i in range(5)] == [["BSD-3-Clause"]] * 5
+    assert [rows[i] for i in range(5, 12)] == [["BSD-2-Clause"], ["BSD-4-Clause"], ["BSD-4-Clause"], ["BSD-2-Clause"], [], [], []]
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    ours = QUERIES["op3_licenses"](spark, str(tmp_path)).collect()
+    names = ("doc_id", "sentences", "identifiers", "rules")
+    assert sorted(tuple(r[n] for n in names) for r in ours) == sorted(con.sql(ORACLES["op3_licenses"]).select(*names).fetchall())
+
+
+def test_whole_licences_by_their_titles(spark):
+    title = lambda *lines: "\n\n".join(f"          {x}" for x in lines) + "\n\n Everyone is permitted to copy.\n"
+    texts = [
+        title("GNU LIBRARY GENERAL PUBLIC LICENSE", "Version 2, June 1991"), title("GNU LESSER GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"), title("GNU GENERAL PUBLIC LICENSE", "Version 1, February 1989"),
+        title("GNU Free Documentation License", "Version 1.3, 3 November 2008"), title("MOZILLA PUBLIC LICENSE Version 1.1"), title("Creative Commons Legal Code", "CC0 1.0 Universal"), title("GNU GENERAL PUBLIC LICENSE", "Version 9, May 2030"),
+    ]
+    rows = {r["doc_id"]: [m["licence"] for m in r["matches"]] for r in licenses.licence_matches(docs(spark, texts)).collect()}
+    assert [rows[i] for i in range(7)] == [["LGPL-2.0"], ["LGPL-3.0"], ["GPL-1.0"], ["GFDL-1.3"], ["MPL-1.1"], ["CC0-1.0"], []]
+
+
 def test_token_counts(spark, documents, tmp_path):
     enc = Encoder(tokenizer_path(), special_as_text=True)
     odd = docs(spark, [*ODD, "a"], ids=[0, 1, 2, 3, 3, None, 6, 7, 8]).select("doc_id", "text")
