@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,6 +39,23 @@ def release(spark: SparkSession, but: Iterable[str] = ()) -> None:
         _ROOTS.remove(root)
 
 
+#: Folders of the scratch tables made inside the running released() block.
+_OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch tables made inside, and no others: results that read those must have been written by then."""
+    own: list[str] = []
+    token = _OWN.set(own)
+    try:
+        yield
+    finally:
+        _OWN.reset(token)
+        for root in own:
+            delete(spark, root)
+
+
 def small_batches(spark: SparkSession, rows: str = "1000") -> None:
     """Rows that Spark hands to a Python worker at once, unless the session says otherwise: whole texts can be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -55,6 +74,8 @@ class Scratch:
         small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         _ROOTS.append(self.root)
+        if (own := _OWN.get()) is not None:
+            own.append(self.root)
         self.paths: dict[int, str] = {}
         self.count = 0
 
