@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import langid, mixing, near_dup, packing
-from cohortlens.llm.common import Scratch, release
+from cohortlens.llm.common import Scratch, released
 from cohortlens.llm.queries import tokenizer_path
 
 
@@ -51,7 +51,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
-        # The stage's own scratch tables are not read again.
-        release(spark, but=[scratch.root])
+        with released(spark):
+            kept = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
