@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -28,17 +28,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Folders of this session's scratch tables that still exist.
-_ROOTS: list[str] = []
-
-
-def release(spark: SparkSession, but: Iterable[str] = ()) -> None:
-    """Deletes all scratch tables but those of the roots given. Results that read them lazily must have been written before."""
-    for root in [r for r in _ROOTS if r not in but]:
-        delete(spark, root)
-        _ROOTS.remove(root)
-
-
 #: Folders of the scratch tables made inside the running released() block.
 _OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
 
@@ -66,14 +55,13 @@ def small_batches(spark: SparkSession, rows: str = "1000") -> None:
 class Scratch:
     """Tables written to the shared folder and read again: any executor can be lost after that.
 
-    Call drop() with a table that nothing reads any more; release() deletes what results no longer need.
+    Call drop() with a table that nothing reads any more; a released() block deletes what was made inside it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         small_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        _ROOTS.append(self.root)
         if (own := _OWN.get()) is not None:
             own.append(self.root)
         self.paths: dict[int, str] = {}

@@ -63,3 +63,13 @@ def test_oracles(spark):
         assert columns == sorted(theirs.columns)
         text = lambda f: sorted(map(str, f[columns].astype(object).values.tolist()))
         assert text(ours) == text(theirs), name
+
+
+def test_earlier_results_survive_a_run(spark):
+    """A lazy result that reads scratch tables of its own can be counted after the pipeline has run and cleaned up."""
+    from cohortlens.llm.near_dup import near_duplicates
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = near_duplicates(docs)
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert before.count() == docs.count()
