@@ -48,14 +48,14 @@ def test_stages_on_odd_rows(spark, tmp_path):
 
 def test_names():
     numbers = Counter(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == Counter(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert numbers == Counter(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_oracles(spark):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.sql(f"create view {table} as select * from read_parquet('{SF}/{table}.parquet')")
     for name, sql in ORACLES.items():
         ours, theirs = QUERIES[name](spark, SF).toPandas(), con.sql(sql).df()
