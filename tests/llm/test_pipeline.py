@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -62,7 +63,7 @@ def test_oracles(spark):
         columns = sorted(ours.columns)
         assert columns == sorted(theirs.columns)
         # A column with nulls comes as floats from one side alone.
-        cell = lambda v: None if v != v else int(v) if isinstance(v, float) and v.is_integer() else v
+        cell = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v
         text = lambda f: sorted(str([cell(v) for v in row]) for row in f[columns].astype(object).values.tolist())
         assert text(ours) == text(theirs), name
 
