@@ -20,6 +20,7 @@ from ..functions.scalar import expit
 from .bootstrap import interval, replicate_auroc
 from .discrimination import auroc, macro, quantiles
 from .fitting import standardize, standardizer
+from .lineage import cut
 
 #: The study's penalties, as inverse strengths, the strongest penalty first.
 GRID = (0.01, 0.1, 1.0, 10.0)
@@ -223,8 +224,9 @@ def performance(scores: DataFrame, internal: str, headline: Sequence[str], repli
     headline labels that are defined.
     """
     keys = ["cohort", "label"]
-    points = auroc(scores, keys).select(*keys, F.col("auroc").alias("value"))
-    reps = replicate_auroc(scores, keys, replicates).withColumnRenamed("auroc", "value")
+    # Every table reads both, which are as small as labels by replicates: made once, and the plan ends there.
+    points = cut(auroc(scores, keys).select(*keys, F.col("auroc").alias("value")))
+    reps = cut(replicate_auroc(scores, keys, replicates).withColumnRenamed("auroc", "value"))
     of_headline = F.col("label").isin(list(headline))
     macro_of = lambda t, by: macro(t.where(of_headline), by, "value").select(*by, F.col("macro_value").alias("value"))
     macro_points, macro_reps = macro_of(points, ["cohort"]), macro_of(reps, ["cohort", "replicate"])
