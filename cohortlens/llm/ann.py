@@ -4,21 +4,23 @@ Equal vectors form a class, of which the graph holds one node, so copies cost no
 smallest ids, which is all that a list of k can need. The graph starts from blocks of nodes that are
 neighbours along random directions. Each round joins every node's neighbours and a sample of those that
 name it (the method's own sampling) with their vectors, compares neighbours of neighbours inside that
-small set, and keeps each node's best, until few links change. Vectors travel as bytes there, less the median of
-each component and each with a scale of its own, so norms may differ; that only guides the graph.
+small set, and keeps each node's best, until few links change. Vectors travel there as the bytes of their own
+numbers, unrounded: a cluster may be as small as its type can tell, however far it lies from others. Pairs are chosen by products of
+differences from the set's own node, and the chosen ones are measured from their own difference.
 
 A query starts at its own class and at a few entry nodes, and again and again joins its best unexpanded
 nodes with their neighbours in both directions, until the best BEAM nodes it has seen are all expanded. Distances of the search
 are Euclidean in double precision on the original vectors.
 
 Nulls and ties: null, empty and zero vectors, and those with null or non-finite components, take no
-part, as do rows with a null id and those whose length differs from that of most vectors; equal
-distances go to the smaller id; rows that repeat an id and vector count once; with fewer than k
+part, as do rows with a null id; vectors of different lengths have no distance, so each length is
+searched by itself; equal distances go to the smaller id; rows that repeat an id and vector count once; with fewer than k
 others all found are returned; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -58,29 +60,29 @@ def classes_of(rows: DataFrame, k: int) -> DataFrame:
 
 
 def unpack(column: pa.Array, dim: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 + dim)
-    return raw[:, 8:].view(np.int8) * np.ascontiguousarray(raw[:, :8]).view(np.float64)
+    """Doubles of bytes that packed() made: 4 or 8 a component."""
+    raw = b"".join(column.to_pylist())
+    wide = len(raw) == 8 * dim * len(column)
+    return np.frombuffer(raw, np.float64 if wide else np.float32).reshape(-1, dim).astype(np.float64)
 
 
-def medians(classes: DataFrame) -> np.ndarray:
-    """About the median of each component: as many rows as components."""
-    rows = classes.select(F.posexplode("vector")).groupBy("pos").agg(F.percentile_approx("col", 0.5, 100).alias("m"))
-    return np.array([r["m"] for r in rows.orderBy("pos").collect()], np.float64)
-
-
-def small_vectors(classes: DataFrame, centre: np.ndarray) -> DataFrame:
-    """(node, small): the vector less centre as a scale of its own, 8 bytes, and a byte a component."""
+def packed(classes: DataFrame, dim: int) -> DataFrame:
+    """(node, small): the vector's numbers as bytes, floats as they are and all other numbers as doubles."""
+    kind = np.float32 if classes.schema["vector"].dataType.simpleString() == "array<float>" else np.float64
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(centre)) - centre
-            scale = np.abs(x).max(axis=1, initial=0.0) / 127
-            scale[scale == 0] = 1.0
-            small = np.rint(x / scale[:, None]).astype(np.int8)
-            packed = [a.tobytes() + r.tobytes() for a, r in zip(scale, small)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["node", "small"])
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(b.num_rows, dim)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "small"])
+
+    vector = F.col("vector") if kind is np.float32 else F.col("vector").cast("array<double>").alias("vector")
+    return classes.select("node", vector).mapInArrow(task, "node long, small binary")
+
 
-    return classes.select("node", "vector").mapInArrow(task, "node long, small binary")
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, from their differences, so that near rows far from the origin keep theirs."""
+    gap = x - y
+    return np.einsum("ij,ij->i", gap, gap)
 
 
 def best(edges: DataFrame, k: int) -> DataFrame:
@@ -99,15 +101,14 @@ def first_graph(nodes: DataFrame, dim: int, seed: int) -> DataFrame:
         def block(table: pa.Table) -> pa.RecordBatch:
             ids = table.column(0).to_numpy()
             x = unpack(table.column(1), dim)
-            n = (x * x).sum(axis=1)
-            d = n[:, None] + n[None, :] - 2 * (x @ x.T)
+            y = x - x[len(x) // 2]
+            n = (y * y).sum(axis=1)
+            d = n[:, None] + n[None, :] - 2 * (y @ y.T)
             np.fill_diagonal(d, np.inf)
             k = min(NEIGHBOURS, len(ids) - 1)
-            at = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.empty((len(ids), 0), int)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, k)), pa.array(ids[at.ravel()]), pa.array(np.take_along_axis(d, at, axis=1).ravel())],
-                ["node", "other", "d"],
-            )
+            at = np.argpartition(d, k - 1, axis=1)[:, :k].ravel() if k else np.empty(0, int)
+            own = np.repeat(np.arange(len(ids)), k)
+            return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[at]), pa.array(apart(x[own], x[at]))], ["node", "other", "d"])
 
         for b in batches:
             held.append(b)
@@ -144,8 +145,10 @@ def compare_sets(rows: DataFrame, dim: int) -> DataFrame:
             width = int(sizes.max())
             place = np.arange(len(hub)) - np.repeat(starts, sizes)
             row = np.repeat(np.arange(len(starts)), sizes)
+            # Every set holds its hub's own row.
+            own = np.flatnonzero(hub == node)
             padded = np.zeros((len(starts), width, dim))
-            padded[row, place] = x
+            padded[row, place] = x - x[own[row]]
             ids = np.full((len(starts), width), -1, np.int64)
             ids[row, place] = node
             limit = np.zeros((len(starts), width))
@@ -161,8 +164,12 @@ def compare_sets(rows: DataFrame, dim: int) -> DataFrame:
             near = np.take_along_axis(d, at, axis=2)
             good = (near < limit[:, :, None]) & (ids >= 0)[:, :, None]
             a, b, c = np.nonzero(good)
+            other = at[a, b, c]
+            gaps = apart(x[starts[a] + b], x[np.minimum(starts[a] + other, len(x) - 1)])
+            # A pair with padding, or that rounding made look near, goes.
+            true = (ids[a, other] >= 0) & (gaps < limit[a, b])
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids[a, b]), pa.array(ids[a, at[a, b, c]]), pa.array(near[a, b, c])], ["node", "other", "d"]
+                [pa.array(ids[a, b][true]), pa.array(ids[a, other][true]), pa.array(gaps[true])], ["node", "other", "d"]
             )
 
         rest = None
@@ -187,7 +194,7 @@ def compare_sets(rows: DataFrame, dim: int) -> DataFrame:
 
 def neighbour_graph(classes: DataFrame, dim: int, settled: float, scratch: Scratch, seed: int = 5) -> DataFrame:
     """(node, other, d, fresh): about the NEIGHBOURS nearest of every class."""
-    nodes = scratch.keep(small_vectors(classes, medians(classes)))
+    nodes = scratch.keep(packed(classes, dim))
     graph = scratch.keep(first_graph(nodes, dim, seed))
     # Links only get shorter, so this ends.
     for step in itertools.count():
@@ -218,8 +225,8 @@ def search(queries: DataFrame, classes: DataFrame, graph: DataFrame, k: int, scr
     seen: DataFrame | None = None
     # Every hop expands nodes that were not expanded before, so this ends.
     while True:
-        apart = F.zip_with("a", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-        score = F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x))
+        gaps = F.zip_with("a", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+        score = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x))
         measured = (
             fresh.join(classes.select("node", F.col("vector").alias("b")), "node")
             .join(queries.select("q", F.col("vector").alias("a")), "q")
@@ -251,12 +258,18 @@ def nearest(
     spark = table.sparkSession
     scratch = Scratch(spark, "ann")
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), queries.alias("asks")).where(usable(F.col("vector")) & F.col("id").isNotNull())
-    length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    if length is None:
+    # As many rows as there are lengths.
+    lengths = [r["n"] for r in rows.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("vector") == length["n"])
+    found = [nearest_of(rows.where(F.size("vector") == n), n, k, settled, scratch) for n in lengths]
+    return functools.reduce(DataFrame.union, found)
+
+
+def nearest_of(rows: DataFrame, length: int, k: int, settled: float, scratch: Scratch) -> DataFrame:
+    """nearest() of rows (id, vector, asks) whose vectors all have that length."""
     classes = scratch.keep(classes_of(rows.select("id", "vector").distinct(), k))
-    graph = neighbour_graph(classes, length["n"], settled, scratch)
+    graph = neighbour_graph(classes, length, settled, scratch)
     asked = scratch.keep(rows.where("asks").select("id", "vector").distinct().join(classes.select("node", "vector"), "vector").select("id", "node", "vector"))
     found = search(asked.select(F.col("node").alias("q"), "vector").distinct(), classes, graph, k, scratch)
     found = found.join(classes.select("node", "members"), "node").select("q", F.explode("members").alias("vec_id"), "score")

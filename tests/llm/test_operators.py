@@ -210,6 +210,40 @@ def test_nearest_with_norms_of_any_size(spark):
     assert np.mean([len(got[q] & set(np.argsort(d[q])[:10].tolist())) for q in range(0, 1500, 100)]) >= 9.0
 
 
+def recall(spark, x, step, kind="float"):
+    """Mean and worst share of the 10 true nearest of every step-th row that nearest() finds."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % step == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    y, shares = x.astype(float), []
+    for q in range(0, len(x), step):
+        d = ((y - y[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        shares.append(len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist())) / 10)
+    return np.mean(shares), min(shares)
+
+
+def test_nearest_in_tight_clusters_far_apart(spark):
+    """Clusters a thousandth, and a ten-millionth, as wide as the distance between them."""
+    rng = np.random.default_rng(4)
+    places = rng.standard_normal((3, 32)) * 10
+    own = np.arange(3000) % 3
+    mean, worst = recall(spark, (places[own] + rng.standard_normal((3000, 32)) * 0.01).astype(np.float32), 100)
+    assert mean >= 0.9 and worst >= 0.5
+    mean, worst = recall(spark, places[own] + rng.standard_normal((3000, 32)) * 1e-6, 100, "double")
+    assert mean >= 0.9 and worst >= 0.5
+
+
+def test_nearest_of_several_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 4.0]), (5, [7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") >= 0).collect())
+    assert got == [
+        (0, 1, 1, 1.0), (0, 2, 2, 2.0), (1, 1, 0, 1.0), (1, 2, 2, math.sqrt(5)), (2, 1, 0, 2.0), (2, 2, 1, math.sqrt(5)), (3, 1, 4, 1.0), (4, 1, 3, 1.0)
+    ]
+
+
 def brute_bm25(rows, q, k):
     tf = {i: Counter(re.findall(r"\w+", (t or "").lower())) for i, t in rows}
     length = {i: sum(c.values()) for i, c in tf.items()}
