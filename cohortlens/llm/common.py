@@ -93,7 +93,7 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): (node, component = smallest node reachable).
 
     Every round takes the smallest label among a node and its neighbours, then follows the label
@@ -104,7 +104,8 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = scratch.keep(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
-    for _ in range(max_rounds):
+    # Labels only get smaller, so this ends.
+    while True:
         near = (
             both.join(labels.withColumnRenamed("node", "b"), "b")
             .groupBy(F.col("a").alias("node"))
@@ -125,7 +126,6 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
         if not changed:
             scratch.drop(both)
             return labels.select("node", "component")
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column], scratch: Scratch) -> DataFrame:
