@@ -43,6 +43,8 @@ PASSED = 10
 BEAM = 256
 EXPAND = 64
 ENTRIES = 4
+#: Bytes of vectors that are broadcast; beyond it they are shuffled to the sets they stand in.
+SMALL = 32 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -192,9 +194,11 @@ def compare_sets(rows: DataFrame, dim: int) -> DataFrame:
     return rows.mapInArrow(task, "node long, other long, d double")
 
 
-def neighbour_graph(classes: DataFrame, dim: int, settled: float, scratch: Scratch, seed: int = 5) -> DataFrame:
-    """(node, other, d, fresh): about the NEIGHBOURS nearest of every class."""
+def neighbour_graph(classes: DataFrame, dim: int, settled: float, scratch: Scratch, seed: int = 5, small: int = SMALL) -> DataFrame:
+    """(node, other, d, fresh): about the NEIGHBOURS nearest of every class. Up to small bytes of vectors are broadcast, with the same result."""
     nodes = scratch.keep(packed(classes, dim))
+    # Counted, with a node's id and worst neighbour.
+    few = nodes.agg(F.coalesce(F.sum(F.length("small") + 16), F.lit(0)).alias("bytes")).first()["bytes"] <= small
     graph = scratch.keep(first_graph(nodes, dim, seed))
     # Links only get shorter, so this ends.
     for step in itertools.count():
@@ -204,7 +208,9 @@ def neighbour_graph(classes: DataFrame, dim: int, settled: float, scratch: Scrat
         named = graph.select(F.col("other").alias("hub"), "node").withColumn("r", rank).where(F.col("r") <= NAMED_BY).drop("r")
         sets = graph.select(F.col("node").alias("hub"), F.col("other").alias("node")).union(named)
         sets = sets.union(nodes.select(F.col("node").alias("hub"), "node")).distinct()
-        rows = sets.join(state, "node").select("hub", "node", "worst", "small").repartition("hub").sortWithinPartitions("hub")
+        # Where vectors are few, only ids are shuffled to their sets.
+        rows = sets.repartition("hub").join(F.broadcast(state), "node") if few else sets.join(state, "node").repartition("hub")
+        rows = rows.select("hub", "node", "worst", "small").sortWithinPartitions("hub", "node")
         compared = compare_sets(rows, dim).withColumn("fresh", F.lit(True))
         new = scratch.keep(best(graph.withColumn("fresh", F.lit(False)).union(compared), NEIGHBOURS))
         scratch.drop(graph)
