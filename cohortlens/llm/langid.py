@@ -3,8 +3,8 @@
 Letters are folded to lower case, runs of all else to one space. Training counts ORDER-grams by language in
 every task with numpy, and Spark sums them over the whole labelled table; lower orders follow from
 the distinct grams (continuation counts), as Kneser and Ney define. Discounts, context sums, back-off weights and
-probabilities are aggregates and joins too: a model is tables by gram and by context, an array entry a language (at most
-LANGUAGES), and no gram is left out.
+probabilities are aggregates and joins too: a model is tables by gram and by context, an array entry a language, and no
+gram and no language is left out.
 
 Log probabilities are whole numbers of 1 / SCALE nats, so their sums are exact in any order. Tables of up to SMALL bytes,
 as counted, are collected once and broadcast as sorted arrays of 64-bit gram hashes. Of larger ones only the grams
@@ -40,7 +40,6 @@ from pyspark.sql.types import StructType
 from .common import Scratch
 
 ORDER = 4
-LANGUAGES = 256
 #: Bytes of tables that are broadcast.
 SMALL = 32 << 20
 #: Log probabilities are counted in parts of a nat.
@@ -49,6 +48,8 @@ SCALE = 1 << 20
 UNKNOWN = -round(np.log(4096) * SCALE)
 #: Characters that a task handles at once.
 CHUNK = 1 << 17
+#: Log probabilities, a character and language each, that a task holds at once.
+CELLS = 1 << 23
 #: Distinct grams that a task sums before it passes them on.
 HELD = 1 << 18
 #: Characters that count at most towards the score.
@@ -183,7 +184,19 @@ class Model:
 
     def cross_entropy(self, codes: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Mean negative log probability by text and language, and the count of characters."""
-        at = np.flatnonzero(codes != START)
+        every, size = np.flatnonzero(codes != START), len(self.languages)
+        sums = np.zeros((texts, size))
+        run = max(1, CELLS // size)
+        for low in range(0, len(every), run):
+            at = every[low : low + run]
+            out = self.logs(codes, at)
+            for i in range(size):
+                sums[:, i] += np.bincount(owner[at], out[:, i], texts)
+        counts = np.bincount(owner[every], minlength=texts)
+        return per_character(sums, counts), counts
+
+    def logs(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log probabilities of the characters at these places by language."""
         out = np.zeros((len(at), len(self.languages)), np.int32)
         todo = np.arange(len(at))
         for k in range(ORDER, 0, -1):
@@ -203,9 +216,7 @@ class Model:
             out[todo[known]] += level.backs[found[known]]
         if len(todo):
             out[todo] += UNKNOWN
-        counts = np.bincount(owner[at], minlength=texts)
-        sums = np.stack([np.bincount(owner[at], out[:, i], texts) for i in range(len(self.languages))], axis=1)
-        return per_character(sums, counts), counts
+        return out
 
     def decide(self, mean: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its share of the likelihood, its cross-entropy and whether that is over the limit."""
@@ -234,15 +245,20 @@ def limits_of(cells: pd.DataFrame, languages: list[str]) -> np.ndarray:
     """
     out = np.full((len(languages), SIZES), np.inf)
     firm = {(r.lang, r.size): r.q + MARGIN for r in cells.itertuples() if r.n >= ROWS}
+    sizes: dict[str, list[int]] = {}
+    for lang, size in firm:
+        sizes.setdefault(lang, []).append(size)
+    others = [[firm[x, k] for x, known in sizes.items() for k in near(known, size)] for size in range(SIZES)]
+    by_lang = {lang: {r.size: r for r in part.itertuples()} for lang, part in cells.groupby("lang")}
     for i, lang in enumerate(languages):
-        own = {r.size: r for r in cells[cells["lang"] == lang].itertuples()}
+        own = by_lang.get(lang)
         if not own:
             continue
         for size in range(SIZES):
             if (lang, size) in firm:
                 out[i, size] = firm[lang, size]
                 continue
-            wide = [firm[x, k] for x in languages for k in near([k for y, k in firm if y == x], size)]
+            wide = others[size].copy()
             for k in {*near(list(own), size), *(k for k in (size - 1, size + 1) if k in own)}:
                 r = own[k]
                 spread = (r.top - r.mean) * 2 ** (max(k - size, 0) / 2)
@@ -258,8 +274,6 @@ def per_character(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def build(grams: pd.DataFrame) -> Model:
     """The model of small tables, in memory; grams: lang, gram, n. build_tables() is the same for any size."""
     languages = sorted(grams["lang"].unique(), key=lambda x: x.encode())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
     model = Model(languages)
     if not languages:
         return model
@@ -379,8 +393,6 @@ def sorted_arrays(df: DataFrame, order: int, size: int) -> tuple[np.ndarray, np.
 def fit_counts(grams: DataFrame, scratch: Scratch, small: int) -> Model:
     """The model of grams (lang, gram, n): broadcast whole up to small bytes, else in part."""
     languages = sorted((r["lang"] for r in grams.select("lang").distinct().collect()), key=lambda x: x.encode())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
     model = Model(languages)
     if not languages:
         return model
