@@ -5,62 +5,85 @@ cut into blocks of a fixed number of ids that know nothing of documents. A task
 with numpy and gives the places of the end ids; the blocks of a file are stitched by a prefix scan of their
 counts and last places, so a document may span any number of blocks.
 
-write_token_files() writes such files with Spark's own text writer, whose line separator is the end id's bytes, and a
-manifest of the documents' order. Nulls and ties: a null text has no tokens but its end id; a null
+write_token_files() encodes the documents once, and from that written table writes such files with Spark's own text
+writer, whose line separator is the end id's bytes, and a manifest of the documents' order. Nulls and ties: a null text has no tokens but its end id; a null
 id keeps its place; repeated rows are documents of their own; an empty table gives no files and no
 rows; tokens after a file's last end id are one more, unended document; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .tokens import encoder
 
 #: Ids in a block.
 BLOCK = 1 << 20
+#: Bytes of a file that Spark reads as one row.
+ROW = 1 << 28
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes one flat file of 16-bit ids a partition to folder; returns (file, ordinal, doc_id).
 
     Texts can't hold the end id: special tokens in them are ordinary text.
     """
-    rows = docs.select(
-        F.spark_partition_id().alias("file"),
-        # Within a partition, the row's number.
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"),
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, special_as_text=True)
         for batch in batches:
-            ids = [enc.encode(t.as_py()).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+            ids = [enc.encode(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
+    # Both readers of this table see its rows in one order, whatever order the documents' plan gives them in.
+    encoded = scratch.keep(rows.mapInArrow(encode, "doc_id long, ids binary"))
     separator = end_id.to_bytes(2, "little").decode("latin-1")
-    (
-        rows.select("text").mapInArrow(encode, "ids binary").select(F.col("ids").cast("string"))
-        .write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(folder)
+    encoded.select(F.col("ids").cast("string")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(folder)
+    rows = encoded.select(
+        F.spark_partition_id().alias("file"),
+        # Within a partition, the row's number.
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"),
+        "doc_id",
     )
     return rows.select("file", "ordinal", "doc_id")
 
 
-def read_blocks(spark: SparkSession, folder: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """(path, block, ids): the files of folder, of up to 2 GB each, in blocks of so many ids."""
+def read_blocks(spark: SparkSession, folder: str, width: int = 2, block: int = BLOCK, row: int = ROW) -> DataFrame:
+    """(path, block, ids): the files of folder, of any size, in blocks of so many ids.
+
+    Files of up to row bytes come through Spark's reader of binary files. Of larger ones only the lengths do; tasks read their blocks at their
+    places in the file, through Arrow's file systems.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
     size = block * width
+    last = F.expr(f"(length - 1) div {size}")
     # Cut before the rows multiply, so that no row carries the whole file.
-    cut = F.expr(f"transform(sequence(0L, (length - 1) div {size}), b -> substring(content, cast(b * {size} + 1 as int), {size}))")
-    return files.where("length > 0").select("path", F.posexplode(cut).alias("block", "ids")).withColumn("block", F.col("block").cast("long"))
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda b: F.substring("content", (b * size + 1).cast("int"), F.lit(size)))
+    small = files.where(f"length > 0 and length <= {row}").select("path", F.posexplode(cut).alias("block", "ids")).withColumn("block", F.col("block").cast("long"))
+    large = files.where(f"length > {row}").select("path", "length")
+    if large.isEmpty():
+        return small
+    places = large.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), "length")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, at, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                system, inside = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                with system.open_input_file(inside) as file:
+                    raw = file.read_at(min(size, length - at * size), at * size)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([at], pa.int64()), pa.array([raw], pa.binary())], ["path", "block", "ids"])
+
+    return small.union(places.repartition("path", "block").mapInArrow(read, "path string, block long, ids binary"))
 
 
 def find_ends(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
@@ -107,10 +130,11 @@ def count_tokens(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
 def document_token_counts(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, file, ordinal, start and n_tokens of every row of docs, through flat files in folder.
 
-    The manifest and the files come from two scans of one plan; the counts must fit, else this fails.
+    The manifest and the files come from two scans of one written table; the counts must fit, else this fails.
     """
     spark = docs.sparkSession
-    manifest = write_token_files(docs, folder, tokenizer, end_id, id_col, text_col)
+    scratch = Scratch(spark, "token-ids")
+    manifest = write_token_files(docs, folder, tokenizer, end_id, scratch, id_col, text_col)
     manifest.write.parquet(f"{folder}-manifest")
     manifest = spark.read.schema(manifest.schema).parquet(f"{folder}-manifest")
     if manifest.isEmpty():
