@@ -54,9 +54,13 @@ def large(df: DataFrame, key: str, least: int, weight: Column) -> DataFrame:
 def units_of(rows: DataFrame, least: int) -> DataFrame:
     """rows with unit: their group's hash, or of large groups one of the parts, and group where the group is large."""
     big = F.broadcast(large(rows, "same", least, F.lit(1)).withColumnRenamed("n", "members"))
-    # By id, so that shards do not hang on the input's order; rows without one are told apart by their place.
-    own = F.pmod(F.coalesce(F.xxhash64(F.col("key")) + F.col("key") * 0, F.col("pick")), F.ceil(F.col("members") / F.lit(least)).cast("long"))
-    return rows.join(big, "same", "left").select(
+    rows_of = rows.join(big, "same", "left")
+    twins = rows_of.where(F.col("members").isNotNull() & F.col("key").isNotNull()).select(F.xxhash64("same", "key").alias("twins"))
+    twins = F.broadcast(large(twins, "twins", least, F.lit(1)).select("twins", F.lit(True).alias("many")))
+    # By id, so that shards do not hang on the input's order; rows without one, and many rows of one id and text, are told apart by their place.
+    own = F.when(F.col("key").isNotNull() & F.col("many").isNull(), F.xxhash64("key")).otherwise(F.col("pick"))
+    own = F.pmod(own, F.ceil(F.col("members") / F.lit(least)).cast("long"))
+    return rows_of.join(twins, F.xxhash64("same", "key") == F.col("twins"), "left").select(
         *rows.columns, F.when(F.col("members").isNull(), F.col("same")).otherwise(F.xxhash64("same", own)).alias("unit"),
         F.when(F.col("members").isNotNull(), F.col("same")).alias("group"),
     )
