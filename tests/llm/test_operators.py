@@ -339,6 +339,20 @@ def test_language_id(spark):
     assert langid.classify(model, docs(spark, ODD).limit(0)).count() == 0
 
 
+def test_three_hundred_languages(spark):
+    """More languages than a byte can number, each with letters of its own, and texts longer than a task's cells at once."""
+    alphabets = [[chr(0x4E00 + 20 * i + j) for j in range(12)] for i in range(300)]
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(a, 60)) for a in alphabets for _ in range(6)]
+    langs = [f"l{i:03}" for i in range(300) for _ in range(6)]
+    model = langid.train(docs(spark, texts, langs=langs))
+    learned = set(model.languages)
+    assert len(learned) > 256
+    asked = ["".join(rng.choice(a, 40)) for a in alphabets] + ["".join(rng.choice(alphabets[9], 60_000))]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.classify(model, docs(spark, asked).select("doc_id", "text")).collect()}
+    assert all(got[i] == f"l{i:03}" for i in range(300) if f"l{i:03}" in learned) and (got[300] == "l009" or "l009" not in learned)
+
+
 def test_language_without_labels(spark):
     df = docs(spark, ["the and of"] * 3, langs=[None] * 3)
     assert {r["lang_pred"] for r in langid.classify(langid.train(df), df).collect()} == {"und"}
@@ -777,6 +791,25 @@ def test_token_counts(spark, documents, tmp_path):
     assert token_scan.document_token_counts(odd.limit(0), f"file://{tmp_path}/none", tokenizer_path(), 49_407).count() == 0
 
 
+def test_token_counts_of_a_plan_without_an_order(spark, tmp_path):
+    """Texts that every scan of the documents would draw anew: written once, so ids and counts fit."""
+    drawn = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("repeat('a b ', cast(rand() * 50 as int))").alias("text")).orderBy(F.rand())
+    got = token_scan.document_token_counts(drawn, f"file://{tmp_path}/t", tokenizer_path(), 49_407).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(400))
+
+
+@pytest.mark.parametrize("row", [1, 600, 1 << 28])
+def test_large_token_files_are_read_in_ranges(spark, tmp_path, row):
+    wanted = {}
+    for at, n in enumerate((700, 1, 250, 0)):
+        ids = np.random.default_rng(at).integers(0, 30, n).astype("<u2")
+        ids.tofile(tmp_path / f"part-{at:05}")
+        for i in range(0, n, 64):
+            wanted[at, i // 64] = ids[i : i + 64].tobytes()
+    got = token_scan.read_blocks(spark, f"file://{tmp_path}", 2, 64, row).collect()
+    assert {(int(r["path"][-5:]), r["block"]): bytes(r["ids"]) for r in got} == wanted and len(got) == len(wanted)
+
+
 @pytest.mark.parametrize("block", [1, 3, 64, 10_000])
 def test_separator_scan_stitches_blocks(spark, tmp_path, block):
     ids = np.random.default_rng(1).integers(0, 30, 700).astype("<u2")
@@ -786,3 +819,20 @@ def test_separator_scan_stitches_blocks(spark, tmp_path, block):
     got = token_scan.count_tokens(token_scan.read_blocks(spark, f"file://{tmp_path}", 2, block), 7).orderBy("ordinal").collect()
     assert [r["n_tokens"] for r in got if r["ended"]] == (np.diff(np.r_[-1, ends]) - 1).tolist()
     assert [(r["start"], r["n_tokens"]) for r in got if not r["ended"]] == [(ends[-1] + 1, 699 - ends[-1])]
+
+
+def test_many_rows_of_one_id_and_text_spread(spark):
+    """4,000 rows of one id and text among 6,000 others: units stay small, so no task of the placement gets them all."""
+    rows = docs(spark, ["same " * 50] * 4000 + [f"text {i}" for i in range(6000)], ids=[5] * 4000 + list(range(10, 6010)))
+    hashed = rows.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("same"), F.xxhash64(F.monotonically_increasing_id()).alias("pick"))
+    units = sharding.units_of(hashed, 125).groupBy("unit").count().agg(F.max("count")).first()[0]
+    assert units < 4 * 125
+    shards = Counter(r["shard"] for r in sharding.balanced_shards(rows, 10).collect())
+    assert len(shards) == 10 and set(shards.values()) == {1000}
+
+
+def test_vectors_broadcast_or_shuffled_give_one_graph(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(700)], "node long, vector array<float>")
+    one, two = ({(r["node"], r["other"]) for r in ann.neighbour_graph(df, 8, 0.005, Scratch(spark, "graph"), small=b).collect()} for b in (0, 1 << 20))
+    assert len(one & two) >= 0.99 * len(one) and len(one) == len(two)
