@@ -89,7 +89,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = Scratch(spark, "token-scan").folder()
     # The vocabulary's own end-of-text id.
-    return document_token_counts(table(spark, sf_dir, "documents"), folder, tokenizer_path(), 49_407)
+    return document_token_counts(table(spark, sf_dir, "documents"), folder, tokenizer_path(), 49_407, one_order=True)
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

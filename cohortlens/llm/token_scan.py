@@ -5,8 +5,9 @@ cut into blocks of a fixed number of ids that know nothing of documents. A task
 with numpy and gives the places of the end ids; the blocks of a file are stitched by a prefix scan of their
 counts and last places, so a document may span any number of blocks.
 
-write_token_files() encodes the documents once, and from that written table writes such files with Spark's own text
-writer, whose line separator is the end id's bytes, and a manifest of the documents' order. Nulls and ties: a null text has no tokens but its end id; a null
+write_token_files() writes such files with Spark's own text writer, whose line separator is the end id's bytes, and a
+manifest of the documents' order. Unless told that the documents' plan has one order, it encodes them once to a table and
+makes both from there. Nulls and ties: a null text has no tokens but its end id; a null
 id keeps its place; repeated rows are documents of their own; an empty table gives no files and no
 rows; tokens after a file's last end id are one more, unended document; other columns are not read.
 """
@@ -32,9 +33,10 @@ BLOCK = 1 << 20
 ROW = 1 << 28
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, scratch: Scratch | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes one flat file of 16-bit ids a partition to folder; returns (file, ordinal, doc_id).
 
+    Both come from one table in scratch; without scratch, from two scans of docs, whose order must be fixed then.
     Texts can't hold the end id: special tokens in them are ordinary text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -45,11 +47,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             ids = [enc.encode(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    # Both readers of this table see its rows in one order, whatever order the documents' plan gives them in.
-    encoded = scratch.keep(rows.mapInArrow(encode, "doc_id long, ids binary"))
+    encoded = ordered = rows.mapInArrow(encode, "doc_id long, ids binary")
+    if scratch is None:
+        # Without the texts.
+        ordered = rows
+    else:
+        encoded = ordered = scratch.keep(encoded)
     separator = end_id.to_bytes(2, "little").decode("latin-1")
     encoded.select(F.col("ids").cast("string")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(folder)
-    rows = encoded.select(
+    rows = ordered.select(
         F.spark_partition_id().alias("file"),
         # Within a partition, the row's number.
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"),
@@ -127,13 +133,14 @@ def count_tokens(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
     return ended.union(rest)
 
 
-def document_token_counts(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_token_counts(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", one_order: bool = False) -> DataFrame:
     """doc_id, file, ordinal, start and n_tokens of every row of docs, through flat files in folder.
 
-    The manifest and the files come from two scans of one written table; the counts must fit, else this fails.
+    one_order: every scan of docs gives its rows in the same order and partitions, as one of files does, so that no copy of the ids
+    is needed. The manifest's counts and the files' must fit, else this fails.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "token-ids")
+    scratch = None if one_order else Scratch(spark, "token-ids")
     manifest = write_token_files(docs, folder, tokenizer, end_id, scratch, id_col, text_col)
     manifest.write.parquet(f"{folder}-manifest")
     manifest = spark.read.schema(manifest.schema).parquet(f"{folder}-manifest")

@@ -788,6 +788,8 @@ def test_token_counts(spark, documents, tmp_path):
         got = token_scan.document_token_counts(df, f"file://{tmp_path}/{at}", tokenizer_path(), 49_407).collect()
         want = Counter((r["doc_id"], len(enc.encode(r["text"]))) for r in df.collect())
         assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == want
+        again = token_scan.document_token_counts(df, f"file://{tmp_path}/{at}-again", tokenizer_path(), 49_407, one_order=True).collect()
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in again) == want
     assert token_scan.document_token_counts(odd.limit(0), f"file://{tmp_path}/none", tokenizer_path(), 49_407).count() == 0
 
 
