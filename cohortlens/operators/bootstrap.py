@@ -5,8 +5,8 @@ paired. Three kinds of weights: hash (Poisson counts from a hash of cluster and
 them, nothing is stored), multinomial (as many hashed draws a replicate as there are clusters), and registered (one multinomial
 stream in replicate order, drawn over a cohort's clusters in one task).
 
-Rows are summed by cluster, key and score or bin before they meet weights, and no row is multiplied by the replicates: a task
-holds a chunk of rows by replicates as a matrix, and hands on a vector a key and bucket.
+Rows are dealt by cluster, so that a cluster's weights are made once, and no row is multiplied by the replicates: a task sums
+its rows of a key and bin, or of a score that many of them share, in one product with their clusters' weights.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, ByteType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.scalar import affine
 from .calibration import bin_index, from_totals
@@ -33,6 +33,8 @@ REPLICATES = 2000
 MOST = 12
 #: Rows that meet their weights at once, and values of sums that a task holds before it passes them on.
 CHUNK, HELD = 1024, 1 << 21
+#: Rows of one score in a batch from which they are summed before they move, and bytes of hashed weights that a task keeps.
+MANY, KEPT = 16, 1 << 27
 #: An integer hash's multipliers, each under 2**31, and its modulus for identifiers, a prime.
 CLUSTER_FACTOR, REPLICATE_FACTOR, FIRST, SECOND = 1540483477, 2027808503, 569420461, 1935289751
 MODULUS = 4294967291
@@ -91,21 +93,33 @@ def cell_seed(cell: Column, repeat: Column, seed: int = 0) -> Column:
 
 
 def hash_draws(clusters: np.ndarray, replicates: int, first: int = 0) -> np.ndarray:
-    """hash_draw() of all pairs, [clusters, replicates], with replicates from first on."""
-    low = np.uint64((1 << 32) - 1)
-    c, r = (clusters % MODULUS).astype(np.uint64) * np.uint64(CLUSTER_FACTOR) & low, np.arange(first, first + replicates, dtype=np.uint64)
-    c = (c ^ c >> np.uint64(16)) * np.uint64(SECOND) & low
-    x = (c ^ c >> np.uint64(15))[:, None] + r * np.uint64(REPLICATE_FACTOR) & low
+    """hash_draw() of all pairs, [clusters, replicates], with replicates from first on; 32 bits wrap as the modulus asks."""
+    c = (clusters % MODULUS).astype(np.uint32) * np.uint32(CLUSTER_FACTOR)
+    r = np.arange(first, first + replicates, dtype=np.uint32) * np.uint32(REPLICATE_FACTOR)
+    c = (c ^ c >> np.uint32(16)) * np.uint32(SECOND)
+    x = (c ^ c >> np.uint32(15))[:, None] + r
     for shift, factor in ((16, FIRST), (15, SECOND)):
-        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor) & low
-    return x ^ x >> np.uint64(15)
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(15)
+    return x
+
+
+def hash_counts(clusters: np.ndarray, replicates: int) -> np.ndarray:
+    """hash_weight() of all pairs as bytes, some clusters at a time so that they stay in the processor's cache."""
+    out = np.zeros((len(clusters), replicates), np.uint8)
+    step = max(1, (1 << 16) // replicates)
+    for at in range(0, len(clusters), step):
+        draws, own = hash_draws(clusters[at : at + step], replicates), out[at : at + step]
+        for edge in poisson_edges():
+            own += draws >= np.uint32(edge)
+    return out
 
 
 def hash_weights(clusters: np.ndarray, replicates: int) -> np.ndarray:
     """hash_weight() of all pairs."""
     own, back = np.unique(clusters, return_inverse=True)
-    edges = np.array(poisson_edges(), np.uint64)
-    return np.searchsorted(edges, hash_draws(own, replicates), side="right").astype(np.float64)[back]
+    return hash_counts(own, replicates).astype(np.float64)[back]
 
 
 def multinomial_weights(clusters: DataFrame, cohort: str, replicates: int, seed: int, cluster: str = "cluster_id", every: int = 100) -> DataFrame:
@@ -121,19 +135,30 @@ def multinomial_weights(clusters: DataFrame, cohort: str, replicates: int, seed:
         for rows in rows_:
             for name, n, batch in zip(*[rows.column(c).to_pylist() for c in (cohort, "n", "batch")]):
                 size = min(every, replicates - batch * every)
-                drawn = np.zeros((size, n), np.int32)
-                for at in range(0, n, 1 << 16):
-                    places = hash_draws(np.arange(at, min(at + (1 << 16), n)) + seed, size, batch * every)
-                    for k in range(size):
-                        drawn[k] += np.bincount((places[:, k] * np.uint64(n) >> np.uint64(32)).astype(np.int64), minlength=n).astype(np.int32)
+                drawn = np.zeros((size, n), np.int8)
+                for k in range(size):
+                    ends = hash_draws(np.arange(n) + seed, 1, batch * every + k)[:, 0].astype(np.uint64)
+                    drawn[k] = as_bytes(np.bincount((ends * np.uint64(n) >> np.uint64(32)).astype(np.int64), minlength=n))
                 yield from by_place(name, rows.schema.field(cohort).type, batch, drawn.T, [cohort, "batch", "place", "weights"])
 
-    schema = StructType([own.schema[cohort], StructField("batch", IntegerType()), StructField("place", LongType()), StructField("weights", ArrayType(IntegerType()))])
+    schema = StructType([own.schema[cohort], StructField("batch", IntegerType()), StructField("place", LongType()), StructField("weights", ArrayType(ByteType()))])
     draws = batches.select(cohort, "n", "batch").mapInArrow(draw, schema)
-    return draws.join(cluster_places(own, cohort, cluster), [cohort, "place"]).select(cohort, cluster, "batch", "weights")
+    return at_places(draws, own, cohort, cluster)
+
 
+def as_bytes(drawn: np.ndarray) -> np.ndarray:
+    """Counts of draws in a byte each; n draws of n clusters never reach 128 for one of them but by a fault."""
+    if drawn.max(initial=0) > np.iinfo(np.int8).max:
+        raise OverflowError("a cluster was drawn over 127 times in a replicate")
+    return drawn.astype(np.int8)
 
-def by_place(name: object, kind: pa.DataType, batch: int, drawn: np.ndarray, names: list[str], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+
+def at_places(draws: DataFrame, own: DataFrame, cohort: str, cluster: str) -> DataFrame:
+    """cohort, cluster, batch, weights. Tasks make the draws from next to nothing, so their measured input says nothing of their size: never broadcast."""
+    return draws.hint("merge").join(cluster_places(own, cohort, cluster), [cohort, "place"]).select(cohort, cluster, "batch", "weights")
+
+
+def by_place(name: object, kind: pa.DataType, batch: int, drawn: np.ndarray, names: list[str], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     """A matrix of draws [places, replicates] as rows of a cohort and batch."""
     for at in range(0, len(drawn), rows):
         some = drawn[at : at + rows]
@@ -184,10 +209,13 @@ def draws_from_states(states: DataFrame, cohort: str, replicates: int, every: in
                 state = json.loads(text)
                 rng = np.random.default_rng()
                 rng.bit_generator.state = {**state, "state": {k: int(v) for k, v in state["state"].items()}}
-                drawn = rng.multinomial(n, np.full(n, 1 / n), size=min(every, replicates - number * every)).astype(np.int32).T
-                yield from by_place(name, rows.schema.field(cohort).type, number, drawn, [cohort, "batch", "place", "weights"])
+                even = np.full(n, 1 / n)
+                drawn = np.zeros((min(every, replicates - number * every), n), np.int8)
+                for k in range(len(drawn)):
+                    drawn[k] = as_bytes(rng.multinomial(n, even))
+                yield from by_place(name, rows.schema.field(cohort).type, number, drawn.T, [cohort, "batch", "place", "weights"])
 
-    schema = StructType([states.schema[cohort], StructField("batch", IntegerType()), StructField("place", LongType()), StructField("weights", ArrayType(IntegerType()))])
+    schema = StructType([states.schema[cohort], StructField("batch", IntegerType()), StructField("place", LongType()), StructField("weights", ArrayType(ByteType()))])
     return states.repartition(cohort, "batch").mapInArrow(draw, schema)
 
 
@@ -196,7 +224,7 @@ def spread_registered_weights(clusters: DataFrame, cohort: str, replicates: int,
     own = clusters.select(cohort, cluster).distinct()
     sizes = own.groupBy(cohort).agg(F.count("*").alias("n"))
     draws = draws_from_states(stream_states(sizes, cohort, replicates, seed, every), cohort, replicates, every)
-    return draws.join(cluster_places(own, cohort, cluster), [cohort, "place"]).select(cohort, cluster, "batch", "weights")
+    return at_places(draws, own, cohort, cluster)
 
 
 def cluster_places(own: DataFrame, cohort: str, cluster: str) -> DataFrame:
@@ -215,18 +243,8 @@ def places(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 
 
 def replicate_auroc_in_batches(df: DataFrame, keys: Sequence[str], weights: DataFrame, replicates: int, every: int = 100, cluster: str = "cluster_id") -> DataFrame:
-    """keys, replicate, auroc with weights that come in batches (cohort, cluster, batch, weights): a batch is one more key of the scan."""
-    short = replicates % every
-    whole = weights.where(F.size("weights") == every)
-    scans = [(whole, every)] + ([(weights.where(F.size("weights") == short), short)] if short else [])
-    out = None
-    for own, size in scans:
-        on = [c for c in own.columns if c not in ("batch", "weights")]
-        rows = df.join(own.select(*on, "batch"), on)
-        part = replicate_auroc(rows, [*keys, "batch"], size, cluster, own)
-        part = part.select(*keys, (F.col("batch") * every + F.col("replicate")).cast("int").alias("replicate"), "auroc")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """keys, replicate, auroc with weights that come in batches (cohort, cluster, batch, weights) of every replicates: rows are not copied by batch."""
+    return replicate_scan(df, keys, (), replicates, cluster, weights, every).select(*keys, "replicate", "auroc")
 
 
 def registered_stream(clusters: int, replicates: int, seed: int, batch: int = 100) -> Iterator[np.ndarray]:
@@ -236,50 +254,93 @@ def registered_stream(clusters: int, replicates: int, seed: int, batch: int = 10
         yield rng.multinomial(clusters, np.full(clusters, 1 / clusters), size=min(batch, replicates - at))
 
 
-def weight_matrix(batch: pa.RecordBatch, replicates: int) -> np.ndarray:
-    """[rows, replicates]: the weights column, or hash weights of the cluster column."""
-    if "weights" in batch.schema.names:
-        return batch.column("weights").flatten().to_numpy().reshape(batch.num_rows, replicates).astype(float)
-    return hash_weights(batch.column("cluster").to_numpy(), replicates)
+class Kept:
+    """Weights of a task's clusters as rows of bytes: made or read once, and used by all of the clusters' rows."""
 
-
-def with_weights(rows: DataFrame, keys: Sequence[str], cluster: str, weights: DataFrame | None) -> DataFrame:
+    def __init__(self, replicates: int):
+        self.replicates, self.at, self.rows = replicates, {}, np.zeros((64, replicates), np.uint8)
+
+    def slots(self, clusters: list[int]) -> list[int]:
+        """A row a cluster, new ones zero."""
+        found = [self.at.setdefault(c, len(self.at)) for c in clusters]
+        if len(self.at) > len(self.rows):
+            more = np.zeros((max(len(self.at), 2 * len(self.rows)) - len(self.rows), self.replicates), self.rows.dtype)
+            self.rows = np.concatenate([self.rows, more])
+        return found
+
+    def read(self, clusters: list[int], firsts: list[int], weights: pa.Array) -> None:
+        """Given weights, each from its first replicate on."""
+        flat, ends = weights.flatten().to_numpy(), np.concatenate([[0], np.cumsum(weights.value_lengths().to_numpy())])
+        if flat.max(initial=0) > np.iinfo(self.rows.dtype).max:
+            self.rows = self.rows.astype(np.int64)
+        slots, lengths = np.array(self.slots(clusters)), np.diff(ends)
+        for first, n in sorted({*zip(firsts, lengths.tolist())}):
+            some = (np.array(firsts) == first) & (lengths == n)
+            self.rows[slots[some], first : first + n] = flat[np.repeat(some, lengths)].reshape(-1, n)
+
+    def of(self, clusters: np.ndarray, given: bool) -> tuple[np.ndarray, np.ndarray]:
+        """A matrix and the row of each cluster in it; hashed weights past KEPT bytes are made anew."""
+        own, back = np.unique(clusters, return_inverse=True)
+        if given:
+            return self.rows, np.array([self.at.get(c, -1) for c in own.tolist()])[back]
+        fresh = np.array([c not in self.at for c in own.tolist()])
+        if (len(self.at) + fresh.sum()) * self.replicates > KEPT:
+            return hash_counts(own, self.replicates), back
+        if fresh.any():
+            slots = self.slots(own[fresh].tolist())
+            self.rows[slots] = hash_counts(own[fresh], self.replicates)
+        return self.rows, np.array([self.at[c] for c in own.tolist()])[back]
+
+
+def with_weights(rows: DataFrame, cluster: str, weights: DataFrame | None) -> DataFrame:
     if weights is None:
         return rows.withColumn("cluster", F.col(cluster).cast("long"))
-    return rows.join(weights, [c for c in weights.columns if c != "weights"])
+    on = [c for c in weights.columns if c != "weights"]
+    return rows.join(weights.hint("merge"), on).withColumn("cluster", F.xxhash64(*on))
 
 
 def replicate_sums(basis: DataFrame, keys: Sequence[str], columns: Sequence[str], replicates: int = REPLICATES, cluster: str = "cluster_id", weights: DataFrame | None = None) -> DataFrame:
-    """keys, replicate and the weighted sums of the columns. basis is already summed by cluster; a task multiplies matrices."""
-    rows = with_weights(basis, keys, cluster, weights)
-    rows = rows.select(*keys, F.xxhash64(*keys).alias("group"), *[F.col(c).cast("double").alias(c) for c in columns], "weights" if weights is not None else "cluster")
-    schema = StructType([rows.schema[k] for k in keys] + [StructField(c, ArrayType(DoubleType())) for c in columns])
+    """keys, replicate and the weighted sums of the columns, at whatever grain basis comes.
+
+    Rows are dealt and sorted by cluster, so that a weight is made once for all of a cluster's rows; a task sums a run of clusters by key
+    and multiplies that matrix with their weights.
+    """
+    rows = with_weights(basis, cluster, weights)
+    rows = rows.select(*keys, F.xxhash64(*keys).alias("group"), *[F.col(c).cast("double").alias(c) for c in columns], "cluster", *(["weights"] if weights is not None else []))
+    rows = rows.repartition("cluster").sortWithinPartitions("cluster")
+    schema, given = StructType([rows.schema[k] for k in keys] + [StructField(c, ArrayType(DoubleType())) for c in columns]), weights is not None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[pa.Array], np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                own = [pa.concat_arrays([names[i] for names, _ in held.values()]) for i in range(len(keys))]
-                sums = [pa.array([m[i] for _, m in held.values()], pa.list_(pa.float64())) for i in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*own, *sums], schema.names)
-                held.clear()
+            for own, sums in held.values():
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array([v], pa.list_(pa.float64())) for v in sums]], schema.names)
+            held.clear()
 
         for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK):
-                batch = whole.slice(at, CHUNK)
-                w = weight_matrix(batch, replicates)
+            for at in range(0, whole.num_rows, 4 * CHUNK):
+                batch = whole.slice(at, 4 * CHUNK)
+                own, one, member = np.unique(batch.column("cluster").to_numpy(), return_index=True, return_inverse=True)
+                if not given:
+                    w = hash_counts(own, replicates).astype(float)
+                else:
+                    w = np.stack([batch.column("weights")[i].values.to_numpy() for i in one.tolist()]).astype(float)
                 values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
-                groups, first, member = np.unique(batch.column("group").to_numpy(), return_index=True, return_inverse=True)
-                for i, g in enumerate(groups.tolist()):
-                    mine = member == i
-                    sums = values[:, mine] @ w[mine]
-                    if g in held:
-                        held[g][1][:] += sums
-                    else:
-                        held[g] = [batch.column(k).slice(first[i], 1) for k in range(len(keys))], sums
-                if len(held) * replicates * len(columns) > HELD:
-                    yield from out()
+                groups, first, group = np.unique(batch.column("group").to_numpy(), return_index=True, return_inverse=True)
+                for low in range(0, len(groups), step := max(1, HELD // max(len(own), replicates) // len(columns))):
+                    some = groups[low : low + step]
+                    mine = (group >= low) & (group < low + step)
+                    place = (group[mine] - low) * len(own) + member[mine]
+                    dense = np.concatenate([np.bincount(place, v[mine], len(some) * len(own)).reshape(len(some), len(own)) for v in values])
+                    sums = (dense @ w).reshape(len(columns), len(some), replicates)
+                    for i, g in enumerate(some.tolist()):
+                        if g in held:
+                            held[g][1][:] += sums[:, i]
+                        else:
+                            held[g] = [batch.column(k).slice(first[low + i], 1) for k in range(len(keys))], sums[:, i].copy()
+                    if len(held) * replicates * len(columns) > HELD:
+                        yield from out()
         yield from out()
 
     parts = rows.mapInArrow(task, schema).select(*keys, F.posexplode(F.arrays_zip(*columns)).alias("replicate", "s"))
@@ -301,28 +362,28 @@ class Scan:
         self.neg += self.tied_neg
         self.tied_pos, self.tied_neg, self.score = self.tied_pos * 0, self.tied_neg * 0, None
 
-    def add(self, p: np.ndarray, pos: np.ndarray, neg: np.ndarray, w: np.ndarray) -> None:
-        """More rows, none below the ones before; the last score stays open, as its rows may go on."""
+    def add(self, p: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+        """More rows with weighted positives and negatives [rows, replicates], none below the ones before; the last score stays open, as its rows may go on."""
         if self.score is not None and p[0] != self.score:
             self.close()
         last = int(np.searchsorted(p, p[-1]))
         if last and self.score is not None:
             same = int(np.searchsorted(p, self.score, side="right"))
-            self.tied_pos += pos[:same] @ w[:same]
-            self.tied_neg += neg[:same] @ w[:same]
+            self.tied_pos += pos[:same].sum(axis=0)
+            self.tied_neg += neg[:same].sum(axis=0)
             self.close()
-            p, pos, neg, w, last = p[same:], pos[same:], neg[same:], w[same:], last - same
+            p, pos, neg, last = p[same:], pos[same:], neg[same:], last - same
         if last:
             # A row wins against all below its score and half of those at it: the mean of the sums before and after its ties.
-            sums = np.concatenate([self.neg[None], self.neg + np.cumsum(w[:last] * neg[:last, None], axis=0)])
+            sums = np.concatenate([self.neg[None], self.neg + np.cumsum(neg[:last], axis=0)])
             own = p[:last]
             reach = sums[np.searchsorted(own, own)] + sums[np.searchsorted(own, own, side="right")]
-            self.wins += (w[:last] * pos[:last, None] * reach).sum(axis=0) / 2
-            self.pos += pos[:last] @ w[:last]
+            self.wins += (pos[:last] * reach).sum(axis=0) / 2
+            self.pos += pos[:last].sum(axis=0)
             self.neg = sums[-1]
         self.score = float(p[-1])
-        self.tied_pos += pos[last:] @ w[last:]
-        self.tied_neg += neg[last:] @ w[last:]
+        self.tied_pos += pos[last:].sum(axis=0)
+        self.tied_neg += neg[last:].sum(axis=0)
 
 
 def replicate_auroc(df: DataFrame, keys: Sequence[str], replicates: int = REPLICATES, cluster: str = "cluster_id", weights: DataFrame | None = None) -> DataFrame:
@@ -330,20 +391,119 @@ def replicate_auroc(df: DataFrame, keys: Sequence[str], replicates: int = REPLIC
     return replicate_scan(df, keys, (), replicates, cluster, weights).select(*keys, "replicate", "auroc")
 
 
-def replicate_scan(df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], replicates: int = REPLICATES, cluster: str = "cluster_id", weights: DataFrame | None = None) -> DataFrame:
-    """keys, replicate, auroc, pos, neg, and tp_i, fp_i at each threshold: rank and threshold sums of one sorted scan and one matrix of weights."""
-    rows = df.groupBy(*{*keys, cluster, *(c for c in (weights.columns if weights is not None else []) if c != "weights")}, (F.col("p") + F.lit(0.0)).alias("p")).agg(
-        F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")
-    )
-    rows = with_weights(rows, keys, cluster, weights).withColumn("bucket", score_bucket(F.col("p")))
-    rows = rows.select(*keys, "bucket", F.xxhash64(*keys, "bucket").alias("group"), F.col("p").cast("double").alias("p"), "pos", "neg", "weights" if weights is not None else "cluster")
-    rows = rows.repartition(*keys, "bucket").sortWithinPartitions(*keys, "bucket", "p")
+def score_sums(df: DataFrame, keys: Sequence[str], replicates: int, cluster: str, weights: DataFrame | None, every: int | None) -> DataFrame:
+    """keys, bucket, group, p and either pos_w, neg_w (weighted sums of many rows of one score, an entry a replicate) or a row's cluster, pos, neg (and w, its given weights).
+
+    Rows are dealt by cluster, so that a cluster's weights are made or read once a task, and sorted by score: where a task has many rows of a
+    score, one product sums them; rows of rare scores go on as they are.
+    """
+    keep = [*keys, F.col("cluster"), (F.col("p") + F.lit(0.0)).cast("double").alias("p"), F.col("y").cast("double").alias("pos"), (1 - F.col("y")).cast("double").alias("neg")]
+    given = weights is not None
+    if given:
+        on = [c for c in weights.columns if c not in ("batch", "weights")]
+        first = F.col("batch") * every if every else F.lit(0)
+        rows = df.withColumn("cluster", F.xxhash64(*on)).select(*keep, F.lit(1).alias("kind"), F.lit(0).alias("first"), F.lit(None).cast(weights.schema["weights"].dataType).alias("weights"))
+        told = weights.select(*[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys], F.xxhash64(*on).alias("cluster"), *[F.lit(None).cast("double").alias(c) for c in ("p", "pos", "neg")], F.lit(0).alias("kind"), first.cast("int").alias("first"), "weights")
+        rows = rows.unionByName(told)
+    else:
+        rows = df.withColumn("cluster", F.col(cluster).cast("long")).select(*keep)
+    # Equal keys need to meet, in whatever order: one number sorts faster than the keys.
+    order = [*(["kind"] if given else []), "group", "p"]
+    rows = rows.withColumn("bucket", score_bucket(F.col("p"))).withColumn("group", F.xxhash64(*keys, "bucket")).repartition("cluster").sortWithinPartitions(*order)
+    schema = StructType([*[rows.schema[k] for k in (*keys, "bucket", "group", "p", "cluster", "pos", "neg")], *[StructField(c, BinaryType()) for c in ("w", "pos_w", "neg_w")]])
+    plain = schema.names[:-3]
+    most = max(1, HELD // 8 // replicates)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Kept(replicates)
+        for batch in batches:
+            if given:
+                told_here = int((batch.column("kind").to_numpy() == 0).sum())
+                if told_here:
+                    part = batch.slice(0, told_here)
+                    kept.read(part.column("cluster").to_pylist(), part.column("first").to_pylist(), part.column("weights"))
+                    batch = batch.slice(told_here)
+                if not batch.num_rows:
+                    continue
+            matrix, slot = kept.of(batch.column("cluster").to_numpy(), given)
+            if (slot < 0).any():
+                # As in a join, rows of clusters without weights take no part.
+                batch, slot = batch.filter(pa.array(slot >= 0)), slot[slot >= 0]
+                if not batch.num_rows:
+                    continue
+            g, p, values = batch.column("group").to_numpy(), batch.column("p").to_numpy(zero_copy_only=False), np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "neg")])
+            edges = np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]) | (p[1:] != p[:-1])) + 1, [len(g)]])
+            long = np.diff(edges) >= MANY
+            alone = np.flatnonzero(np.repeat(~long, np.diff(edges)))
+            for at in range(0, len(alone), most if given else max(len(alone), 1)):
+                some = alone[at : at + most] if given else alone
+                own = batch.select(plain).take(pa.array(some))
+                w = pa.array([packed(r) for r in matrix[slot[some]]], pa.binary()) if given else pa.nulls(len(some), pa.binary())
+                yield pa.RecordBatch.from_arrays([*own.columns, w, *[pa.nulls(len(some), pa.binary())] * 2], schema.names)
+            lows, highs = edges[:-1][long], edges[1:][long]
+            for at in range(0, len(lows), most):
+                sums = np.zeros((min(most, len(lows) - at), 2, replicates))
+                for i, (low, high) in enumerate(zip(lows[at : at + most].tolist(), highs[at : at + most].tolist())):
+                    sums[i] = row_sums(values[:, low:high], matrix, slot[low:high])
+                own = batch.select(plain).take(pa.array(lows[at : at + most]))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.nulls(len(sums), pa.binary()), *[pa.array([packed(v) for v in sums[:, k]], pa.binary()) for k in (0, 1)]], schema.names)
+
+    return rows.select(*plain, *(["kind", "first", "weights"] if given else [])).mapInArrow(task, schema)
+
+
+def row_sums(values: np.ndarray, matrix: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Positives' and negatives' weights added up over rows, [2, replicates]."""
+    if matrix.dtype == np.uint8 and ((values == 0) | (values == 1)).all() and (values.sum(axis=0) == 1).all():
+        # 256 bytes add up within 16 bits.
+        add = lambda own: sum((matrix[own[at : at + 256]].sum(axis=0, dtype=np.uint16).astype(np.float64) for at in range(0, len(own), 256)), np.zeros(matrix.shape[1]))
+        return np.stack([add(slot[values[0] == 1]), add(slot[values[1] == 1])])
+    return sum(values[:, at : at + CHUNK] @ matrix[slot[at : at + CHUNK]].astype(np.float64) for at in range(0, len(slot), CHUNK))
+
+
+def packed(vector: np.ndarray) -> bytes:
+    """A vector in the fewest bytes an entry (1, 2, 4 or 8) that hold it exactly."""
+    for kind in (np.uint8, np.uint16, np.uint32):
+        if vector.min() >= 0 and vector.max() <= np.iinfo(kind).max and (vector == (own := vector.astype(kind))).all():
+            return own.tobytes()
+    return vector.astype(np.float64).tobytes()
+
+
+def unpacked(text: bytes, replicates: int) -> np.ndarray:
+    return np.frombuffer(text, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.float64}[len(text) // replicates])
+
+
+def weighted(batch: pa.RecordBatch, replicates: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted positives and negatives [rows, replicates] of score_sums()' rows."""
+    pos, neg = np.zeros((2, batch.num_rows, replicates))
+    summed = batch.column("pos_w").is_valid().to_numpy(zero_copy_only=False)
+    if summed.any():
+        for out, name in ((pos, "pos_w"), (neg, "neg_w")):
+            out[summed] = [unpacked(v, replicates) for v in batch.column(name).drop_null().to_pylist()]
+    if not summed.all():
+        rest = batch.filter(pa.array(~summed))
+        if rest.column("w").null_count:
+            w = hash_weights(rest.column("cluster").to_numpy(), replicates)
+        else:
+            w = np.stack([unpacked(v, replicates) for v in rest.column("w").to_pylist()]).astype(float)
+        pos[~summed], neg[~summed] = (w * rest.column(c).to_numpy()[:, None] for c in ("pos", "neg"))
+    return pos, neg
+
+
+def replicate_scan(
+    df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], replicates: int = REPLICATES, cluster: str = "cluster_id", weights: DataFrame | None = None, every: int | None = None
+) -> DataFrame:
+    """keys, replicate, auroc, pos, neg, and tp_i, fp_i at each threshold: rank and threshold sums of one sorted scan of weighted scores.
+
+    every: weights come in batches (a column batch) of so many replicates.
+    """
+    rows = score_sums(df, keys, replicates, cluster, weights, every).repartition(*keys, "bucket").sortWithinPartitions(*keys, "bucket", "p")
     flags = [f"{kind}_{i}" for i in range(len(thresholds)) for kind in ("tp", "fp")]
     sums = ("pos", "neg", "wins", *flags)
     schema = StructType([*[rows.schema[k] for k in keys], StructField("bucket", IntegerType()), *[StructField(c, ArrayType(DoubleType())) for c in sums]])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, scan, names, over = None, Scan(replicates), [], np.zeros((len(flags), replicates))
+        size = max(1, min(CHUNK, HELD // 4 // replicates))
 
         def out() -> Iterator[pa.RecordBatch]:
             if group is not None:
@@ -352,23 +512,22 @@ def replicate_scan(df: DataFrame, keys: Sequence[str], thresholds: Sequence[floa
                 yield pa.RecordBatch.from_arrays([*names, *[pa.array([getattr(scan, c)], pa.list_(pa.float64())) for c in sums]], schema.names)
 
         for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK):
-                batch = whole.slice(at, CHUNK)
-                w = weight_matrix(batch, replicates)
-                g = batch.column("group").to_numpy()
-                p, pos, neg = (batch.column(c).to_numpy() for c in ("p", "pos", "neg"))
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                pos, neg = weighted(batch, replicates)
+                g, p = batch.column("group").to_numpy(), batch.column("p").to_numpy()
                 edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
                 for low, high in zip(edges, edges[1:]):
                     if g[low] != group:
                         yield from out()
                         group, scan, names = g[low], Scan(replicates), [batch.column(i).slice(low, 1) for i in range(len(keys) + 1)]
                         over = np.zeros((len(flags), replicates))
-                    scan.add(p[low:high], pos[low:high], neg[low:high], w[low:high])
+                    scan.add(p[low:high], pos[low:high], neg[low:high])
                     for i, t in enumerate(thresholds):
                         # Rows are in the order of their scores.
                         first = low + int(np.searchsorted(p[low:high], t))
-                        over[2 * i] += pos[first:high] @ w[first:high]
-                        over[2 * i + 1] += neg[first:high] @ w[first:high]
+                        over[2 * i] += pos[first:high].sum(axis=0)
+                        over[2 * i + 1] += neg[first:high].sum(axis=0)
         yield from out()
 
     parts = rows.mapInArrow(task, schema).select(*keys, "bucket", F.posexplode(F.arrays_zip(*sums)).alias("replicate", "s"))
@@ -378,20 +537,52 @@ def replicate_scan(df: DataFrame, keys: Sequence[str], thresholds: Sequence[floa
 def rung_replicates(df: DataFrame, rungs: DataFrame, names: Sequence[str], keys: Sequence[str], replicates: int = REPLICATES, cluster: str = "cluster_id", weights: DataFrame | None = None) -> DataFrame:
     """keys, rung, replicate, ece, brier, n: calibration error of every recalibration of the scores, never fitted again inside a replicate.
 
-    rungs: keys, rung, slope, offset on the logit (null: as they are). A row gives each rung's bin its share, so that the rungs are columns of
-    one basis by cluster and bin, and a weight meets them all in one product.
+    rungs: keys, rung, slope, offset on the logit (null: as they are). A score's weighted sums give its share to each rung's bin in the task that
+    made them: neither rows nor sums are copied by rung before they are added up.
     """
     wide = rungs.groupBy(*keys).agg(*[F.max(F.when(F.col("rung") == r, F.struct("slope", "offset"))).alias(f"map_{i}") for i, r in enumerate(names)])
-    rows = df.join(wide, list(keys))
-    own = F.array(*[F.struct(F.lit(i).alias("i"), affine(F.col("p"), F.col(f"map_{i}.slope"), F.col(f"map_{i}.offset")).alias("q")) for i in range(len(names))])
-    rows = rows.select(*keys, cluster, "y", F.explode(own).alias("r")).select(*keys, cluster, "y", "r.*")
-    part = lambda i, v: F.sum(F.when(F.col("i") == i, v).otherwise(0.0))
-    columns = {f"{kind}_{i}": part(i, v) for i in range(len(names)) for kind, v in (("n", F.lit(1.0)), ("y", F.col("y").cast("double")), ("p", F.col("q")), ("sq", (F.col("q") - F.col("y")) ** 2))}
-    basis = rows.groupBy(*keys, cluster, bin_index(F.col("q")).alias("bin")).agg(*[v.alias(c) for c, v in columns.items()])
-    sums = replicate_sums(basis, [*keys, "bin"], list(columns), replicates, cluster, weights)
-    each = F.array(*[F.struct(F.lit(r).alias("rung"), F.col(f"n_{i}").alias("n"), F.col(f"y_{i}").alias("sum_y"), F.col(f"p_{i}").alias("sum_p"), F.col(f"sq_{i}").alias("sum_sq")) for i, r in enumerate(names)])
-    long = sums.select(*keys, "replicate", F.explode(each).alias("s")).select(*keys, "replicate", "s.*")
-    return from_totals(long, [*keys, "rung", "replicate"])
+    # A row a key and a struct a rung: as many as the labels list.
+    rows = score_sums(df, keys, replicates, cluster, weights, None).join(F.broadcast(wide), list(keys))
+    own = [affine(F.col("p"), F.col(f"map_{i}.slope"), F.col(f"map_{i}.offset")) for i in range(len(names))]
+    rows = rows.withColumns({"q": F.array(*own), "bins": F.array(*[bin_index(q) for q in own]), "key": F.xxhash64(*keys)})
+    rows = rows.select(*keys, "key", "q", "bins", "cluster", "pos", "neg", "w", "pos_w", "neg_w")
+    columns = ("n", "sum_y", "sum_p", "sum_sq")
+    schema = StructType([rows.schema[k] for k in keys] + [StructField("rung", StringType()), StructField("bin", IntegerType()), *[StructField(c, ArrayType(DoubleType())) for c in columns]])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int, int], tuple[list[pa.Array], np.ndarray]] = {}
+        size = max(1, min(CHUNK, HELD // 4 // replicates))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (_, i, b), (mine, sums) in held.items():
+                yield pa.RecordBatch.from_arrays([*mine, pa.array([names[i]]), pa.array([b], pa.int32()), *[pa.array([v], pa.list_(pa.float64())) for v in sums]], schema.names)
+            held.clear()
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                pos, neg = weighted(batch, replicates)
+                q, bins = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names)) for c in ("q", "bins"))
+                key = batch.column("key").to_numpy()
+                for k in np.unique(key).tolist():
+                    mine = np.flatnonzero(key == k)
+                    for i in range(len(names)):
+                        found, at_bin = np.unique(bins[mine, i], return_inverse=True)
+                        share, own = (np.arange(len(found))[:, None] == at_bin).astype(float), q[mine, i]
+                        y, no = share @ pos[mine], share @ neg[mine]
+                        sums = y + no, y, share * own @ (pos[mine] + neg[mine]), share * (1 - own) ** 2 @ pos[mine] + share * own**2 @ neg[mine]
+                        for b, v in zip(found.tolist(), np.stack(sums, axis=1)):
+                            if (k, i, b) in held:
+                                held[k, i, b][1][:] += v
+                            else:
+                                held[k, i, b] = [batch.column(c).slice(mine[0], 1) for c in range(len(keys))], v
+                if len(held) * replicates * len(columns) > 4 * HELD:
+                    yield from out()
+        yield from out()
+
+    parts = rows.mapInArrow(task, schema).select(*keys, "rung", "bin", F.posexplode(F.arrays_zip(*columns)).alias("replicate", "s"))
+    sums = parts.groupBy(*keys, "rung", "bin", "replicate").agg(*[F.sum(f"s.{c}").alias(c) for c in columns])
+    return from_totals(sums, [*keys, "rung", "replicate"])
 
 
 def interval(df: DataFrame, keys: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
@@ -406,8 +597,16 @@ def interval(df: DataFrame, keys: Sequence[str], value: str, level: float = 0.95
 
 def contrast(df: DataFrame, keys: Sequence[str], by: str, a: str, b: str, value: str) -> DataFrame:
     """keys and value(a) - value(b); keys name the replicate, so the two are paired by it."""
-    own = lambda x, n: df.where(F.col(by) == x).select(*keys, F.col(value).alias(n))
-    return own(a, "va").join(own(b, "vb"), list(keys)).select(*keys, (F.col("va") - F.col("vb")).alias("change"))
+    side = lambda x, name: [F.count_if(F.col(by) == x).alias(f"n_{name}"), F.max(F.when(F.col(by) == x, F.col(value))).alias(name)]
+    both = df.where(F.col(by).isin(a, b)).groupBy(*keys).agg(*side(a, "va"), *side(b, "vb"))
+    return both.where("n_va > 0 and n_vb > 0").select(*keys, (F.col("va") - F.col("vb")).alias("change"))
+
+
+def against(df: DataFrame, keys: Sequence[str], by: str, base: str, value: str) -> DataFrame:
+    """Rows other than the base's with inside (the base's value at the same keys) and change from it; rows whose keys the base lacks leave. One pass, no self-join."""
+    same, mine = W.partitionBy(*keys), F.col(by) == base
+    rows = df.withColumn("inside", F.max(F.when(mine, F.col(value))).over(same)).withColumn("based", F.count_if(mine).over(same))
+    return rows.where((F.col(by) != base) & (F.col("based") > 0)).drop("based").withColumn("change", F.col(value) - F.col("inside"))
 
 
 def p_value(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

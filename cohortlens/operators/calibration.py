@@ -28,6 +28,12 @@ def bin_totals(df: DataFrame, keys: Sequence[str], bins: int = BINS, weight: str
     )
 
 
+def bin_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """bin_totals() of every row by itself, for sums that are weighted by row or cluster: nothing is grouped before it is dealt."""
+    y, p = F.col("y").cast("double"), F.col("p")
+    return df.select(*keys, bin_index(p).alias("bin"), F.lit(1.0).alias("n"), y.alias("sum_y"), p.alias("sum_p"), ((p - y) * (p - y)).alias("sum_sq"))
+
+
 def from_totals(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, ece, brier, n from bin totals."""
     gap = F.abs(F.col("sum_y") - F.col("sum_p"))
