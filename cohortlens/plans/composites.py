@@ -11,6 +11,7 @@ from ..operators import discrimination as D
 from ..operators import fitting
 from ..operators import labels as L
 from ..operators import utility as U
+from ..operators.lineage import cut
 from ..sources.adapters import orders, people, predictions
 from .registry import query, rounded
 from .studies import CURVE, ECE_BOOT, REPLICATES, WEIGHTS, BOOT_AUC, P_VALUES, boot, boot_sql, interval_sql, shift_changes
@@ -120,7 +121,8 @@ def q04(spark, sf_dir):
     """One row a cohort and model: points, their intervals with suffixes, and replicates that lack a registered label."""
     rows = predictions(spark, sf_dir)
     points = D.macro(D.auroc(rows.where("label <> 'never'"), KEYS), UNIT, "auroc").select(*UNIT, "macro_auroc").join(C.calibration(rows, UNIT).drop("n"), UNIT)
-    reps = cohort_pass(spark, sf_dir)
+    # Written once: its replicates are read four times.
+    reps = cut(cohort_pass(spark, sf_dir))
     bounds = None
     for name in WIDE:
         own = B.interval(reps, UNIT, name).select(*UNIT, F.col("lower").alias(f"{name}_lower_95"), F.col("upper").alias(f"{name}_upper_95"))
@@ -245,7 +247,7 @@ def q21b(spark, sf_dir):
     """Net benefit and its gain over the better default at three thresholds: counts by cluster, then weights."""
     keys = [*KEYS, "t"]
     sums = B.replicate_sums(U.threshold_basis(predictions(spark, sf_dir), KEYS, AT), keys, ["tp", "fp", "pos", "n"], REPLICATES)
-    rows = U.from_basis(sums)
+    rows = cut(U.from_basis(sums))
     bounds = B.interval(rows, keys, "net_benefit").select(*keys, "lower", "upper")
     gains = B.interval(rows, keys, "gain").select(*keys, F.col("lower").alias("gain_lower"), F.col("upper").alias("gain_upper"))
     return rounded(bounds.join(gains, keys))
@@ -268,7 +270,7 @@ def benefit_replicates(spark, sf_dir):
 SELECT cohort, model, label, t, round(al, 6) AS auroc_lower, round(au, 6) AS auroc_upper, round(lower, 6) AS lower, round(upper, 6) AS upper FROM ub JOIN ab USING (cohort, model, label)""")
 def b14(spark, sf_dir):
     """Ranking and net benefit of the same draws."""
-    rows, keys = benefit_replicates(spark, sf_dir), [*KEYS, "t"]
+    rows, keys = cut(benefit_replicates(spark, sf_dir)), [*KEYS, "t"]
     ranks = B.interval(rows, keys, "auroc").select(*keys, F.col("lower").alias("auroc_lower"), F.col("upper").alias("auroc_upper"))
     return rounded(ranks.join(B.interval(rows, keys, "net_benefit").select(*keys, "lower", "upper"), keys))
 
@@ -350,7 +352,7 @@ def q10(spark, sf_dir):
         own = B.subsample(orders(spark, sf_dir), ["cohort"], "record_id", f, F.lit(3)).select("cohort", "record_id", F.lit(f).alias("fraction"))
         sample = own if sample is None else sample.union(own)
     rows = predictions(spark, sf_dir).join(sample, ["cohort", "record_id"])
-    sums = B.replicate_sums(C.bin_totals(rows, ["cluster_id", *keys]), [*keys, "bin"], ["n", "sum_y", "sum_p", "sum_sq"], REPLICATES)
+    sums = B.replicate_sums(C.bin_rows(rows, ["cluster_id", *keys]), [*keys, "bin"], ["n", "sum_y", "sum_p", "sum_sq"], REPLICATES)
     reps = C.from_totals(sums.where("n > 0"), [*keys, "replicate"]).select(*keys, F.col("ece").alias("again"))
     both = reps.join(C.calibration(rows, keys).select(*keys, F.col("ece").alias("point")), keys)
     return rounded(both.groupBy(*keys).agg(
@@ -363,7 +365,7 @@ def q10(spark, sf_dir):
 SELECT cohort, model, label, round(lower, 6) AS lower, round(published, 6) AS published, ABS(round(lower, 6) - round(published, 6)) <= CAST(0.002 AS DOUBLE) AS within FROM i JOIN pub USING (cohort, model, label)""")
 def b22(spark, sf_dir):
     """Bounds of all replicates against those published from the first half of them: some differ by more than the tolerance."""
-    reps = boot(spark, sf_dir)
+    reps = cut(boot(spark, sf_dir))
     own = rounded(B.interval(reps, KEYS, "auroc").select(*KEYS, "lower"))
     published = rounded(B.interval(reps.where("replicate < 100"), KEYS, "auroc").select(*KEYS, F.col("lower").alias("published")))
     return B.within(own, published, KEYS, "lower", "published", 0.002).select(*KEYS, "lower", "published", "within")
