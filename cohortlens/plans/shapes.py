@@ -13,6 +13,7 @@ from ..operators import expect as E
 from ..operators import labels as L
 from ..operators import provenance as P
 from ..operators import signals
+from ..operators.lineage import cut
 from ..sources import files
 from ..sources.adapters import orders, predictions
 from .composites import PEOPLE_ROWS, auc_sql, ece_sql, subgroups
@@ -185,8 +186,9 @@ SELECT cohort, metric, round(quantile_cont(change, 0.025), 6) AS lower, round(qu
 def b03_full(spark, sf_dir):
     """All four statistics of a cohort's pass by replicate, and what one model has over the other in each; bins are weighted once for both errors."""
     keys = [*UNIT, "replicate"]
-    totals = C.bin_totals(predictions(spark, sf_dir), ["cluster_id", *KEYS])
-    sums = B.replicate_sums(totals, [*KEYS, "bin"], ["n", "sum_y", "sum_p", "sum_sq"], REPLICATES)
+    totals = C.bin_rows(predictions(spark, sf_dir), ["cluster_id", *KEYS])
+    # Written once: both errors read them.
+    sums = cut(B.replicate_sums(totals, [*KEYS, "bin"], ["n", "sum_y", "sum_p", "sum_sq"], REPLICATES))
     macro_ece = D.macro(C.from_totals(sums, [*KEYS, "replicate"]), keys, "ece").select(*keys, "macro_ece")
     pooled = C.from_totals(sums.groupBy(*keys, "bin").agg(*[F.sum(c).alias(c) for c in ("n", "sum_y", "sum_p", "sum_sq")]), keys).select(*keys, F.col("ece").alias("pooled_ece"), "brier")
     every = D.macro(boot(spark, sf_dir), keys, "auroc").select(*keys, "macro_auroc").join(macro_ece, keys).join(pooled, keys)
