@@ -26,6 +26,7 @@ from pyspark.sql.types import ArrayType, BinaryType, ByteType, DoubleType, Integ
 from ..functions.scalar import affine
 from .calibration import bin_index, from_totals
 from .discrimination import from_buckets, score_bucket
+from .utility import steps_reached
 
 #: Replicates of a study.
 REPLICATES = 2000
@@ -299,16 +300,18 @@ def with_weights(rows: DataFrame, cluster: str, weights: DataFrame | None) -> Da
     return rows.join(weights.hint("merge"), on).withColumn("cluster", F.xxhash64(*on))
 
 
-def replicate_sums(basis: DataFrame, keys: Sequence[str], columns: Sequence[str], replicates: int = REPLICATES, cluster: str = "cluster_id", weights: DataFrame | None = None) -> DataFrame:
+def replicate_sums(basis: DataFrame, keys: Sequence[str], columns: Sequence[str], replicates: int = REPLICATES, cluster: str = "cluster_id", weights: DataFrame | None = None, deal: bool = True) -> DataFrame:
     """keys, replicate and the weighted sums of the columns, at whatever grain basis comes.
 
     Rows are dealt and sorted by cluster, so that a weight is made once for all of a cluster's rows; a task sums a run of clusters by key
-    and multiplies that matrix with their weights.
+    and multiplies that matrix with their weights. deal=False leaves rows where they are, for hashed weights and few keys: then weights are made
+    once for a batch's rows of a cluster, which costs less than a shuffle where a record's rows come together.
     """
     rows = with_weights(basis, cluster, weights)
     rows = rows.select(*keys, F.xxhash64(*keys).alias("group"), *[F.col(c).cast("double").alias(c) for c in columns], "cluster", *(["weights"] if weights is not None else []))
-    rows = rows.repartition("cluster").sortWithinPartitions("cluster")
     schema, given = StructType([rows.schema[k] for k in keys] + [StructField(c, ArrayType(DoubleType())) for c in columns]), weights is not None
+    if deal or given:
+        rows = rows.repartition("cluster").sortWithinPartitions("cluster")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[pa.Array], np.ndarray]] = {}
@@ -347,6 +350,15 @@ def replicate_sums(basis: DataFrame, keys: Sequence[str], columns: Sequence[str]
     return parts.groupBy(*keys, "replicate").agg(*[F.sum(f"s.{c}").alias(c) for c in columns])
 
 
+def threshold_replicates(df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], replicates: int = REPLICATES, cluster: str = "cluster_id") -> DataFrame:
+    """keys, replicate, pos, neg, and tp_i, fp_i at each of the rising thresholds, by hash weights: sums by step between thresholds, so nothing is sorted or dealt."""
+    y = F.col("y").cast("double")
+    rows = df.select(*keys, cluster, steps_reached(F.col("p"), thresholds).alias("step"), y.alias("pos"), (1 - y).alias("neg"))
+    sums = replicate_sums(rows, [*keys, "step"], ["pos", "neg"], replicates, cluster, deal=False)
+    over = [F.sum(F.when(F.col("step") > i, F.col(c)).otherwise(0.0)).alias(f"{kind}_{i}") for i in range(len(thresholds)) for kind, c in (("tp", "pos"), ("fp", "neg"))]
+    return sums.groupBy(*keys, "replicate").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *over)
+
+
 class Scan:
     """One key's bucket in score order: weighted pairs won by positives, for all replicates at once."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,13 +13,24 @@ from ..functions import scalar
 GRID = [round(i / 100, 2) for i in range(1, 51)]
 
 
+def steps_reached(p: Column, grid: Sequence[float]) -> Column:
+    """How many of the rising thresholds p reaches, by halving the grid: comparisons that compile, where a filter over an array is interpreted row by row."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(p >= F.lit(float(grid[middle])), among(middle + 1, high)).otherwise(among(low, middle))
+
+    return among(0, len(grid))
+
+
 def decision_curve(df: DataFrame, keys: Sequence[str], grid: list[float] = GRID) -> DataFrame:
     """keys, t, tp, fp, n, pos, net_benefit, treat_all, gain over the better default.
 
     A row adds to one step of the grid, and counts at a threshold are the sums from there up; no row meets all thresholds.
     """
-    step = F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t <= F.col("p")))
-    hist = df.groupBy(*keys, step.alias("step")).agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    hist = df.groupBy(*keys, steps_reached(F.col("p"), grid).alias("step")).agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     ends = F.transform(F.sequence(F.lit(0), F.lit(len(grid))), lambda i: i)
     frame = hist.select(*keys).distinct().select(*keys, F.explode(ends).alias("step")).join(hist, [*keys, "step"], "left").na.fill(0, ["a", "b"])
     up = W.partitionBy(*keys).orderBy(F.desc("step")).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -258,11 +258,10 @@ BENEFIT_BOOT = """b AS (SELECT cohort, model, label, cluster_id, t, COUNT(*) FIL
  ub AS (SELECT cohort, model, label, t, quantile_cont(net_benefit, 0.025) AS lower, quantile_cont(net_benefit, 0.975) AS upper FROM u GROUP BY ALL)"""
 
 
-def benefit_replicates(spark, sf_dir):
-    """cohort, model, label, t, replicate, auroc, net_benefit: both from one scan of the resamples."""
-    scan = B.replicate_scan(predictions(spark, sf_dir), KEYS, AT, REPLICATES)
+def benefits(sums, *also):
+    """cohort, model, label, t, replicate, also and net_benefit of replicates' sums at the thresholds."""
     each = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"tp_{i}").alias("tp"), F.col(f"fp_{i}").alias("fp")) for i, t in enumerate(AT)])
-    rows = scan.select(*KEYS, "replicate", "auroc", (F.col("pos") + F.col("neg")).alias("n"), F.explode(each).alias("x")).select("*", "x.*").drop("x")
+    rows = sums.select(*KEYS, "replicate", *also, (F.col("pos") + F.col("neg")).alias("n"), F.explode(each).alias("x")).select("*", "x.*").drop("x")
     return rows.withColumn("net_benefit", scalar.net_benefit(F.col("tp"), F.col("fp"), F.col("n"), F.col("t")))
 
 
@@ -270,7 +269,7 @@ def benefit_replicates(spark, sf_dir):
 SELECT cohort, model, label, t, round(al, 6) AS auroc_lower, round(au, 6) AS auroc_upper, round(lower, 6) AS lower, round(upper, 6) AS upper FROM ub JOIN ab USING (cohort, model, label)""")
 def b14(spark, sf_dir):
     """Ranking and net benefit of the same draws."""
-    rows, keys = cut(benefit_replicates(spark, sf_dir)), [*KEYS, "t"]
+    rows, keys = cut(benefits(B.replicate_scan(predictions(spark, sf_dir), KEYS, AT, REPLICATES), "auroc")), [*KEYS, "t"]
     ranks = B.interval(rows, keys, "auroc").select(*keys, F.col("lower").alias("auroc_lower"), F.col("upper").alias("auroc_upper"))
     return rounded(ranks.join(B.interval(rows, keys, "net_benefit").select(*keys, "lower", "upper"), keys))
 
@@ -279,8 +278,10 @@ def b14(spark, sf_dir):
  FROM curve c LEFT JOIN ub ON ub.cohort = c.cohort AND ub.model = c.model AND ub.label = c.label AND round(ub.t * 100) = round(c.t * 100)""")
 def j16(spark, sf_dir):
     """The decision curve, with intervals at three of its fifty thresholds and null elsewhere; an interval that the curve lacks fails."""
-    curve = U.decision_curve(predictions(spark, sf_dir), KEYS).select(*KEYS, "t", "net_benefit")
-    bounds = B.interval(benefit_replicates(spark, sf_dir), [*KEYS, "t"], "net_benefit").select(*KEYS, "t", "lower", "upper")
+    rows = predictions(spark, sf_dir)
+    # Both are as small as keys by thresholds, and the checks of their join read them several times.
+    curve = cut(U.decision_curve(rows, KEYS).select(*KEYS, "t", "net_benefit"))
+    bounds = cut(B.interval(benefits(B.threshold_replicates(rows, KEYS, AT, REPLICATES)), [*KEYS, "t"], "net_benefit").select(*KEYS, "t", "lower", "upper"))
     return rounded(U.attach(curve, bounds, "t", keys=KEYS))
 
 
