@@ -123,12 +123,17 @@ def x08(spark, sf_dir):
     return rounded(rows.select("vec_id", scalar.expit(F.col("signal")[0][0].cast("double")).alias("p")).groupBy("vec_id").agg(F.avg("p").alias("p")))
 
 
+def beat_signals(spark, sf_dir):
+    """Embeddings as twelve leads of 1,024 samples. A small file is one task, but its records take long: they are dealt over several tasks a core first."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").repartition(4 * spark.sparkContext.defaultParallelism, "vec_id")
+    wide = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 16))
+    return e.select("vec_id", F.array(*[wide] * 12).alias("signal"))
+
+
 @query("x20_signal_features")
 def x20(spark, sf_dir):
     """Beat features of stand-in signals; the tests plant beats and find them again."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    wide = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 16))
-    return beats.feature_table(e.select("vec_id", F.array(*[wide] * 12).alias("signal")), "vec_id")
+    return beats.feature_table(beat_signals(spark, sf_dir), "vec_id")
 
 
 @query("w05_differences", "SELECT user_id, event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) + 0 AS change FROM events")

@@ -34,3 +34,15 @@ def test_steps_of_a_grid(spark):
         step = U.steps_reached(F.col("p"), grid)
         assert df.where(step != own).count() == 0
         assert "lambda" not in plan(df.select(step))
+
+
+def test_records_are_measured_once_and_dealt_first(spark, monkeypatch):
+    from cohortlens.plans import baseline, records
+
+    def few(df, record):
+        return df.select(record).mapInArrow(lambda batches: batches, "vec_id long").select(record, *[F.lit(1.0).alias(n) for n in baseline.beats.FEATURES])
+
+    monkeypatch.setattr(baseline.beats, "feature_table", few)
+    out = baseline.q26_signal(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in plan(out)
+    assert records.beat_signals(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
