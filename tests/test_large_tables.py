@@ -46,3 +46,12 @@ def test_records_are_measured_once_and_dealt_first(spark, monkeypatch):
     out = baseline.q26_signal(spark, "/root/testdata/sf0.001")
     assert "MapInArrow" not in plan(out)
     assert records.beat_signals(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_waves_come_in_small_batches(spark):
+    from cohortlens.operators import beats
+
+    rows = spark.range(0, 40, 1, 1).select("id", F.array_repeat(F.array_repeat(F.sin("id").cast("double"), 300), 12).alias("signal"))
+    out = beats.filtered(rows, "id", "signal", 100.0)
+    assert out.count() == 40
+    assert int(str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")) <= beats.BATCH_BYTES
