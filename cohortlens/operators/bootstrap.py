@@ -36,6 +36,8 @@ MOST = 12
 CHUNK, HELD = 1024, 1 << 21
 #: Rows of one score in a batch from which they are summed before they move, and bytes of hashed weights that a task keeps.
 MANY, KEPT = 16, 1 << 27
+#: Score buckets of a key in the scan of resamples: one is a task's sort, so scores that crowd on the logit need narrow ones.
+FINE = 512
 #: An integer hash's multipliers, each under 2**31, and its modulus for identifiers, a prime.
 CLUSTER_FACTOR, REPLICATE_FACTOR, FIRST, SECOND = 1540483477, 2027808503, 569420461, 1935289751
 MODULUS = 4294967291
@@ -421,7 +423,7 @@ def score_sums(df: DataFrame, keys: Sequence[str], replicates: int, cluster: str
         rows = df.withColumn("cluster", F.col(cluster).cast("long")).select(*keep)
     # Equal keys need to meet, in whatever order: one number sorts faster than the keys.
     order = [*(["kind"] if given else []), "group", "p"]
-    rows = rows.withColumn("bucket", score_bucket(F.col("p"))).withColumn("group", F.xxhash64(*keys, "bucket")).repartition("cluster").sortWithinPartitions(*order)
+    rows = rows.withColumn("bucket", score_bucket(F.col("p"), FINE)).withColumn("group", F.xxhash64(*keys, "bucket")).repartition("cluster").sortWithinPartitions(*order)
     schema = StructType([*[rows.schema[k] for k in (*keys, "bucket", "group", "p", "cluster", "pos", "neg")], *[StructField(c, BinaryType()) for c in ("w", "pos_w", "neg_w")]])
     plain = schema.names[:-3]
     most = max(1, HELD // 8 // replicates)

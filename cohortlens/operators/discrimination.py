@@ -22,11 +22,11 @@ def _w(weight: str | None) -> Column:
 BUCKETS = 64
 
 
-def score_bucket(p: Column) -> Column:
-    """A bucket that never falls as the score rises; scores outside (0, 1) go to the ends."""
+def score_bucket(p: Column, buckets: int = BUCKETS) -> Column:
+    """A bucket that never falls as the score rises; scores outside (0, 1) go to the ends. More buckets are narrower, over the same logits."""
     logit = F.log(F.try_divide(p, 1 - p))
-    inside = F.least(F.greatest(F.floor(logit * 4 + BUCKETS // 2), F.lit(0)), F.lit(BUCKETS - 1))
-    return F.when(p <= 0, 0).when(p >= 1, BUCKETS - 1).otherwise(inside).cast("int")
+    inside = F.least(F.greatest(F.floor(logit * (buckets / 16) + buckets // 2), F.lit(0)), F.lit(buckets - 1))
+    return F.when(p <= 0, 0).when(p >= 1, buckets - 1).otherwise(inside).cast("int")
 
 
 def spread_buckets(counts: DataFrame, keys: Sequence[str], p: str) -> DataFrame:

@@ -55,3 +55,9 @@ def test_waves_come_in_small_batches(spark):
     out = beats.filtered(rows, "id", "signal", 100.0)
     assert out.count() == 40
     assert int(str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")) <= beats.BATCH_BYTES
+
+
+def test_crowded_scores_share_no_single_bucket(spark):
+    df = spark.range(0, 2000, 1, 2).select(F.lit("A").alias("cohort"), (F.col("id") % 50).alias("cluster_id"), (F.col("id") / 50_000 + 0.18).alias("p"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    sizes = [r["count"] for r in B.score_sums(df, ["cohort"], 4, "cluster_id", None, None).groupBy("bucket").count().collect()]
+    assert max(sizes) < 600
