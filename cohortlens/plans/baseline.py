@@ -158,7 +158,8 @@ def q27_frozen(spark, sf_dir):
 
 def fitted(spark, sf_dir):
     """(design, its columns, chosen models) of all labels over the whole grid: fitted on folds 1 to 8, chosen on fold 9."""
-    df = features(spark, sf_dir)
+    # Moments, fits, choice and every table after them read the features: written once.
+    df = cut(features(spark, sf_dir))
     inside = F.col("cohort") == "F"
     rows, x = BL.design(df, df.where(inside & (F.col("fold") <= 8)), COLUMNS)
     models = BL.fit_labels(rows.where(inside & (F.col("fold") <= 8)), x, LABELS)
