@@ -12,7 +12,7 @@ from ..operators import fitting
 from ..operators import labels as L
 from ..operators import utility as U
 from ..operators.lineage import cut
-from ..sources.adapters import orders, people, predictions
+from ..sources.adapters import orders, people, predictions, predictions_of
 from .registry import query, rounded
 from .studies import CURVE, ECE_BOOT, REPLICATES, WEIGHTS, BOOT_AUC, P_VALUES, boot, boot_sql, interval_sql, shift_changes
 
@@ -148,8 +148,8 @@ def q09b(spark, sf_dir):
 PEOPLE_ROWS = """sub AS (SELECT r.*, factor, level FROM {PRED} r JOIN (SELECT person_id AS cluster_id, 'sex' AS factor, CASE WHEN sex_code = 0 THEN 'male' ELSE 'female' END AS level FROM {PEOPLE} UNION ALL SELECT person_id, 'age', CASE WHEN age < 40 THEN 'under_40' WHEN age < 65 THEN '40_to_64' ELSE '65_plus' END FROM {PEOPLE}) USING (cluster_id))"""
 
 
-def subgroups(spark, sf_dir):
-    """Every row once a factor, with its level."""
+def subgroups(spark, sf_dir, rows=None):
+    """Every row once a factor, with its level; of all predictions, unless rows are given."""
     levels = people(spark, sf_dir).select(
         F.col("person_id").alias("cluster_id"),
         F.explode(F.array(
@@ -157,7 +157,7 @@ def subgroups(spark, sf_dir):
             F.struct(F.lit("age").alias("factor"), scalar.age_band(F.col("age").cast("string")).alias("level")),
         )).alias("f"),
     ).select("cluster_id", "f.*")
-    return predictions(spark, sf_dir).join(levels, "cluster_id")
+    return (predictions(spark, sf_dir) if rows is None else rows).join(levels, "cluster_id")
 
 
 @query("q08_subgroup_metrics", f"""WITH {PEOPLE_ROWS}, ok AS (SELECT cohort, model, factor, label FROM (SELECT cohort, model, factor, level, label, SUM(y) AS pos, SUM(1 - y) AS neg FROM sub GROUP BY ALL) GROUP BY ALL HAVING MIN(LEAST(pos, neg)) >= 5),
@@ -167,9 +167,10 @@ def subgroups(spark, sf_dir):
 SELECT cohort, model, factor, level, records, labels, round(macro_auroc, 6) AS macro_auroc, lower, upper, round(ece, 6) AS ece FROM pt JOIN e USING (cohort, model, factor, level) JOIN n USING (cohort, model, factor, level) JOIN iv USING (cohort, model, factor, level)""")
 def q08(spark, sf_dir):
     """By level of each factor, over the labels that all levels of the factor support."""
-    rows, keys = subgroups(spark, sf_dir), [*UNIT, "factor", "level"]
+    # Five tables read the rows: a row an order is written once, and the labels that are supported, a few, too.
+    rows, keys = subgroups(spark, sf_dir, predictions_of(cut(orders(spark, sf_dir)))), [*UNIT, "factor", "level"]
     support = rows.groupBy(*keys, "label").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    support = support.groupBy(*UNIT, "factor", "label").agg(F.min(F.least("pos", "neg")).alias("least")).where("least >= 5").drop("least")
+    support = cut(support.groupBy(*UNIT, "factor", "label").agg(F.min(F.least("pos", "neg")).alias("least")).where("least >= 5").drop("least"))
     common = rows.join(support, [*UNIT, "factor", "label"], "left_semi")
     points = D.macro(D.auroc(common, [*keys, "label"]), keys, "auroc").withColumnRenamed("contributing", "labels")
     reps = D.macro(B.replicate_auroc(common, [*keys, "label"], REPLICATES), [*keys, "replicate"], "auroc")

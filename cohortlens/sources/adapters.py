@@ -67,6 +67,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, PREDICTIONS)
 
 
+def predictions_of(own: DataFrame) -> DataFrame:
+    """predictions() of orders() that were read before."""
+    return own.sparkSession.sql(PREDICTIONS.replace(f"({ORDERS})", "{own}"), own=own)
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, ORDERS)
 
