@@ -14,7 +14,7 @@ from ..operators import discrimination as D
 from ..operators import expect
 from ..operators import inference as I
 from ..operators import provenance as P
-from ..operators.lineage import shared_folder
+from ..operators.lineage import cut, shared_folder
 from ..sources import incremental
 from ..sources.adapters import orders, predictions
 from .composites import auc_sql
@@ -128,7 +128,8 @@ SELECT model, record_id, label, y, seeds, round(CAST(CAST(mean AS REAL) AS DOUBL
 @query("e15_cached_inference", seed_sql())
 def e15(spark, sf_dir):
     """A cohort by five passes with receipts, interrupted after three of them and gone on with; the ensembles come through receipts alone."""
-    records = orders(spark, sf_dir).where("cohort = 'O'")
+    # Every pass, and the checks of what it wrote, read the records: written once, they don't shuffle the lines behind them again.
+    records = cut(orders(spark, sf_dir).where("cohort = 'O'").select("record_id", "p_size", "p_discount", "y_returned", "y_large"))
     long = seed_score(1.0, 1, records).select("record_id", "label", "y")
     passes = [I.Pass(m, s, f"{m}-{s}", partial(lambda w, s, _: seed_score(w, s, records), w, s)) for m, (w, seeds) in SEEDS.items() for s in seeds]
     root = f"{shared_folder(spark)}/inference-{uuid.uuid4().hex}"
