@@ -9,6 +9,7 @@ from ..functions import parse, scalar
 from ..operators import discrimination as D
 from ..operators import beats, expect, fitting, signals
 from ..operators import calibration as C
+from ..operators.lineage import cut
 from ..sources.adapters import orders, people, predictions
 from .registry import query, rounded
 
@@ -205,7 +206,8 @@ def q25(spark, sf_dir):
 
 @query("e08_logistic_baseline")
 def e08(spark, sf_dir):
-    o = orders(spark, sf_dir).where("cohort = 'F'")
+    # Each penalty's count, fit and check read the rows: written once.
+    o = cut(orders(spark, sf_dir).where("cohort = 'F'").select("fold", "y_large", "p_size", "p_discount"))
     split = lambda c: o.where(c).select(F.col("y_large").alias("label"), "p_size", "p_discount")
     c, auroc, model = fitting.logistic_grid(split("fold <= 8"), split("fold = 9"), ["p_size", "p_discount"], "label", [0.01, 0.1, 1.0])
     return spark.createDataFrame([(float(c), float(auroc), *[float(x) for x in model.coefficients], float(model.intercept))], "c double, auroc double, size_weight double, discount_weight double, intercept double")
@@ -215,5 +217,5 @@ def e08(spark, sf_dir):
 def q29(spark, sf_dir):
     """Thresholds by label and one temperature a model, from the validation fold only."""
     held = predictions(spark, sf_dir).where("cohort = 'F' and fold = 9")
-    cut = D.f1_thresholds(held, ["model", "label"]).groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "threshold")))).alias("thresholds"))
-    return cut.join(fitting.temperatures(held, ["model"]), "model").select("model", F.to_json("thresholds").alias("thresholds"), "temperature")
+    cuts = D.f1_thresholds(held, ["model", "label"]).groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "threshold")))).alias("thresholds"))
+    return cuts.join(fitting.temperatures(held, ["model"]), "model").select("model", F.to_json("thresholds").alias("thresholds"), "temperature")
