@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.scalar import affine, bbse_prevalence, prior_shift_offset
 from .discrimination import f1_thresholds
+from .lineage import cut
 
 CLIP = 1e-7
 
@@ -178,15 +179,31 @@ def ladder_rungs(df: DataFrame, model_keys: Sequence[str], internal: str) -> Dat
     return table
 
 
+def first_drawn(rows: DataFrame, totals: DataFrame, keys: Sequence[str], ties: Sequence[str], most: int, repeats: int) -> DataFrame:
+    """rows with place (from 1) of the first most rows of each key and repeat by drawn, an even 64-bit hash, and ties; totals: keys, n_all, a row a key."""
+    wanted = 2 * most + 100
+    reach = F.when(F.col("n_all") > wanted, (F.lit(-(2.0**63)) + F.lit(2.0**64) * (wanted / F.col("n_all"))).cast("long")).otherwise(F.lit(2**63 - 1))
+    # As many rows as keys; then by repeats.
+    bounds = cut(totals.withColumn("reach", reach))
+    near = cut(rows.join(F.broadcast(bounds.select(*keys, "reach")), list(keys)).where("drawn <= reach"))
+    every = bounds.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    seen = near.groupBy(*keys, "repeat").agg(F.count("*").alias("met"))
+    short = every.join(seen, [*keys, "repeat"], "left").where(F.coalesce("met", F.lit(0)) < F.least(F.lit(most), F.col("n_all"))).select(*keys, "repeat", "reach")
+    if not short.isEmpty():
+        near = near.unionByName(rows.join(F.broadcast(short), [*keys, "repeat"]).where("drawn > reach"))
+    order = W.partitionBy(*keys, "repeat").orderBy("drawn", *ties)
+    return near.drop("reach").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("drawn")
+
+
 def platt_recovery(df: DataFrame, keys: Sequence[str], record: str, sizes: list[int], repeats: int, seed: int, bins: int = 15) -> DataFrame:
     """keys, k, held_out_ece, sd: error on the rest after an affine fit on k labelled records, over repeats draws.
 
-    A draw is the first k records by a hash of record and repeat, so larger k add to smaller ones. Only drawn rows are shuffled and
-    fitted, k a task; the error comes from the bins of a key's distinct scores less those of the drawn rows. Null where none is held out.
+    A draw is the first k records by a hash of record and repeat, so larger k add to smaller ones. Hashes below a bound that about twice as many
+    rows meet are ranked alone, and all of a key's and repeat's where too few meet it. Only drawn rows are fitted, k a task; the error comes from the bins of a key's distinct scores less those of the drawn rows. Null where none is held out.
     """
     rows = df.select(*keys, record, "y", "p").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = W.partitionBy(*keys, "repeat").orderBy(F.xxhash64(F.lit(seed), "repeat", record), record, "p", "y")
-    first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(sizes))
+    rows = rows.withColumn("drawn", F.xxhash64(F.lit(seed), F.col("repeat"), F.col(record)))
+    first = first_drawn(rows, df.groupBy(*keys).agg(F.count("*").alias("n_all")), keys, [record, "p", "y"], max(sizes), repeats)
     drawn = first.withColumn("k", F.explode(F.array(*[F.lit(s) for s in sizes]))).where(F.col("place") <= F.col("k"))
     draw = [*keys, "k", "repeat"]
     fits = _by_key(drawn, draw, "slope double, offset double, fitted boolean", lambda r: fit_affine(r["p"].to_numpy(), r["y"].to_numpy(float), 1.0 - r["y"].to_numpy(float)))

@@ -10,7 +10,7 @@ from ..operators import discrimination as D
 from ..operators import beats, expect, fitting, signals
 from ..operators import calibration as C
 from ..operators.lineage import cut
-from ..sources.adapters import orders, people, predictions
+from ..sources.adapters import orders, people, predictions, predictions_of
 from .registry import query, rounded
 
 KEYS = ["cohort", "model", "label"]
@@ -201,7 +201,8 @@ def q23(spark, sf_dir):
 
 @query("q25_recovery_curve")
 def q25(spark, sf_dir):
-    return fitting.platt_recovery(predictions(spark, sf_dir).where("cohort = 'O' and label <> 'never'"), ["model", "label"], "record_id", [100, 250, 500, 1000], 50, 7)
+    rows = predictions_of(cut(orders(spark, sf_dir).where("cohort = 'O'")))
+    return fitting.platt_recovery(rows.where("label <> 'never'"), ["model", "label"], "record_id", [100, 250, 500, 1000], 50, 7)
 
 
 @query("e08_logistic_baseline")

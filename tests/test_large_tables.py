@@ -61,3 +61,18 @@ def test_crowded_scores_share_no_single_bucket(spark):
     df = spark.range(0, 2000, 1, 2).select(F.lit("A").alias("cohort"), (F.col("id") % 50).alias("cluster_id"), (F.col("id") / 50_000 + 0.18).alias("p"), (F.col("id") % 3 == 0).cast("int").alias("y"))
     sizes = [r["count"] for r in B.score_sums(df, ["cohort"], 4, "cluster_id", None, None).groupBy("bucket").count().collect()]
     assert max(sizes) < 600
+
+
+@pytest.mark.parametrize("own", ["id", "id div 400"])
+def test_low_hashes_give_the_same_draws(spark, own):
+    """With records of many rows, hashes come in clumps, so a bound may be met too rarely; then all rows are ranked."""
+    from cohortlens.operators import fitting
+
+    rows = spark.range(0, 4000, 1, 2).select("id", F.when(F.col("id") < 3900, "a").otherwise("b").alias("label"), F.expr(own).alias("record")).withColumn("repeat", F.explode(F.array(*map(F.lit, range(6)))))
+    rows = rows.withColumn("drawn", F.xxhash64(F.lit(3), "repeat", "record"))
+    order = fitting.W.partitionBy("label", "repeat").orderBy("drawn", "record", "id")
+    plain = rows.withColumn("place", F.row_number().over(order)).where("place <= 150")
+    out = fitting.first_drawn(rows, rows.where("repeat = 0").groupBy("label").agg(F.count("*").alias("n_all")), ["label"], ["record", "id"], 150, 6)
+    columns = ["label", "repeat", "id", "place"]
+    assert sorted(map(tuple, out.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
+    assert "drawn" not in out.columns
