@@ -315,6 +315,20 @@ def test_block_max_wand_passes_blocks_over():
     assert touched[0] < 0.6 * all_postings
 
 
+def test_bm25_lists_grow_with_the_queries_alone(spark, monkeypatch):
+    """However many indexes and groups of queries there are, a part returns a list a query, and the result stays."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found, search_shards = [], bm25.search_shards
+    monkeypatch.setattr(bm25, "search_shards", lambda *a: found.append(search_shards(*a)) or found[-1])
+    want = sorted(map(tuple, bm25.top_k(documents, F.col("doc_id") % 50 == 0).collect()))
+    assert len(want) == 20 * 10
+    monkeypatch.setattr(bm25, "GROUP", 1_000, raising=False)
+    got = sorted(map(tuple, bm25.top_k(documents, F.col("doc_id") % 50 == 0, shard_docs=10).collect()))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want])
+    assert found[1].count() <= 24 * 20 * 10
+
+
 def test_bm25_odd_rows(spark):
     found = bm25.top_k(docs(spark, [*ODD, "one"]), F.lit(True)).collect()
     assert {(r["query_id"], r["doc_id"]) for r in found} == {(3, 4), (3, 8), (4, 3), (4, 8), (8, 3), (8, 4)}
