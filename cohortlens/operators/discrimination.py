@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def _w(weight: str | None) -> Column:
     return F.lit(1.0) if weight is None else F.col(weight).cast("double")
@@ -60,15 +62,28 @@ def score_counts(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p",
     )
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, value_, n: how often each value (-0.0 being 0.0, null and NaN values of their own) is there. Written once, since all that follows must see the same rows."""
+    return cut(df.groupBy(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("value_")).agg(F.count("*").alias("n")))
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """keys, n and q (an entry a prob): exact quantiles with linear interpolation over values neither null nor NaN, from counts of distinct values.
 
     No key's values meet in one task: counts are summed on the map side and run up by buckets. Keys without values have no row.
     """
-    v = F.col(value).cast("double") + F.lit(0.0)
-    counts = df.select(*keys, v.alias("value_")).where("value_ is not null and not isnan(value_)").groupBy(*keys, "value_").agg(F.count("*").alias("n"))
+    return quantiles_of_counts(value_counts(df, keys, value), keys, probs)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """quantiles() of value_counts().
+
+    The cuts of the buckets hang on the order in which a shuffle brings the parts of a sketch. So the rows are written with their buckets: totals and
+    rows of cuts that were made twice would not fit each other.
+    """
+    counts = counts.where("value_ is not null and not isnan(value_)")
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("n_all"))
-    scan = running(spread_buckets(counts, keys, "value_"), keys, {"n": "upto"}, "value_")
+    scan = running(cut(spread_buckets(counts, keys, "value_")), keys, {"n": "upto"}, "value_")
     scan = scan.join(totals, list(keys)) if keys else scan.join(F.broadcast(totals), F.lit(True))
     at = [(F.col("n_all") - 1) * F.lit(float(q)) for q in probs]
     reach = lambda i: F.min(F.when(F.col("upto") > i, F.col("value_")))

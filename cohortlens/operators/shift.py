@@ -90,10 +90,15 @@ def spread(df: DataFrame, keys: Sequence[str], value: str, ensemble: str) -> Dat
 
 
 def score_separation(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, medians by class, the negatives' 99th percentile and the share of positives below it."""
-    from .discrimination import quantiles
-
-    own = lambda y, probs, *names: quantiles(df.where(F.col("y") == y), keys, "p", probs).select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
-    cut = df.select(*keys).distinct().join(own(1, [0.5], "median_pos"), list(keys), "left").join(own(0, [0.5, 0.99], "median_neg", "neg_p99"), list(keys), "left")
-    below = df.join(cut, list(keys)).where("y = 1").groupBy(*keys).agg(F.avg((F.col("p") < F.col("neg_p99")).cast("double")).alias("pos_below"))
-    return cut.join(below, list(keys), "left")
+    """keys, medians by class, the negatives' 99th percentile and the share of positives below it: all from one count of scores by class."""
+    from .discrimination import quantiles_of_counts, value_counts
+
+    counts = value_counts(df, [*keys, "y"], "p")
+    found = quantiles_of_counts(counts.where("y in (0, 1)"), [*keys, "y"], [0.5, 0.99])
+    own = lambda y, i, name: F.max(F.when(F.col("y") == y, F.col("q")[i])).alias(name)
+    limits = found.groupBy(*keys).agg(own(1, 0, "median_pos"), own(0, 0, "median_neg"), own(0, 1, "neg_p99"))
+    limits = counts.select(*keys).distinct().join(limits, list(keys), "left")
+    seen = F.col("value_").isNotNull() & F.col("neg_p99").isNotNull()
+    share = F.try_divide(F.sum(F.when(seen & (F.col("value_") < F.col("neg_p99")), F.col("n")).otherwise(0)), F.sum(F.when(seen, F.col("n"))))
+    below = counts.join(limits, list(keys)).where("y = 1").groupBy(*keys).agg(share.alias("pos_below"))
+    return limits.join(below, list(keys), "left")

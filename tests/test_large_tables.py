@@ -76,3 +76,49 @@ def test_low_hashes_give_the_same_draws(spark, own):
     columns = ["label", "repeat", "id", "place"]
     assert sorted(map(tuple, out.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
     assert "drawn" not in out.columns
+
+
+def shuffled(spark, n):
+    """Values from 1 to n in another order whenever they are read, as a cluster's shuffles bring them."""
+
+    def task(batches):
+        rng = np.random.default_rng()
+        for batch in batches:
+            yield batch.take(rng.permutation(batch.num_rows))
+
+    return spark.range(1, n + 1, 1, 4).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") / n).alias("p")).mapInArrow(task, "y int, p double").withColumn("k", F.lit("a"))
+
+
+def test_quantiles_do_not_hang_on_the_order_of_rows(spark):
+    """Sampled cuts differ by the order in which parts come; counts and totals must not meet in buckets of different cuts."""
+    from cohortlens.operators import discrimination as D
+    from cohortlens.operators import shift as S
+
+    n = 600_000
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = shuffled(spark, n)
+        found = D.quantiles(df, ["k"], "p", [0.1, 0.5, 0.99]).first()
+        assert np.allclose(found["q"], np.quantile(np.arange(1, n + 1) / n, [0.1, 0.5, 0.99]), rtol=0, atol=1e-12)
+        row, own = S.score_separation(df, ["k"]).first(), np.arange(2, n + 1, 2) / n
+        assert np.allclose([row["median_pos"], row["median_neg"], row["neg_p99"]], [np.median(own - 1 / n), np.median(own), np.quantile(own, 0.99)], rtol=0, atol=1e-12)
+        assert row["pos_below"] == (own - 1 / n < row["neg_p99"]).mean()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_score_separation_reads_its_rows_once(spark):
+    from cohortlens.operators import shift as S
+
+    read = spark.sparkContext.accumulator(0)
+
+    def task(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("a", 1, 0.9), ("a", 0, 0.2), ("a", 1, None), ("b", 1, float("nan")), ("b", 1, 0.5), ("c", 0, 0.5), ("d", None, 0.5), ("e", 0, None)]
+    df = spark.createDataFrame(rows, "k string, y int, p double").coalesce(1).mapInArrow(task, "k string, y int, p double")
+    found = {r["k"]: tuple(r)[1:] for r in S.score_separation(df, ["k"]).collect()}
+    assert found == {"a": (0.9, 0.2, 0.2, 0.0), "b": (0.5, None, None, None), "c": (None, 0.5, 0.5, None), "d": (None,) * 4, "e": (None,) * 4}
+    assert read.value == len(rows)
