@@ -26,6 +26,7 @@ from pyspark.sql.types import ArrayType, BinaryType, ByteType, DoubleType, Integ
 from ..functions.scalar import affine
 from .calibration import bin_index, from_totals
 from .discrimination import from_buckets, score_bucket
+from .lineage import cut
 from .utility import steps_reached
 
 #: Replicates of a study.
@@ -36,6 +37,8 @@ MOST = 12
 CHUNK, HELD = 1024, 1 << 21
 #: Rows of one score in a batch from which they are summed before they move, and bytes of hashed weights that a task keeps.
 MANY, KEPT = 16, 1 << 27
+#: Places of a span; bytes of a batch's draws and of a task's sums; rows of a span that are added up together.
+SPAN, BLOCKS, SUMS, WAITING = 16_384, 1 << 26, 1 << 28, 1 << 18
 #: Score buckets of a key in the scan of resamples: one is a task's sort, so scores that crowd on the logit need narrow ones.
 FINE = 512
 #: An integer hash's multipliers, each under 2**31, and its modulus for identifiers, a prime.
@@ -181,6 +184,18 @@ def registered_weights(clusters: DataFrame, cohort: str, replicates: int, seed:
     return own.groupBy(cohort).applyInPandas(draw, StructType([*own.schema.fields, StructField("weights", ArrayType(IntegerType()))]))
 
 
+def state_text(rng: np.random.Generator) -> str:
+    own = rng.bit_generator.state
+    return json.dumps({**own, "state": {k: str(v) for k, v in own["state"].items()}})
+
+
+def generator(text: str) -> np.random.Generator:
+    """The generator as state_text() found it."""
+    state, rng = json.loads(text), np.random.default_rng()
+    rng.bit_generator.state = {**state, "state": {k: int(v) for k, v in state["state"].items()}}
+    return rng
+
+
 def stream_states(sizes: DataFrame, cohort: str, replicates: int, seed: int, every: int = 100) -> DataFrame:
     """cohort, n, batch, state: where the registered stream of a cohort of n clusters stands before each batch of replicates.
 
@@ -193,8 +208,7 @@ def stream_states(sizes: DataFrame, cohort: str, replicates: int, seed: int, eve
             for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rng, kept = np.random.default_rng(seed), []
                 for at in range(0, replicates, every):
-                    own = rng.bit_generator.state
-                    kept.append(json.dumps({**own, "state": {k: str(v) for k, v in own["state"].items()}}))
+                    kept.append(state_text(rng))
                     for _ in range(min(every, replicates - at)):
                         rng.multinomial(n, np.full(n, 1 / n))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(kept), batch.schema.types[0]), pa.array([n] * len(kept)), pa.array(range(len(kept)), pa.int32()), pa.array(kept)], [cohort, "n", "batch", "state"])
@@ -209,10 +223,7 @@ def draws_from_states(states: DataFrame, cohort: str, replicates: int, every: in
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for name, n, number, text in zip(*[rows.column(c).to_pylist() for c in (cohort, "n", "batch", "state")]):
-                state = json.loads(text)
-                rng = np.random.default_rng()
-                rng.bit_generator.state = {**state, "state": {k: int(v) for k, v in state["state"].items()}}
-                even = np.full(n, 1 / n)
+                rng, even = generator(text), np.full(n, 1 / n)
                 drawn = np.zeros((min(every, replicates - number * every), n), np.int8)
                 for k in range(len(drawn)):
                     drawn[k] = as_bytes(rng.multinomial(n, even))
@@ -237,7 +248,8 @@ def cluster_places(own: DataFrame, cohort: str, cluster: str) -> DataFrame:
 
 def places(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """rows with place, from 0, in their key by the order: ranges number their rows, and the counts of a key's ranges go before."""
-    dealt = rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id())
+    # Written once: ranges that were drawn twice could differ.
+    dealt = cut(rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()))
     inside = dealt.withColumn("own", F.row_number().over(W.partitionBy(*keys, "part").orderBy(*order)) - 1)
     counts = dealt.groupBy(*keys, "part").count()
     earlier = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -257,6 +269,153 @@ def registered_stream(clusters: int, replicates: int, seed: int, batch: int = 10
         yield rng.multinomial(clusters, np.full(clusters, 1 / clusters), size=min(batch, replicates - at))
 
 
+def registered_auroc(df: DataFrame, keys: Sequence[str], sizes: DataFrame, replicates: int, seed: int, cohort: str = "cohort", place: str = "place") -> DataFrame:
+    """keys, replicate, auroc by the registered stream: replicate_auroc() with registered_weights(), whose draws are never rows of a cluster.
+
+    df: keys (cohort among them), place (of the cluster in its cohort, from 0), p, y. sizes: cohort, n. Places go in spans; a batch's draws leave their
+    task as a block a span, and meet the rows of the span in a task that keeps the sums of each score for all of its spans.
+    """
+    spark = df.sparkSession
+    sizes = cut(sizes.select(cohort, F.col("n").cast("long").alias("n")))
+    each = F.ceil(F.col("n") / SPAN).cast("long")
+    # A row a cohort.
+    every_row = W.orderBy(cohort)
+    sizes = sizes.withColumns({"number": F.row_number().over(every_row) - 1, "before": F.sum(each).over(every_row) - each})
+    cohorts, spans = sizes.agg(F.count("*"), F.sum(each)).first()
+    parts = max(1, min(int(spans or 0), 2 * spark.sparkContext.defaultParallelism))
+    states = states_of_batches(sizes.repartitionById(max(cohorts, 1), F.col("number").cast("int")), cohort, replicates, seed)
+    blocks = blocks_from_states(cut(states), cohort, replicates)
+    where, span = F.broadcast(sizes.select(cohort, "before")), lambda c: (F.col("before") + F.col(c)).cast("long").alias("span")
+    p = (F.col("p") + F.lit(0.0)).cast("double")
+    rows = df.withColumns({"p": p, "bucket": score_bucket(p, FINE), "own": F.floor(F.col(place) / SPAN)}).join(where, cohort)
+    rows = rows.select(span("own"), F.lit(1).alias("kind"), *keys, "bucket", F.xxhash64(*keys, "bucket").alias("group"), "p", F.col("y").cast("double").alias("y"), (F.col(place) % SPAN).cast("int").alias("slot"), F.lit(None).cast("binary").alias("block"))
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in (*keys, "bucket")]
+    # A block has its replicates' number for a group, and the first of them for a slot.
+    blocks = blocks.join(where, cohort).select(span("own"), F.lit(0).alias("kind"), *none, F.col("size").cast("long").alias("group"), *[F.lit(None).cast("double").alias(c) for c in ("p", "y")], F.col("first").alias("slot"), "block")
+    both = rows.unionByName(blocks).withColumn("part", F.floor(F.col("span") * parts / max(int(spans or 0), 1)).cast("int"))
+    dealt = both.repartitionById(parts, "part").drop("part").sortWithinPartitions((F.col("span") * 2 + F.col("kind")))
+    return scan_sums(span_sums(dealt, keys, replicates), keys, (), replicates).select(*keys, "replicate", "auroc")
+
+
+def states_of_batches(sizes: DataFrame, cohort: str, replicates: int, seed: int) -> DataFrame:
+    """cohort, n, first, size, state: stream_states() of batches whose draws fill BLOCKS bytes at most."""
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rng, every = np.random.default_rng(seed), max(1, min(100, BLOCKS // n))
+                kept = []
+                for at in range(0, replicates, every):
+                    kept.append((at, min(every, replicates - at), state_text(rng)))
+                    for _ in range(kept[-1][1]):
+                        rng.multinomial(n, np.full(n, 1 / n))
+                firsts, counts, texts = zip(*kept)
+                columns = [pa.array([name] * len(kept), batch.schema.types[0]), pa.array([n] * len(kept)), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32()), pa.array(texts)]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    schema = StructType([sizes.schema[cohort], StructField("n", LongType()), StructField("first", IntegerType()), StructField("size", IntegerType()), StructField("state", StringType())])
+    return sizes.select(cohort, "n").mapInArrow(states, schema)
+
+
+def blocks_from_states(states: DataFrame, cohort: str, replicates: int) -> DataFrame:
+    """cohort, own (the span), first, size, block (bytes [places, replicates of the batch]), every batch in a task that follows from its own number."""
+    spark = states.sparkSession
+    order = W.orderBy("first", cohort)
+    # A row a batch.
+    dealt = states.withColumn("task", F.row_number().over(order) - 1).repartitionById(4 * spark.sparkContext.defaultParallelism, F.col("task").cast("int"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for name, n, first, size, text in zip(*[rows.column(c).to_pylist() for c in (cohort, "n", "first", "size", "state")]):
+                rng, even = generator(text), np.full(n, 1 / n)
+                drawn = np.zeros((size, n), np.int8)
+                for k in range(size):
+                    drawn[k] = as_bytes(rng.multinomial(n, even))
+                for own in range(-(-n // SPAN)):
+                    block = np.ascontiguousarray(drawn[:, own * SPAN : (own + 1) * SPAN].T).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([name], rows.schema.field(cohort).type), pa.array([own]), pa.array([first], pa.int32()), pa.array([size], pa.int32()), pa.array([block], pa.binary())], schema.names)
+
+    schema = StructType([states.schema[cohort], StructField("own", LongType()), *[StructField(c, IntegerType()) for c in ("first", "size")], StructField("block", BinaryType())])
+    return dealt.mapInArrow(draw, schema)
+
+
+def span_sums(dealt: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
+    """score_sums() of rows and blocks in order of their spans, blocks first: a task adds up each score's weights over its spans, as far as SUMS bytes hold them."""
+    plain = [*keys, "bucket", "group", "p"]
+    schema = StructType([*[dealt.schema[k] for k in plain], *[StructField(c, LongType() if c == "cluster" else DoubleType()) for c in ("cluster", "pos", "neg")], *[StructField(c, BinaryType()) for c in ("w", "pos_w", "neg_w")]])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = np.zeros((SPAN, replicates), np.uint8)
+        held: dict[tuple[int, float, float], np.ndarray] = {}
+        names: dict[int, tuple] = {}
+        waiting: list[pa.RecordBatch] = []
+
+        def add() -> None:
+            if not waiting:
+                return
+            rows = pa.Table.from_batches(waiting)
+            waiting.clear()
+            g, p, y, slot = (rows.column(c).to_numpy() for c in ("group", "p", "y", "slot"))
+            for group, i in zip(*np.unique(g, return_index=True)):
+                if int(group) not in names:
+                    names[int(group)] = tuple(rows.column(k)[int(i)].as_py() for k in (*keys, "bucket", "group"))
+            order = np.lexsort((y, p, g))
+            g, p, y, slot = g[order], p[order], y[order], slot[order]
+            edges = np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (y[1:] != y[:-1])) + 1, [len(g)]])
+            lows = edges[:-1]
+            # So many bytes add up within a byte.
+            step = 255 // max(int(matrix.max()), 1)
+            for low, high, at, score, label in zip(lows.tolist(), edges[1:].tolist(), g[lows].tolist(), p[lows].tolist(), y[lows].tolist()):
+                sums = held.get((at, score, label))
+                if sums is None:
+                    sums = held[at, score, label] = np.zeros(replicates, np.uint32)
+                for i in range(low, high, step):
+                    own = slot[i : min(i + step, high)]
+                    sums += matrix[own[0]] if len(own) == 1 else matrix.take(own, axis=0).sum(axis=0, dtype=np.uint8)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            cells: dict[tuple[int, float], list[tuple[float, np.ndarray]]] = {}
+            for (at, score, label), sums in held.items():
+                cells.setdefault((at, score), []).append((label, sums))
+            held.clear()
+            every = list(cells.items())
+            step = max(1, HELD // 4 // replicates)
+            for low in range(0, len(every), step):
+                some = every[low : low + step]
+                pos, neg = ([packed(sum(share(label) * sums.astype(np.float64) for label, sums in found)) for _, found in some] for share in (float, lambda label: 1 - label))
+                n = len(some)
+                own = [pa.array(c, t) for c, t in zip(zip(*(names[at] for (at, _), _ in some)), kinds)]
+                columns = [*own, pa.array([score for (_, score), _ in some], pa.float64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.binary()), pa.array(pos, pa.binary()), pa.array(neg, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+        span, kinds = None, []
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in (*keys, "bucket", "group")]
+            at = batch.column("span").to_numpy()
+            edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+            for low, high in zip(edges, edges[1:]):
+                if at[low] != span:
+                    add()
+                    span = at[low]
+                    matrix[:] = 0
+                    if len(held) * replicates * 4 > SUMS:
+                        yield from out()
+                own = batch.slice(low, high - low)
+                blocks = int((own.column("kind").to_numpy() == 0).sum())
+                for i in range(blocks):
+                    first, size = own.column("slot")[i].as_py(), own.column("group")[i].as_py()
+                    block = np.frombuffer(own.column("block")[i].as_buffer(), np.uint8).reshape(-1, size)
+                    matrix[: len(block), first : first + size] = block
+                if blocks < high - low:
+                    waiting.append(own.slice(blocks).select([*plain, "y", "slot"]))
+                    if sum(b.num_rows for b in waiting) >= WAITING:
+                        add()
+        add()
+        yield from out()
+
+    return dealt.select("span", "kind", *plain, "y", "slot", "block").mapInArrow(task, schema)
+
+
 class Kept:
     """Weights of a task's clusters as rows of bytes: made or read once, and used by all of the clusters' rows."""
 
@@ -510,7 +669,12 @@ def replicate_scan(
 
     every: weights come in batches (a column batch) of so many replicates.
     """
-    rows = score_sums(df, keys, replicates, cluster, weights, every).repartition(*keys, "bucket").sortWithinPartitions(*keys, "bucket", "p")
+    return scan_sums(score_sums(df, keys, replicates, cluster, weights, every), keys, thresholds, replicates)
+
+
+def scan_sums(sums_: DataFrame, keys: Sequence[str], thresholds: Sequence[float], replicates: int) -> DataFrame:
+    """replicate_scan() of score_sums()."""
+    rows = sums_.repartition(*keys, "bucket").sortWithinPartitions(*keys, "bucket", "p")
     flags = [f"{kind}_{i}" for i in range(len(thresholds)) for kind in ("tp", "fp")]
     sums = ("pos", "neg", "wins", *flags)
     schema = StructType([*[rows.schema[k] for k in keys], StructField("bucket", IntegerType()), *[StructField(c, ArrayType(DoubleType())) for c in sums]])

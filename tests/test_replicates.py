@@ -57,3 +57,17 @@ def test_sums_of_fractional_labels_and_wide_weights():
     assert B.row_sums(values, matrix, slot).tolist() == (values @ matrix).tolist()
     for v in ([0, 255], [0, 300], [1, 70_000], [0.5, 2], [-1, 2], [1, 2**40]):
         assert B.unpacked(B.packed(np.array(v, float)), 2).tolist() == v
+
+
+def test_registered_draws_meet_rows_by_spans(spark, monkeypatch):
+    """Blocks of several spans and batches, and sums that are passed on early, give the single stream's replicates; no row of a cluster has weights."""
+    for name, value in (("SPAN", 4), ("BLOCKS", 60), ("SUMS", 1 << 9), ("WAITING", 50)):
+        monkeypatch.setattr(B, name, value)
+    df = scored(spark, 900, 40).withColumns({"label": F.when(F.col("p") > 0.3, "l").otherwise("m"), "y": F.when(F.col("p") < 0.9, F.col("y")).otherwise(0.25)})
+    clusters = df.select("cohort", "cluster_id").distinct()
+    placed = B.cluster_places(clusters, "cohort", "cluster_id")
+    out = B.registered_auroc(df.join(placed, ["cohort", "cluster_id"]), ["cohort", "label"], placed.groupBy("cohort").agg(F.count("*").alias("n")), 17, 9)
+    one = B.replicate_auroc(df, ["cohort", "label"], 17, weights=B.registered_weights(clusters, "cohort", 17, 9))
+    key = lambda t: sorted((r["cohort"], r["label"], r["replicate"], round(r["auroc"], 9)) for r in t.collect())
+    assert key(out) == key(one) and len(key(out)) == 2 * 2 * 17
+    assert "array<tinyint>" not in plan(out)
