@@ -1,6 +1,6 @@
-"""Beat features of twelve-lead records: array expressions over filtered leads and their peaks.
+"""Beat features of twelve-lead records: array expressions over the median beat and its peaks.
 
-A small NumPy helper filters a record and finds its peaks. Intervals, the median beat, its bounds and its waves are array
+A small NumPy helper filters a record, finds its peaks and takes their median beat. Intervals, the beat's bounds and its waves are array
 expressions, a record a row: nothing is shuffled, and memory is bounded by a row. A record that is null, has a null or
 non-finite sample, uneven leads or other than twelve keeps its row with the failure flags set; what can't be measured is null, never filled in.
 """
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import axis_degrees, clip
+from ..functions.scalar import axis_degrees
 from .signals import LEADS, bandpass, r_peaks
 
 #: Samples of the median beat before and after its peak, and the least variance of a lead that is not flat.
@@ -85,29 +85,51 @@ def feet(x: Column, level: Column, top: Column) -> Column:
     ))
 
 
-def filtered(df: DataFrame, record: str, signal: str, rate: float) -> DataFrame:
-    """record, wave (leads without their slow drift; null if the record can't be used) and peaks.
+def usable(raw: pa.ListArray | None) -> np.ndarray | None:
+    """The leads [lead, sample]; None of a record that can't be used."""
+    if raw is None or len(raw) != len(LEADS) or raw.null_count:
+        return None
+    lengths = set(raw.value_lengths().to_pylist())
+    if len(lengths) > 1 or lengths == {0}:
+        return None
+    x = raw.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(LEADS), -1)
+    return x if np.isfinite(x).all() else None
+
+
+def wave_and_peaks(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """The leads without their slow drift, and the peaks of lead II, or of the strongest lead where that is flat."""
+    power = bandpass(x, 5.0, 25.0, rate).var(axis=-1)
+    rhythm = 1 if power[1] >= FLAT else int(power.argmax())
+    peaks = r_peaks(x[rhythm], rate) if power[rhythm] >= FLAT else np.empty(0, int)
+    return bandpass(x, 0.5, rate, rate), peaks.astype(np.int32)
+
+
+def median_beat(wave: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """Lead by lead the median over whole beats [lead, sample]; if none is whole, over all, their windows held at the record's ends."""
+    n = wave.shape[1]
+    whole = peaks[(peaks >= PRE) & (peaks + POST <= n)]
+    at = (whole if len(whole) else peaks)[:, None] + np.arange(-PRE, POST)
+    beats = np.sort(wave[:, np.clip(at, 0, n - 1)], axis=1)
+    low, high = beats[:, (len(at) - 1) // 2], beats[:, len(at) // 2]
+    return low + (high - low) * 0.5
 
-    A task holds a batch of at most BATCH_BYTES (or one record), unless the session bounds batches itself, and the waves of RECORDS records.
+
+def measured(df: DataFrame, record: str, signal: str, column: str, value: Callable[[np.ndarray, np.ndarray], np.ndarray | None], rate: float) -> DataFrame:
+    """record, column (an array a lead of what value makes of wave and peaks; null if the record can't be used) and peaks.
+
+    A task holds a batch of at most BATCH_BYTES (or one record), unless the session bounds batches itself, and the values of RECORDS records.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     if str(spark.conf.get(key)).rstrip("b") == str(1 << 26):
         spark.conf.set(key, str(BATCH_BYTES))
 
     def one(raw: pa.ListArray | None) -> tuple[list[np.ndarray] | None, np.ndarray]:
-        none = None, np.empty(0, np.int32)
-        if raw is None or len(raw) != len(LEADS) or raw.null_count:
-            return none
-        lengths = set(raw.value_lengths().to_pylist())
-        if len(lengths) > 1 or lengths == {0}:
-            return none
-        x = raw.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(LEADS), -1)
-        if not np.isfinite(x).all():
-            return none
-        power = np.array([bandpass(v, 5.0, 25.0, rate).var() for v in x])
-        rhythm = 1 if power[1] >= FLAT else int(power.argmax())
-        peaks = r_peaks(x[rhythm], rate) if power[rhythm] >= FLAT else none[1]
-        return [bandpass(v, 0.5, rate, rate) for v in x], peaks.astype(np.int32)
+        x = usable(raw)
+        if x is None:
+            return None, np.empty(0, np.int32)
+        wave, peaks = wave_and_peaks(x, rate)
+        own = value(wave, peaks)
+        return None if own is None else list(own), peaks
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -115,19 +137,20 @@ def filtered(df: DataFrame, record: str, signal: str, rate: float) -> DataFrame:
                 b = whole.slice(at, RECORDS)
                 found = [one(s.values) for s in b.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([w for w, _ in found], pa.list_(pa.list_(pa.float64()))), pa.array([p for _, p in found], pa.list_(pa.int32()))], [record, "wave", "peaks"]
+                    [b.column(0), pa.array([w for w, _ in found], pa.list_(pa.list_(pa.float64()))), pa.array([p for _, p in found], pa.list_(pa.int32()))], [record, column, "peaks"]
                 )
 
-    return df.select(record, signal).mapInArrow(task, f"`{record}` {dict(df.dtypes)[record]}, wave array<array<double>>, peaks array<int>")
+    return df.select(record, signal).mapInArrow(task, f"`{record}` {dict(df.dtypes)[record]}, {column} array<array<double>>, peaks array<int>")
+
+
+def filtered(df: DataFrame, record: str, signal: str, rate: float) -> DataFrame:
+    """record, wave (leads without their slow drift; null if the record can't be used) and peaks."""
+    return measured(df, record, signal, "wave", lambda wave, peaks: wave, rate)
 
 
-def median_beat(wave: Column, peaks: Column) -> Column:
-    """Lead by lead the median over whole beats; if none is whole, over all, their windows held at the record's ends."""
-    n = F.size(wave[0])
-    whole = F.filter(peaks, lambda p: (p >= PRE) & (p + POST <= n))
-    sample = lambda lead, used, at: array_quantile(F.transform(used, lambda p: F.get(lead, clip(p + at, F.lit(0), n - 1))), 0.5)
-    beat = lambda used: F.transform(wave, lambda lead: F.transform(F.sequence(F.lit(-PRE), F.lit(POST - 1)), lambda at: sample(lead, used, at)))
-    return let(F.when(F.size(whole) > 0, whole).otherwise(peaks), beat)
+def median_beats(df: DataFrame, record: str, signal: str, rate: float) -> DataFrame:
+    """record, beat (null without peaks) and peaks; waves stay in their task."""
+    return measured(df, record, signal, "beat", lambda wave, peaks: median_beat(wave, peaks) if len(peaks) else None, rate)
 
 
 def envelope(energy: Column, rate: float) -> Column:
@@ -224,9 +247,7 @@ def feature_table(df: DataFrame, record: str, signal: str = "signal", rate: floa
     """record and FEATURES; df: record, signal (array<array<double>>, millivolts, a lead at a time in the order of LEADS)."""
     c, ms = F.col, 1000.0 / rate
     lead = lambda name: F.get("beat", F.lit(LEADS.index(name)))
-    rows = filtered(df, record, signal, rate)
-    rows = with_rhythm(rows, ms)
-    rows = rows.withColumn("beat", F.when(F.size("peaks") > 0, median_beat(c("wave"), c("peaks"))))
+    rows = with_rhythm(median_beats(df, record, signal, rate), ms)
     rows = at_rest(with_bounds(rows, rate), rate)
     start = F.floor("onset").cast("int")
     part = lambda name: F.slice(lead(name), start + 1, F.ceil("offset").cast("int") + 1 - start)

@@ -122,3 +122,39 @@ def test_score_separation_reads_its_rows_once(spark):
     found = {r["k"]: tuple(r)[1:] for r in S.score_separation(df, ["k"]).collect()}
     assert found == {"a": (0.9, 0.2, 0.2, 0.0), "b": (0.5, None, None, None), "c": (None, 0.5, 0.5, None), "d": (None,) * 4, "e": (None,) * 4}
     assert read.value == len(rows)
+
+
+def test_only_the_median_beat_leaves_its_task(spark):
+    """Waves are ten times as long as their median beat, and medians of boxed arrays took most of the features' time."""
+    from cohortlens.operators import beats
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [[float(v) for v in np.round(np.sin(np.arange(n) / 9.0 + k) + rng.normal(0, 0.1, n), 3)] for k in range(12)]) for i, n in enumerate((400, 90, 700))]
+    df = spark.createDataFrame([*rows, (3, None), (4, [[0.0] * 50] * 12)], "id int, signal array<array<double>>")
+    assert "wave" not in plan(beats.feature_table(df, "id"))
+    waves = {r["id"]: r for r in beats.filtered(df, "id", "signal", 100.0).collect()}
+    found = {r["id"]: r for r in beats.median_beats(df, "id", "signal", 100.0).collect()}
+    assert [found[i]["beat"] for i in (3, 4)] == [None, None]
+    for i, signal in rows:
+        wave, peaks = np.array(waves[i]["wave"]), found[i]["peaks"]
+        whole = [p for p in peaks if p >= beats.PRE and p + beats.POST <= wave.shape[1]] or peaks
+        own = np.median([[lead.take(np.arange(p - beats.PRE, p + beats.POST), mode="clip") for p in whole] for lead in wave], axis=1)
+        assert len(peaks) and np.allclose(found[i]["beat"], own, rtol=0, atol=1e-12)
+
+
+def test_peaks_keep_their_distance():
+    from cohortlens.operators import signals
+
+    rng = np.random.default_rng(6)
+    for distance in (1, 3, 30):
+        x = np.round(rng.normal(0, 1, 500), 1)
+        at = [i for i in range(1, 499) if x[i] > x[i - 1] and x[i] >= x[i + 1] and x[i] >= 0.2]
+        kept = []
+        for i in sorted(at, key=lambda i: (-x[i], i)):
+            if all(abs(i - k) >= distance for k in kept):
+                kept.append(i)
+        assert signals.spaced_peaks(x, 0.2, distance).tolist() == sorted(kept)
+    short = rng.normal(0, 1, (12, 30))
+    assert np.array_equal(signals.bandpass(short, 5.0, 25.0, 100.0), np.stack([signals.bandpass(v, 5.0, 25.0, 100.0) for v in short]))
+    wide = np.pad(short[0], 29, mode="reflect", reflect_type="odd")
+    assert np.array_equal(signals.bandpass(short[0], 0.0, 50.0, 100.0), np.fft.irfft(np.fft.rfft(wide), len(wide))[29:59])
