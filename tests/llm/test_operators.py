@@ -852,3 +852,25 @@ def test_vectors_broadcast_or_shuffled_give_one_graph(spark):
     df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(700)], "node long, vector array<float>")
     one, two = ({(r["node"], r["other"]) for r in ann.neighbour_graph(df, 8, 0.005, Scratch(spark, "graph"), small=b).collect()} for b in (0, 1 << 20))
     assert len(one & two) >= 0.99 * len(one) and len(one) == len(two)
+
+
+def test_short_posting_lists_are_taken_together(monkeypatch):
+    """Sums of postings are the same however many of a query's lists are taken by one step, and short lists are no slices of their own."""
+    from cohortlens.llm import bm25
+
+    rng = np.random.default_rng(8)
+    lists = [(np.unique(rng.integers(0, 3000, 60)).astype(np.uint64), None) for _ in range(400)]
+    lists = [(t, rng.integers(1, 5, len(t)).astype(np.int32)) for t, _ in lists]
+    array, low = np.arange(900), rng.integers(0, 800, 50)
+    high = low + rng.integers(0, 90, 50)
+    for some in (slice(0, 50), slice(0, 0)):
+        assert bm25.runs(array, low[some], high[some]).tolist() == bm25.slices(array, low[some], high[some]).tolist()
+    sliced, found, plain = [], [], bm25.slices
+    monkeypatch.setattr(bm25, "slices", lambda array, low, high: sliced.append((array.dtype, len(low))) or plain(array, low, high))
+    for few in (0, 10, 1 << 20):
+        monkeypatch.setattr(bm25, "FEW", few)
+        index = bm25.Index(list(range(400)), list(lists), np.empty(0, np.uint64), 60.0)
+        asked = bm25.Asked([7], [lists[7][0].copy()], [np.ones(len(lists[7][0]))], index.frequent)
+        found.append(bm25.Search(index, asked, 0, bm25.places(index.terms, asked.terms)).sums())
+    assert np.allclose(found[0], found[1], rtol=1e-6) and np.allclose(found[0], found[2], rtol=1e-6) and found[0][7] > 0
+    assert [n for kind, n in sliced if kind == np.int64][::2] == [len(lists[7][0]), 0]
